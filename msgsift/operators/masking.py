@@ -1,6 +1,6 @@
 """Masked-LM examples, drawn anew per epoch.
 
-Of the content positions, ``md5(seed:epoch:id:pos:sel) % 100 < 15`` are
+Of the known-token positions, ``md5(seed:epoch:id:pos:sel) % 100 < 15`` are
 selected; of those, a second key gives 80 % mask id, 10 % a random
 vocabulary id, 10 % unchanged; a third key picks the random id directly
 (ids are dense from 4, so no lookup join). The target is the original id
@@ -31,7 +31,8 @@ def mask_positions(ids: DataFrame, vocab_size: int, key_cols: list[str], seed: i
     """
     parts = ([F.col(epoch_col)] if epoch_col else []) + [F.col(c) for c in key_cols]
     pct = int(round(rate * 100))
-    sel = (hash_key(seed, *parts, F.lit("sel")) % 100) < pct
+    # markers and unknown tokens are never selected
+    sel = (F.col("token_id") >= FIRST_TOKEN_ID) & ((hash_key(seed, *parts, F.lit("sel")) % 100) < pct)
     how = hash_key(seed, *parts, F.lit("how")) % 100
     rnd = (hash_key(seed, *parts, F.lit("rnd")) % vocab_size + FIRST_TOKEN_ID).cast("int")
     masked, randomised = MASK_SPLIT[0], MASK_SPLIT[0] + MASK_SPLIT[1]
