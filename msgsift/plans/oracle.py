@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..functions.keys import sql_hash_key as hk
 
-TOKENS = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+TOKENS = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 PY_WS = (r"[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
@@ -292,7 +292,7 @@ ch AS (SELECT doc_id, chunk, list(token_id ORDER BY pos) AS ids FROM ids GROUP B
 w AS (SELECT max(len(ids)) + 2 AS w FROM ch)
 SELECT doc_id, CAST(chunk AS BIGINT) AS chunk,
        array_to_string(list_resize(list_concat([0], ids, [2]), (SELECT w FROM w), 1), ' ') AS input_ids,
-       array_to_string(list_resize(list_transform(list_concat([0], ids, [2]), x -> 1), (SELECT w FROM w), 0), ' ')
+       array_to_string(list_resize(list_transform(list_concat([0], ids, [2]), lambda x: 1), (SELECT w FROM w), 0), ' ')
          AS attention_mask,
        CAST(len(ids) AS BIGINT) AS n_tokens
 FROM ch"""
