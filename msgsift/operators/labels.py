@@ -44,10 +44,21 @@ def small(table: DataFrame, limit: int = 100_000) -> DataFrame:
     return F.broadcast(table) if n <= limit else table
 
 
+def table_from_counts(spark, class_counts: list[tuple]) -> DataFrame:
+    """L2 from collected ``[(intent, n)]`` (one row per class): a local table."""
+    intents = sorted(k for k, _ in class_counts if k is not None)
+    return spark.createDataFrame([(k, i) for i, k in enumerate(intents)], "intent STRING, label INT")
+
+
 def encode(df: DataFrame, table: DataFrame, label_col: str = "intent", out_col: str = "label",
-           on_missing: str = "error") -> DataFrame:
-    """L2 transform: intent -> id with a broadcast lookup; unknown intents fail."""
-    lut = small(table.select(F.col(label_col).alias("_i"), F.col("label").alias("_l")))
+           on_missing: str = "error", bounded: bool = False) -> DataFrame:
+    """L2 transform: intent -> id with a broadcast lookup; unknown intents fail.
+
+    ``bounded=True`` states the table is already known small (built from
+    collected class counts); otherwise its row count is checked first.
+    """
+    lut = table.select(F.col(label_col).alias("_i"), F.col("label").alias("_l"))
+    lut = F.broadcast(lut) if bounded else small(lut)
     j = df.join(lut, df[label_col] == lut["_i"], "left")
     if on_missing == "error":
         val = F.when(F.col("_l").isNull(),

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import argmax, softmax
+from ..session import materialize
 from .tokens import build_vocab, tokenize
 
 BROADCAST_BYTES = 256 << 20
@@ -93,8 +94,11 @@ def train_nb(train: DataFrame, vocab: DataFrame | None = None, id_col: str = "do
             vocab_src = toks.select(id_col, "token").unionByName(
                 tokenize(background, id_col, text_col).select(id_col, "token"))
         vocab = build_vocab(vocab_src, id_col, min_df, max_vocab)
+    # model tables are small (<= max_vocab x classes rows): write them once
+    vocab = materialize(vocab, "nb-vocab")
     lut = F.broadcast(vocab.select("token"))          # <= max_vocab rows
-    counts = toks.join(lut, "token").groupBy("token", label_col).agg(F.count(F.lit(1)).alias("n_tc"))
+    counts = materialize(toks.join(lut, "token").groupBy("token", label_col)
+                         .agg(F.count(F.lit(1)).alias("n_tc")), "nb-counts")
     labels, intents, prior, ntok = _class_arrays(train, counts, label_col, intent_col)
     v = vocab.count()
     per_token = counts.groupBy("token").agg(
@@ -103,17 +107,18 @@ def train_nb(train: DataFrame, vocab: DataFrame | None = None, id_col: str = "do
     if background is None:
         denom = [math.log(n + smoothing * v) for n in ntok]
         w = _dense(F.col("_m"), labels, F.lit(float(smoothing)), denom)
-        weights = base.select("token", w.alias("w"))
+        weights = materialize(base.select("token", w.alias("w")), "nb-weights")
         kind, params = "add_one", {"smoothing": smoothing}
     else:
-        bg = (tokenize(background, id_col, text_col).join(lut, "token")
-              .groupBy("token").agg(F.count(F.lit(1)).alias("c_bg")))
+        bg = materialize(tokenize(background, id_col, text_col).join(lut, "token")
+                         .groupBy("token").agg(F.count(F.lit(1)).alias("c_bg")), "nb-background")
         n_bg = bg.agg(F.sum("c_bg")).first()[0] or 0
         p_bg = (F.coalesce(F.col("c_bg"), F.lit(0)) + 1.0) / F.lit(float(n_bg + v))
         denom = [math.log(n + mu) for n in ntok]
         w = _dense(F.col("_m"), labels, F.lit(float(mu)) * F.col("_p"), denom)
         weights = (base.join(bg, "token", "left").withColumn("_p", p_bg)
                    .select("token", w.alias("w"), F.col("_p").alias("p_bg")))
+        weights = materialize(weights, "nb-weights")
         kind, params = "background", {"mu": mu, "n_bg": int(n_bg)}
     return NBModel(weights=weights, counts=counts, vocab=vocab, labels=labels, intents=intents,
                    log_prior=prior, n_tokens=ntok, vocab_size=int(v), kind=kind, params=params)

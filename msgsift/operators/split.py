@@ -40,17 +40,22 @@ def class_quotas(class_counts: DataFrame, label_col: str, test_share: float = HE
 def stratified_split(df: DataFrame, label_col: str = "intent", id_col: str = "doc_id",
                      test_share: float = HELD_OUT_SHARE, seed: int = SEED,
                      on_singleton: str = "error", bits: int = DEFAULT_BITS,
-                     part_col: str = "part") -> DataFrame:
+                     part_col: str = "part", class_counts: list[tuple] | None = None) -> DataFrame:
     """Add ``part`` = 'train' | 'test' with exact per-class quotas.
 
+    ``class_counts`` (``[(label, n)]``, one per class) may be passed when the
+    caller already counted the classes; otherwise one small job counts them.
+
     A class with one row cannot be stratified: ``on_singleton="error"``
     raises, ``"train"`` puts it in the training part and leaves it out of the
     quota arithmetic.
     """
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
-    stats = counts.agg(F.count(F.lit(1)).alias("classes"),
-                       F.sum(F.when(F.col("n_c") == 1, 1).otherwise(0)).alias("singletons")).first()
-    n_classes, n_single = int(stats["classes"] or 0), int(stats["singletons"] or 0)
+    if class_counts is None:   # one row per class
+        class_counts = [tuple(r) for r in df.groupBy(label_col).agg(F.count(F.lit(1))).collect()]
+    counts = df.sparkSession.createDataFrame([(k, int(n)) for k, n in class_counts],
+                                             f"`{label_col}` STRING, n_c BIGINT")
+    n_classes = len(class_counts)
+    n_single = sum(1 for _, n in class_counts if n == 1)
     if n_single and on_singleton == "error":
         raise ValueError(f"{n_single} class(es) have a single row; a stratified split needs at least 2 "
                          "(use on_singleton='train')")

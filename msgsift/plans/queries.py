@@ -16,13 +16,15 @@ from ..operators import answers as ans
 from ..operators import metrics as met
 from ..operators.batching import ordered_batches, shuffled_batches, step_counts
 from ..operators.clean import feature_table
-from ..operators.labels import class_stats, decode, encode, label_map, label_table, width_check
+from ..operators.labels import (class_stats, decode, encode, label_map, label_table, table_from_counts,
+                               width_check)
 from ..operators.masking import mask_epochs, mask_positions
 from ..operators.naive_bayes import long_form, predict, score, train_nb
 from ..operators.split import random_split, stratified_split
 from ..operators.tokens import build_vocab, encode as encode_texts, token_ids, tokenize
+from ..session import materialize
 from ..sources.files import split_lines
-from ..sources.tables import annotated, labelled, messages, unlabelled
+from ..sources.tables import annotated, documents, labelled, messages, unlabelled
 
 VAL_BATCH = 64      # validation batch of the training script
 MLM_SEED = 1
@@ -32,14 +34,27 @@ MIN_DF = 2
 
 # --- shared stages ---------------------------------------------------------
 
-def _encoded_labelled(spark: SparkSession, sf: str) -> DataFrame:
+def _class_counts(lab: DataFrame) -> list[tuple]:
+    """``[(intent, n)]``: one row per class (bounded by the class count)."""
+    return [tuple(r) for r in lab.groupBy("intent").agg(F.count(F.lit(1))).collect()]
+
+
+def _encoded_labelled(spark: SparkSession, sf: str):
     lab = labelled(spark, sf)
-    return encode(lab, label_table(lab))
+    counts = _class_counts(lab)
+    return encode(lab, table_from_counts(spark, counts), bounded=True), counts
 
 
 def _split(spark: SparkSession, sf: str) -> DataFrame:
-    """Stratified 80/20 split, seed 42; a one-row class stays in training."""
-    return stratified_split(_encoded_labelled(spark, sf), "intent", "doc_id", seed=SEED, on_singleton="train")
+    """Stratified 80/20 split, seed 42; a one-row class stays in training.
+
+    Written once to the shared checkpoint folder: training, scoring and
+    metrics read it several times, and a lost executor re-reads the written
+    split instead of recomputing the ranks.
+    """
+    enc, counts = _encoded_labelled(spark, sf)
+    s = stratified_split(enc, "intent", "doc_id", seed=SEED, on_singleton="train", class_counts=counts)
+    return materialize(s, "split")
 
 
 def _parts(spark: SparkSession, sf: str):
@@ -59,7 +74,7 @@ def _test_predictions(spark: SparkSession, sf: str):
     pred = predict(model, score(model, test))
     truth = test.select("doc_id", F.col("intent").alias("y"), F.col("label").alias("label"))
     joined = truth.join(pred.select("doc_id", F.col("pred_intent").alias("yhat"), "p_top"), "doc_id")
-    return model, train, test, joined
+    return model, train, test, materialize(joined, "test-predictions")
 
 
 # --- labels, cleaning, lines -------------------------------------------------
@@ -126,12 +141,12 @@ def q_step_counts(spark, sf):
 # --- tokens, vocabulary, encoding, masks ----------------------------------
 
 def q_tokens(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = documents(spark, sf)
     return tokenize(docs, "doc_id", "text")
 
 
 def q_vocab_topk(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = documents(spark, sf)
     v = build_vocab(tokenize(docs, "doc_id", "text"), "doc_id", MIN_DF, MAX_VOCAB)
     return v.select("token", F.col("token_id").cast("bigint"), "df", "tf")
 

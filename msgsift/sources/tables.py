@@ -18,6 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan by ``key`` when it yields fewer tasks than cores.
+
+    A big input arrives as many files/row groups and is left alone; a scan
+    of one row group (one task) is spread so per-row work runs in parallel.
+    Partitioning by the text key also lets later ``groupBy(key)`` steps reuse
+    it instead of shuffling again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * 2, key)
+
+
 def intent_expr(lang="lang", quality="quality", toxic="toxic"):
     return F.concat(F.col(lang), F.lit("_q"), F.col(quality).cast("string"),
                     F.lit("_t"), F.col(toxic).cast("string"))
@@ -25,14 +39,14 @@ def intent_expr(lang="lang", quality="quality", toxic="toxic"):
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text, intent)`` for every labelled document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return docs.join(labels, "doc_id").select("doc_id", "text", intent_expr().alias("intent"))
 
 
 def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)`` for documents without a label."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id")
     return docs.join(labels, "doc_id", "left_anti")
 
@@ -40,8 +54,9 @@ def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(msg_id, conv_id, turn, role, text)`` new messages to answer."""
     conv = table(spark, sf_dir, "conversations")
-    return conv.select((F.col("conv_id") * TURN_RADIX + F.col("turn")).alias("msg_id"),
-                       "conv_id", "turn", "role", "text")
+    out = spread(conv, "conv_id").select((F.col("conv_id") * TURN_RADIX + F.col("turn")).alias("msg_id"),
+                      "conv_id", "turn", "role", "text")
+    return out
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,3 +79,8 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("Quality Check"),
         intent_expr().alias("Intent1_Original"),
     )
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, spread by ``doc_id`` when the scan is under-split."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
