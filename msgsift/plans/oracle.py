@@ -390,4 +390,10 @@ SELECT CAST(count(p.doc_id) AS BIGINT) AS n_matched,
        CAST(sum(CASE WHEN p.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_truth_only,
        CAST(0 AS BIGINT) AS n_pred_only, CAST(0 AS BIGINT) AS n_duplicate_keys
 FROM lab l LEFT JOIN top1 p ON l.doc_id = p.doc_id""")
+    q["csv_roundtrip"] = _with(LAB) + """
+SELECT intent, CAST(row_number() OVER (ORDER BY intent) - 1 AS BIGINT) AS corresponding_label
+FROM (SELECT DISTINCT intent FROM lab)"""
+    q["split_roundtrip"] = _with(LAB, LABTAB, SPLIT) + \
+        "SELECT doc_id, label, part, CAST(length(text) AS BIGINT) AS n_chars FROM split"
+    q["model_roundtrip"] = q["nb_predict"]
     return q

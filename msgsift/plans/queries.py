@@ -375,3 +375,82 @@ QUERIES = {
     "run_summary": q_run_summary,
     "pred_alignment": q_pred_alignment,
 }
+
+
+# --- ML pipeline, pluggable model, stream, files -------------------------------
+
+def q_lr_predict(spark, sf):
+    """M2: Spark ML pipeline fitted on the training part, top-1 on the held-out part."""
+    from ..operators.ml import fit_lr, predict_lr
+    train, test = _parts(spark, sf)
+    model = fit_lr(train, max_vocab=MAX_VOCAB, min_df=MIN_DF)
+    pred = predict_lr(model, test)
+    lut = table_from_counts(spark, _class_counts(labelled(spark, sf)))
+    out = pred.join(F.broadcast(lut.withColumnRenamed("label", "pred_label")), "pred_label", "left")
+    return out.select("doc_id", F.col("intent").alias("pred_intent"), F.round("p_top", 6).alias("p_top"))
+
+
+def q_plug_score(spark, sf):
+    """M8: encoded held-out chunks scored in Arrow batches of 128 by a NumPy model."""
+    from ..operators.plug import nb_batch_model, score_batches
+    model, _, test = _nb(spark, sf)
+    enc = materialize(encode_texts(test, model.vocab, "doc_id", "text", pad_to="max_len"), "encoded")
+    out = score_batches(enc, nb_batch_model(model), width=250, batch_size=INFER_BATCH)
+    ints = F.array(*[F.lit(x) for x in model.intents])
+    return out.select("doc_id", "chunk", F.element_at(ints, F.col("pred_index") + 1).alias("pred_intent"))
+
+
+def q_stream_score(spark, sf):
+    """ST1: the conversations file answered by a Structured Streaming query."""
+    from ..session import shared_path
+    from ..streaming.score_stream import message_stream, read_answers, start_answering
+    model, _, _ = _nb(spark, sf)
+    out, ckpt = shared_path(spark, "answers"), shared_path(spark, "answers-ckpt")
+    q = start_answering(model, message_stream(spark, sf, glob="conversations.parquet"), out, ckpt)
+    q.awaitTermination()
+    return read_answers(spark, out).select("msg_id", "json")
+
+
+def q_csv_roundtrip(spark, sf):
+    """K1 -> S4: the label map written as CSV and read back."""
+    from ..session import shared_path
+    from ..sinks.files import write_label_map
+    from ..sources.files import read_label_map
+    path = shared_path(spark, "label-map")
+    write_label_map(label_map(labelled(spark, sf)), path)
+    back = read_label_map(spark, path)
+    return back.select("intent", F.col("corresponding_label").cast("bigint"))
+
+
+def q_split_roundtrip(spark, sf):
+    """K2 -> S2: the split written as CSV (one folder per part) and read back."""
+    from ..session import shared_path
+    from ..sinks.files import write_split
+    from ..sources.files import read_split
+    path = shared_path(spark, "split-csv")
+    write_split(_split(spark, sf), path, fmt="csv")
+    out = []
+    for part in ("train", "test"):
+        out.append(read_split(spark, f"{path}/part={part}").withColumn("part", F.lit(part)))
+    both = out[0].unionByName(out[1])
+    return both.select("doc_id", F.col("label").cast("bigint"), "part",
+                       F.length("text").cast("bigint").alias("n_chars"))
+
+
+def q_model_roundtrip(spark, sf):
+    """K5 -> S5: the model saved as version 0, reloaded, used for top-1 on the held-out part."""
+    from ..session import shared_path
+    from ..sinks.files import load_model, save_model
+    model, _, test = _nb(spark, sf)
+    root = save_model(model, shared_path(spark, "model"), version=0)
+    return _predict_rows(load_model(spark, root), test)
+
+
+QUERIES.update({
+    "lr_predict": q_lr_predict,
+    "plug_score": q_plug_score,
+    "stream_score": q_stream_score,
+    "csv_roundtrip": q_csv_roundtrip,
+    "split_roundtrip": q_split_roundtrip,
+    "model_roundtrip": q_model_roundtrip,
+})

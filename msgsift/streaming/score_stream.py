@@ -19,8 +19,11 @@ MESSAGE_SCHEMA = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 
 
 def message_stream(spark: SparkSession, path: str, schema: str = MESSAGE_SCHEMA,
-                   max_files_per_trigger: int | None = None) -> DataFrame:
+                   max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """Parquet files arriving in the folder ``path`` (``glob`` filters file names)."""
     reader = spark.readStream.schema(schema)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(path)
