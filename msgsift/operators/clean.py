@@ -42,12 +42,11 @@ def validate(df: DataFrame, text_col: str = "text", label_col: str | None = "int
         reason = reason.when(F.col(label_col).isNull() | (F.col(label_col) == ""), F.lit("label"))
     tagged = df.withColumn("reason", reason)
     if on_bad == "error":
-        checked = tagged.withColumn(
-            "reason",
-            F.when(F.col("reason").isNotNull(),
-                   F.raise_error(F.concat(F.lit("invalid row: missing "), F.col("reason"))))
-            .otherwise(F.col("reason")))
-        return checked.drop("reason")
+        # a filter (not a dropped column) so column pruning keeps the check
+        ok = F.when(F.col("reason").isNotNull(),
+                    F.raise_error(F.concat(F.lit("invalid row: missing "), F.col("reason")))) \
+            .otherwise(F.lit(True))
+        return tagged.where(ok).drop("reason")
     if on_bad == "quarantine":
         return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())
     raise ValueError(f"on_bad must be 'error' or 'quarantine', not {on_bad!r}")
