@@ -13,13 +13,25 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def hash_digest(salt, *parts) -> Column:
+    """md5 hex digest of 'salt:part1:part2...'."""
+    return F.md5(F.concat_ws(":", F.lit(str(salt)), *[_col(p).cast("string") for p in parts]))
+
+
+def digest_key(digest: Column, segment: int = 0) -> Column:
+    """Hex digits ``8*segment+1 .. 8*segment+8`` of a digest as a BIGINT in [0, 2^32).
+
+    One md5 gives four independent 32-bit draws (segments 0-3).
+    """
+    return F.conv(F.substring(digest, 8 * segment + 1, 8), 16, 10).cast("bigint")
+
+
 def hash_key(salt, *parts) -> Column:
     """First 8 hex digits of md5('salt:part1:part2...') as a BIGINT in [0, 2^32).
 
     Equals DuckDB ``('0x' || substr(md5(s), 1, 8))::BIGINT``.
     """
-    text = F.concat_ws(":", F.lit(str(salt)), *[_col(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return digest_key(hash_digest(salt, *parts), 0)
 
 
 def hash_bucket(key: Column, bits: int) -> Column:
@@ -29,7 +41,7 @@ def hash_bucket(key: Column, bits: int) -> Column:
     return F.shiftright(key, KEY_BITS - bits)
 
 
-def sql_hash_key(salt, *parts: str) -> str:
-    """The DuckDB text of :func:`hash_key` (for oracle queries)."""
+def sql_hash_key(salt, *parts: str, segment: int = 0) -> str:
+    """The DuckDB text of :func:`hash_key` / :func:`digest_key` (for oracle queries)."""
     inner = " || ':' || ".join([f"'{salt}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
-    return f"('0x' || substr(md5({inner}), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5({inner}), {8 * segment + 1}, 8))::BIGINT"

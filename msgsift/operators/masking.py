@@ -1,9 +1,9 @@
 """Masked-LM examples, drawn anew per epoch.
 
-Of the known-token positions, ``md5(seed:epoch:id:pos:sel) % 100 < 15`` are
-selected; of those, a second key gives 80 % mask id, 10 % a random
-vocabulary id, 10 % unchanged; a third key picks the random id directly
-(ids are dense from 4, so no lookup join). The target is the original id
+One md5 of ``seed:epoch:id:pos`` per position gives three 32-bit draws: of
+the known-token positions, draw 1 ``% 100 < 15`` selects; of those, draw 2
+gives 80 % mask id, 10 % a random vocabulary id, 10 % unchanged; draw 3
+picks the random id directly (ids are dense from 4, so no lookup join). The target is the original id
 on selected positions and null elsewhere.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FIRST_TOKEN_ID, MASK_RATE, MASK_SPLIT, SEED
-from ..functions.keys import hash_key
+from ..functions.keys import digest_key, hash_digest
 from .batching import with_epochs
 
 
@@ -31,12 +31,13 @@ def mask_positions(ids: DataFrame, vocab_size: int, key_cols: list[str], seed: i
     """
     parts = ([F.col(epoch_col)] if epoch_col else []) + [F.col(c) for c in key_cols]
     pct = int(round(rate * 100))
+    digest = F.col("_md5")
     # markers and unknown tokens are never selected
-    sel = (F.col("token_id") >= FIRST_TOKEN_ID) & ((hash_key(seed, *parts, F.lit("sel")) % 100) < pct)
-    how = hash_key(seed, *parts, F.lit("how")) % 100
-    rnd = (hash_key(seed, *parts, F.lit("rnd")) % vocab_size + FIRST_TOKEN_ID).cast("int")
+    sel = (F.col("token_id") >= FIRST_TOKEN_ID) & ((digest_key(digest, 0) % 100) < pct)
+    how = digest_key(digest, 1) % 100
+    rnd = (digest_key(digest, 2) % vocab_size + FIRST_TOKEN_ID).cast("int")
     masked, randomised = MASK_SPLIT[0], MASK_SPLIT[0] + MASK_SPLIT[1]
-    out = (ids.withColumn("_sel", sel).withColumn("_how", how)
+    out = (ids.withColumn("_md5", hash_digest(seed, *parts)).withColumn("_sel", sel).withColumn("_how", how)
            .withColumn("input_id",
                        F.when(~F.col("_sel"), F.col("token_id"))
                        .when(F.col("_how") < masked, F.lit(mask_id(vocab_size)))
@@ -47,7 +48,7 @@ def mask_positions(ids: DataFrame, vocab_size: int, key_cols: list[str], seed: i
                        .when(F.col("_how") < masked, F.lit("mask"))
                        .when(F.col("_how") < randomised, F.lit("random"))
                        .otherwise(F.lit("same"))))
-    return out.drop("_sel", "_how")
+    return out.drop("_md5", "_sel", "_how")
 
 
 def mask_epochs(ids: DataFrame, vocab_size: int, key_cols: list[str], epochs: int, seed: int = 1,

@@ -35,7 +35,12 @@ def build_vocab(tokens: DataFrame, id_col: str = "doc_id", min_df: int = 2,
     the model; ``orderBy().limit()`` plans as a distributed top-k.
     """
     pairs = tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("_tf"))
-    stats = pairs.groupBy("token").agg(F.sum("_tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+    return vocab_from_pairs(pairs, "_tf", min_df, max_vocab)
+
+
+def vocab_from_pairs(pairs: DataFrame, tf_col: str = "tf", min_df: int = 2, max_vocab: int = 2000) -> DataFrame:
+    """T3 from per-(text, token) counts: one row per pair, so ``df = count``."""
+    stats = pairs.groupBy("token").agg(F.sum(tf_col).alias("tf"), F.count(F.lit(1)).alias("df"))
     top = stats.where(F.col("df") >= min_df).orderBy(F.desc("tf"), F.asc("token")).limit(max_vocab)
     w = Window.orderBy(F.desc("tf"), F.asc("token"))   # <= max_vocab rows
     return top.withColumn("token_id", (F.row_number().over(w) - 1 + FIRST_TOKEN_ID).cast("int"))\

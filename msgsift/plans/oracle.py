@@ -219,11 +219,9 @@ vs AS (SELECT count(*) AS v FROM cvocab)"""
 
 
 def _mask_select(prefix: str) -> str:
-    """Columns sel/how/rnd for the position rows of ``cids`` with key prefix parts."""
+    """Columns sel/how/rnd for the position rows of ``cids``: three segments of one md5."""
     parts = prefix + ["doc_id", "line_no", "pos"]
-    sel = hk(1, *parts, "'sel'").replace("CAST('sel' AS VARCHAR)", "'sel'")
-    how = hk(1, *parts, "'how'").replace("CAST('how' AS VARCHAR)", "'how'")
-    rnd = hk(1, *parts, "'rnd'").replace("CAST('rnd' AS VARCHAR)", "'rnd'")
+    sel, how, rnd = (hk(1, *parts, segment=k) for k in range(3))
     return (f"(token_id >= 4 AND {sel} % 100 < 15) AS sel, {how} % 100 AS how, "
             f"{rnd} % (SELECT v FROM vs) + 4 AS rnd")
 

@@ -294,8 +294,8 @@ def q_report(spark, sf):
     return _r6(met.report(j), ["precision", "recall", "f1"])
 
 
-def _losses(spark, sf):
-    model, train, test = _nb(spark, sf)
+def _losses(spark, sf, trained=None):
+    model, train, test = trained or _nb(spark, sf)
     out = []
     for name, part, batches in (
             ("validation", test, lambda d: ordered_batches(d, "doc_id", VAL_BATCH)),
@@ -322,13 +322,13 @@ def q_every10_accuracy(spark, sf):
 
 def q_run_summary(spark, sf):
     """One ``(metric, value)`` row per figure of the run."""
-    *_, j = _test_predictions(spark, sf)
+    model, train, test, j = _test_predictions(spark, sf)
     names = ["accuracy", "precision", "recall", "f1"]
     whole = met.weighted_prf(j)
     bm = met.batch_mean(_val_batches(j))
     rows = [whole.select(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names]
     rows += [bm.select(F.lit(f"batch_{n}").alias("metric"), F.col(n).alias("value")) for n in names]
-    loss = _losses(spark, sf)
+    loss = _losses(spark, sf, (model, train, test))
     rows.append(loss.select(F.concat(F.col("part"), F.lit("_loss")).alias("metric"), F.col("mean_loss").alias("value")))
     out = rows[0]
     for r in rows[1:]:

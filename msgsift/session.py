@@ -65,4 +65,4 @@ def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.mode("overwrite").format(fmt).save(path)
-    return spark.read.format(fmt).load(path)
+    return spark.read.schema(df.schema).format(fmt).load(path)   # known schema: no footer scan
