@@ -36,7 +36,8 @@ LABEL_MAP_SCHEMA = "intent STRING, corresponding_label INT"
 SPLIT_SCHEMA = "doc_id BIGINT, text STRING, label INT"
 
 # Token pattern: maximal runs of letters or digits, lower-cased first.
-TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+TOKEN_SPLIT = r"[^\p{L}\p{N}]+"   # separators (Spark ML RegexTokenizer, gaps=True)
+TOKEN_RUN = r"[\p{L}\p{N}]+"      # tokens (regexp_extract_all)
 
 
 @dataclass(frozen=True)
