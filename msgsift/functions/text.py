@@ -28,8 +28,11 @@ def na_to_null(c) -> Column:
 
 
 def is_blank(c) -> Column:
-    """True when the string is empty or whitespace only (as str.isspace)."""
-    return F.length(F.regexp_replace(_c(c), PY_WHITESPACE, "")) == 0
+    """True when the string is empty or whitespace only (as str.isspace).
+
+    A whole-string match that fails at the first non-space character.
+    """
+    return _c(c).rlike(r"\A" + PY_WHITESPACE + r"*\z")
 
 
 def token_array(text) -> Column:

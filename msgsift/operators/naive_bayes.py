@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import argmax, softmax
 from ..session import materialize
-from .tokens import tokenize, vocab_from_pairs
+from .tokens import tokenize, vocab_from_texts
 
 BROADCAST_BYTES = 256 << 20
 
@@ -87,23 +87,16 @@ def train_nb(train: DataFrame, vocab: DataFrame | None = None, id_col: str = "do
              smoothing: float = 1.0, min_df: int = 2, max_vocab: int = 2000,
              background: DataFrame | None = None, mu: float = 1000.0) -> NBModel:
     """M1 (and M3 when ``background`` texts are given)."""
-    # bag of words of the training texts: one row per (text, token), written once
-    bag = materialize(tokenize(train, id_col, text_col, extra=[label_col])
-                      .groupBy(id_col, label_col, "token").agg(F.count(F.lit(1)).alias("tf")), "nb-bag")
-    bg_bag = None
-    if background is not None:
-        bg_bag = materialize(tokenize(background, id_col, text_col)
-                             .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")), "nb-bg-bag")
     if vocab is None:
-        pairs = bag.select(id_col, "token", "tf")
-        if bg_bag is not None:
-            pairs = pairs.unionByName(bg_bag)
-        vocab = vocab_from_pairs(pairs, "tf", min_df, max_vocab)
+        src = train.select(text_col)
+        if background is not None:
+            src = src.unionByName(background.select(text_col))
+        vocab = vocab_from_texts(src, text_col, min_df, max_vocab)
     # model tables are small (<= max_vocab x classes rows): write them once
     vocab = materialize(vocab, "nb-vocab")
     lut = F.broadcast(vocab.select("token"))          # <= max_vocab rows
-    counts = materialize(bag.join(lut, "token").groupBy("token", label_col)
-                         .agg(F.sum("tf").alias("n_tc")), "nb-counts")
+    counts = materialize(tokenize(train, id_col, text_col, extra=[label_col]).join(lut, "token")
+                         .groupBy("token", label_col).agg(F.count(F.lit(1)).alias("n_tc")), "nb-counts")
     labels, intents, prior, ntok = _class_arrays(train, counts, label_col, intent_col)
     v = vocab.count()
     per_token = counts.groupBy("token").agg(
@@ -115,8 +108,8 @@ def train_nb(train: DataFrame, vocab: DataFrame | None = None, id_col: str = "do
         weights = materialize(base.select("token", w.alias("w")), "nb-weights")
         kind, params = "add_one", {"smoothing": smoothing}
     else:
-        bg = materialize(bg_bag.join(lut, "token").groupBy("token").agg(F.sum("tf").alias("c_bg")),
-                         "nb-background")
+        bg = materialize(tokenize(background, id_col, text_col).join(lut, "token")
+                         .groupBy("token").agg(F.count(F.lit(1)).alias("c_bg")), "nb-background")
         n_bg = bg.agg(F.sum("c_bg")).first()[0] or 0
         p_bg = (F.coalesce(F.col("c_bg"), F.lit(0)) + 1.0) / F.lit(float(n_bg + v))
         denom = [math.log(n + mu) for n in ntok]

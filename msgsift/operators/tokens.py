@@ -41,12 +41,33 @@ def build_vocab(tokens: DataFrame, id_col: str = "doc_id", min_df: int = 2,
 def vocab_from_pairs(pairs: DataFrame, tf_col: str = "tf", min_df: int = 2, max_vocab: int = 2000) -> DataFrame:
     """T3 from per-(text, token) counts: one row per pair, so ``df = count``."""
     stats = pairs.groupBy("token").agg(F.sum(tf_col).alias("tf"), F.count(F.lit(1)).alias("df"))
+    return _top(stats, min_df, max_vocab)
+
+
+def _top(stats: DataFrame, min_df: int, max_vocab: int) -> DataFrame:
     top = stats.where(F.col("df") >= min_df).orderBy(F.desc("tf"), F.asc("token")).limit(max_vocab)
     w = Window.orderBy(F.desc("tf"), F.asc("token"))   # <= max_vocab rows
     return top.withColumn("token_id", (F.row_number().over(w) - 1 + FIRST_TOKEN_ID).cast("int"))\
         .select("token", "token_id", "df", "tf")
 
 
+def vocab_from_texts(df: DataFrame, text_col: str = "text", min_df: int = 2,
+                     max_vocab: int = 2000) -> DataFrame:
+    """T3 straight from texts with ONE aggregation on ``token``.
+
+    Each text contributes one row per token occurrence (tf) and one per
+    distinct token (``array_distinct``, df); both sum per token with partial
+    aggregation, so the shuffle carries per-partition partial counts only,
+    instead of every distinct (text, token) pair.
+    """
+    arr = df.select(token_array(text_col).alias("_t"))
+    occ = arr.select(F.explode("_t").alias("token"), F.lit(1).alias("_o"), F.lit(0).alias("_d"))
+    dist = arr.select(F.explode(F.array_distinct("_t")).alias("token"), F.lit(0).alias("_o"), F.lit(1).alias("_d"))
+    stats = occ.unionByName(dist).groupBy("token").agg(F.sum("_o").cast("bigint").alias("tf"),
+                                                        F.sum("_d").cast("bigint").alias("df"))
+    return _top(stats, min_df, max_vocab)
+
+
 def token_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Token -> id through the vocabulary (broadcast: at most ``max_vocab`` rows);
     unknown tokens get id 3."""

@@ -21,7 +21,7 @@ from ..operators.labels import (class_stats, decode, encode, label_map, label_ta
 from ..operators.masking import mask_epochs, mask_positions
 from ..operators.naive_bayes import long_form, predict, score, train_nb
 from ..operators.split import random_split, stratified_split
-from ..operators.tokens import build_vocab, encode as encode_texts, token_ids, tokenize
+from ..operators.tokens import encode as encode_texts, token_ids, tokenize, vocab_from_texts
 from ..session import materialize
 from ..sources.files import split_lines
 from ..sources.tables import annotated, documents, labelled, messages, unlabelled
@@ -146,23 +146,24 @@ def q_tokens(spark, sf):
 
 
 def q_vocab_topk(spark, sf):
-    docs = documents(spark, sf)
-    v = build_vocab(tokenize(docs, "doc_id", "text"), "doc_id", MIN_DF, MAX_VOCAB)
+    v = vocab_from_texts(documents(spark, sf), "text", MIN_DF, MAX_VOCAB)
     return v.select("token", F.col("token_id").cast("bigint"), "df", "tf")
 
 
 def q_encoded_padded(spark, sf):
     train, test = _parts(spark, sf)
-    vocab = build_vocab(tokenize(train, "doc_id", "text"), "doc_id", MIN_DF, MAX_VOCAB)
+    vocab = vocab_from_texts(train, "text", MIN_DF, MAX_VOCAB)
     enc = encode_texts(test, vocab, "doc_id", "text")
     return enc.select("doc_id", "chunk", F.array_join("input_ids", " ").alias("input_ids"),
                       F.array_join("attention_mask", " ").alias("attention_mask"), "n_tokens")
 
 
 def _corpus_ids(spark, sf):
-    lines = split_lines(unlabelled(spark, sf), "text", ["doc_id"], ALL_LINE_BREAKS)
+    corpus = unlabelled(spark, sf)
+    lines = split_lines(corpus, "text", ["doc_id"], ALL_LINE_BREAKS)
     toks = tokenize(lines, "doc_id", "line", extra=["line_no"])
-    vocab = build_vocab(toks, "doc_id", MIN_DF, MAX_VOCAB)
+    # document frequency per corpus document (tokens never span a line break)
+    vocab = materialize(vocab_from_texts(corpus, "text", MIN_DF, MAX_VOCAB), "corpus-vocab")
     v = vocab.count()
     return token_ids(toks, vocab), v
 

@@ -26,8 +26,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     Partitioning by the text key also lets later ``groupBy(key)`` steps reuse
     it instead of shuffling again.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as read
         return df
     return df.repartition(cores * 2, key)
 
