@@ -55,16 +55,21 @@ def vocab_from_texts(df: DataFrame, text_col: str = "text", min_df: int = 2,
                      max_vocab: int = 2000) -> DataFrame:
     """T3 straight from texts with ONE aggregation on ``token``.
 
-    Each text contributes one row per token occurrence (tf) and one per
-    distinct token (``array_distinct``, df); both sum per token with partial
-    aggregation, so the shuffle carries per-partition partial counts only,
-    instead of every distinct (text, token) pair.
+    Each text is tokenised once and contributes one row per token occurrence
+    (tf) and one per distinct token (``array_distinct``, df), tagged in one
+    generator; both sum per token with partial aggregation, so the shuffle
+    carries per-partition partial counts only, instead of every distinct
+    (text, token) pair.
     """
     arr = df.select(token_array(text_col).alias("_t"))
-    occ = arr.select(F.explode("_t").alias("token"), F.lit(1).alias("_o"), F.lit(0).alias("_d"))
-    dist = arr.select(F.explode(F.array_distinct("_t")).alias("token"), F.lit(0).alias("_o"), F.lit(1).alias("_d"))
-    stats = occ.unionByName(dist).groupBy("token").agg(F.sum("_o").cast("bigint").alias("tf"),
-                                                        F.sum("_d").cast("bigint").alias("df"))
+
+    def tag(tokens, occ: int):
+        return F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(occ).alias("_o"),
+                                                      F.lit(1 - occ).alias("_d")))
+
+    rows = arr.select(F.inline(F.concat(tag(F.col("_t"), 1), tag(F.array_distinct("_t"), 0))))
+    stats = rows.groupBy("token").agg(F.sum("_o").cast("bigint").alias("tf"),
+                                      F.sum("_d").cast("bigint").alias("df"))
     return _top(stats, min_df, max_vocab)
 
 

@@ -57,9 +57,10 @@ def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(msg_id, conv_id, turn, role, text)`` new messages to answer."""
     conv = table(spark, sf_dir, "conversations")
-    out = spread(conv, "conv_id").select((F.col("conv_id") * TURN_RADIX + F.col("turn")).alias("msg_id"),
+    out = conv.select((F.col("conv_id") * TURN_RADIX + F.col("turn")).alias("msg_id"),
                       "conv_id", "turn", "role", "text")
-    return out
+    # spread by the unique message key: one long conversation stays in many tasks
+    return spread(out, "msg_id")
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
