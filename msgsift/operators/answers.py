@@ -24,3 +24,13 @@ def answer_json(answers: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def answer_long(answers: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Long form ``(id, intent, p)`` of an answer map (for comparisons)."""
     return answers.select(id_col, F.explode("answer").alias("intent", "p"))
+
+
+def parse_json(answers: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
+    """Long form ``(id, intent, p)`` read back from JSON answers (inverse of :func:`answer_json`).
+
+    JSON numbers are written in their shortest round-trip form, so the
+    parsed doubles equal the rounded probabilities that were written.
+    """
+    parsed = F.from_json(F.col(json_col), "array<map<string,double>>")
+    return answers.select(id_col, F.explode(F.element_at(parsed, 1)).alias("intent", "p"))

@@ -335,6 +335,16 @@ WHERE intent NOT IN (SELECT pred_intent FROM top1)""")
         LAB, LABTAB, SPLIT, msg,
         nb_ctes(False, "mtok", "msg_id", "SELECT conv_id * 1000000 + turn AS msg_id FROM conversations")
     ) + "SELECT msg_id, intent, round(p, 6) AS p FROM proba"
+    q["stream_score"] = q["answer_map"]
+    # M8: NB scores of each encoded chunk (248 content tokens), key doc_id * 1e6 + chunk
+    chunk_tok = f"""ctok AS (
+  SELECT doc_id * 1000000 + (pos // 248) AS ck, token FROM (
+    SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token
+    FROM (SELECT doc_id, {toks('text')} AS t FROM tst)))"""
+    chunk_keys = (f"SELECT DISTINCT ck FROM ctok UNION "
+                  f"SELECT doc_id * 1000000 FROM tst WHERE len({toks('text')}) = 0")
+    q["plug_score"] = _with(LAB, LABTAB, SPLIT, chunk_tok, nb_ctes(False, "ctok", "ck", chunk_keys)) + """
+SELECT CAST(ck // 1000000 AS BIGINT) AS doc_id, CAST(ck % 1000000 AS BIGINT) AS chunk, pred_intent FROM top1"""
     q["accuracy"] = nb_sql("""
 SELECT round(avg(CASE WHEN y = yhat THEN 1.0 ELSE 0.0 END), 6) AS accuracy, CAST(count(*) AS BIGINT) AS n FROM pj""",
                            extra=(METRIC_BASE,))

@@ -402,14 +402,19 @@ def q_plug_score(spark, sf):
 
 
 def q_stream_score(spark, sf):
-    """ST1: the conversations file answered by a Structured Streaming query."""
+    """ST1: the conversations file answered by a Structured Streaming query.
+
+    Returns ``(msg_id, intent, p)`` parsed from the JSON the stream wrote, so
+    it is checked against the same SQL as the batch answers (``answer_map``).
+    """
     from ..session import shared_path
     from ..streaming.score_stream import message_stream, read_answers, start_answering
     model, _, _ = _nb(spark, sf)
     out, ckpt = shared_path(spark, "answers"), shared_path(spark, "answers-ckpt")
     q = start_answering(model, message_stream(spark, sf, glob="conversations.parquet"), out, ckpt)
     q.awaitTermination()
-    return read_answers(spark, out).select("msg_id", "json")
+    # the streamed JSON answers, read back in long form
+    return ans.parse_json(read_answers(spark, out), "msg_id").select("msg_id", "intent", "p")
 
 
 def q_csv_roundtrip(spark, sf):
