@@ -6,18 +6,27 @@ for the classes with the largest remainder ``(n_c * n_train) mod n`` (ties by
 intent). Membership is decided by a per-row md5 key salted with the seed, so
 it depends neither on partitioning nor on input order. ``sampleBy`` and
 ``randomSplit`` are approximate and partition-dependent, so they are not used.
+
+A row is in training when its ``(key, id)`` is at most the class's *cut*:
+the ``(key, id)`` of the quota-th row in key order. The cut is found without
+moving the rows: a histogram of ``(class, key bucket)`` counts (partially
+aggregated, at most ``classes x 2^bits`` rows) names the one bucket per class
+that holds the cut, and only that bucket's ``(key, id)`` pairs are ranked.
+Every row is then classified by a broadcast compare with its class's cut
+(one row per class), so the texts are never shuffled.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HELD_OUT_SHARE, SEED
 from ..functions.keys import hash_key
-from .ranking import DEFAULT_BITS, hash_rank
+from ..functions.keys import hash_bucket
+from .ranking import DEFAULT_BITS
 
 
 def class_quotas(class_counts: DataFrame, label_col: str, test_share: float = HELD_OUT_SHARE) -> DataFrame:
@@ -37,6 +46,37 @@ def class_quotas(class_counts: DataFrame, label_col: str, test_share: float = HE
                     .cast("bigint").alias("n_train_c"))
 
 
+def cut_keys(keyed: DataFrame, quota, group: list[str], id_col: str, key_col: str = "_k",
+             bits: int = DEFAULT_BITS) -> DataFrame:
+    """``(*group, _ck, _cid)``: the ``(key, id)`` of the ``quota``-th row of each group
+    in ``(key, id)`` order. ``quota`` is a DataFrame ``(*group, _q)`` (one row per
+    group) or, with no group, an int. Groups with quota 0 get no row.
+    """
+    g = list(group)
+    b = keyed.select(*g, hash_bucket(F.col(key_col), bits).alias("_b"))
+    hist = b.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_n"))    # <= groups x 2^bits rows
+    w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_b")
+    cum = hist.withColumn("_after", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if g:
+        cum = cum.join(F.broadcast(quota), g)                       # one row per group
+    else:
+        cum = cum.withColumn("_q", F.lit(int(quota)).cast("bigint"))
+    before = F.col("_after") - F.col("_n")
+    cut = (cum.where((before < F.col("_q")) & (F.col("_q") <= F.col("_after")))
+           .select(*g, "_b", (F.col("_q") - before).alias("_need")))  # one row per group
+    rows = (keyed.select(*g, key_col, id_col).withColumn("_b", hash_bucket(F.col(key_col), bits))
+            .join(F.broadcast(cut), g + ["_b"]))                    # rows of the cut buckets only
+    wr = Window.partitionBy(*g, "_b").orderBy(key_col, id_col)
+    return (rows.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") == F.col("_need"))
+            .select(*g, F.col(key_col).alias("_ck"), F.col(id_col).alias("_cid")))
+
+
+def _below_cut(key_col: str, id_col: str) -> Column:
+    """``(key, id) <= (cut key, cut id)``; false when the group has no cut (quota 0)."""
+    k, i = F.col(key_col), F.col(id_col)
+    return F.coalesce((k < F.col("_ck")) | ((k == F.col("_ck")) & (i <= F.col("_cid"))), F.lit(False))
+
+
 def stratified_split(df: DataFrame, label_col: str = "intent", id_col: str = "doc_id",
                      test_share: float = HELD_OUT_SHARE, seed: int = SEED,
                      on_singleton: str = "error", bits: int = DEFAULT_BITS,
@@ -54,7 +94,6 @@ def stratified_split(df: DataFrame, label_col: str = "intent", id_col: str = "do
         class_counts = [tuple(r) for r in df.groupBy(label_col).agg(F.count(F.lit(1))).collect()]
     counts = df.sparkSession.createDataFrame([(k, int(n)) for k, n in class_counts],
                                              f"`{label_col}` STRING, n_c BIGINT")
-    n_classes = len(class_counts)
     n_single = sum(1 for _, n in class_counts if n == 1)
     if n_single and on_singleton == "error":
         raise ValueError(f"{n_single} class(es) have a single row; a stratified split needs at least 2 "
@@ -63,14 +102,13 @@ def stratified_split(df: DataFrame, label_col: str = "intent", id_col: str = "do
         raise ValueError(f"on_singleton must be 'error' or 'train', not {on_singleton!r}")
     multi = class_quotas(counts.where(F.col("n_c") > 1), label_col, test_share)
     single = counts.where(F.col("n_c") == 1).select(label_col, "n_c", F.col("n_c").alias("n_train_c"))
-    quotas = F.broadcast(multi.unionByName(single).drop("n_c"))   # one row per class: bounded
+    quotas = multi.unionByName(single).select(label_col, F.col("n_train_c").alias("_q"))
 
     keyed = df.withColumn("_k", hash_key(seed, F.col(id_col)))
-    ranked = hash_rank(keyed, "_k", id_col, [label_col], "_rank", bits, n_classes)
-    out = ranked.join(quotas, label_col)
-    return (out.withColumn(part_col, F.when(F.col("_rank") <= F.col("n_train_c"), F.lit("train"))
-                           .otherwise(F.lit("test")))
-            .drop("_k", "_rank", "n_train_c"))
+    cuts = cut_keys(keyed, quotas, [label_col], id_col, "_k", bits)
+    out = keyed.join(F.broadcast(cuts), label_col, "left")          # one row per class: bounded
+    return (out.withColumn(part_col, F.when(_below_cut("_k", id_col), F.lit("train")).otherwise(F.lit("test")))
+            .drop("_k", "_ck", "_cid"))
 
 
 def random_split(df: DataFrame, id_col: str = "doc_id", test_share: float = HELD_OUT_SHARE,
@@ -80,7 +118,10 @@ def random_split(df: DataFrame, id_col: str = "doc_id", test_share: float = HELD
     n_test = math.ceil(float(test_share) * float(n))
     n_train = n - n_test
     keyed = df.withColumn("_k", hash_key(seed, F.col(id_col)))
-    ranked = hash_rank(keyed, "_k", id_col, None, "_rank", bits)
-    return (ranked.withColumn(part_col, F.when(F.col("_rank") <= F.lit(n_train), F.lit("train"))
-                              .otherwise(F.lit("test")))
-            .drop("_k", "_rank"))
+    row = cut_keys(keyed, n_train, [], id_col, "_k", bits).first() if n_train > 0 else None  # one row
+    if row is None:
+        train = F.lit(False)
+    else:
+        k, i = F.col("_k"), F.col(id_col)
+        train = (k < F.lit(row["_ck"])) | ((k == F.lit(row["_ck"])) & (i <= F.lit(row["_cid"])))
+    return keyed.withColumn(part_col, F.when(train, F.lit("train")).otherwise(F.lit("test"))).drop("_k")

@@ -81,3 +81,31 @@ def test_split_is_exact_partition(spark, sizes):
         tr = sum(1 for r in s if r["intent"] == c and r["part"] == "train")
         exact = k * (n - n_test) / n
         assert math.floor(exact) <= tr <= math.floor(exact) + 1
+
+
+def test_split_membership_equals_brute_force_rank(spark):
+    """Train = the first quota rows of each class in (md5 key, id) order (brute force in Python)."""
+    import hashlib
+    import math
+    counts = {"a": 300, "b": 41, "c": 7, "d": 2}
+    rows = _rows(counts)
+    got = {r["doc_id"]: r["part"] for r in stratified_split(_df(spark, rows), bits=3).collect()}
+    got16 = {r["doc_id"]: r["part"] for r in stratified_split(_df(spark, rows)).collect()}
+
+    def key(i):
+        return int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:8], 16)
+
+    n = sum(counts.values())
+    n_train = n - math.ceil(0.2 * n)
+    base = {c: k * n_train // n for c, k in counts.items()}
+    rem = sorted(counts, key=lambda c: (-(counts[c] * n_train % n), c))
+    quota = {c: base[c] + (1 if c in rem[:n_train - sum(base.values())] else 0) for c in counts}
+    want = {}
+    for c in counts:
+        ids = sorted((key(i), i) for i, _, cc in rows if cc == c)
+        for r, (_, i) in enumerate(ids):
+            want[i] = "train" if r < quota[c] else "test"
+    assert got == want == got16
+    rnd = {r["doc_id"]: r["part"] for r in random_split(_df(spark, rows), seed=0).collect()}
+    order = sorted((int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:8], 16), i) for i, _, _ in rows)
+    assert rnd == {i: ("train" if r < n_train else "test") for r, (_, i) in enumerate(order)}
