@@ -81,3 +81,16 @@ def test_mask_rates_and_determinism(spark):
     assert m.exceptAll(m2).count() == 0
     r = m.where("action = 'random'").agg(F.min("input_id"), F.max("input_id")).first()
     assert r[0] >= 4 and r[1] < 54
+
+
+def test_ordered_rank_with_clustered_ids_and_outliers(spark):
+    from msgsift.operators.ranking import ordered_rank
+    ids = list(range(1000)) + [10**12, 10**15, 2**62] + list(range(5000, 5050))
+    df = spark.createDataFrame([(i,) for i in ids[::-1]], "doc_id BIGINT").repartition(5)
+    got = {r["doc_id"]: r["rank"] for r in ordered_rank(df, "doc_id", bits=6).collect()}
+    assert got == {i: r + 1 for r, i in enumerate(sorted(ids))}
+    # equal-width ranges would put all but three rows in one bucket; quantile ranges spread them
+    from msgsift.operators.ranking import quantile_ranges
+    ranged, n_ranges = quantile_ranges(df, "doc_id", bits=6)
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert n_ranges > 32 and max(sizes) <= 3 * len(ids) / 64
