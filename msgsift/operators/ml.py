@@ -33,3 +33,15 @@ def predict_lr(model: PipelineModel, df: DataFrame, id_col: str = "doc_id") -> D
     p = vector_to_array("probability")
     return out.select(id_col, F.col("prediction").cast("int").alias("pred_label"),
                       F.array_max(p).alias("p_top"))
+
+
+def save_lr(model: PipelineModel, path: str, version: int | None = None) -> str:
+    """K5 for the ML pipeline: ``PipelineModel`` folder, one per version."""
+    root = f"{path.rstrip('/')}/version={version}" if version is not None else path
+    model.write().overwrite().save(root)
+    return root
+
+
+def load_lr(root: str) -> PipelineModel:
+    """S5 for the ML pipeline."""
+    return PipelineModel.load(root)

@@ -38,10 +38,43 @@ def write_answers(answers_json: DataFrame, path: str) -> None:
     answers_json.write.mode("overwrite").json(path)
 
 
-def save_model(model: NBModel, path: str, version: int | None = None) -> str:
+def _fs(spark: SparkSession, path: str):
+    """Hadoop FileSystem of ``path`` (HDFS, object stores, local) and the JVM Path class."""
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def list_versions(spark: SparkSession, path: str) -> list[int]:
+    """Model versions saved under ``path`` (``version=<k>`` folders), ascending."""
+    fs, jpath = _fs(spark, path)
+    if not fs.exists(jpath):
+        return []
+    out = []
+    for st in fs.listStatus(jpath):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("version=") and name[8:].lstrip("-").isdigit():
+            out.append(int(name[8:]))
+    return sorted(out)
+
+
+def prune_versions(spark: SparkSession, path: str, keep_last: int) -> list[int]:
+    """Delete all but the ``keep_last`` newest versions; returns the deleted ones."""
+    versions = list_versions(spark, path)
+    old = versions[:-keep_last] if keep_last > 0 else versions
+    fs, _ = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    for v in old:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version={v}"), True)
+    return old
+
+
+def save_model(model: NBModel, path: str, version: int | None = None, keep_last: int | None = None) -> str:
     """K5: weights and counts as parquet, class arrays as a one-row JSON table.
 
-    ``version`` writes under ``<path>/version=<k>`` (one folder per epoch/run).
+    ``version`` writes under ``<path>/version=<k>`` (one folder per epoch/run);
+    ``keep_last`` then deletes all but the newest versions (the corpus trainer
+    keeps 2).
     """
     root = f"{path.rstrip('/')}/version={version}" if version is not None else path
     model.weights.write.mode("overwrite").parquet(f"{root}/weights")
@@ -53,11 +86,20 @@ def save_model(model: NBModel, path: str, version: int | None = None) -> str:
     spark = model.weights.sparkSession
     spark.createDataFrame([(json.dumps(meta),)], "meta STRING").coalesce(1)\
         .write.mode("overwrite").text(f"{root}/meta")
+    if version is not None and keep_last:
+        prune_versions(spark, path, keep_last)
     return root
 
 
-def load_model(spark: SparkSession, root: str) -> NBModel:
-    """The model written by :func:`save_model`."""
+def load_model(spark: SparkSession, root: str, version: int | str | None = None) -> NBModel:
+    """The model written by :func:`save_model`; ``version="latest"`` picks the newest."""
+    if version == "latest":
+        versions = list_versions(spark, root)
+        if not versions:
+            raise FileNotFoundError(f"no model version under {root}")
+        version = versions[-1]
+    if version is not None:
+        root = f"{root.rstrip('/')}/version={version}"
     meta = json.loads(spark.read.text(f"{root}/meta").first()[0])
     return NBModel(weights=spark.read.parquet(f"{root}/weights"),
                    counts=spark.read.parquet(f"{root}/counts"),

@@ -77,3 +77,24 @@ def test_some_queries_on_smallest_tables(spark):
     q = e.queries()
     for name in ("label_map", "split_stratified", "tokens", "nb_proba", "report", "mlm_epochs"):
         assert q[name](spark, SF_SMALL).count() > 0
+
+
+def test_versions_keep_last_and_latest(spark, tmp_dir):
+    from msgsift.sinks.files import list_versions
+    model = _model(spark)
+    for v in range(4):
+        save_model(model, f"{tmp_dir}/m", version=v, keep_last=2)
+    assert list_versions(spark, f"{tmp_dir}/m") == [2, 3]
+    back = load_model(spark, f"{tmp_dir}/m", version="latest")
+    assert back.intents == model.intents and back.vocab_size == model.vocab_size
+
+
+def test_lr_pipeline_save_and_load(spark, tmp_dir):
+    from msgsift.operators.ml import fit_lr, load_lr, predict_lr, save_lr
+    rows = [(i, ("good happy day " if i % 2 else "sad bad night ") + f"w{i}", i % 2) for i in range(20)]
+    train = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, label INT")
+    model = fit_lr(train, max_vocab=50, min_df=2, max_iter=20)
+    root = save_lr(model, f"{tmp_dir}/lr", version=1)
+    a = sorted(tuple(r) for r in predict_lr(model, train).collect())
+    b = sorted(tuple(r) for r in predict_lr(load_lr(root), train).collect())
+    assert a == b
