@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import argmax, softmax
 from ..session import materialize
-from .tokens import tokenize, vocab_from_texts
+from .tokens import token_stats, tokenize, vocab_from_stats
 
 BROADCAST_BYTES = 256 << 20
 
@@ -86,17 +86,25 @@ def train_nb(train: DataFrame, vocab: DataFrame | None = None, id_col: str = "do
              text_col: str = "text", label_col: str = "label", intent_col: str = "intent",
              smoothing: float = 1.0, min_df: int = 2, max_vocab: int = 2000,
              background: DataFrame | None = None, mu: float = 1000.0) -> NBModel:
-    """M1 (and M3 when ``background`` texts are given)."""
+    """M1 (and M3 when ``background`` texts are given).
+
+    One tokenising pass over the training (and background) texts gives
+    ``(token, label, tf, df)`` with a null label for background texts; it is
+    written once, and the vocabulary, the token-class counts and the
+    background counts are all read from it.
+    """
+    src = train.select(F.col(label_col).cast("int").alias(label_col), text_col)
+    if background is not None:
+        src = src.unionByName(background.select(F.lit(None).cast("int").alias(label_col), text_col))
+    stats = materialize(token_stats(src, text_col, [label_col]), "nb-token-stats")
     if vocab is None:
-        src = train.select(text_col)
-        if background is not None:
-            src = src.unionByName(background.select(text_col))
-        vocab = vocab_from_texts(src, text_col, min_df, max_vocab)
+        vocab = vocab_from_stats(stats, min_df, max_vocab)
     # model tables are small (<= max_vocab x classes rows): write them once
     vocab = materialize(vocab, "nb-vocab")
     lut = F.broadcast(vocab.select("token"))          # <= max_vocab rows
-    counts = materialize(tokenize(train, id_col, text_col, extra=[label_col]).join(lut, "token")
-                         .groupBy("token", label_col).agg(F.count(F.lit(1)).alias("n_tc")), "nb-counts")
+    known = stats.join(lut, "token")
+    counts = materialize(known.where(F.col(label_col).isNotNull())
+                         .select("token", label_col, F.col("tf").alias("n_tc")), "nb-counts")
     labels, intents, prior, ntok = _class_arrays(train, counts, label_col, intent_col)
     v = vocab.count()
     per_token = counts.groupBy("token").agg(
@@ -108,8 +116,7 @@ def train_nb(train: DataFrame, vocab: DataFrame | None = None, id_col: str = "do
         weights = materialize(base.select("token", w.alias("w")), "nb-weights")
         kind, params = "add_one", {"smoothing": smoothing}
     else:
-        bg = materialize(tokenize(background, id_col, text_col).join(lut, "token")
-                         .groupBy("token").agg(F.count(F.lit(1)).alias("c_bg")), "nb-background")
+        bg = known.where(F.col(label_col).isNull()).select("token", F.col("tf").alias("c_bg"))
         n_bg = bg.agg(F.sum("c_bg")).first()[0] or 0
         p_bg = (F.coalesce(F.col("c_bg"), F.lit(0)) + 1.0) / F.lit(float(n_bg + v))
         denom = [math.log(n + mu) for n in ntok]

@@ -61,16 +61,33 @@ def vocab_from_texts(df: DataFrame, text_col: str = "text", min_df: int = 2,
     carries per-partition partial counts only, instead of every distinct
     (text, token) pair.
     """
-    arr = df.select(token_array(text_col).alias("_t"))
+    return _top(token_stats(df, text_col), min_df, max_vocab)
+
+
+def token_stats(df: DataFrame, text_col: str = "text", by: list[str] | None = None) -> DataFrame:
+    """``(token, *by, tf, df)``: occurrences and texts containing the token, per ``by`` group.
+
+    Each text is tokenised once and contributes one row per occurrence (tf)
+    and one per distinct token (df), tagged in one generator; both sum with
+    partial aggregation, so the shuffle carries per-partition partial counts.
+    """
+    by = list(by or [])
+    arr = df.select(*by, token_array(text_col).alias("_t"))
 
     def tag(tokens, occ: int):
         return F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(occ).alias("_o"),
                                                       F.lit(1 - occ).alias("_d")))
 
-    rows = arr.select(F.inline(F.concat(tag(F.col("_t"), 1), tag(F.array_distinct("_t"), 0))))
-    stats = rows.groupBy("token").agg(F.sum("_o").cast("bigint").alias("tf"),
-                                      F.sum("_d").cast("bigint").alias("df"))
-    return _top(stats, min_df, max_vocab)
+    rows = arr.select(*by, F.inline(F.concat(tag(F.col("_t"), 1), tag(F.array_distinct("_t"), 0))))
+    return rows.groupBy("token", *by).agg(F.sum("_o").cast("bigint").alias("tf"),
+                                          F.sum("_d").cast("bigint").alias("df"))
+
+
+def vocab_from_stats(stats: DataFrame, min_df: int = 2, max_vocab: int = 2000) -> DataFrame:
+    """T3 from per-(token, group) stats: sums over the groups (a text is in one group)."""
+    per_token = stats.groupBy("token").agg(F.sum("tf").cast("bigint").alias("tf"),
+                                           F.sum("df").cast("bigint").alias("df"))
+    return _top(per_token, min_df, max_vocab)
 
 
 def token_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
