@@ -100,6 +100,13 @@ def stratified_split(df: DataFrame, label_col: str = "intent", id_col: str = "do
                          "(use on_singleton='train')")
     if on_singleton not in ("error", "train"):
         raise ValueError(f"on_singleton must be 'error' or 'train', not {on_singleton!r}")
+    # each side must hold at least one row per (stratified) class
+    strata = [int(n) for _, n in class_counts if n > 1]
+    n_all = sum(strata)
+    n_test = math.ceil(float(test_share) * float(n_all)) if n_all else 0
+    for side, size in (("train", n_all - n_test), ("test", n_test)):
+        if strata and size < len(strata):
+            raise ValueError(f"the {side} part would have {size} rows, fewer than the {len(strata)} classes")
     multi = class_quotas(counts.where(F.col("n_c") > 1), label_col, test_share)
     single = counts.where(F.col("n_c") == 1).select(label_col, "n_c", F.col("n_c").alias("n_train_c"))
     quotas = multi.unionByName(single).select(label_col, F.col("n_train_c").alias("_q"))

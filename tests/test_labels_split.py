@@ -109,3 +109,13 @@ def test_split_membership_equals_brute_force_rank(spark):
     rnd = {r["doc_id"]: r["part"] for r in random_split(_df(spark, rows), seed=0).collect()}
     order = sorted((int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:8], 16), i) for i, _, _ in rows)
     assert rnd == {i: ("train" if r < n_train else "test") for r, (_, i) in enumerate(order)}
+
+
+def test_split_side_smaller_than_class_count_fails(spark):
+    # 6 rows in 3 classes: ceil(0.2 * 6) = 2 test rows < 3 classes
+    df = _df(spark, _rows({"a": 2, "b": 2, "c": 2}))
+    with pytest.raises(ValueError, match="test part"):
+        stratified_split(df)
+    # 15 rows: 3 test rows, 12 train rows: fine
+    s = stratified_split(_df(spark, _rows({"a": 5, "b": 5, "c": 5})))
+    assert s.where("part = 'test'").count() == 3
