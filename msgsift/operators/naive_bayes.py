@@ -29,9 +29,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import argmax, softmax
+from ..config import LOG_FLOOR
+from ..functions.text import argmax, softmax, token_array
 from ..session import materialize
-from .tokens import token_stats, tokenize, vocab_from_stats
+from .tokens import token_stats, vocab_from_stats
 
 BROADCAST_BYTES = 256 << 20
 
@@ -130,32 +131,50 @@ def train_nb(train: DataFrame, vocab: DataFrame | None = None, id_col: str = "do
 
 
 def score(model: NBModel, df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """M4: ``(id, scores)`` with ``scores[k]`` the log joint of class ``labels[k]``."""
+          broadcast_bytes: int = BROADCAST_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """M4: ``(id, *keep, scores)`` with ``scores[k]`` the log joint of class ``labels[k]``.
+
+    ``keep`` columns (functions of the id, e.g. the true label) ride along the
+    per-text aggregation, so callers need no join back to the input.
+    """
     c = model.n_classes
-    toks = tokenize(df, id_col, text_col, keep_empty=True).select(id_col, "token")
+    cols = [id_col] + list(keep or [])
+    toks = df.select(*cols, F.explode_outer(token_array(text_col)).alias("token"))
     w = model.weights.select("token", "w")
     if model.vocab_size * max(c, 1) * 8 <= broadcast_bytes:
         w = F.broadcast(w)
     j = toks.join(w, "token", "left")
-    sums = j.groupBy(id_col).agg(*[F.sum(F.col("w")[k]).alias(f"_s{k}") for k in range(c)])
+    sums = j.groupBy(*cols).agg(*[F.sum(F.col("w")[k]).alias(f"_s{k}") for k in range(c)])
     prior = model.log_prior
     scores = F.array(*[F.lit(prior[k]) + F.coalesce(F.col(f"_s{k}"), F.lit(0.0)) for k in range(c)])
-    return sums.select(id_col, scores.alias("scores"))
+    return sums.select(*cols, scores.alias("scores"))
 
 
 def predict(model: NBModel, scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``(id, pred_label, pred_intent, p_top, proba)`` from score arrays."""
+    """``(id, *kept, scores, proba, pred_label, pred_intent, p_top)`` from score arrays."""
     lab = F.array(*[F.lit(x) for x in model.labels])
     ints = F.array(*[F.lit(x) for x in model.intents])
     idx = argmax("scores") + 1
-    with_p = scored.select(id_col, "scores", softmax("scores").alias("proba"), idx.alias("_i"))
-    return with_p.select(id_col, "scores", "proba",
+    kept = [c for c in scored.columns if c not in (id_col, "scores")]
+    with_p = scored.select(id_col, *kept, "scores", softmax("scores").alias("proba"), idx.alias("_i"))
+    return with_p.select(id_col, *kept, "scores", "proba",
                          F.element_at(lab, F.col("_i")).alias("pred_label"),
                          F.element_at(ints, F.col("_i")).alias("pred_intent"),
                          F.element_at("proba", F.col("_i")).cast("double").alias("p_top"))
 
 
+def truth_probability(model: NBModel, pred: DataFrame, id_col: str = "doc_id",
+                      label_col: str = "label") -> DataFrame:
+    """``(id, label, p_true)`` from predictions that kept the true label: the
+    probability of the true class, read in-row from the ``proba`` array. A true
+    class the model never saw has no entry and gets the floor ``LOG_FLOOR``."""
+    lab = F.array(*[F.lit(x) for x in model.labels])
+    k = F.array_position(lab, F.col(label_col)).cast("int")      # 0 when absent
+    p = F.when(k > 0, F.element_at("proba", F.greatest(k, F.lit(1))))
+    return pred.select(id_col, label_col,
+                       F.greatest(F.coalesce(p, F.lit(LOG_FLOOR)), F.lit(LOG_FLOOR)).alias("p_true"))
+
+
 def long_form(model: NBModel, scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """D8 long form ``(id, label, intent, score, p)``, one row per class."""
     with_p = scored.withColumn("proba", softmax("scores"))

@@ -19,7 +19,7 @@ from ..operators.answers import answer_json, answer_map
 from ..operators.batching import ordered_batches
 from ..operators.clean import drop_missing, normalize_na, select_feature, validate
 from ..operators.labels import encode, label_map, table_from_counts
-from ..operators.naive_bayes import NBModel, long_form, predict, score, train_nb
+from ..operators.naive_bayes import NBModel, predict, score, train_nb, truth_probability
 from ..operators.split import stratified_split
 from ..session import materialize
 from ..sinks.files import load_model, save_model, write_answers, write_label_map, write_predictions, write_split
@@ -61,13 +61,12 @@ def train(labelled: DataFrame, cfg: TriageConfig = TriageConfig(), out_dir: str
     tr, te = split.where("part = 'train'"), split.where("part = 'test'")
     model = train_nb(tr, min_df=cfg.min_df, max_vocab=cfg.max_vocab, smoothing=cfg.smoothing,
                      background=background, mu=cfg.background_mu)
-    pred = predict(model, score(model, te))
-    j = materialize(te.select("doc_id", F.col("intent").alias("y"), "label")
-                    .join(pred.select("doc_id", F.col("pred_intent").alias("yhat")), "doc_id"), "val-pred")
+    pred = materialize(predict(model, score(model, te, keep=["intent", "label"])), "val-pred")
+    j = pred.select("doc_id", F.col("intent").alias("y"), "label", F.col("pred_intent").alias("yhat"))
     whole = met.weighted_prf(j)
     batch = met.batch_mean(ordered_batches(j, "doc_id", 64)).select(
         *[F.col(c).alias(f"batch_{c}") for c in ("accuracy", "precision", "recall", "f1")])
-    pt = met.truth_probability(long_form(model, score(model, te)), te.select("doc_id", "label"))
+    pt = truth_probability(model, pred)
     loss = met.mean_loss(ordered_batches(pt, "doc_id", 64)).select(F.col("mean_loss").alias("val_loss"))
     metrics = (whole.withColumn("_k", F.lit(1)).join(batch.withColumn("_k", F.lit(1)), "_k")
                .join(loss.withColumn("_k", F.lit(1)), "_k").drop("_k")

@@ -19,7 +19,7 @@ from ..operators.clean import feature_table
 from ..operators.labels import (class_stats, decode, encode, label_map, label_table, table_from_counts,
                                width_check)
 from ..operators.masking import mask_epochs, mask_positions
-from ..operators.naive_bayes import long_form, predict, score, train_nb
+from ..operators.naive_bayes import long_form, predict, score, train_nb, truth_probability
 from ..operators.split import random_split, stratified_split
 from ..operators.tokens import encode as encode_texts, token_ids, tokenize, vocab_from_texts
 from ..session import materialize
@@ -71,10 +71,9 @@ def _nb(spark: SparkSession, sf: str, background: bool = False):
 
 def _test_predictions(spark: SparkSession, sf: str):
     model, train, test = _nb(spark, sf)
-    pred = predict(model, score(model, test))
-    truth = test.select("doc_id", F.col("intent").alias("y"), F.col("label").alias("label"))
-    joined = truth.join(pred.select("doc_id", F.col("pred_intent").alias("yhat"), "p_top"), "doc_id")
-    return model, train, test, materialize(joined, "test-predictions")
+    pred = predict(model, score(model, test, keep=["intent", "label"]))   # truth rides along: no join
+    out = pred.select("doc_id", F.col("intent").alias("y"), "label", F.col("pred_intent").alias("yhat"), "p_top")
+    return model, train, test, materialize(out, "test-predictions")
 
 
 # --- labels, cleaning, lines -------------------------------------------------
@@ -219,10 +218,9 @@ def q_nb_proba(spark, sf):
 
 
 def _predict_rows(model, test):
-    pred = predict(model, score(model, test))
-    return (test.select("doc_id", F.col("intent").alias("true_intent"))
-            .join(pred, "doc_id")
-            .select("doc_id", "true_intent", "pred_intent", F.round("p_top", 6).alias("p_top")))
+    pred = predict(model, score(model, test, keep=["intent"]))   # truth rides along: no join
+    return pred.select("doc_id", F.col("intent").alias("true_intent"), "pred_intent",
+                       F.round("p_top", 6).alias("p_top"))
 
 
 def q_nb_predict(spark, sf):
@@ -302,8 +300,7 @@ def _losses(spark, sf, trained=None):
             ("validation", test, lambda d: ordered_batches(d, "doc_id", VAL_BATCH)),
             ("train", train, lambda d: shuffled_batches(d.withColumn("epoch", F.lit(0)), "doc_id",
                                                         TRAIN_BATCH, SEED, "epoch"))):
-        lf = long_form(model, score(model, part))
-        pt = met.truth_probability(lf, part.select("doc_id", "label"))
+        pt = truth_probability(model, predict(model, score(model, part, keep=["label"])))
         out.append(met.mean_loss(batches(pt)).withColumn("part", F.lit(name)))
     return out[0].unionByName(out[1])
 
@@ -314,9 +311,8 @@ def q_mean_loss(spark, sf):
 
 def q_every10_accuracy(spark, sf):
     model, train, _ = _nb(spark, sf)
-    pred = predict(model, score(model, train))
-    j = (train.select("doc_id", F.col("intent").alias("y"))
-         .join(pred.select("doc_id", F.col("pred_intent").alias("yhat")), "doc_id"))
+    pred = predict(model, score(model, train, keep=["intent"]))
+    j = pred.select("doc_id", F.col("intent").alias("y"), F.col("pred_intent").alias("yhat"))
     b = shuffled_batches(j.withColumn("epoch", F.lit(0)), "doc_id", TRAIN_BATCH, SEED, "epoch")
     return _r6(met.every_n_accuracy(b), ["accuracy"]).select("batch_id", "accuracy", F.col("n").cast("bigint"))
 

@@ -93,3 +93,18 @@ def test_predictions_independent_of_partitioning(spark):
     b = sorted(tuple(r) for r in predict(model, score(model, df.orderBy(F.desc("doc_id")).repartition(7)))
                .select("doc_id", "pred_label").collect())
     assert a == b and len(a) == 60
+
+
+def test_in_row_truth_probability_equals_long_form_join(spark):
+    from msgsift.operators import metrics as met
+    from msgsift.operators.naive_bayes import truth_probability
+    model = train_nb(_train(spark), min_df=1, max_vocab=100)
+    # label 7 is a class the model never saw: floor, not dropped
+    test = spark.createDataFrame([(10, "good good sad", 0), (11, "bad night", 1), (12, "happy", 7)],
+                                 "doc_id BIGINT, text STRING, label INT")
+    a = {r["doc_id"]: r["p_true"] for r in truth_probability(
+        model, predict(model, score(model, test, keep=["label"]))).collect()}
+    b = {r["doc_id"]: r["p_true"] for r in met.truth_probability(
+        long_form(model, score(model, test)), test.select("doc_id", "label")).collect()}
+    assert a.keys() == b.keys() == {10, 11, 12}
+    assert all(abs(a[k] - b[k]) < 1e-15 for k in a) and a[12] == 1e-6
