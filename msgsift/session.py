@@ -33,8 +33,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster's ``spark.checkpoint.dir`` wins; a folder is only set here
-    when none is configured (local tests).
+    The cluster's ``spark.checkpoint.dir`` wins. A folder is only set here
+    when none is configured: the given ``fallback``, or, in local mode only
+    (tests), a fresh temporary folder. On a cluster with no setting this
+    fails rather than write stages to a machine-local folder.
     """
     conf = spark.sparkContext.getConf()
     current = conf.get("spark.checkpoint.dir", None) or spark.conf.get(
@@ -43,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         spark.sparkContext.setCheckpointDir(current)
         return current
     if fallback is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder shared by all executors")
         import tempfile
         fallback = tempfile.mkdtemp(prefix="msgsift-ckpt-")
     spark.conf.set("spark.checkpoint.dir", fallback)
