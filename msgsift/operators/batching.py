@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SEED, TRAIN_BATCH
 from ..functions.keys import hash_key
-from .ranking import DEFAULT_BITS, ORDERED_BITS, hash_rank, ordered_rank
+from .ranking import DEFAULT_BITS, hash_rank, ordered_rank
 
 
 def with_epochs(df: DataFrame, epochs: int, epoch_col: str = "epoch") -> DataFrame:
@@ -31,7 +31,7 @@ def shuffled_batches(df: DataFrame, id_col: str = "doc_id", size: int = TRAIN_BA
 
 
 def ordered_batches(df: DataFrame, id_col: str = "doc_id", size: int = 128,
-                    bits: int = ORDERED_BITS) -> DataFrame:
+                    bits: int | None = None) -> DataFrame:
     """B2: batches in key order (the project's ``shuffle=False`` loaders)."""
     return _cut(ordered_rank(df, id_col, None, "_rank", bits), size)
 

@@ -10,6 +10,8 @@ depend on partitioning or input order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ DEFAULT_BITS = 16  # 65,536 buckets per group: ~5e5 rows/bucket at 3e10 rows
 # Quantile ranges for id order: the cut points come back through the driver
 # (4,095 doubles); ~7e6 narrow rows per range at 3e10 rows.
 ORDERED_BITS = 12
+ROWS_PER_RANGE = 100_000   # target rows per id range (one window task)
 
 
 def _join_offsets(df: DataFrame, offsets: DataFrame, keys: list[str],
@@ -87,9 +90,22 @@ def quantile_ranges(df: DataFrame, id_col: str, bits: int = ORDERED_BITS, rel_er
 
 
 def ordered_rank(df: DataFrame, id_col: str, group: list[str] | None = None,
-                 rank_col: str = "rank", bits: int = ORDERED_BITS,
-                 broadcast_row_limit: int = 2_000_000, rel_error: float = 1e-4) -> DataFrame:
-    """Rank by a numeric id; buckets are the quantile ranges of :func:`quantile_ranges`."""
+                 rank_col: str = "rank", bits: int | None = None,
+                 broadcast_row_limit: int = 2_000_000, rel_error: float = 1e-4,
+                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Rank by a numeric id; buckets are the quantile ranges of :func:`quantile_ranges`.
+
+    ``bits=None`` sizes the ranges from one count: about ``rows_per_range``
+    rows each, at most ``2^ORDERED_BITS`` ranges. An input of at most
+    ``rows_per_range`` rows is one range and needs no quantile pass.
+    The input is read two or three times: pass a written table.
+    """
+    if bits is None:
+        n = df.count()
+        bits = min(ORDERED_BITS, max(0, math.ceil(math.log2(max(n, 1) / rows_per_range))))
+    if bits == 0:
+        return bucketed_rank(df, [id_col], F.lit(0).cast("bigint"), group, rank_col, 1, None,
+                             broadcast_row_limit)
     ranged, n_ranges = quantile_ranges(df, id_col, bits, rel_error)
     if ranged is None:
         return df.withColumn(rank_col, F.lit(None).cast("bigint"))

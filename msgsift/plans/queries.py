@@ -300,7 +300,8 @@ def _losses(spark, sf, trained=None):
             ("validation", test, lambda d: ordered_batches(d, "doc_id", VAL_BATCH)),
             ("train", train, lambda d: shuffled_batches(d.withColumn("epoch", F.lit(0)), "doc_id",
                                                         TRAIN_BATCH, SEED, "epoch"))):
-        pt = truth_probability(model, predict(model, score(model, part, keep=["label"])))
+        # written once: the batch ranks read it more than once
+        pt = materialize(truth_probability(model, predict(model, score(model, part, keep=["label"]))), "p-true")
         out.append(met.mean_loss(batches(pt)).withColumn("part", F.lit(name)))
     return out[0].unionByName(out[1])
 
@@ -312,7 +313,8 @@ def q_mean_loss(spark, sf):
 def q_every10_accuracy(spark, sf):
     model, train, _ = _nb(spark, sf)
     pred = predict(model, score(model, train, keep=["intent"]))
-    j = pred.select("doc_id", F.col("intent").alias("y"), F.col("pred_intent").alias("yhat"))
+    j = materialize(pred.select("doc_id", F.col("intent").alias("y"), F.col("pred_intent").alias("yhat")),
+                    "train-predictions")   # the batch ranks read it twice
     b = shuffled_batches(j.withColumn("epoch", F.lit(0)), "doc_id", TRAIN_BATCH, SEED, "epoch")
     return _r6(met.every_n_accuracy(b), ["accuracy"]).select("batch_id", "accuracy", F.col("n").cast("bigint"))
 

@@ -94,3 +94,13 @@ def test_ordered_rank_with_clustered_ids_and_outliers(spark):
     ranged, n_ranges = quantile_ranges(df, "doc_id", bits=6)
     sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
     assert n_ranges > 32 and max(sizes) <= 3 * len(ids) / 64
+
+
+def test_ordered_rank_sizes_ranges_from_the_count(spark):
+    from msgsift.operators.ranking import ordered_rank
+    ids = [i * i for i in range(700)] + [7 * 10**14 + i for i in range(300)]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id BIGINT").repartition(6)
+    # ~10 rows per range: 1,000 rows -> 2^7 quantile ranges; one range when the target is large
+    for target in (10, 10**6):
+        got = {r["doc_id"]: r["rank"] for r in ordered_rank(df, "doc_id", rows_per_range=target).collect()}
+        assert got == {i: r + 1 for r, i in enumerate(sorted(ids))}
