@@ -255,6 +255,8 @@ SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM (
   SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS line
   FROM (SELECT doc_id, regexp_split_to_array(text, '{LINE_BREAKS}') AS a FROM ulab))
 WHERE length(regexp_replace(line, '{PY_WS}', '', 'g')) > 0"""
+    q["annotated_csv"] = q["feature_filter"]
+    q["corpus_file_lines"] = f"SELECT line, CAST(count(*) AS BIGINT) AS n FROM ({q['corpus_lines']}) GROUP BY line"
     q["split_stratified"] = _with(LAB, LABTAB, SPLIT) + "SELECT doc_id, intent, label, part FROM split"
     q["split_random"] = _with(LAB) + f"""
 SELECT doc_id, intent,

@@ -450,7 +450,31 @@ def q_model_roundtrip(spark, sf):
     return _predict_rows(load_model(spark, root), test)
 
 
+def q_annotated_csv(spark, sf):
+    """S1 -> P2 -> P1 -> P4: the annotated shape written as multi-line CSV, read back, cleaned."""
+    from ..session import shared_path
+    from ..sinks.files import write_annotated
+    from ..sources.files import read_annotated
+    path = shared_path(spark, "annotated-csv")
+    write_annotated(annotated(spark, sf), path)
+    t = feature_table(read_annotated(spark, path))
+    return t.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "intent", "status")
+
+
+def q_corpus_file_lines(spark, sf):
+    """S3 -> P3: the unlabelled texts written as a line file, read back line by line."""
+    from ..session import shared_path
+    from ..sinks.files import write_lines
+    from ..sources.files import read_corpus
+    path = shared_path(spark, "corpus-txt")
+    write_lines(unlabelled(spark, sf), path)
+    lines = read_corpus(spark, path)
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES.update({
+    "annotated_csv": q_annotated_csv,
+    "corpus_file_lines": q_corpus_file_lines,
     "lr_predict": q_lr_predict,
     "plug_score": q_plug_score,
     "stream_score": q_stream_score,

@@ -33,6 +33,22 @@ def write_predictions(pred: DataFrame, path: str, id_col: str = "doc_id", fmt: s
     w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path)
 
 
+def write_annotated(df: DataFrame, path: str) -> None:
+    """The annotated message table as CSV (header, ``"`` quoting, doubled quotes).
+
+    Whitespace is kept as is (Spark's CSV writer trims it by default), so a
+    text survives a round trip through :func:`sources.files.read_annotated`.
+    """
+    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
+
+
+def write_lines(df: DataFrame, path: str, text_col: str = "text") -> None:
+    """A line corpus: each text followed by a line break (texts may hold several lines)."""
+    df.select(F.col(text_col).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_answers(answers_json: DataFrame, path: str) -> None:
     """K4: JSON answers as JSON lines ``{"doc_id":..., "json": "[{...}]"}``."""
     answers_json.write.mode("overwrite").json(path)

@@ -56,7 +56,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     stays splittable; the other ``splitlines`` boundaries are split per row.
     """
     raw = (spark.read.text(path)
-           .withColumn("file", F.input_file_name())
+           .withColumn("file", F.col("_metadata.file_path"))
            .withColumn("row_id", F.monotonically_increasing_id()))
     lines = split_lines(raw, "value", ["file", "row_id"])
     return lines.select("file", "row_id", F.col("line_no").alias("piece"), F.col("line").alias("value"))
