@@ -338,6 +338,9 @@ WHERE intent NOT IN (SELECT pred_intent FROM top1)""")
         nb_ctes(False, "mtok", "msg_id", "SELECT conv_id * 1000000 + turn AS msg_id FROM conversations")
     ) + "SELECT msg_id, intent, round(p, 6) AS p FROM proba"
     q["stream_score"] = q["answer_map"]
+    q["answers_file"] = q["answer_map"]
+    q["predictions_csv"] = nb_sql("""
+SELECT p.doc_id, t.label AS predicted_label FROM top1 p JOIN labtab t ON p.pred_intent = t.intent""")
     # M8: NB scores of each encoded chunk (248 content tokens), key doc_id * 1e6 + chunk
     chunk_tok = f"""ctok AS (
   SELECT doc_id * 1000000 + (pos // 248) AS ck, token FROM (

@@ -472,7 +472,32 @@ def q_corpus_file_lines(spark, sf):
     return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_predictions_csv(spark, sf):
+    """K3: held-out predictions written as CSV ``doc_id,predicted_label`` and read back."""
+    from ..session import shared_path
+    from ..sinks.files import write_predictions
+    model, _, test = _nb(spark, sf)
+    path = shared_path(spark, "predictions-csv")
+    write_predictions(predict(model, score(model, test)), path, fmt="csv")
+    back = spark.read.schema("doc_id BIGINT, predicted_label INT").option("header", True).csv(path)
+    return back.select("doc_id", F.col("predicted_label").cast("bigint"))
+
+
+def q_answers_file(spark, sf):
+    """K4: JSON answers for every message written as JSON lines, read back in long form."""
+    from ..session import shared_path
+    from ..sinks.files import write_answers
+    model, _, _ = _nb(spark, sf)
+    path = shared_path(spark, "answers-json")
+    write_answers(ans.answer_json(ans.answer_map(model, score(model, messages(spark, sf), "msg_id"), "msg_id"),
+                                  "msg_id"), path)
+    back = spark.read.schema("msg_id BIGINT, json STRING").json(path)
+    return ans.parse_json(back, "msg_id").select("msg_id", "intent", "p")
+
+
 QUERIES.update({
+    "predictions_csv": q_predictions_csv,
+    "answers_file": q_answers_file,
     "annotated_csv": q_annotated_csv,
     "corpus_file_lines": q_corpus_file_lines,
     "lr_predict": q_lr_predict,
