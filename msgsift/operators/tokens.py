@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import BOS_ID, EOS_ID, FIRST_TOKEN_ID, MAX_TOKENS, PAD_ID, UNK_ID
 from ..functions.text import token_array
+from ..session import materialize
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -135,6 +136,8 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: st
     ids = token_ids(tokenize(df, id_col, text_col, keep_empty=True), vocab)
     chunks = chunk_ids(ids, id_col, max_tokens)
     if pad_to == "longest":
+        # written once: the width aggregate and the padded output both read it
+        chunks = materialize(chunks, "encoded-chunks")
         longest = chunks.agg(F.max("n_tokens")).first()[0]
         width = int(longest or 0) + 2
     elif pad_to == "max_len":
