@@ -18,21 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan by ``key`` when it yields fewer tasks than cores.
+def under_split(scan: DataFrame) -> int:
+    """Cores to spread over when a plain scan yields fewer tasks than cores, else 0.
+
+    Only call this on a scan (no exchange): asking a plan with joins for its
+    partition count can run its shuffle stages.
+    """
+    try:
+        cores = scan.sparkSession.sparkContext.defaultParallelism
+        return 0 if scan.rdd.getNumPartitions() >= cores else cores
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as read
+        return 0
+
+
+def spread(df: DataFrame, key: str, scan: DataFrame | None = None) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` when its input ``scan`` is under-split.
 
     A big input arrives as many files/row groups and is left alone; a scan
     of one row group (one task) is spread so per-row work runs in parallel.
     Partitioning by the text key also lets later ``groupBy(key)`` steps reuse
-    it instead of shuffling again.
+    it instead of shuffling again. ``scan`` defaults to ``df`` itself.
     """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as read
-        return df
-    return df.repartition(cores * 2, key)
+    cores = under_split(df if scan is None else scan)
+    return df.repartition(cores * 2, key) if cores else df
 
 
 def intent_expr(lang="lang", quality="quality", toxic="toxic"):
@@ -42,16 +50,18 @@ def intent_expr(lang="lang", quality="quality", toxic="toxic"):
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text, intent)`` for every labelled document."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return docs.join(labels, "doc_id").select("doc_id", "text", intent_expr().alias("intent"))
+    # spread after the join: only the labelled rows move
+    out = docs.join(labels, "doc_id").select("doc_id", "text", intent_expr().alias("intent"))
+    return spread(out, "doc_id", scan=docs)
 
 
 def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)`` for documents without a label."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id")
-    return docs.join(labels, "doc_id", "left_anti")
+    return spread(docs.join(labels, "doc_id", "left_anti"), "doc_id", scan=docs)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
