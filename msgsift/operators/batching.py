@@ -17,16 +17,18 @@ def with_epochs(df: DataFrame, epochs: int, epoch_col: str = "epoch") -> DataFra
 
 def shuffled_batches(df: DataFrame, id_col: str = "doc_id", size: int = TRAIN_BATCH,
                      seed: int = SEED, epoch_col: str | None = None,
-                     bits: int = DEFAULT_BITS) -> DataFrame:
+                     bits: int = DEFAULT_BITS, n_epochs: int | None = None) -> DataFrame:
     """Order by md5(seed, epoch, id), cut into batches of ``size``.
 
     Adds ``batch_id`` and ``batch_pos``; a new order per epoch when
-    ``epoch_col`` is given. The last batch may be short.
+    ``epoch_col`` is given. The last batch may be short. ``n_epochs`` (the
+    number of distinct epochs) bounds the bucket-offset table so it can be
+    broadcast.
     """
     parts = [F.col(epoch_col), F.col(id_col)] if epoch_col else [F.col(id_col)]
     keyed = df.withColumn("_k", hash_key(seed, *parts))
     group = [epoch_col] if epoch_col else None
-    ranked = hash_rank(keyed, "_k", id_col, group, "_rank", bits, None)
+    ranked = hash_rank(keyed, "_k", id_col, group, "_rank", bits, n_epochs if epoch_col else None)
     return _cut(ranked, size).drop("_k")
 
 

@@ -121,7 +121,7 @@ def q_split_random(spark, sf):
 def q_batches_shuffled(spark, sf):
     train, _ = _parts(spark, sf)
     ep = train.select("doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    b = shuffled_batches(ep, "doc_id", TRAIN_BATCH, SEED, "epoch")
+    b = shuffled_batches(ep, "doc_id", TRAIN_BATCH, SEED, "epoch", n_epochs=3)
     return b.select(F.col("epoch").cast("bigint"), "doc_id", "batch_id", "batch_pos")
 
 
@@ -299,7 +299,7 @@ def _losses(spark, sf, trained=None):
     for name, part, batches in (
             ("validation", test, lambda d: ordered_batches(d, "doc_id", VAL_BATCH)),
             ("train", train, lambda d: shuffled_batches(d.withColumn("epoch", F.lit(0)), "doc_id",
-                                                        TRAIN_BATCH, SEED, "epoch"))):
+                                                        TRAIN_BATCH, SEED, "epoch", n_epochs=1))):
         # written once: the batch ranks read it more than once
         pt = materialize(truth_probability(model, predict(model, score(model, part, keep=["label"]))), "p-true")
         out.append(met.mean_loss(batches(pt)).withColumn("part", F.lit(name)))
@@ -315,7 +315,7 @@ def q_every10_accuracy(spark, sf):
     pred = predict(model, score(model, train, keep=["intent"]))
     j = materialize(pred.select("doc_id", F.col("intent").alias("y"), F.col("pred_intent").alias("yhat")),
                     "train-predictions")   # the batch ranks read it twice
-    b = shuffled_batches(j.withColumn("epoch", F.lit(0)), "doc_id", TRAIN_BATCH, SEED, "epoch")
+    b = shuffled_batches(j.withColumn("epoch", F.lit(0)), "doc_id", TRAIN_BATCH, SEED, "epoch", n_epochs=1)
     return _r6(met.every_n_accuracy(b), ["accuracy"]).select("batch_id", "accuracy", F.col("n").cast("bigint"))
 
 

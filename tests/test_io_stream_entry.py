@@ -98,3 +98,22 @@ def test_lr_pipeline_save_and_load(spark, tmp_dir):
     a = sorted(tuple(r) for r in predict_lr(model, train).collect())
     b = sorted(tuple(r) for r in predict_lr(load_lr(root), train).collect())
     assert a == b
+
+
+def test_registered_queries_do_not_depend_on_partitioning(spark):
+    import __spark_entry__ as e
+    q = e.queries()
+    names = ("split_stratified", "batches_shuffled", "batches_ordered", "nb_predict", "report", "mlm_mask")
+
+    def run(parts):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            return {n: sorted(tuple(r) for r in q[n](spark, SF_SMALL).collect()) for n in names}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+    a, b = run(3), run(13)
+    for n in names:
+        assert a[n] == b[n] and len(a[n]) > 0, n
