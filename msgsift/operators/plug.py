@@ -21,12 +21,16 @@ from ..functions.text import argmax
 from .naive_bayes import NBModel
 
 
-def nb_batch_model(model: NBModel):
+def nb_batch_model(model: NBModel, max_bytes: int = 256 << 20):
     """``make_fn`` for :func:`score_batches` built from an NB model.
 
     The weight matrix is ``(vocab + 4) x C`` doubles; rows below 4 (markers,
-    unknown) are zero. Its size is bounded by the vocabulary cap.
+    unknown) are zero. It travels with every task, so its size (bounded by
+    the vocabulary cap) is checked against ``max_bytes`` before it is built.
     """
+    size = (FIRST_TOKEN_ID + model.vocab_size) * max(model.n_classes, 1) * 8
+    if size > max_bytes:
+        raise ValueError(f"weight matrix of {size} bytes exceeds {max_bytes}; score with naive_bayes.score")
     rows = (model.weights.join(model.vocab.select("token", "token_id"), "token")
             .select("token_id", "w").collect())
     c = model.n_classes
