@@ -54,5 +54,6 @@ class TriageConfig:
     smoothing: float = 1.0
     background_mu: float = 1000.0
     on_singleton: str = "error"   # or "train"
+    val_share: float | None = None   # a separate validation part (None: validate on the test part)
     # Broadcast a model table only when its proven row bound is below this.
     broadcast_row_limit: int = 2_000_000

@@ -132,3 +132,25 @@ def random_split(df: DataFrame, id_col: str = "doc_id", test_share: float = HELD
         k, i = F.col("_k"), F.col(id_col)
         train = (k < F.lit(row["_ck"])) | ((k == F.lit(row["_ck"])) & (i <= F.lit(row["_cid"])))
     return keyed.withColumn(part_col, F.when(train, F.lit("train")).otherwise(F.lit("test"))).drop("_k")
+
+
+def three_way_split(df: DataFrame, label_col: str = "intent", id_col: str = "doc_id",
+                    test_share: float = HELD_OUT_SHARE, val_share: float = HELD_OUT_SHARE,
+                    seed: int = SEED, on_singleton: str = "error", bits: int = DEFAULT_BITS,
+                    part_col: str = "part") -> DataFrame:
+    """Optional third part: ``train`` / ``validation`` / ``test``.
+
+    The project validates each epoch on the same part it later evaluates on;
+    here the test part is split off first (exact per-class quotas), then
+    ``val_share`` of the remaining training rows become ``validation`` by a
+    second stratified split salted with ``seed + 1``.
+    """
+    first = stratified_split(df, label_col, id_col, test_share, seed, on_singleton, bits, "_p1")
+    train = first.where(F.col("_p1") == "train").drop("_p1")
+    counts = [tuple(r) for r in train.groupBy(label_col).agg(F.count(F.lit(1))).collect()]   # one per class
+    second = stratified_split(train, label_col, id_col, val_share, seed + 1, on_singleton, bits, "_p2",
+                              class_counts=counts)
+    rest = second.withColumn(part_col, F.when(F.col("_p2") == "test", F.lit("validation"))
+                             .otherwise(F.lit("train"))).drop("_p2")
+    test = first.where(F.col("_p1") == "test").drop("_p1").withColumn(part_col, F.lit("test"))
+    return rest.unionByName(test)

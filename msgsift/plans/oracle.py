@@ -58,6 +58,31 @@ trn AS (SELECT * FROM split WHERE part = 'train'),
 tst AS (SELECT * FROM split WHERE part = 'test')"""
 
 
+def second_split(src: str, seed: int, p: str = "v") -> str:
+    """The stratified split SQL again over ``src`` (doc_id, intent) with its own seed;
+    defines ``{p}split(doc_id, intent, part)``."""
+    return f"""{p}cnt AS (SELECT intent, count(*) AS n_c FROM {src} GROUP BY intent),
+{p}q0 AS (
+  SELECT intent, n_c, sum(n_c) OVER () AS n,
+         CAST(ceil(0.2::DOUBLE * CAST(sum(n_c) OVER () AS DOUBLE)) AS BIGINT) AS n_test
+  FROM {p}cnt WHERE n_c > 1),
+{p}q1 AS (
+  SELECT intent, n_c, n, n - n_test AS n_train,
+         (n_c * (n - n_test)) // n AS base, (n_c * (n - n_test)) % n AS rem FROM {p}q0),
+{p}q2 AS (
+  SELECT intent, base, n_train - sum(base) OVER () AS extra,
+         row_number() OVER (ORDER BY rem DESC, intent) AS r FROM {p}q1),
+{p}quota AS (
+  SELECT intent, base + CASE WHEN r <= extra THEN 1 ELSE 0 END AS n_train_c FROM {p}q2
+  UNION ALL SELECT intent, n_c FROM {p}cnt WHERE n_c = 1),
+{p}ranked AS (
+  SELECT s.doc_id, s.intent,
+         row_number() OVER (PARTITION BY s.intent ORDER BY {hk(seed, 's.doc_id')}, s.doc_id) AS rk FROM {src} s),
+{p}split AS (
+  SELECT r.doc_id, r.intent, CASE WHEN r.rk <= q.n_train_c THEN 'train' ELSE 'validation' END AS part
+  FROM {p}ranked r JOIN {p}quota q ON r.intent = q.intent)"""
+
+
 def vocab_cte(name: str, src: str) -> str:
     """Vocabulary over a ``(doc_id, token)`` relation ``src``."""
     return f"""{name}_pair AS (SELECT doc_id, token, count(*) AS tf FROM {src} GROUP BY doc_id, token),
@@ -258,6 +283,8 @@ WHERE length(regexp_replace(line, '{PY_WS}', '', 'g')) > 0"""
     q["annotated_csv"] = q["feature_filter"]
     q["corpus_file_lines"] = f"SELECT line, CAST(count(*) AS BIGINT) AS n FROM ({q['corpus_lines']}) GROUP BY line"
     q["split_stratified"] = _with(LAB, LABTAB, SPLIT) + "SELECT doc_id, intent, label, part FROM split"
+    q["split_three_way"] = _with(LAB, LABTAB, SPLIT, second_split("trn", 43)) + """
+SELECT doc_id, intent, part FROM vsplit UNION ALL SELECT doc_id, intent, 'test' FROM tst"""
     q["split_random"] = _with(LAB) + f"""
 SELECT doc_id, intent,
        CASE WHEN row_number() OVER (ORDER BY {hk(0, 'doc_id')}, doc_id)

@@ -20,7 +20,7 @@ from ..operators.batching import ordered_batches
 from ..operators.clean import drop_missing, normalize_na, select_feature, validate
 from ..operators.labels import encode, label_map, table_from_counts
 from ..operators.naive_bayes import NBModel, predict, score, train_nb, truth_probability
-from ..operators.split import stratified_split
+from ..operators.split import stratified_split, three_way_split
 from ..session import materialize
 from ..sinks.files import load_model, save_model, write_answers, write_label_map, write_predictions, write_split
 
@@ -56,9 +56,14 @@ def train(labelled: DataFrame, cfg: TriageConfig = TriageConfig(), out_dir: str
     counts = [tuple(r) for r in labelled.groupBy("intent").agg(F.count(F.lit(1))).collect()]
     lm = label_map(labelled)
     enc = encode(labelled, table_from_counts(spark, counts), bounded=True)
-    split = materialize(stratified_split(enc, seed=cfg.seed, test_share=cfg.test_share,
-                                         on_singleton=cfg.on_singleton, class_counts=counts), "split")
-    tr, te = split.where("part = 'train'"), split.where("part = 'test'")
+    if cfg.val_share:
+        split = materialize(three_way_split(enc, test_share=cfg.test_share, val_share=cfg.val_share,
+                                            seed=cfg.seed, on_singleton=cfg.on_singleton), "split")
+        tr, te = split.where("part = 'train'"), split.where("part = 'validation'")
+    else:
+        split = materialize(stratified_split(enc, seed=cfg.seed, test_share=cfg.test_share,
+                                             on_singleton=cfg.on_singleton, class_counts=counts), "split")
+        tr, te = split.where("part = 'train'"), split.where("part = 'test'")
     model = train_nb(tr, min_df=cfg.min_df, max_vocab=cfg.max_vocab, smoothing=cfg.smoothing,
                      background=background, mu=cfg.background_mu)
     pred = materialize(predict(model, score(model, te, keep=["intent", "label"])), "val-pred")

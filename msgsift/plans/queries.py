@@ -20,7 +20,7 @@ from ..operators.labels import (class_stats, decode, encode, label_map, label_ta
                                width_check)
 from ..operators.masking import mask_epochs, mask_positions
 from ..operators.naive_bayes import long_form, predict, score, train_nb, truth_probability
-from ..operators.split import random_split, stratified_split
+from ..operators.split import random_split, stratified_split, three_way_split
 from ..operators.tokens import encode as encode_texts, token_ids, tokenize, vocab_from_texts
 from ..session import materialize
 from ..sources.files import split_lines
@@ -114,6 +114,12 @@ def q_split_stratified(spark, sf):
     return _split(spark, sf).select("doc_id", "intent", F.col("label").cast("bigint"), "part")
 
 
+def q_split_three_way(spark, sf):
+    """Optional third part: test off the whole set, then validation off the training part."""
+    enc, _ = _encoded_labelled(spark, sf)
+    return three_way_split(enc, seed=SEED, on_singleton="train").select("doc_id", "intent", "part")
+
+
 def q_split_random(spark, sf):
     return random_split(labelled(spark, sf), "doc_id", seed=0).select("doc_id", "intent", "part")
 
@@ -348,6 +354,7 @@ QUERIES = {
     "corpus_lines": q_corpus_lines,
     "split_stratified": q_split_stratified,
     "split_random": q_split_random,
+    "split_three_way": q_split_three_way,
     "batches_shuffled": q_batches_shuffled,
     "batches_ordered": q_batches_ordered,
     "step_counts": q_step_counts,

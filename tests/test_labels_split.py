@@ -119,3 +119,20 @@ def test_split_side_smaller_than_class_count_fails(spark):
     # 15 rows: 3 test rows, 12 train rows: fine
     s = stratified_split(_df(spark, _rows({"a": 5, "b": 5, "c": 5})))
     assert s.where("part = 'test'").count() == 3
+
+
+def test_three_way_split_quotas(spark):
+    import math
+    from msgsift.operators.split import three_way_split
+    counts = {"a": 50, "b": 30, "c": 20}
+    s = three_way_split(_df(spark, _rows(counts))).collect()
+    parts = {}
+    for r in s:
+        parts.setdefault(r["part"], []).append(r)
+    n_test = math.ceil(0.2 * 100)
+    n_val = math.ceil(0.2 * (100 - n_test))
+    assert len(s) == 100 and len({r["doc_id"] for r in s}) == 100
+    assert len(parts["test"]) == n_test and len(parts["validation"]) == n_val
+    assert len(parts["train"]) == 100 - n_test - n_val
+    for c, k in counts.items():
+        assert sum(r["intent"] == c for r in parts["test"]) == k // 5   # exact shares here

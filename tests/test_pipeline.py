@@ -21,3 +21,11 @@ def test_prepare_labelled_drops_and_validates(spark):
     raw = annotated(spark, SF_SMALL)
     good = prepare_labelled(raw, on_bad="quarantine")
     assert good.where("intent IS NULL").count() == 0
+
+
+def test_train_with_separate_validation_part(spark, tmp_dir):
+    lab = labelled(spark, "/root/testdata/sf0.01")
+    res = train(lab, TriageConfig(on_singleton="train", val_share=0.2))
+    parts = {r["part"]: r["count"] for r in res.split.groupBy("part").count().collect()}
+    assert set(parts) == {"train", "validation", "test"} and sum(parts.values()) == lab.count()
+    assert 0 <= res.metrics.first()["accuracy"] <= 1
