@@ -117,3 +117,24 @@ def test_registered_queries_do_not_depend_on_partitioning(spark):
     a, b = run(3), run(13)
     for n in names:
         assert a[n] == b[n] and len(a[n]) > 0, n
+
+
+def test_stream_over_several_micro_batches(spark, tmp_dir):
+    model = _model(spark)
+    src = f"{tmp_dir}/in3"
+    schema = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
+    files = [[(1, 0, "user", "good day")], [(1, 1, "assistant", "sad night"), (2, 0, "user", "happy")],
+             [(3, 0, "user", "")]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    out, ckpt = f"{tmp_dir}/out3", f"{tmp_dir}/ckpt3"
+    start_answering(model, message_stream(spark, src, max_files_per_trigger=1), out, ckpt).awaitTermination()
+    got = read_answers(spark, out)
+    assert got.select("batch_id").distinct().count() == 3      # one micro-batch per file
+    first = sorted(tuple(r) for r in got.select("msg_id", "json").collect())
+    start_answering(model, message_stream(spark, src, max_files_per_trigger=1), out, ckpt).awaitTermination()
+    assert sorted(tuple(r) for r in read_answers(spark, out).select("msg_id", "json").collect()) == first
+    msgs = spark.createDataFrame([r for f in files for r in f], schema) \
+        .withColumn("msg_id", F.col("conv_id") * 1_000_000 + F.col("turn"))
+    batch = answer_json(answer_map(model, score(model, msgs, "msg_id"), "msg_id"), "msg_id").collect()
+    assert sorted(tuple(r) for r in batch) == first and len(first) == 4
