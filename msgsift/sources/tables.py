@@ -82,7 +82,7 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     j = docs.join(labels, "doc_id", "left")
-    first_line = F.trim(F.element_at(F.split(F.col("text"), "\n"), 1))
+    first_line = F.trim(F.substring_index(F.col("text"), "\n", 1))   # no array of all lines
     return j.select(
         F.col("doc_id").alias("Index"),
         F.col("text").alias("Original Text"),
