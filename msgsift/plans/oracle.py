@@ -364,6 +364,21 @@ WHERE intent NOT IN (SELECT pred_intent FROM top1)""")
         LAB, LABTAB, SPLIT, msg,
         nb_ctes(False, "mtok", "msg_id", "SELECT conv_id * 1000000 + turn AS msg_id FROM conversations")
     ) + "SELECT msg_id, intent, round(p, 6) AS p FROM proba"
+    # M7: the JSON text itself. Probabilities are rounded to k / 10^6; the JVM prints such a
+    # double as the shortest decimal with at least one fraction digit when k >= 1000, and as
+    # d.dddE-n below 10^-3 (checked for every k in 0..10^6).
+    num = ("CASE WHEN k = 0 THEN '0.0' "
+           "WHEN k >= 1000 THEN CAST(k // 1000000 AS VARCHAR) || '.' || "
+           "coalesce(nullif(rtrim(lpad(CAST(k % 1000000 AS VARCHAR), 6, '0'), '0'), ''), '0') "
+           "ELSE substr(rtrim(CAST(k AS VARCHAR), '0'), 1, 1) || '.' || "
+           "coalesce(nullif(substr(rtrim(CAST(k AS VARCHAR), '0'), 2), ''), '0') || 'E' || "
+           "CAST(length(CAST(k AS VARCHAR)) - 7 AS VARCHAR) END")
+    q["answer_json"] = _with(
+        LAB, LABTAB, SPLIT, msg,
+        nb_ctes(False, "mtok", "msg_id", "SELECT conv_id * 1000000 + turn AS msg_id FROM conversations")
+    ) + f""", pk AS (SELECT msg_id, intent, CAST(round(round(p, 6) * 1000000) AS BIGINT) AS k FROM proba)
+SELECT msg_id, '[{{' || string_agg('"' || intent || '":' || ({num}), ',' ORDER BY intent) || '}}]' AS json
+FROM pk GROUP BY msg_id"""
     q["stream_score"] = q["answer_map"]
     q["answers_file"] = q["answer_map"]
     q["predictions_csv"] = nb_sql("""

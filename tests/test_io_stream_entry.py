@@ -69,7 +69,7 @@ def test_entry_and_registry(spark):
     assert set(df.columns) == {"doc_id", "true_intent", "pred_intent", "p_top"}
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"answer_json", "lr_predict"}
+    assert set(q) - set(o) == {"lr_predict"}
 
 
 def test_some_queries_on_smallest_tables(spark):
