@@ -108,3 +108,20 @@ def test_in_row_truth_probability_equals_long_form_join(spark):
         long_form(model, score(model, test)), test.select("doc_id", "label")).collect()}
     assert a.keys() == b.keys() == {10, 11, 12}
     assert all(abs(a[k] - b[k]) < 1e-15 for k in a) and a[12] == 1e-6
+
+
+def test_json_number_text_follows_the_oracle_rule(spark):
+    """The oracle SQL prints k/10^6 as the JVM does; guard the rule on the running JDK."""
+    def rule(k):
+        if k == 0:
+            return "0.0"
+        if k >= 1000:
+            i, f = divmod(k, 10**6)
+            return f"{i}.{f'{f:06d}'.rstrip('0') or '0'}"
+        d = str(k).rstrip("0")
+        return f"{d[0]}.{d[1:] or '0'}E{len(str(k)) - 7}"
+    ks = list(range(0, 3000)) + list(range(3000, 10**6 + 1, 997)) + [10**6]
+    df = spark.createDataFrame([(k,) for k in ks], "k BIGINT")
+    out = df.select("k", F.to_json(F.array(F.create_map(F.lit("x"), F.round(F.col("k") / F.lit(1e6), 6))))
+                    .alias("j")).collect()
+    assert all(r["j"] == '[{"x":' + rule(r["k"]) + '}]' for r in out)
