@@ -325,6 +325,13 @@ SELECT doc_id, CAST(chunk AS BIGINT) AS chunk,
 FROM ch"""
     q["mlm_mask"] = _with(_mlm_ctes()) + f"""
 , m AS (SELECT *, {_mask_select([])} FROM cids)
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id,
+       CAST(CASE WHEN NOT sel THEN token_id WHEN how < 80 THEN (SELECT v FROM vs) + 4
+                 WHEN how < 90 THEN rnd ELSE token_id END AS BIGINT) AS input_id,
+       CAST(CASE WHEN sel THEN token_id END AS BIGINT) AS target_id
+FROM m"""
+    q["mlm_epoch_file"] = _with(_mlm_ctes()) + f"""
+, m AS (SELECT *, {_mask_select(['14'])} FROM cids)
 SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id,
        CAST(CASE WHEN NOT sel THEN token_id WHEN how < 80 THEN (SELECT v FROM vs) + 4
                  WHEN how < 90 THEN rnd ELSE token_id END AS BIGINT) AS input_id,

@@ -192,6 +192,19 @@ def q_mlm_epochs(spark, sf):
     ).select(F.col("epoch").cast("bigint"), "n_positions", "n_selected", "n_masked", "n_random", "n_same")
 
 
+def q_mlm_epoch_file(spark, sf):
+    """T9 -> sink: all epochs written partitioned by epoch; the last epoch read back (one folder)."""
+    from ..session import shared_path
+    from ..sinks.files import write_masked
+    ids, v = _corpus_ids(spark, sf)
+    path = shared_path(spark, "mlm-epochs")
+    write_masked(mask_epochs(ids, v, ["doc_id", "line_no", "pos"], CORPUS_EPOCHS, MLM_SEED)
+                 .select("epoch", "doc_id", "line_no", "pos", "token_id", "input_id", "target_id"), path)
+    last = spark.read.parquet(path).where(F.col("epoch") == CORPUS_EPOCHS - 1)   # partition pruning
+    return last.select("doc_id", "line_no", "pos", F.col("token_id").cast("bigint"),
+                       F.col("input_id").cast("bigint"), F.col("target_id").cast("bigint"))
+
+
 # --- Naive Bayes -------------------------------------------------------------
 
 def _weights_long(model):
@@ -363,6 +376,7 @@ QUERIES = {
     "encoded_padded": q_encoded_padded,
     "mlm_mask": q_mlm_mask,
     "mlm_epochs": q_mlm_epochs,
+    "mlm_epoch_file": q_mlm_epoch_file,
     "nb_weights": q_nb_weights,
     "nb_scores": q_nb_scores,
     "nb_proba": q_nb_proba,

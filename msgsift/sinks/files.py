@@ -49,6 +49,11 @@ def write_lines(df: DataFrame, path: str, text_col: str = "text") -> None:
     df.select(F.col(text_col).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_masked(masked: DataFrame, path: str) -> None:
+    """Masked-LM examples of every epoch, one folder per epoch (read back with pruning)."""
+    masked.write.mode("overwrite").partitionBy("epoch").parquet(path)
+
+
 def write_answers(answers_json: DataFrame, path: str) -> None:
     """K4: JSON answers as JSON lines ``{"doc_id":..., "json": "[{...}]"}``."""
     answers_json.write.mode("overwrite").json(path)

@@ -61,3 +61,15 @@ def test_scans_read_only_needed_columns(spark):
     _, text = _exchanges(labelled(spark, "/root/testdata/sf0.001").select("doc_id", "intent"))
     schemas = re.findall(r"ReadSchema: (struct<.*?>)", text)
     assert schemas and all("text" not in s for s in schemas), schemas
+
+
+def test_epoch_table_reads_one_partition(spark, tmp_dir):
+    from msgsift.operators.masking import mask_epochs
+    from msgsift.sinks.files import write_masked
+    ids = spark.range(200).select((F.col("id") % 7).alias("doc_id"), F.lit(0).alias("line_no"),
+                                  F.col("id").alias("pos"), (F.col("id") % 20 + 4).cast("int").alias("token_id"))
+    write_masked(mask_epochs(ids, 20, ["doc_id", "line_no", "pos"], 4), f"{tmp_dir}/m")
+    last = spark.read.parquet(f"{tmp_dir}/m").where(F.col("epoch") == 3)
+    _, text = _exchanges(last)
+    assert re.search(r"PartitionFilters: \[.*epoch", text), text
+    assert last.count() == 200
