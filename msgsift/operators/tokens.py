@@ -111,6 +111,48 @@ def chunk_ids(ids: DataFrame, id_col: str = "doc_id", max_tokens: int = MAX_TOKE
         .withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
+def lookup_ids(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               max_vocab_rows: int = 1_000_000) -> DataFrame | None:
+    """T1-T3 without a shuffle: ``(id, ids)`` with the id array of each whole text.
+
+    Tokens come from the JVM regex; each Arrow batch maps them to ids with one
+    vectorised hash lookup (``pyarrow.compute.index_in``) against the
+    vocabulary, which travels with the tasks. It is fetched with
+    ``limit(max_vocab_rows + 1)``: a bigger vocabulary returns ``None`` (use
+    the join path) and never reaches the driver whole. Unknown tokens get 3.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = vocab.select("token", "token_id").limit(max_vocab_rows + 1).collect()
+    if len(rows) > max_vocab_rows:
+        return None
+    tokens = pa.array([r[0] for r in rows], pa.string())
+    ids = pa.array([r[1] for r in rows], pa.int32())
+
+    def to_ids(batches):
+        for b in batches:
+            lists = b.column(1)
+            offsets = pc.subtract(lists.offsets, lists.offsets[0])
+            found = pc.fill_null(pc.take(ids, pc.index_in(lists.flatten(), value_set=tokens)), UNK_ID)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, found)],
+                                             names=[id_col, "ids"])
+
+    arr = df.select(id_col, F.coalesce(token_array(text_col), F.array().cast("array<string>")).alias("_t"))
+    key_type = df.schema[id_col].dataType.simpleString()
+    return arr.mapInArrow(to_ids, f"`{id_col}` {key_type}, ids array<int>")
+
+
+def chunk_arrays(ids: DataFrame, id_col: str = "doc_id", max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """T2 in-row: ``(id, chunk, ids, n_tokens)``, consecutive slices of ``max_tokens-2`` ids
+    (a text without tokens keeps one empty chunk)."""
+    body = max_tokens - 2
+    n_chunks = F.greatest(F.lit(1), F.expr(f"(size(ids) + {body - 1}) div {body}"))
+    pieces = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda k: F.slice("ids", k * body + 1, body))
+    return (ids.select(id_col, F.posexplode(pieces).alias("chunk", "ids"))
+            .select(id_col, F.col("chunk").cast("bigint"), "ids", F.size("ids").cast("bigint").alias("n_tokens")))
+
+
 def add_markers(ids_col: str = "ids"):
     """T4: begin and end markers around the content ids."""
     return F.concat(F.array(F.lit(BOS_ID)), F.col(ids_col), F.array(F.lit(EOS_ID)))
@@ -127,14 +169,21 @@ def pad_and_mask(chunks: DataFrame, width: int, ids_col: str = "ids") -> DataFra
 
 
 def encode(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           max_tokens: int = MAX_TOKENS, pad_to: str = "longest") -> DataFrame:
+           max_tokens: int = MAX_TOKENS, pad_to: str = "longest",
+           max_lookup_rows: int = 1_000_000) -> DataFrame:
     """Texts -> ``(id, chunk, input_ids, attention_mask, n_tokens)``.
 
+    Ids come from :func:`lookup_ids` (no shuffle) when the vocabulary fits the
+    bound, else from a broadcast/shuffle join on token regrouped per chunk.
+
     ``pad_to="longest"`` pads to the longest example of this set (one small
     aggregate); ``"max_len"`` pads to ``max_tokens`` without the extra pass.
     """
-    ids = token_ids(tokenize(df, id_col, text_col, keep_empty=True), vocab)
-    chunks = chunk_ids(ids, id_col, max_tokens)
+    looked_up = lookup_ids(df, vocab, id_col, text_col, max_lookup_rows)
+    if looked_up is not None:   # narrow: no shuffle of token ids
+        chunks = chunk_arrays(looked_up, id_col, max_tokens)
+    else:                       # vocabulary too big to ship: join on token, regroup per chunk
+        chunks = chunk_ids(token_ids(tokenize(df, id_col, text_col, keep_empty=True), vocab), id_col, max_tokens)
     if pad_to == "longest":
         # written once: the width aggregate and the padded output both read it
         chunks = materialize(chunks, "encoded-chunks")

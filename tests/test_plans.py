@@ -73,3 +73,12 @@ def test_epoch_table_reads_one_partition(spark, tmp_dir):
     _, text = _exchanges(last)
     assert re.search(r"PartitionFilters: \[.*epoch", text), text
     assert last.count() == 200
+
+
+def test_encoding_has_no_shuffle(spark):
+    from msgsift.operators.tokens import encode, vocab_from_texts
+    docs = _docs(spark)
+    vocab = materialize(vocab_from_texts(docs, min_df=1, max_vocab=20), "plan-vocab")
+    ex, text = _exchanges(encode(docs, vocab, pad_to="max_len"))
+    assert ex == [], text
+    assert "MapInArrow" in text or "PythonMapInArrow" in text

@@ -104,3 +104,14 @@ def test_ordered_rank_sizes_ranges_from_the_count(spark):
     for target in (10, 10**6):
         got = {r["doc_id"]: r["rank"] for r in ordered_rank(df, "doc_id", rows_per_range=target).collect()}
         assert got == {i: r + 1 for r, i in enumerate(sorted(ids))}
+
+
+def test_lookup_and_join_paths_encode_alike(spark):
+    from msgsift.operators.tokens import encode, vocab_from_texts
+    texts = [(1, " ".join(f"w{i % 13}" for i in range(600))), (2, ""), (3, None), (4, "w1 zz w2 ÉTÉ été")]
+    df = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+    vocab = vocab_from_texts(df, min_df=1, max_vocab=10)
+    a = sorted(tuple(r) for r in encode(df, vocab).collect())
+    b = sorted(tuple(r) for r in encode(df, vocab, max_lookup_rows=3).collect())   # forces the join path
+    assert a == b and [r[1] for r in a if r[0] == 1] == [0, 1, 2]
+    assert {r[0] for r in a} == {1, 2, 3, 4}
