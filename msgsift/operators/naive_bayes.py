@@ -35,6 +35,8 @@ from ..session import materialize
 from .tokens import token_stats, vocab_from_stats
 
 BROADCAST_BYTES = 256 << 20
+LOOKUP_BYTES = 64 << 20     # weight matrix shipped with the tasks for in-batch scoring
+SCORE_SLICE_TOKENS = 1 << 20   # tokens per bincount slice (bounds task memory)
 
 
 @dataclass
@@ -130,15 +132,73 @@ def train_nb(train: DataFrame, vocab: DataFrame | None = None, id_col: str = "do
                    log_prior=prior, n_tokens=ntok, vocab_size=int(v), kind=kind, params=params)
 
 
+def _lookup_score(model: NBModel, df: DataFrame, cols: list[str], text_col: str,
+                  max_bytes: int) -> DataFrame | None:
+    """M4 without exploding tokens: ``(*cols, scores)`` by Arrow batches.
+
+    The weight matrix (``vocabulary x classes`` doubles, checked against
+    ``max_bytes``) travels with the tasks. Per batch, one vectorised hash
+    lookup (``pyarrow.compute.index_in``) finds each token's row, and the
+    per-text sums are ``np.bincount`` per class over slices of at most
+    ``2^20`` tokens, so task memory stays bounded however long the texts.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    c = model.n_classes
+    if model.vocab_size * max(c, 1) * 8 > max_bytes:
+        return None
+    rows = model.weights.select("token", "w").collect()        # bounded by the check above
+    tokens = pa.array([r[0] for r in rows], pa.string())
+    v = len(rows)
+    # one row per class; column v is the zero row of unknown tokens
+    w_by_class = np.zeros((c, v + 1))
+    if v:
+        w_by_class[:, :v] = np.asarray([r[1] for r in rows], dtype=np.float64).T
+    prior = np.asarray(model.log_prior, dtype=np.float64)
+    slice_tokens = SCORE_SLICE_TOKENS
+
+    def to_scores(batches):
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            offsets = np.asarray(lists.offsets, dtype=np.int64)
+            lengths = np.diff(offsets)
+            n = len(lengths)
+            idx = pc.fill_null(pc.index_in(lists.flatten(), value_set=tokens), v).to_numpy(zero_copy_only=False)
+            row_of = np.repeat(np.arange(n), lengths)
+            sums = np.zeros((n, c))
+            for t0 in range(0, len(idx), slice_tokens):
+                part, rows_part = idx[t0:t0 + slice_tokens], row_of[t0:t0 + slice_tokens]
+                for k in range(c):
+                    sums[:, k] += np.bincount(rows_part, weights=w_by_class[k][part], minlength=n)
+            scores = (sums + prior).ravel()
+            arr = pa.ListArray.from_arrays(pa.array(np.arange(0, n * c + 1, c, dtype=np.int32)), pa.array(scores))
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns - 1)] + [arr],
+                                             names=cols + ["scores"])
+
+    arr = df.select(*cols, F.coalesce(token_array(text_col), F.array().cast("array<string>")).alias("_t"))
+    schema = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in cols)
+    return arr.mapInArrow(to_scores, f"{schema}, scores array<double>")
+
+
 def score(model: NBModel, df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          broadcast_bytes: int = BROADCAST_BYTES, keep: list[str] | None = None) -> DataFrame:
+          broadcast_bytes: int = BROADCAST_BYTES, keep: list[str] | None = None,
+          lookup_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """M4: ``(id, *keep, scores)`` with ``scores[k]`` the log joint of class ``labels[k]``.
 
-    ``keep`` columns (functions of the id, e.g. the true label) ride along the
-    per-text aggregation, so callers need no join back to the input.
+    ``keep`` columns (functions of the id, e.g. the true label) ride along,
+    so callers need no join back to the input. With a weight matrix of at
+    most ``lookup_bytes`` the scores are computed per Arrow batch with no
+    shuffle (:func:`_lookup_score`); otherwise each token occurrence joins
+    its weight row (broadcast below ``broadcast_bytes``, else a shuffle join
+    on token) and the rows are summed per text with partial aggregation.
     """
     c = model.n_classes
     cols = [id_col] + list(keep or [])
+    fast = _lookup_score(model, df, cols, text_col, lookup_bytes)
+    if fast is not None:
+        return fast
     toks = df.select(*cols, F.explode_outer(token_array(text_col)).alias("token"))
     w = model.weights.select("token", "w")
     if model.vocab_size * max(c, 1) * 8 <= broadcast_bytes:

@@ -125,3 +125,18 @@ def test_json_number_text_follows_the_oracle_rule(spark):
     out = df.select("k", F.to_json(F.array(F.create_map(F.lit("x"), F.round(F.col("k") / F.lit(1e6), 6))))
                     .alias("j")).collect()
     assert all(r["j"] == '[{"x":' + rule(r["k"]) + '}]' for r in out)
+
+
+def test_batch_lookup_and_join_scoring_agree(spark, monkeypatch):
+    import msgsift.operators.naive_bayes as nb
+    model = train_nb(_train(spark), min_df=1, max_vocab=100)
+    texts = [(1, "good good sad", 0), (2, "", 1), (3, None, 0), (4, "zzz qqq", 1),
+             (5, " ".join(["bad", "night", "happy"] * 40), 1)]
+    df = spark.createDataFrame(texts, "doc_id BIGINT, text STRING, label INT")
+    monkeypatch.setattr(nb, "SCORE_SLICE_TOKENS", 7)            # many slices, texts across slice edges
+    a = {r["doc_id"]: (r["label"], r["scores"]) for r in score(model, df, keep=["label"]).collect()}
+    b = {r["doc_id"]: (r["label"], r["scores"]) for r in score(model, df, keep=["label"], lookup_bytes=0).collect()}
+    assert a.keys() == b.keys() == {1, 2, 3, 4, 5}
+    for k in a:
+        assert a[k][0] == b[k][0] and np.allclose(a[k][1], b[k][1], rtol=0, atol=1e-9)
+    assert np.allclose(a[2][1], model.log_prior) and np.allclose(a[3][1], model.log_prior)
