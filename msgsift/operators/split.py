@@ -50,7 +50,8 @@ def cut_keys(keyed: DataFrame, quota, group: list[str], id_col: str, key_col: st
              bits: int = DEFAULT_BITS) -> DataFrame:
     """``(*group, _ck, _cid)``: the ``(key, id)`` of the ``quota``-th row of each group
     in ``(key, id)`` order. ``quota`` is a DataFrame ``(*group, _q)`` (one row per
-    group) or, with no group, an int. Groups with quota 0 get no row.
+    group) or, with no group, an int or a function of the total row count
+    (a Column). Groups with quota 0 get no row.
     """
     g = list(group)
     b = keyed.select(*g, hash_bucket(F.col(key_col), bits).alias("_b"))
@@ -59,6 +60,9 @@ def cut_keys(keyed: DataFrame, quota, group: list[str], id_col: str, key_col: st
     cum = hist.withColumn("_after", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     if g:
         cum = cum.join(F.broadcast(quota), g)                       # one row per group
+    elif callable(quota):   # quota from the total row count, read off the histogram
+        total = F.sum("_n").over(Window.partitionBy(F.lit(0)))
+        cum = cum.withColumn("_q", quota(total).cast("bigint"))
     else:
         cum = cum.withColumn("_q", F.lit(int(quota)).cast("bigint"))
     before = F.col("_after") - F.col("_n")
@@ -120,12 +124,17 @@ def stratified_split(df: DataFrame, label_col: str = "intent", id_col: str = "do
 
 def random_split(df: DataFrame, id_col: str = "doc_id", test_share: float = HELD_OUT_SHARE,
                  seed: int = 0, bits: int = DEFAULT_BITS, part_col: str = "part") -> DataFrame:
-    """One stratum; the ``ceil(share * n)`` rows with the largest keys are held out."""
-    n = df.count()
-    n_test = math.ceil(float(test_share) * float(n))
-    n_train = n - n_test
+    """One stratum; the ``ceil(share * n)`` rows with the largest keys are held out.
+
+    ``n`` is read off the bucket histogram, so there is no separate count pass.
+    """
     keyed = df.withColumn("_k", hash_key(seed, F.col(id_col)))
-    row = cut_keys(keyed, n_train, [], id_col, "_k", bits).first() if n_train > 0 else None  # one row
+    share = float(test_share)
+
+    def n_train(n):
+        return n - F.ceil(F.lit(share) * n.cast("double"))
+
+    row = cut_keys(keyed, n_train, [], id_col, "_k", bits).first()   # at most one row
     if row is None:
         train = F.lit(False)
     else:
