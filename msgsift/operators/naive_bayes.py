@@ -134,7 +134,15 @@ def train_nb(train: DataFrame, vocab: DataFrame | None = None, id_col: str = "do
 
 def _lookup_score(model: NBModel, df: DataFrame, cols: list[str], text_col: str,
                   max_bytes: int) -> DataFrame | None:
-    """M4 without exploding tokens: ``(*cols, scores)`` by Arrow batches.
+    """See :func:`batch_scorer`; ``None`` when the weight matrix exceeds ``max_bytes``."""
+    scorer = batch_scorer(model, max_bytes)
+    return None if scorer is None else scorer(df, cols, text_col)
+
+
+def batch_scorer(model: NBModel, max_bytes: int | None = None):
+    """M4 without exploding tokens: a function ``(df, cols, text_col) -> (*cols, scores)``
+    computing scores by Arrow batches, built once per model (the weights are read
+    once, e.g. for every micro-batch of a stream); ``None`` above ``max_bytes``.
 
     The weight matrix (``vocabulary x classes`` doubles, checked against
     ``max_bytes``) travels with the tasks. Per batch, one vectorised hash
@@ -146,6 +154,7 @@ def _lookup_score(model: NBModel, df: DataFrame, cols: list[str], text_col: str,
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    max_bytes = LOOKUP_BYTES if max_bytes is None else max_bytes
     c = model.n_classes
     if model.vocab_size * max(c, 1) * 8 > max_bytes:
         return None
@@ -175,11 +184,14 @@ def _lookup_score(model: NBModel, df: DataFrame, cols: list[str], text_col: str,
             scores = (sums + prior).ravel()
             arr = pa.ListArray.from_arrays(pa.array(np.arange(0, n * c + 1, c, dtype=np.int32)), pa.array(scores))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns - 1)] + [arr],
-                                             names=cols + ["scores"])
+                                             names=b.schema.names[:-1] + ["scores"])
+
+    def apply(df: DataFrame, cols: list[str], text_col: str = "text") -> DataFrame:
+        arr = df.select(*cols, F.coalesce(token_array(text_col), F.array().cast("array<string>")).alias("_t"))
+        schema = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in cols)
+        return arr.mapInArrow(to_scores, f"{schema}, scores array<double>")
 
-    arr = df.select(*cols, F.coalesce(token_array(text_col), F.array().cast("array<string>")).alias("_t"))
-    schema = ", ".join(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in cols)
-    return arr.mapInArrow(to_scores, f"{schema}, scores array<double>")
+    return apply
 
 
 def score(model: NBModel, df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

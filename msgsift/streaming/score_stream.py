@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.answers import answer_json, answer_map
-from ..operators.naive_bayes import NBModel, score
+from ..operators.naive_bayes import NBModel, batch_scorer, score
 
 MESSAGE_SCHEMA = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 
@@ -34,8 +34,11 @@ def start_answering(model: NBModel, stream: DataFrame, out_path: str, checkpoint
                     id_col: str = "msg_id", available_now: bool = True):
     """Start the query; returns the ``StreamingQuery``."""
 
+    scorer = batch_scorer(model)   # weights read once for all micro-batches (None: join path)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        answers = answer_json(answer_map(model, score(model, batch, id_col), id_col), id_col)
+        scored = scorer(batch, [id_col]) if scorer is not None else score(model, batch, id_col)
+        answers = answer_json(answer_map(model, scored, id_col), id_col)
         (answers.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
          .write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}"))
 
