@@ -57,3 +57,5 @@ class TriageConfig:
     val_share: float | None = None   # a separate validation part (None: validate on the test part)
     # Broadcast a model table only when its proven row bound is below this.
     broadcast_row_limit: int = 2_000_000
+    # Weight matrix shipped with the tasks for in-batch scoring (join path above).
+    lookup_bytes: int = 64 << 20

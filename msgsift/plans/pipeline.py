@@ -66,7 +66,8 @@ def train(labelled: DataFrame, cfg: TriageConfig = TriageConfig(), out_dir: str
         tr, te = split.where("part = 'train'"), split.where("part = 'test'")
     model = train_nb(tr, min_df=cfg.min_df, max_vocab=cfg.max_vocab, smoothing=cfg.smoothing,
                      background=background, mu=cfg.background_mu)
-    pred = materialize(predict(model, score(model, te, keep=["intent", "label"])), "val-pred")
+    pred = materialize(predict(model, score(model, te, keep=["intent", "label"], lookup_bytes=cfg.lookup_bytes)),
+                       "val-pred")
     j = pred.select("doc_id", F.col("intent").alias("y"), "label", F.col("pred_intent").alias("yhat"))
     whole = met.weighted_prf(j)
     batch = met.batch_mean(ordered_batches(j, "doc_id", 64)).select(
