@@ -80,8 +80,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.explode(F.expr(f"sequence(shiftleft(prefix, {max_depth} - depth), "
                          f"shiftleft(prefix + 1, {max_depth} - depth) - 1)")).alias("slot"))
 
-    # bytes decide among rows that share a hash; copies meet before the shuffle
-    shared = d.join(keys.where("n > 1").select("h"), "h", "left_semi")
+    # bytes decide among rows that share a hash; hashes of very many rows are picked out by broadcast, so their
+    # copies meet in the partial aggregation, before any shuffle
+    shared = join_by_key(d, keys.where("n > 1").select("h", "n"), ["h"], "n", n_rows)
     groups = (shared.groupBy("h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
               .select("h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
                       F.octet_length("norm").cast("bigint").alias("n_bytes"), "keep_id", "group_size"))
