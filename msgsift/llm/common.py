@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 512   # a key holding more than 1/512 of the rows is hot: at most 512 such keys exist
 
+FILTER_BITS = 24  # bit filter before a join: 2 MiB of bits, at most 262,144 rows
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,17 +37,38 @@ def join_by_key(rows: DataFrame, lookup: DataFrame, keys: list[str], n_col: str,
             .unionByName(rows.join(hot_keys, keys, "left_anti").join(cold, keys)))
 
 
+def flag_keys(rows: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with a boolean ``_in``: false only if the row's 64-bit ``key`` is none of ``keys``'.
+
+    A bit filter of fixed size (2^bits bits, at most 2^(bits-6) rows to
+    broadcast) whatever the number of keys: more keys let more rows through,
+    and the exact join that follows decides. It spares that join the texts of
+    rows that cannot match.
+    """
+    bit = F.shiftrightunsigned(keys_key, 64 - bits)
+    words = keys.groupBy(F.shiftright(bit, 6).alias("_w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))).alias("_v"))
+    mine = rows.withColumn("_bit", F.shiftrightunsigned(key, 64 - bits))
+    out = mine.join(F.broadcast(words), F.shiftright("_bit", 6) == F.col("_w"), "left")
+    there = F.call_function("shiftright", F.col("_v"), (F.col("_bit") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return out.withColumn("_in", F.coalesce(there, F.lit(False))).drop("_bit", "_w", "_v")
+
+
 def keep_rows(docs: DataFrame, verdict: DataFrame, on: dict[str, Column]) -> DataFrame:
     """Rows of ``docs`` without a match in ``verdict`` (columns named as ``on``), all columns unchanged.
 
     The row travels as one struct, so its column names cannot clash with the
-    key columns. Keys are matched null-safely.
+    key columns. Keys are matched null-safely. Only rows that pass
+    :func:`flag_keys` take part in the join; ``verdict`` should be a written table.
     """
+    names = list(on)
     d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"),
                     *[c.alias(f"_k_{k}") for k, c in on.items()])
-    v = verdict.select(*[F.col(k).alias(f"_v_{k}") for k in on])
+    v = verdict.select(*[F.col(k).alias(f"_v_{k}") for k in names])
+    d = flag_keys(d, F.xxhash64(*[f"_k_{k}" for k in names]), v, F.xxhash64(*[f"_v_{k}" for k in names]))
     cond = None
-    for k in on:
+    for k in names:
         c = F.col(f"_k_{k}").eqNullSafe(F.col(f"_v_{k}"))
         cond = c if cond is None else cond & c
-    return d.join(v, cond, "left_anti").select("_row.*")
+    left = d.where("_in").join(v, cond, "left_anti").select("_row.*")
+    return d.where("not _in").select("_row.*").unionByName(left)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import join_by_key, keep_rows
+from .common import flag_keys, join_by_key, keep_rows
 from .graph import components
 from .textbytes import SPACE_WORDS, Words, batch_words, hash_words, mix, shingle_hashes
 
@@ -311,6 +311,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         "blocks", F.ceil(F.col("total") / family_shingles)).drop("total")
     src = docs.select(docs[id_col].alias("t_doc"), F.xxhash64(docs[text_col]).alias("t_th"),
                       docs[text_col].cast("string").alias("text"))
+    src = flag_keys(src, F.xxhash64("t_doc", "t_th"), of, F.xxhash64("v_doc", "v_th")).where("_in").drop("_in")
     texts = src.join(of.join(big, "family"), F.col("t_doc").eqNullSafe(F.col("v_doc"))
                      & (F.col("t_th") == F.col("v_th"))).select("family", "blocks", "node", "text")
     links = (_in_blocks(texts, "blocks").select("family", "bi", "bj", "node", "text")
@@ -337,5 +338,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Documents whose id is the smallest of their group, all columns unchanged."""
-    v = near_groups(docs, id_col, text_col, **options).where("not kept")
+    v = materialize(near_groups(docs, id_col, text_col, **options).where("not kept").select("doc_id", "th"), "minmax-dropped")
     return keep_rows(docs, v, {"doc_id": docs[id_col], "th": F.xxhash64(docs[text_col])})
