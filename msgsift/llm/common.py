@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_SHARE = 512   # a key holding more than 1/512 of the rows is hot: at most 512 such keys exist
 
 FILTER_BITS = 24  # bit filter before a join: 2 MiB of bits, at most 262,144 rows
 
+BATCH_ROWS = 2_000  # rows of an Arrow batch that carries whole texts
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows: whole texts make big rows, and a batch is held
+    in the JVM and in the Python worker of every running task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null becomes empty. ASCII texts take the cheaper ``lower``."""
     t = F.coalesce(text, F.lit(""))

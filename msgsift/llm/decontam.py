@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import small_batches
 from .textbytes import ALNUM_WORDS, batch_words, shingle_hashes
 
 WINDOW = 13
@@ -103,6 +104,7 @@ def find_places(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray,
     ``shortest_run``: per shingle length in use, how many consecutive shingles
     its shortest window has; shorter runs cannot hold a window.
     """
+    small_batches(docs.sparkSession)
     bm = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def segments(w, h):

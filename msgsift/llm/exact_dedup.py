@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import ascii_lower, join_by_key, keep_rows
+from .common import ascii_lower, flag_keys, join_by_key, keep_rows
 
 BUCKET_ROWS = 32_768   # keys a bucket may hold before it splits
 MAX_DEPTH = 16         # directory of at most 65,536 slots; a bucket still overfull there spills in its task
@@ -60,11 +60,11 @@ def split_buckets(counts: dict[int, int], bucket_rows: int, max_depth: int) -> l
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS,
                 max_depth: int = MAX_DEPTH, hash_bits: int = 64) -> tuple[DataFrame, DataFrame, int]:
-    """(entries: doc_id, h, text_sha256; index; number of rows), both written to the shared folder."""
+    """(entries: doc_id, h, th, text_sha256, n_bytes; index; number of rows), both written to the shared folder."""
     spark = docs.sparkSession
     d = docs.select(docs[id_col].alias("doc_id"), ascii_lower(docs[text_col]).alias("norm"),
-                    text_hash(docs[text_col], hash_bits).alias("h"))
-    entries = materialize(d.select("doc_id", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
+                    text_hash(docs[text_col], hash_bits).alias("h"), F.xxhash64(docs[text_col]).alias("th"))
+    entries = materialize(d.select("doc_id", "h", "th", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
                                    F.octet_length("norm").cast("bigint").alias("n_bytes")), "dedup-entries")
     keys = materialize(entries.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("doc_id"), F.max("text_sha256").alias("text_sha256"),
@@ -80,9 +80,14 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.explode(F.expr(f"sequence(shiftleft(prefix, {max_depth} - depth), "
                          f"shiftleft(prefix + 1, {max_depth} - depth) - 1)")).alias("slot"))
 
-    # bytes decide among rows that share a hash; hashes of very many rows are picked out by broadcast, so their
-    # copies meet in the partial aggregation, before any shuffle
-    shared = join_by_key(d, keys.where("n > 1").select("h", "n"), ["h"], "n", n_rows)
+    # bytes decide among rows that share a hash. Only those texts are normalised again (bit filter on the raw text's
+    # hash); hashes of very many rows are picked out by broadcast, so their copies meet in the partial aggregation
+    multi = keys.where("n > 1").select("h", "n")
+    theirs = flag_keys(entries, F.col("h"), multi, F.col("h")).where("_in").select(F.col("th").alias("m_th"))
+    raw = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("th"))
+    some = flag_keys(raw, F.col("th"), theirs, F.col("m_th")).where("_in").select(
+        "doc_id", ascii_lower(F.col("text")).alias("norm"), text_hash(F.col("text"), hash_bits).alias("h"))
+    shared = join_by_key(some, multi, ["h"], "n", n_rows)
     groups = (shared.groupBy("h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
               .select("h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
                       F.octet_length("norm").cast("bigint").alias("n_bytes"), "keep_id", "group_size"))
@@ -97,13 +102,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _verdicts(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """doc_id, h, keep_id, group_size, kept, text_sha256; one row per input row."""
+    """doc_id, th, keep_id, group_size, kept, text_sha256; one row per input row. ``th`` is xxhash64 of the raw text."""
     entries, index, n_rows = build_index(docs, id_col, text_col, **options)
-    cols = ["doc_id", "h", "keep_id", "group_size", "text_sha256"]
-    alone = index.where("group_size = 1").withColumn("doc_id", F.col("keep_id")).select(cols)
-    copies = join_by_key(entries.drop("n_bytes"), index.where("group_size > 1").select(
-        "h", "text_sha256", "keep_id", "group_size"), ["h", "text_sha256"], "group_size", n_rows).select(cols)
-    return alone.unionByName(copies).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    groups = index.select("h", "text_sha256", "keep_id", "group_size")
+    out = join_by_key(entries.select("doc_id", "h", "th", "text_sha256"), groups, ["h", "text_sha256"], "group_size", n_rows)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -113,17 +116,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The kept rows with all their columns; rows that repeat an id and text leave one."""
-    v = materialize(_verdicts(docs, id_col, text_col, **options).select("doc_id", "h", "kept"), "dedup-verdicts")
-    h = text_hash(docs[text_col], options.get("hash_bits", 64))
-    out = keep_rows(docs, v.where("not kept"), {"doc_id": docs[id_col], "h": h})
-    repeated = v.where("kept").groupBy("doc_id", "h").count().where("count > 1").drop("count")
+    """The kept rows with all their columns. Of kept rows that repeat an id and text, one stays."""
+    v = materialize(_verdicts(docs, id_col, text_col, **options).select("doc_id", "text_sha256", "th", "kept"),
+                    "dedup-verdicts")
+    out = keep_rows(docs, v.where("not kept"), {"doc_id": docs[id_col], "th": F.xxhash64(docs[text_col])})
+    kept = v.where("kept")
+    repeated = materialize(kept.join(kept.groupBy("doc_id", "text_sha256").count().where("count > 1").select(
+        F.col("doc_id").alias("r_id"), F.col("text_sha256").alias("r_sha")),
+        F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_sha256") == F.col("r_sha")), "left_semi")
+        .select("doc_id", "th"), "dedup-repeated")
     if repeated.isEmpty():      # the same rows either way; this only spares a second read
         return out
-    once = keep_rows(out, repeated, {"doc_id": out[id_col], "h": text_hash(out[text_col], options.get("hash_bits", 64))})
-    again = out.select(F.struct("*").alias("_row"), out[id_col].alias("_i"),
-                       ascii_lower(out[text_col]).alias("_t")).join(
-        repeated.select(F.col("doc_id").alias("_ri"), F.col("h").alias("_rh")),
-        F.col("_i").eqNullSafe(F.col("_ri"))
-        & (text_hash(F.col("_t"), options.get("hash_bits", 64)) == F.col("_rh")), "left_semi")
-    return once.unionByName(again.dropDuplicates(["_i", "_t"]).select("_row.*"))
+    key = {"doc_id": out[id_col], "th": F.xxhash64(out[text_col])}
+    again = out.select(F.struct("*").alias("_row"), out[id_col].alias("_i"), ascii_lower(out[text_col]).alias("_t"),
+                       F.xxhash64(out[text_col]).alias("_th")).join(
+        repeated.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")),
+        F.col("_i").eqNullSafe(F.col("r_id")) & (F.col("_th") == F.col("r_th")), "left_semi")
+    return keep_rows(out, repeated, key).unionByName(again.dropDuplicates(["_i", "_t"]).select("_row.*"))

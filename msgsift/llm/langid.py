@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, small_batches
 
 UNDETERMINED = "und"
-TRAIN_CHARS = 320_000        # characters in all automata together
+TRAIN_CHARS = 128_000        # characters in all automata together
 ROWS_PER_LANGUAGE = 256      # labelled rows read per language
 LETTERS = 126                # most frequent letters get their own code, the rest share codes
 SEGMENT = 16_384
@@ -228,6 +228,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, model: CrossParser, text_col: str = "text", out_lang: str = "lang_pred",
             out_score: str = "score", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) and the predicted language and score, read from the text only."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = [c for c in (docs.columns if keep is None else keep) if c not in (out_lang, out_score)]
     src = docs.select(docs[text_col].cast("string").alias("_parse_text"), *[docs[f"`{c}`"] for c in cols])

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import flag_keys, join_by_key, keep_rows
+from .common import flag_keys, join_by_key, keep_rows, small_batches
 from .graph import components
 from .textbytes import SPACE_WORDS, Words, batch_words, hash_words, mix, shingle_hashes
 
@@ -248,8 +248,11 @@ def _set_links(shingle: int, percent: int):
         n = np.array(sizes, dtype=np.int64)
         owner = np.repeat(np.arange(len(n)), n)
         vocab, term = np.unique(np.concatenate(parts), return_inverse=True)
+        term = term.astype(np.int32)
+        del parts
         by_term = np.argsort(term, kind="stable")
-        holders = owner[by_term]
+        holders = owner[by_term].astype(np.int32)
+        del by_term
         df = np.bincount(term, minlength=len(vocab))
         begin = np.r_[0, np.cumsum(df)]
         off = np.r_[0, np.cumsum(n)]
@@ -286,6 +289,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     rows: rid, doc_id, th, n, lo, hi per document row. comps: n, lo, hi,
     members, node, min_id, component_id per class of equal sets.
     """
+    small_batches(docs.sparkSession)
     sig = materialize(signatures(docs, id_col, text_col, permutations, rows_per_band, shingle), "minmax-sig")
     rep = F.min_by(F.struct("doc_id", "th", "bands", "sketch"), "rid")
     cls = materialize(sig.where("n > 0").groupBy("n", "lo", "hi").agg(
