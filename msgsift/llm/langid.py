@@ -39,7 +39,7 @@ UNDETERMINED = "und"
 TRAIN_CHARS = 128_000        # characters in all automata together
 ROWS_PER_LANGUAGE = 256      # labelled rows read per language
 LETTERS = 126                # most frequent letters get their own code, the rest share codes
-SEGMENT = 16_384
+SEGMENT = 2_048
 SLICE_CHARS = 1 << 20
 SHARPNESS = 8.0
 _OTHER = 0                   # everything that is not a letter

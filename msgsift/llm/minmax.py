@@ -45,7 +45,7 @@ PERCENT = 75            # links: 100 * intersection >= PERCENT * union
 PERMUTATIONS = 64
 ROWS_PER_BAND = 4
 BUCKET_ROWS = 8_192     # classes of one bucket block
-FAMILY_SHINGLES = 2_000_000   # shingles of one family block
+FAMILY_SHINGLES = 1_000_000   # shingles of one family block
 _WORK = 1 << 15         # shingles hashed at a time
 
 

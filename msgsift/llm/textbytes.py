@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20      # bytes of text worked on at a time (bounds task memory)
-_HASH_SLICE = 1 << 20      # bytes per running sum inside the word hash
+SLICE_BYTES = 1 << 20      # bytes of text worked on at a time (bounds task memory)
+_HASH_SLICE = 1 << 18      # bytes per running sum inside the word hash
 
 _M = (1 << 64) - 1
 
@@ -135,6 +135,7 @@ def batch_words(col, table: np.ndarray, slice_bytes: int = SLICE_BYTES):
         j = max(int(np.searchsorted(offs, offs[i] + slice_bytes, side="right")) - 1, i + 1)
         yield find_words(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], table, i, j)
         i = j
+    pa.default_memory_pool().release_unused()      # workers live on between stages: hand freed batches back
 
 
 def find_words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, lo: int = 0, hi: int | None = None) -> Words:
