@@ -40,6 +40,7 @@ TRAIN_CHARS = 128_000        # characters in all automata together
 ROWS_PER_LANGUAGE = 256      # labelled rows read per language
 LETTERS = 126                # most frequent letters get their own code, the rest share codes
 SEGMENT = 2_048
+PIECE_WORDS = 3              # training text is cut after so many words: a copied passage cannot match as one phrase
 SLICE_CHARS = 1 << 20
 SHARPNESS = 8.0
 _OTHER = 0                   # everything that is not a letter
@@ -52,7 +53,7 @@ def letter_codes(texts: list[str], letters: int = LETTERS) -> tuple[np.ndarray,
     is_letter = np.array([chr(c).isalpha() for c in cps.tolist()], dtype=bool)
     seen = cps[is_letter][np.argsort(-counts[is_letter], kind="stable")]
     table[seen] = 2 + np.arange(len(seen)) % letters
-    return table, 2 + min(len(seen), letters)
+    return table, 3 + min(len(seen), letters)          # the last code, the break between pieces, is in no text
 
 
 def _points(s: str) -> np.ndarray:
@@ -132,7 +133,8 @@ class CrossParser:
         tables, self.base, self.log_n, at = [], [], [], 0
         for lang in self.langs:
             seq, _, _ = encode(_first_chars(samples[lang], share), self.codes)
-            tab = parse_table(seq, self.alphabet)
+            gaps = np.flatnonzero(seq == _OTHER)[PIECE_WORDS - 1::PIECE_WORDS]
+            tab = parse_table(np.insert(seq, gaps + 1, self.alphabet - 1), self.alphabet)
             self.base.append(at)
             self.log_n.append(math.log2(len(seq) + 2))
             tables.append(tab)
