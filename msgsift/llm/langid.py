@@ -114,13 +114,15 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
 def parse_table(seq: np.ndarray, alphabet: int) -> np.ndarray:
     """Flat table: entry state * alphabet + letter is next state * alphabet * 2 + 1 if a phrase closes there."""
     nxt = suffix_automaton(seq.tolist())
-    step = np.full((len(nxt), alphabet), -1, dtype=np.int64)
+    lone = len(nxt)                                    # the phrase is one letter that training never saw
+    step = np.full((len(nxt) + 1, alphabet), -1, dtype=np.int64)
     for s, out in enumerate(nxt):
         for c, t in out.items():
             step[s, c] = t
-    start = np.where(step[0] >= 0, step[0], 0)         # after a closed phrase the letter begins the next one
+    start = np.where(step[0] >= 0, step[0], lone)      # after a closed phrase the letter begins the next one
     closed = step < 0
-    return (np.where(closed, start[None, :], step) * alphabet * 2 + closed).astype(np.int32).ravel()
+    closed[0] = False                                  # state 0 only stands before the first letter
+    return (np.where(step < 0, start[None, :], step) * alphabet * 2 + closed).astype(np.int32).ravel()
 
 
 class CrossParser:
