@@ -21,7 +21,7 @@ Data flow: one pass counts words (partial sums per slice of text, then per
 task). A second pass sends every (context, word) pair once to the task that
 owns it, packed per slice (sorted, as small integers, compressed). That task
 builds its part of the trie from the training pairs, writes it, maps it and
-scores all its pairs; one row per text and owner comes back. What is gathered
+scores all its pairs; packed sums per 4,096 row ids come back and are added up. What is gathered
 grows with the input; nothing is pruned, capped or sampled.
 
 Defined cases
@@ -50,7 +50,7 @@ from .textbytes import SPACE_WORDS, batch_words, mix
 END = mix(np.array([0x454E44], dtype=np.uint64))[0]     # the end token's hash
 SHARD_TOKENS = 1_000_000     # pairs owned by one task
 SHARD_WORDS = 1 << 20        # words of one unigram shard
-OWNERS_PER_TASK = 4          # a task works its owners off one by one and adds their scores up per text
+BUCKET_BITS = 12             # row ids whose scores are added up together: 4,096
 GROUPS = 64                  # successor groups of a frequent context
 STEPS = 2048                 # quantisation steps per decade
 
@@ -304,16 +304,13 @@ def _unpack(blob: bytes, n_cols: int) -> list[np.ndarray]:
     return out
 
 
-_SCORE = ["rid", "doc_id", "train", "n_tokens", "n_known", "base", "s"]
+_TEXT = ["rid", "doc_id", "train", "n_tokens", "n_known", "base", "s"]     # what one row per text carries
 
 
-def _score_rows(id_type: pa.DataType, rid, s, doc_id=None, train=None, n_tokens=None, n_known=None, base=None) -> dict:
-    n = len(rid)
-    return {"rid": pa.array(rid, pa.int64()), "doc_id": pa.nulls(n, id_type) if doc_id is None else doc_id,
-            "train": pa.nulls(n, pa.bool_()) if train is None else pa.array(train, pa.bool_()),
-            "n_tokens": pa.nulls(n, pa.int64()) if n_tokens is None else pa.array(n_tokens, pa.int64()),
-            "n_known": pa.nulls(n, pa.int64()) if n_known is None else pa.array(n_known, pa.int64()),
-            "base": pa.nulls(n, pa.float64()) if base is None else pa.array(base, pa.float64()), "s": pa.array(s, pa.float64())}
+def _text_rows(id_type: pa.DataType, n: int, **cols) -> list[pa.Array]:
+    types = [pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    return [pa.nulls(n, t) if k not in cols else cols[k] if isinstance(cols[k], pa.Array) else pa.array(cols[k], t)
+            for k, t in zip(_TEXT, types)]
 
 
 def scatter(src: DataFrame, uni: Unigrams, shards: int, hot: int, schema: str) -> DataFrame:
@@ -333,10 +330,11 @@ def scatter(src: DataFrame, uni: Unigrams, shards: int, hot: int, schema: str) -
                 logp = np.log10((uc + 1) / uni.total)[inv]
                 ctx, c_ctx = np.r_[uni.n_words, ids[:-1]], np.r_[0, c[:-1]]
                 free = begins | (ctx == uni.n_words)
-                head = _score_rows(b.schema.field(1).type, rid, np.bincount(text[free], weights=logp[free], minlength=n),
-                                   b.column(1).slice(w.lo, n), train, np.bincount(text, minlength=n),
-                                   np.bincount(text, weights=c > 0, minlength=n).astype(np.int64),
-                                   np.bincount(text, weights=logp, minlength=n))
+                head = _text_rows(b.schema.field(1).type, n, rid=rid, doc_id=b.column(1).slice(w.lo, n), train=train,
+                                  n_tokens=np.bincount(text, minlength=n),
+                                  n_known=np.bincount(text, weights=c > 0, minlength=n).astype(np.int64),
+                                  base=np.bincount(text, weights=logp, minlength=n),
+                                  s=np.bincount(text[free], weights=logp[free], minlength=n))
                 yield _with_blobs(rid % shards, head, [None] * n, [None] * n)
                 pair = np.flatnonzero(~free)
                 if not len(pair):
@@ -354,14 +352,14 @@ def scatter(src: DataFrame, uni: Unigrams, shards: int, hot: int, schema: str) -
                     some, local = np.unique(cols[3, i:j], return_inverse=True)      # row ids rise within a task
                     texts.append(_pack(rid[some], train[some]))
                     pairs.append(_pack(cols[1, i:j], cols[2, i:j], local, times[i:j]))
-                none = _score_rows(b.schema.field(1).type, np.zeros(len(texts), np.int64), np.zeros(len(texts)))
+                none = _text_rows(b.schema.field(1).type, len(texts))
                 yield _with_blobs(cols[0, cut[:-1]], none, texts, pairs)
     return src.mapInArrow(run, f"owner bigint, {schema}, texts binary, pairs binary")
 
 
-def _with_blobs(owner, rows: dict, texts: list, pairs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *[rows[k] for k in _SCORE], pa.array(texts, pa.binary()),
-                                       pa.array(pairs, pa.binary())], names=["owner", *_SCORE, "texts", "pairs"])
+def _with_blobs(owner, rows: list, texts: list, pairs: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *rows, pa.array(texts, pa.binary()),
+                                       pa.array(pairs, pa.binary())], names=["owner", *_TEXT, "texts", "pairs"])
 
 
 # ---- bigram level --------------------------------------------------------
@@ -431,7 +429,8 @@ class Bigrams:
 def owner_scores(uni: Unigrams, root: str):
     """mapInArrow function over rows sorted by owner: per owner build, write, map and query the bigram level.
 
-    Rows of texts pass through; each owner adds a row (rid, s) per text it scored.
+    Rows of texts pass through; each owner adds, per ``2 ** BUCKET_BITS`` row
+    ids, one packed row of the scores of the texts it has pairs of.
     """
     def flush(owner, blobs, id_type):
         key, word, text, times, train, rids = [], [], [], [], [], []
@@ -451,15 +450,24 @@ def owner_scores(uni: Unigrams, root: str):
         write_level(path, build_bigrams(key[train], word[train], times[train], uni))
         level = Bigrams(map_level(path), uni)
         total = np.bincount(text, weights=times * level.log10(key, word), minlength=at)
-        return pa.RecordBatch.from_pydict(_score_rows(id_type, rids, total))
+        order = np.argsort(rids)
+        rids, total = rids[order], total[order].astype(np.float32)
+        bucket = rids >> BUCKET_BITS
+        cut = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(rids)]
+        parts = [_pack(rids[i:j]) + total[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
+        sizes = (np.diff(cut) * 4).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *_text_rows(id_type, len(parts)),
+                                           pa.array(parts, pa.binary()), pa.array(sizes, pa.int64())], names=_PART)
 
     def run(batches):
         owner, blobs, id_type = None, [], None
         for b in batches:
             id_type = b.schema.field("doc_id").type
-            texts = b.filter(b.column("pairs").is_null()).select(_SCORE)
+            texts = b.filter(b.column("pairs").is_null()).select(_TEXT)
             if texts.num_rows:
-                yield texts
+                n = texts.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(texts.column("rid").to_numpy() >> BUCKET_BITS), *texts.columns,
+                                                  pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=_PART)
             for o, t, p in zip(b.column("owner").to_pylist(), b.column("texts").to_pylist(), b.column("pairs").to_pylist()):
                 if p is None:
                     continue
@@ -473,6 +481,41 @@ def owner_scores(uni: Unigrams, root: str):
     return run
 
 
+_PART = ["bucket", *_TEXT, "part", "tail"]
+
+
+def add_parts(batches):
+    """Rows sorted by bucket -> one row per text with the scores of all owners added."""
+    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        texts = t.filter(t.column("part").is_null()).combine_chunks()
+        parts = t.filter(t.column("part").is_valid())
+        rid = texts.column("rid").to_numpy()
+        order = np.argsort(rid)
+        s = texts.column("s").to_numpy().copy()
+        for blob, tail in zip(parts.column("part").to_pylist(), parts.column("tail").to_pylist()):
+            at = order[np.searchsorted(rid, _unpack(blob[:-tail], 1)[0], sorter=order)]
+            s[at] += np.frombuffer(blob[-tail:], dtype=np.float32)        # a row id occurs once in a blob
+        cols = [pa.array(s) if k == "s" else texts.column(k).combine_chunks() for k in _TEXT]
+        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=_TEXT)
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        k = b.column("bucket").to_numpy()
+        cuts = np.r_[0, np.flatnonzero(np.diff(k)) + 1, len(k)]
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if i == j:
+                continue
+            if held and k[i] != last:
+                yield flush(held)
+                held = []
+            held.append(b.slice(i, j - i))
+            last = k[i]
+    if held:
+        yield flush(held)
+
+
 def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 7,
                   held_out_rest: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
@@ -488,12 +531,12 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = (f"rid bigint, doc_id {docs.schema[id_col].dataType.simpleString()}, train boolean, n_tokens bigint, "
               "n_known bigint, base double, s double")
     dealt = (scatter(src, uni, shards, max(1, shard_tokens // 8), schema)
-             .repartition(max(1, shards // OWNERS_PER_TASK), "owner").sortWithinPartitions("owner"))
-    parts = dealt.mapInArrow(owner_scores(uni, root), schema)
-    rows = parts.groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "train", "n_tokens", "n_known", "base")],
-                                    F.sum("s").alias("score"))
+             .repartition(shards, "owner").sortWithinPartitions("owner"))
+    parts = dealt.mapInArrow(owner_scores(uni, root), f"bucket bigint, {schema}, part binary, tail bigint")
+    rows = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_parts, schema)
     return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
-                       F.lit(size["tokens"]).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+                       F.lit(size["tokens"]).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"),
+                       F.col("s").alias("score"))
 
 
 def _group_mass(uni: Unigrams, spark) -> np.ndarray:
