@@ -59,7 +59,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dictionary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(gram): the most frequent four-letter stretches of lower-case words, from a bounded hash sample of texts."""
-    some = docs.select(F.xxhash64(docs[id_col]).alias("k"), docs[text_col].alias("t")).orderBy("k").limit(DICTIONARY_ROWS)
+    key = F.xxhash64(docs[id_col])
+    top = docs.select(key.alias("k")).orderBy("k").limit(DICTIONARY_ROWS).agg(F.max("k")).first()[0]    # ids only
+    some = docs.where(key <= F.lit(top).cast("bigint")).select(docs[text_col].alias("t"))
     words = some.select(F.explode(F.regexp_extract_all("t", F.lit(r"\b[a-z]{4,}\b"), F.lit(0))).alias("w"))
     grams = words.select(F.explode(_grams(F.col("w"))).alias("gram"))
     return grams.groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(DICTIONARY_GRAMS).select("gram")
