@@ -49,8 +49,8 @@ class TriageConfig:
     max_tokens: int = MAX_TOKENS
     train_batch: int = TRAIN_BATCH
     infer_batch: int = INFER_BATCH
-    min_df: int = 2
-    max_vocab: int = 2000
+    min_df: int = 1
+    max_vocab: int | None = None     # every token
     smoothing: float = 1.0
     background_mu: float = 1000.0
     on_singleton: str = "error"   # or "train"

@@ -9,10 +9,15 @@ from .naive_bayes import NBModel
 from ..functions.text import softmax
 
 
-def answer_map(model: NBModel, scored: DataFrame, id_col: str = "doc_id", digits: int = 6) -> DataFrame:
-    """M6: ``(id, answer MAP<STRING, DOUBLE>)`` in label-id order, for every row."""
+def answer_map(model: NBModel, scored: DataFrame, id_col: str = "doc_id", digits: int | None = None) -> DataFrame:
+    """M6: ``(id, answer MAP<STRING, DOUBLE>)`` in label-id order, for every row.
+
+    Probabilities keep full precision unless ``digits`` asks for rounding.
+    """
     ints = F.array(*[F.lit(x) for x in model.intents])
-    p = F.transform(softmax("scores"), lambda x: F.round(x, digits).cast("double"))
+    p = softmax("scores")
+    if digits is not None:
+        p = F.transform(p, lambda x: F.round(x, digits).cast("double"))
     return scored.select(id_col, F.map_from_arrays(ints, p).alias("answer"))
 
 

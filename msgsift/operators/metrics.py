@@ -105,9 +105,10 @@ def truth_probability(proba_long: DataFrame, truth: DataFrame, id_col: str = "do
             .drop("p"))
 
 
-def mean_loss(p_true: DataFrame, batch_col: str = "batch_id") -> DataFrame:
-    """Cross-entropy per batch, summed over batches / number of batches."""
-    per_batch = p_true.groupBy(batch_col).agg(F.avg(-F.log(F.col("p_true"))).alias("loss"))
+def mean_loss(rows: DataFrame, batch_col: str = "batch_id") -> DataFrame:
+    """Cross-entropy per batch, summed over batches / number of batches, from a ``loss`` (or ``p_true``) column."""
+    loss = F.col("loss") if "loss" in rows.columns else -F.log(F.col("p_true"))
+    per_batch = rows.groupBy(batch_col).agg(F.avg(loss).alias("loss"))
     return per_batch.agg(F.avg("loss").alias("mean_loss"), F.count(F.lit(1)).alias("n_batches"))
 
 

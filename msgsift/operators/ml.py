@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import TOKEN_SPLIT
 
 
-def lr_pipeline(max_vocab: int = 2000, min_df: int = 2, max_iter: int = 50, reg: float = 0.01) -> Pipeline:
+def lr_pipeline(max_vocab: int = 1 << 24, min_df: int = 1, max_iter: int = 50, reg: float = 0.01) -> Pipeline:
     tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=TOKEN_SPLIT, gaps=True,
                          toLowercase=True, minTokenLength=1)
     cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=max_vocab, minDF=float(min_df))

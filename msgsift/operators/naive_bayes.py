@@ -6,7 +6,7 @@ document counts. The model is
 * ``classes``: one row per class ``(label, intent, n_docs, n_tokens, log_prior)``,
   collected to the driver (its size is the class count);
 * ``weights``: one row per vocabulary token with a dense array of
-  ``log p(token | class)`` over the classes (at most ``max_vocab`` rows).
+  ``log p(token | class)`` over the classes.
 
 Scoring joins each token occurrence of a text to its weight row and sums the
 arrays per text with partial (map-side) aggregation: one shuffle on the text
@@ -87,7 +87,7 @@ def _dense(count_map, labels: list[int], numer_add, denom: list[float]):
 
 def train_nb(train: DataFrame, vocab: DataFrame | None = None, id_col: str = "doc_id",
              text_col: str = "text", label_col: str = "label", intent_col: str = "intent",
-             smoothing: float = 1.0, min_df: int = 2, max_vocab: int = 2000,
+             smoothing: float = 1.0, min_df: int = 1, max_vocab: int | None = None,
              background: DataFrame | None = None, mu: float = 1000.0) -> NBModel:
     """M1 (and M3 when ``background`` texts are given).
 
@@ -100,12 +100,11 @@ def train_nb(train: DataFrame, vocab: DataFrame | None = None, id_col: str = "do
     if background is not None:
         src = src.unionByName(background.select(F.lit(None).cast("int").alias(label_col), text_col))
     stats = materialize(token_stats(src, text_col, [label_col]), "nb-token-stats")
+    every = vocab is None and min_df <= 1 and max_vocab is None      # then all counted tokens are known
     if vocab is None:
         vocab = vocab_from_stats(stats, min_df, max_vocab)
-    # model tables are small (<= max_vocab x classes rows): write them once
     vocab = materialize(vocab, "nb-vocab")
-    lut = F.broadcast(vocab.select("token"))          # <= max_vocab rows
-    known = stats.join(lut, "token")
+    known = stats if every else stats.join(vocab.select("token"), "token")
     counts = materialize(known.where(F.col(label_col).isNotNull())
                          .select("token", label_col, F.col("tf").alias("n_tc")), "nb-counts")
     labels, intents, prior, ntok = _class_arrays(train, counts, label_col, intent_col)
@@ -211,12 +210,14 @@ def score(model: NBModel, df: DataFrame, id_col: str = "doc_id", text_col: str =
     fast = _lookup_score(model, df, cols, text_col, lookup_bytes)
     if fast is not None:
         return fast
-    toks = df.select(*cols, F.explode_outer(token_array(text_col)).alias("token"))
+    # a row key keeps rows that share an id apart, as the in-batch path does
+    toks = (df.select(*cols, F.monotonically_increasing_id().alias("_row"), text_col)
+            .select(*cols, "_row", F.explode_outer(token_array(text_col)).alias("token")))
     w = model.weights.select("token", "w")
     if model.vocab_size * max(c, 1) * 8 <= broadcast_bytes:
         w = F.broadcast(w)
     j = toks.join(w, "token", "left")
-    sums = j.groupBy(*cols).agg(*[F.sum(F.col("w")[k]).alias(f"_s{k}") for k in range(c)])
+    sums = j.groupBy(*cols, "_row").agg(*[F.sum(F.col("w")[k]).alias(f"_s{k}") for k in range(c)])
     prior = model.log_prior
     scores = F.array(*[F.lit(prior[k]) + F.coalesce(F.col(f"_s{k}"), F.lit(0.0)) for k in range(c)])
     return sums.select(*cols, scores.alias("scores"))
@@ -247,6 +248,19 @@ def truth_probability(model: NBModel, pred: DataFrame, id_col: str = "doc_id",
                        F.greatest(F.coalesce(p, F.lit(LOG_FLOOR)), F.lit(LOG_FLOOR)).alias("p_true"))
 
 
+def truth_loss(model: NBModel, pred: DataFrame, id_col: str = "doc_id", label_col: str = "label") -> DataFrame:
+    """``(id, label, loss)``: cross-entropy ``logsumexp(scores) - scores[true]`` per row, never clamped.
+
+    Only a true class the model never saw has no score; it gets ``-ln(LOG_FLOOR)``.
+    """
+    lab = F.array(*[F.lit(x) for x in model.labels])
+    k = F.array_position(lab, F.col(label_col)).cast("int")      # 0 when absent
+    top = F.array_max("scores")
+    lse = top + F.log(F.aggregate("scores", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    own = F.when(k > 0, lse - F.element_at("scores", F.greatest(k, F.lit(1))))
+    return pred.select(id_col, label_col, F.coalesce(own, F.lit(-math.log(LOG_FLOOR))).alias("loss"))
+
+
 def long_form(model: NBModel, scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """D8 long form ``(id, label, intent, score, p)``, one row per class."""
     with_p = scored.withColumn("proba", softmax("scores"))

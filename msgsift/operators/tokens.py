@@ -7,12 +7,13 @@ model-input width: a longer text becomes several chunks of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BOS_ID, EOS_ID, FIRST_TOKEN_ID, MAX_TOKENS, PAD_ID, UNK_ID
 from ..functions.text import token_array
 from ..session import materialize
+from .ranking import bucketed_rank
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -27,33 +28,38 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .withColumn("pos", F.col("pos").cast("bigint")))
 
 
-def build_vocab(tokens: DataFrame, id_col: str = "doc_id", min_df: int = 2,
-                max_vocab: int = 2000) -> DataFrame:
-    """``(token, token_id, df, tf)``.
+def build_vocab(tokens: DataFrame, id_col: str = "doc_id", min_df: int = 1,
+                max_vocab: int | None = None) -> DataFrame:
+    """``(token, token_id, df, tf)``, every token by default.
 
-    Document frequency >= ``min_df``; the ``max_vocab`` most frequent tokens
-    (tf desc, token asc) get ids from 4 on. The cap is the vocabulary size of
-    the model; ``orderBy().limit()`` plans as a distributed top-k.
+    Ids go from 4 on by falling frequency (tf desc, token asc). ``min_df``
+    and ``max_vocab`` (the most frequent tokens only, planned as a
+    distributed top-k) are there for models that want a smaller vocabulary.
     """
     pairs = tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("_tf"))
     return vocab_from_pairs(pairs, "_tf", min_df, max_vocab)
 
 
-def vocab_from_pairs(pairs: DataFrame, tf_col: str = "tf", min_df: int = 2, max_vocab: int = 2000) -> DataFrame:
+def vocab_from_pairs(pairs: DataFrame, tf_col: str = "tf", min_df: int = 1,
+                     max_vocab: int | None = None) -> DataFrame:
     """T3 from per-(text, token) counts: one row per pair, so ``df = count``."""
     stats = pairs.groupBy("token").agg(F.sum(tf_col).alias("tf"), F.count(F.lit(1)).alias("df"))
     return _top(stats, min_df, max_vocab)
 
 
-def _top(stats: DataFrame, min_df: int, max_vocab: int) -> DataFrame:
-    top = stats.where(F.col("df") >= min_df).orderBy(F.desc("tf"), F.asc("token")).limit(max_vocab)
-    w = Window.orderBy(F.desc("tf"), F.asc("token"))   # <= max_vocab rows
-    return top.withColumn("token_id", (F.row_number().over(w) - 1 + FIRST_TOKEN_ID).cast("int"))\
-        .select("token", "token_id", "df", "tf")
+def _top(stats: DataFrame, min_df: int, max_vocab: int | None) -> DataFrame:
+    top = stats.where(F.col("df") >= min_df) if min_df > 1 else stats
+    if max_vocab is not None:
+        top = top.orderBy(F.desc("tf"), F.asc("token")).limit(max_vocab)
+    # ranks inside (frequency, first two characters) ranges: no global sort in one task
+    keyed = materialize(top.withColumn("_neg", -F.col("tf")), "vocab-stats")   # the rank reads it twice
+    bucket = F.struct("_neg", F.substring("token", 1, 2).alias("_head"))
+    ranked = bucketed_rank(keyed, ["_neg", "token"], bucket, rank_col="_rank")
+    return ranked.select("token", (F.col("_rank") - 1 + FIRST_TOKEN_ID).cast("int").alias("token_id"), "df", "tf")
 
 
-def vocab_from_texts(df: DataFrame, text_col: str = "text", min_df: int = 2,
-                     max_vocab: int = 2000) -> DataFrame:
+def vocab_from_texts(df: DataFrame, text_col: str = "text", min_df: int = 1,
+                     max_vocab: int | None = None) -> DataFrame:
     """T3 straight from texts with ONE aggregation on ``token``.
 
     Each text is tokenised once and contributes one row per token occurrence
@@ -84,7 +90,7 @@ def token_stats(df: DataFrame, text_col: str = "text", by: list[str] | None = No
                                           F.sum("_d").cast("bigint").alias("df"))
 
 
-def vocab_from_stats(stats: DataFrame, min_df: int = 2, max_vocab: int = 2000) -> DataFrame:
+def vocab_from_stats(stats: DataFrame, min_df: int = 1, max_vocab: int | None = None) -> DataFrame:
     """T3 from per-(token, group) stats: sums over the groups (a text is in one group)."""
     per_token = stats.groupBy("token").agg(F.sum("tf").cast("bigint").alias("tf"),
                                            F.sum("df").cast("bigint").alias("df"))
@@ -92,21 +98,26 @@ def vocab_from_stats(stats: DataFrame, min_df: int = 2, max_vocab: int = 2000) -
 
 
 def token_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Token -> id through the vocabulary (broadcast: at most ``max_vocab`` rows);
-    unknown tokens get id 3."""
-    lut = F.broadcast(vocab.select("token", "token_id"))
+    """Token -> id through the vocabulary; unknown tokens get id 3.
+
+    No broadcast hint: Catalyst broadcasts a vocabulary under its threshold
+    and joins a bigger one by shuffle, where AQE splits frequent tokens.
+    """
+    lut = vocab.select("token", "token_id")
     return tokens.join(lut, "token", "left").withColumn(
         "token_id", F.when(F.col("token").isNull(), F.lit(None).cast("int"))
         .otherwise(F.coalesce(F.col("token_id"), F.lit(UNK_ID))))
 
 
-def chunk_ids(ids: DataFrame, id_col: str = "doc_id", max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``(id, chunk, ids, n_tokens)`` with at most ``max_tokens-2`` ids per chunk."""
+def chunk_ids(ids: DataFrame, id_col: str = "doc_id", max_tokens: int = MAX_TOKENS,
+              extra: list[str] | None = None) -> DataFrame:
+    """``(id, *extra, chunk, ids, n_tokens)`` with at most ``max_tokens-2`` ids per chunk."""
+    keys = [id_col, *(extra or [])]
     body = max_tokens - 2
     rows = ids.withColumn("chunk", F.coalesce(F.expr(f"pos div {body}"), F.lit(0)).cast("bigint"))
-    grouped = rows.groupBy(id_col, "chunk").agg(
+    grouped = rows.groupBy(*keys, "chunk").agg(
         F.collect_list(F.when(F.col("token_id").isNotNull(), F.struct("pos", "token_id"))).alias("_p"))
-    return grouped.select(id_col, "chunk",
+    return grouped.select(*keys, "chunk",
                           F.transform(F.array_sort("_p"), lambda s: s["token_id"]).alias("ids"))\
         .withColumn("n_tokens", F.size("ids").cast("bigint"))
 
@@ -174,7 +185,7 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: st
     """Texts -> ``(id, chunk, input_ids, attention_mask, n_tokens)``.
 
     Ids come from :func:`lookup_ids` (no shuffle) when the vocabulary fits the
-    bound, else from a broadcast/shuffle join on token regrouped per chunk.
+    bound, else from a join on token regrouped per row and chunk: the same chunks.
 
     ``pad_to="longest"`` pads to the longest example of this set (one small
     aggregate); ``"max_len"`` pads to ``max_tokens`` without the extra pass.
@@ -183,7 +194,9 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: st
     if looked_up is not None:   # narrow: no shuffle of token ids
         chunks = chunk_arrays(looked_up, id_col, max_tokens)
     else:                       # vocabulary too big to ship: join on token, regroup per chunk
-        chunks = chunk_ids(token_ids(tokenize(df, id_col, text_col, keep_empty=True), vocab), id_col, max_tokens)
+        rows = df.withColumn("_row", F.monotonically_increasing_id())   # rows that share an id stay apart
+        toks = tokenize(rows, id_col, text_col, keep_empty=True, extra=["_row"])
+        chunks = chunk_ids(token_ids(toks, vocab), id_col, max_tokens, ["_row"]).drop("_row")
     if pad_to == "longest":
         # written once: the width aggregate and the padded output both read it
         chunks = materialize(chunks, "encoded-chunks")

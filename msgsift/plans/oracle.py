@@ -90,7 +90,7 @@ def vocab_cte(name: str, src: str) -> str:
 {name} AS (
   SELECT token, CAST(row_number() OVER (ORDER BY tf DESC, token) + 3 AS BIGINT) AS token_id,
          CAST(df AS BIGINT) AS df, CAST(tf AS BIGINT) AS tf
-  FROM (SELECT * FROM {name}_stat WHERE df >= 2 ORDER BY tf DESC, token LIMIT 2000))"""
+  FROM {name}_stat)"""
 
 
 TTOK = f"ttok AS (SELECT doc_id, intent, unnest({toks('text')}) AS token FROM trn)"
@@ -184,7 +184,7 @@ pc AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall /
                CASE WHEN predicted > 0 THEN tp::DOUBLE / predicted ELSE 0.0 END AS precision,
                CASE WHEN support > 0 THEN tp::DOUBLE / support ELSE 0.0 END AS recall FROM pc0))"""
 
-VAL_BATCH = """vb AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch_id FROM pj),
+VAL_BATCH = f"""vb AS (SELECT *, (row_number() OVER (ORDER BY {hk(42, '0', 'doc_id')}, doc_id) - 1) // 8 AS batch_id FROM pj),
 bconf AS (SELECT batch_id, y, yhat, count(*) AS n FROM vb GROUP BY batch_id, y, yhat),
 bpc0 AS (SELECT batch_id, cls, sum(tp) AS tp, sum(support) AS support, sum(predicted) AS predicted FROM (
     SELECT batch_id, y AS cls, CASE WHEN y = yhat THEN n ELSE 0 END AS tp, n AS support, 0 AS predicted FROM bconf
@@ -205,13 +205,19 @@ WHOLE = """whole AS (SELECT sum(tp)::DOUBLE / sum(support) AS accuracy,
               sum(recall * support) / sum(support) AS recall,
               sum(f1 * support) / sum(support) AS f1 FROM pc)"""
 
-LOSSES = f"""vloss_rows AS (
-  SELECT t.doc_id, greatest(coalesce(p.p, 1e-6), 1e-6) AS pt,
-         (row_number() OVER (ORDER BY t.doc_id) - 1) // 64 AS batch_id
-  FROM tst t LEFT JOIN proba p ON p.doc_id = t.doc_id AND p.intent = t.intent),
+LSE = """lse AS (SELECT s.doc_id, max(m) + ln(sum(exp(s.score - m))) AS z
+  FROM scores s JOIN (SELECT doc_id, max(score) AS m FROM scores GROUP BY doc_id) x ON s.doc_id = x.doc_id
+  GROUP BY s.doc_id)"""
+
+LOSSES = f"""{LSE},
+vloss_rows AS (
+  SELECT t.doc_id, coalesce(z.z - p.score, -ln(1e-6)) AS loss,
+         (row_number() OVER (ORDER BY {hk(42, '0', 't.doc_id')}, t.doc_id) - 1) // 8 AS batch_id
+  FROM tst t JOIN lse z ON z.doc_id = t.doc_id
+  LEFT JOIN scores p ON p.doc_id = t.doc_id AND p.intent = t.intent),
 losses AS (
   SELECT 'validation' AS part, avg(l) AS mean_loss, count(*) AS n_batches
-  FROM (SELECT batch_id, avg(-ln(pt)) AS l FROM vloss_rows GROUP BY batch_id))"""
+  FROM (SELECT batch_id, avg(loss) AS l FROM vloss_rows GROUP BY batch_id))"""
 
 
 def train_score_sql(select: str, extra: tuple[str, ...] = ()) -> str:
@@ -221,12 +227,13 @@ def train_score_sql(select: str, extra: tuple[str, ...] = ()) -> str:
 
 
 def _train_loss_ctes() -> tuple[str, ...]:
-    return (f"""tl_rows AS (
-  SELECT t.doc_id, greatest(coalesce(p.p, 1e-6), 1e-6) AS pt,
+    return (LSE, f"""tl_rows AS (
+  SELECT t.doc_id, coalesce(z.z - p.score, -ln(1e-6)) AS loss,
          (row_number() OVER (ORDER BY {hk(42, '0', 't.doc_id')}, t.doc_id) - 1) // 8 AS batch_id
-  FROM trn t LEFT JOIN proba p ON p.doc_id = t.doc_id AND p.intent = t.intent)""",
+  FROM trn t JOIN lse z ON z.doc_id = t.doc_id
+  LEFT JOIN scores p ON p.doc_id = t.doc_id AND p.intent = t.intent)""",
             """tloss AS (SELECT 'train' AS part, avg(l) AS mean_loss, count(*) AS n_batches
-  FROM (SELECT batch_id, avg(-ln(pt)) AS l FROM tl_rows GROUP BY batch_id))""")
+  FROM (SELECT batch_id, avg(loss) AS l FROM tl_rows GROUP BY batch_id))""")
 
 
 def _mlm_ctes() -> str:
@@ -456,6 +463,6 @@ FROM lab l LEFT JOIN top1 p ON l.doc_id = p.doc_id""")
 SELECT intent, CAST(row_number() OVER (ORDER BY intent) - 1 AS BIGINT) AS corresponding_label
 FROM (SELECT DISTINCT intent FROM lab)"""
     q["split_roundtrip"] = _with(LAB, LABTAB, SPLIT) + \
-        "SELECT doc_id, label, part, CAST(length(text) AS BIGINT) AS n_chars FROM split"
+        "SELECT doc_id, label, part, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM split"
     q["model_roundtrip"] = q["nb_predict"]
     return q

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from ..config import TriageConfig
 from ..operators import metrics as met
 from ..operators.answers import answer_json, answer_map
-from ..operators.batching import ordered_batches
+from ..operators.batching import shuffled_batches
 from ..operators.clean import drop_missing, normalize_na, select_feature, validate
 from ..operators.labels import encode, label_map, table_from_counts
-from ..operators.naive_bayes import NBModel, predict, score, train_nb, truth_probability
+from ..operators.naive_bayes import NBModel, predict, score, train_nb, truth_loss
 from ..operators.split import stratified_split, three_way_split
 from ..session import materialize
 from ..sinks.files import load_model, save_model, write_answers, write_label_map, write_predictions, write_split
@@ -40,6 +40,11 @@ def prepare_scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     "text", None, on_bad="error")
 
 
+def _val_batches(df: DataFrame, cfg: TriageConfig) -> DataFrame:
+    """Validation batches have the training size and are shuffled."""
+    return shuffled_batches(df.withColumn("epoch", F.lit(0)), "doc_id", cfg.train_batch, cfg.seed, "epoch", n_epochs=1)
+
+
 @dataclass
 class TrainResult:
     model: NBModel
@@ -70,10 +75,9 @@ def train(labelled: DataFrame, cfg: TriageConfig = TriageConfig(), out_dir: str
                        "val-pred")
     j = pred.select("doc_id", F.col("intent").alias("y"), "label", F.col("pred_intent").alias("yhat"))
     whole = met.weighted_prf(j)
-    batch = met.batch_mean(ordered_batches(j, "doc_id", 64)).select(
+    batch = met.batch_mean(_val_batches(j, cfg)).select(
         *[F.col(c).alias(f"batch_{c}") for c in ("accuracy", "precision", "recall", "f1")])
-    pt = truth_probability(model, pred)
-    loss = met.mean_loss(ordered_batches(pt, "doc_id", 64)).select(F.col("mean_loss").alias("val_loss"))
+    loss = met.mean_loss(_val_batches(truth_loss(model, pred), cfg)).select(F.col("mean_loss").alias("val_loss"))
     metrics = (whole.withColumn("_k", F.lit(1)).join(batch.withColumn("_k", F.lit(1)), "_k")
                .join(loss.withColumn("_k", F.lit(1)), "_k").drop("_k")
                .withColumn("version", F.lit(version)))   # one-row aggregates joined on a constant key
@@ -94,7 +98,12 @@ def evaluate(spark: SparkSession, model_path: str, test: DataFrame, out_dir: str
         write_predictions(pred, f"{out_dir}/predicted_label_on_test")
     lut = spark.createDataFrame(list(zip(model.labels, model.intents)), "label INT, intent STRING")
     truth = test.join(F.broadcast(lut), "label", "left").select("doc_id", F.col("intent").alias("y"))
-    j = truth.join(pred.select("doc_id", F.col("pred_intent").alias("yhat")), "doc_id")
+    if not truth.where(F.col("y").isNull()).isEmpty():
+        raise ValueError("the test part has a label the model does not know")
+    # Every test row has its prediction and no other
+    j = truth.join(pred.select("doc_id", F.col("pred_intent").alias("yhat")), "doc_id", "full_outer")
+    if not j.where(F.col("y").isNull() | F.col("yhat").isNull()).isEmpty():
+        raise ValueError("test rows and predictions do not align")
     return met.report(j)
 
 

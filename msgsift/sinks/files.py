@@ -21,7 +21,8 @@ def write_split(split: DataFrame, path: str, fmt: str = "parquet", part_col: str
     cols = ["doc_id", "text", F.col("label").cast("int").alias("label"), part_col]
     w = split.select(*cols).write.mode("overwrite").partitionBy(part_col)
     if fmt == "csv":
-        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        (w.option("header", True).option("quote", '"').option("escape", '"')       # texts keep their edge whitespace
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.parquet(path)
 
