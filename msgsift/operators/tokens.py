@@ -7,7 +7,7 @@ model-input width: a longer text becomes several chunks of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BOS_ID, EOS_ID, FIRST_TOKEN_ID, MAX_TOKENS, PAD_ID, UNK_ID
@@ -51,10 +51,13 @@ def _top(stats: DataFrame, min_df: int, max_vocab: int | None) -> DataFrame:
     top = stats.where(F.col("df") >= min_df) if min_df > 1 else stats
     if max_vocab is not None:
         top = top.orderBy(F.desc("tf"), F.asc("token")).limit(max_vocab)
-    # ranks inside (frequency, first two characters) ranges: no global sort in one task
-    keyed = materialize(top.withColumn("_neg", -F.col("tf")), "vocab-stats")   # the rank reads it twice
-    bucket = F.struct("_neg", F.substring("token", 1, 2).alias("_head"))
-    ranked = bucketed_rank(keyed, ["_neg", "token"], bucket, rank_col="_rank")
+        w = Window.orderBy(F.desc("tf"), F.asc("token"))   # <= max_vocab rows
+        ranked = top.withColumn("_rank", F.row_number().over(w))
+    else:
+        # ranks inside (frequency, first two characters) ranges: no global sort in one task
+        keyed = materialize(top.withColumn("_neg", -F.col("tf")), "vocab-stats")   # the rank reads it twice
+        bucket = F.struct("_neg", F.substring("token", 1, 2).alias("_head"))
+        ranked = bucketed_rank(keyed, ["_neg", "token"], bucket, rank_col="_rank")
     return ranked.select("token", (F.col("_rank") - 1 + FIRST_TOKEN_ID).cast("int").alias("token_id"), "df", "tf")
 
 
