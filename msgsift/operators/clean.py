@@ -31,13 +31,14 @@ def select_feature(df: DataFrame, feature: str = "Original Text", label: str = "
 
 
 def validate(df: DataFrame, text_col: str = "text", label_col: str | None = "intent",
-             on_bad: str = "error") -> DataFrame | tuple[DataFrame, DataFrame]:
-    """A null/empty feature or null label is invalid.
+             on_bad: str = "error", allow_empty: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """A null/empty feature (null only with ``allow_empty``) or a null/empty label is invalid.
 
     ``on_bad="error"`` fails the job at the first bad row (``raise_error``);
     ``"quarantine"`` returns ``(good, rejected)`` with a ``reason`` column.
     """
-    reason = F.when(F.col(text_col).isNull() | (F.col(text_col) == ""), F.lit("feature"))
+    missing = F.col(text_col).isNull()
+    reason = F.when(missing if allow_empty else missing | (F.col(text_col) == ""), F.lit("feature"))
     if label_col is not None:
         reason = reason.when(F.col(label_col).isNull() | (F.col(label_col) == ""), F.lit("label"))
     tagged = df.withColumn("reason", reason)

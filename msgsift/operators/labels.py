@@ -44,6 +44,14 @@ def small(table: DataFrame, limit: int = 100_000) -> DataFrame:
     return F.broadcast(table) if n <= limit else table
 
 
+def class_counts(df: DataFrame, label_col: str = "intent", limit: int = 100_000) -> list[tuple]:
+    """``[(intent, n)]``, one row per class, for the driver; more than ``limit`` classes fail."""
+    rows = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} classes: class tables are held on the driver")
+    return [tuple(r) for r in rows]
+
+
 def table_from_counts(spark, class_counts: list[tuple]) -> DataFrame:
     """L2 from collected ``[(intent, n)]`` (one row per class): a local table."""
     intents = sorted(k for k, _ in class_counts if k is not None)

@@ -24,6 +24,7 @@ Zhai & Lafferty 2001).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -43,7 +44,7 @@ SCORE_SLICE_TOKENS = 1 << 20   # tokens per bincount slice (bounds task memory)
 class NBModel:
     weights: DataFrame                 # (token, w array<double>)
     counts: DataFrame                  # (token, label, n_tc) non-zero pairs
-    vocab: DataFrame                   # (token, token_id, df, tf)
+    vocab: DataFrame | Callable        # (token, token_id, df, tf), or a function building it on first use
     labels: list[int]                  # class label ids, array position = class index
     intents: list[str]
     log_prior: list[float]
@@ -56,13 +57,19 @@ class NBModel:
     def n_classes(self) -> int:
         return len(self.labels)
 
+    def vocabulary(self) -> DataFrame:
+        """The vocabulary table; scoring needs no token ids, so they are ranked only when asked for."""
+        if not isinstance(self.vocab, DataFrame):
+            self.vocab = self.vocab()
+        return self.vocab
+
     def classes(self, spark) -> DataFrame:
         rows = list(zip(self.labels, self.intents, self.n_tokens, self.log_prior))
         return spark.createDataFrame(rows, "label INT, intent STRING, n_tokens BIGINT, log_prior DOUBLE")
 
 
 def _class_arrays(train: DataFrame, counts: DataFrame, label_col: str, intent_col: str):
-    """Collect the per-class table (one row per class)."""
+    """Collect the per-class table (one row per class); ``train`` needs the two class columns only."""
     docs = train.groupBy(label_col, intent_col).agg(F.count(F.lit(1)).alias("n_docs"))
     toks = counts.groupBy(label_col).agg(F.sum("n_tc").alias("n_tok"))
     rows = (docs.join(toks, label_col, "left").orderBy(label_col)
@@ -88,42 +95,52 @@ def _dense(count_map, labels: list[int], numer_add, denom: list[float]):
 def train_nb(train: DataFrame, vocab: DataFrame | None = None, id_col: str = "doc_id",
              text_col: str = "text", label_col: str = "label", intent_col: str = "intent",
              smoothing: float = 1.0, min_df: int = 1, max_vocab: int | None = None,
-             background: DataFrame | None = None, mu: float = 1000.0) -> NBModel:
+             background: DataFrame | None = None, mu: float = 1000.0,
+             members: DataFrame | None = None) -> NBModel:
     """M1 (and M3 when ``background`` texts are given).
 
+    ``members`` may give the ``(label, intent)`` rows of ``train`` without the
+    texts, so counting the classes does not touch the text table.
+
     One tokenising pass over the training (and background) texts gives
     ``(token, label, tf, df)`` with a null label for background texts; it is
-    written once, and the vocabulary, the token-class counts and the
-    background counts are all read from it.
+    written once, and the token-class counts, the background counts, the
+    weights and (when asked for) the vocabulary are all read from it.
     """
     src = train.select(F.col(label_col).cast("int").alias(label_col), text_col)
     if background is not None:
         src = src.unionByName(background.select(F.lit(None).cast("int").alias(label_col), text_col))
     stats = materialize(token_stats(src, text_col, [label_col]), "nb-token-stats")
     every = vocab is None and min_df <= 1 and max_vocab is None      # then all counted tokens are known
-    if vocab is None:
-        vocab = vocab_from_stats(stats, min_df, max_vocab)
-    vocab = materialize(vocab, "nb-vocab")
-    known = stats if every else stats.join(vocab.select("token"), "token")
-    counts = materialize(known.where(F.col(label_col).isNotNull())
-                         .select("token", label_col, F.col("tf").alias("n_tc")), "nb-counts")
-    labels, intents, prior, ntok = _class_arrays(train, counts, label_col, intent_col)
-    v = vocab.count()
-    per_token = counts.groupBy("token").agg(
-        F.map_from_entries(F.collect_list(F.struct(label_col, "n_tc"))).alias("_m"))
-    base = vocab.select("token").join(per_token, "token", "left")
+    if every:
+        def vocab():
+            return materialize(vocab_from_stats(stats), "nb-vocab")
+        known, tokens = stats, None
+        v = stats.select("token").distinct().count()
+    else:
+        vocab = materialize(vocab_from_stats(stats, min_df, max_vocab) if vocab is None else vocab, "nb-vocab")
+        tokens = vocab.select("token")
+        known = materialize(stats.join(tokens, "token"), "nb-known")
+        v = vocab.count()
+    counts = known.where(F.col(label_col).isNotNull()).select("token", label_col, F.col("tf").alias("n_tc"))
+    labels, intents, prior, ntok = _class_arrays(train if members is None else members, counts, label_col, intent_col)
+    # one row per token: its class counts (at most one entry per class) and its background count
+    in_class = F.when(F.col(label_col).isNotNull(), F.struct(F.col(label_col).alias("label"), F.col("tf").alias("n_tc")))
+    base = known.groupBy("token").agg(F.map_from_entries(F.collect_list(in_class)).alias("_m"),
+                                      F.max(F.when(F.col(label_col).isNull(), F.col("tf"))).alias("c_bg"))
+    if tokens is not None:      # a given vocabulary may hold tokens that no text has
+        base = tokens.join(base, "token", "left")
     if background is None:
         denom = [math.log(n + smoothing * v) for n in ntok]
         w = _dense(F.col("_m"), labels, F.lit(float(smoothing)), denom)
         weights = materialize(base.select("token", w.alias("w")), "nb-weights")
         kind, params = "add_one", {"smoothing": smoothing}
     else:
-        bg = known.where(F.col(label_col).isNull()).select("token", F.col("tf").alias("c_bg"))
-        n_bg = bg.agg(F.sum("c_bg")).first()[0] or 0
+        n_bg = known.where(F.col(label_col).isNull()).agg(F.sum("tf")).first()[0] or 0
         p_bg = (F.coalesce(F.col("c_bg"), F.lit(0)) + 1.0) / F.lit(float(n_bg + v))
         denom = [math.log(n + mu) for n in ntok]
         w = _dense(F.col("_m"), labels, F.lit(float(mu)) * F.col("_p"), denom)
-        weights = (base.join(bg, "token", "left").withColumn("_p", p_bg)
+        weights = (base.withColumn("_p", p_bg)
                    .select("token", w.alias("w"), F.col("_p").alias("p_bg")))
         weights = materialize(weights, "nb-weights")
         kind, params = "background", {"mu": mu, "n_bg": int(n_bg)}
@@ -147,7 +164,8 @@ def batch_scorer(model: NBModel, max_bytes: int | None = None):
     ``max_bytes``) travels with the tasks. Per batch, one vectorised hash
     lookup (``pyarrow.compute.index_in``) finds each token's row, and the
     per-text sums are ``np.bincount`` per class over slices of at most
-    ``2^20`` tokens, so task memory stays bounded however long the texts.
+    ``2^20`` tokens. A task holds one Arrow batch of tokens at a time (Spark
+    bounds its rows and bytes; one text is never cut).
     """
     import numpy as np
     import pyarrow as pa

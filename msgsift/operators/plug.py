@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..config import FIRST_TOKEN_ID
-from ..functions.text import argmax
+from ..functions.text import argmax, softmax
 from .naive_bayes import NBModel
 
 
@@ -31,7 +31,7 @@ def nb_batch_model(model: NBModel, max_bytes: int = 256 << 20):
     size = (FIRST_TOKEN_ID + model.vocab_size) * max(model.n_classes, 1) * 8
     if size > max_bytes:
         raise ValueError(f"weight matrix of {size} bytes exceeds {max_bytes}; score with naive_bayes.score")
-    rows = (model.weights.join(model.vocab.select("token", "token_id"), "token")
+    rows = (model.weights.join(model.vocabulary().select("token", "token_id"), "token")
             .select("token_id", "w").collect())
     c = model.n_classes
     mat = np.zeros((FIRST_TOKEN_ID + model.vocab_size, c), dtype=np.float64)
@@ -57,3 +57,17 @@ def score_batches(encoded: DataFrame, make_fn, width: int, batch_size: int = 128
                             input_tensor_shapes=[[width], [width]])
     out = encoded.withColumn("scores", udf(F.col("input_ids"), F.col("attention_mask")))
     return out.select(*key_cols, "scores", argmax("scores").alias("pred_index"))
+
+
+def score_messages(chunk_scores: DataFrame, prior: list[float], id_col: str = "doc_id") -> DataFrame:
+    """One answer per message from its chunks: ``(id, scores, pred_index, p_top)``.
+
+    Chunk scores are log joints that each hold the class log ``prior``; they are
+    summed per message (partial aggregation) with the prior counted once.
+    """
+    c = len(prior)
+    sums = chunk_scores.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"),
+                                            *[F.sum(F.col("scores")[k]).alias(f"_s{k}") for k in range(c)])
+    scores = F.array(*[F.col(f"_s{k}") - (F.col("_n") - 1) * F.lit(float(prior[k])) for k in range(c)])
+    out = sums.select(id_col, scores.alias("scores")).withColumn("pred_index", argmax("scores"))
+    return out.withColumn("p_top", F.element_at(softmax("scores"), F.col("pred_index") + 1))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..config import HELD_OUT_SHARE, SEED
 from ..functions.keys import hash_key
 from ..functions.keys import hash_bucket
+from .labels import class_counts as count_classes
 from .ranking import DEFAULT_BITS
 
 
@@ -95,7 +96,7 @@ def stratified_split(df: DataFrame, label_col: str = "intent", id_col: str = "do
     quota arithmetic.
     """
     if class_counts is None:   # one row per class
-        class_counts = [tuple(r) for r in df.groupBy(label_col).agg(F.count(F.lit(1))).collect()]
+        class_counts = count_classes(df, label_col)
     counts = df.sparkSession.createDataFrame([(k, int(n)) for k, n in class_counts],
                                              f"`{label_col}` STRING, n_c BIGINT")
     n_single = sum(1 for _, n in class_counts if n == 1)
@@ -156,7 +157,7 @@ def three_way_split(df: DataFrame, label_col: str = "intent", id_col: str = "doc
     """
     first = stratified_split(df, label_col, id_col, test_share, seed, on_singleton, bits, "_p1")
     train = first.where(F.col("_p1") == "train").drop("_p1")
-    counts = [tuple(r) for r in train.groupBy(label_col).agg(F.count(F.lit(1))).collect()]   # one per class
+    counts = count_classes(train, label_col)
     second = stratified_split(train, label_col, id_col, val_share, seed + 1, on_singleton, bits, "_p2",
                               class_counts=counts)
     rest = second.withColumn(part_col, F.when(F.col("_p2") == "test", F.lit("validation"))

@@ -17,6 +17,9 @@ NA = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.
       "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'n/a', 'nan', 'null'")
 
 
+MSG_ID = "coalesce(CAST(conv_id AS VARCHAR), '') || ':' || coalesce(CAST(turn AS VARCHAR), '')"
+
+
 def toks(t: str) -> str:
     return TOKENS.format(t=t)
 
@@ -270,7 +273,7 @@ SELECT CAST(count(DISTINCT intent) AS BIGINT) AS n_classes, CAST(count(*) AS BIG
 SELECT l.doc_id, t.label, t.intent, CAST(1 AS BIGINT) AS same FROM lab l JOIN labtab t ON l.intent = t.intent"""
     q["feature_filter"] = f"""
 WITH a AS (
-  SELECT d.doc_id, d.text, trim(split_part(d.text, chr(10), 1)) AS tr,
+  SELECT d.doc_id, d.text, CASE WHEN d.lang = 'en' THEN d.text END AS tr,
          CASE WHEN l.doc_id IS NULL THEN NULL
               ELSE d.lang || '_q' || CAST(l.quality AS VARCHAR) || '_t' || CAST(l.toxic AS VARCHAR) END AS intent
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
@@ -288,7 +291,14 @@ SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM (
   FROM (SELECT doc_id, regexp_split_to_array(text, '{LINE_BREAKS}') AS a FROM ulab))
 WHERE length(regexp_replace(line, '{PY_WS}', '', 'g')) > 0"""
     q["annotated_csv"] = q["feature_filter"]
-    q["corpus_file_lines"] = f"SELECT line, CAST(count(*) AS BIGINT) AS n FROM ({q['corpus_lines']}) GROUP BY line"
+    q["prepared_labelled"] = f"""SELECT doc_id, n_chars, intent,
+       CASE WHEN n_chars IS NULL THEN 'feature' WHEN intent IS NULL THEN 'label' ELSE 'ok' END AS reason
+FROM ({q["feature_filter"]})"""
+    q["prepared_scored"] = f"""SELECT {MSG_ID} AS msg_id,
+       CASE WHEN role = 'user' THEN CAST(length(text) AS BIGINT) END AS n_chars,
+       CASE WHEN role = 'user' AND text IS NOT NULL THEN 'ok' ELSE 'feature' END AS reason FROM conversations"""
+    q["corpus_file_lines"] = f"""SELECT line, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_keys
+FROM ({q['corpus_lines']}) GROUP BY line"""
     q["split_stratified"] = _with(LAB, LABTAB, SPLIT) + "SELECT doc_id, intent, label, part FROM split"
     q["split_three_way"] = _with(LAB, LABTAB, SPLIT, second_split("trn", 43)) + """
 SELECT doc_id, intent, part FROM vsplit UNION ALL SELECT doc_id, intent, 'test' FROM tst"""
@@ -317,19 +327,19 @@ FROM (SELECT doc_id, {toks('text')} AS t FROM documents)"""
     q["vocab_topk"] = _with(f"dtok AS (SELECT doc_id, unnest({toks('text')}) AS token FROM documents)",
                             vocab_cte("vocab", "dtok")) + "SELECT token, token_id, df, tf FROM vocab"
     q["encoded_padded"] = _with(LAB, LABTAB, SPLIT, TTOK, vocab_cte("vocab", "ttok")) + f"""
-, et AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token
-         FROM (SELECT doc_id, {toks('text')} AS t FROM tst)),
-ids AS (SELECT e.doc_id, e.pos // 248 AS chunk, e.pos, coalesce(v.token_id, 3) AS token_id
+, et AS (SELECT part, doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token
+         FROM (SELECT part, doc_id, {toks('text')} AS t FROM split)),
+ids AS (SELECT e.part, e.doc_id, e.pos // 248 AS chunk, e.pos, coalesce(v.token_id, 3) AS token_id
         FROM et e LEFT JOIN vocab v ON e.token = v.token),
-ch AS (SELECT doc_id, chunk, list(token_id ORDER BY pos) AS ids FROM ids GROUP BY doc_id, chunk
-       UNION ALL SELECT doc_id, 0, [] FROM tst WHERE len({toks('text')}) = 0),
-w AS (SELECT max(len(ids)) + 2 AS w FROM ch)
-SELECT doc_id, CAST(chunk AS BIGINT) AS chunk,
-       array_to_string(list_resize(list_concat([0], ids, [2]), (SELECT w FROM w), 1), ' ') AS input_ids,
-       array_to_string(list_resize(list_transform(list_concat([0], ids, [2]), lambda x: 1), (SELECT w FROM w), 0), ' ')
+ch AS (SELECT part, doc_id, chunk, list(token_id ORDER BY pos) AS ids FROM ids GROUP BY part, doc_id, chunk
+       UNION ALL SELECT part, doc_id, 0, [] FROM split WHERE len({toks('text')}) = 0),
+wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY part) + 2 AS w FROM ch)
+SELECT part, doc_id, CAST(chunk AS BIGINT) AS chunk,
+       array_to_string(list_resize(list_concat([0], ids, [2]), w, 1), ' ') AS input_ids,
+       array_to_string(list_resize(list_transform(list_concat([0], ids, [2]), lambda x: 1), w, 0), ' ')
          AS attention_mask,
        CAST(len(ids) AS BIGINT) AS n_tokens
-FROM ch"""
+FROM wide"""
     q["mlm_mask"] = _with(_mlm_ctes()) + f"""
 , m AS (SELECT *, {_mask_select([])} FROM cids)
 SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id,
@@ -338,12 +348,16 @@ SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(pos AS BIGINT) AS pos, C
        CAST(CASE WHEN sel THEN token_id END AS BIGINT) AS target_id
 FROM m"""
     q["mlm_epoch_file"] = _with(_mlm_ctes()) + f"""
-, m AS (SELECT *, {_mask_select(['14'])} FROM cids)
-SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id,
-       CAST(CASE WHEN NOT sel THEN token_id WHEN how < 80 THEN (SELECT v FROM vs) + 4
-                 WHEN how < 90 THEN rnd ELSE token_id END AS BIGINT) AS input_id,
-       CAST(CASE WHEN sel THEN token_id END AS BIGINT) AS target_id
-FROM m"""
+, ep AS (SELECT c.*, e.epoch FROM cids c, (SELECT CAST(range AS BIGINT) AS epoch FROM range(15)) e),
+m AS (SELECT *, {_mask_select(['epoch'])} FROM ep),
+r AS (SELECT epoch, doc_id, token_id, line_no * 31 + pos + 1 AS place,
+             CASE WHEN NOT sel THEN token_id WHEN how < 80 THEN (SELECT v FROM vs) + 4
+                  WHEN how < 90 THEN rnd ELSE token_id END AS input_id,
+             CASE WHEN sel THEN token_id END AS target_id FROM m)
+SELECT epoch, doc_id, CAST(count(*) AS BIGINT) AS n_positions, CAST(count(target_id) AS BIGINT) AS n_targets,
+       CAST(sum(token_id * place) AS BIGINT) AS token_sum, CAST(sum(input_id * place) AS BIGINT) AS input_sum,
+       CAST(coalesce(sum(target_id * place), 0) AS BIGINT) AS target_sum
+FROM r GROUP BY epoch, doc_id"""
     q["mlm_epochs"] = _with(_mlm_ctes()) + f"""
 , ep AS (SELECT c.*, e.epoch FROM cids c, (SELECT CAST(range AS BIGINT) AS epoch FROM range(15)) e),
 m AS (SELECT *, {_mask_select(['epoch'])} FROM ep)
@@ -372,11 +386,11 @@ FROM tst t JOIN top1 p ON t.doc_id = p.doc_id""", background=True)
     q["label_width"] = nb_sql("""
 SELECT label, 'never_scored' AS problem FROM labtab
 WHERE intent NOT IN (SELECT pred_intent FROM top1)""")
-    msg = (f"""mtok AS (SELECT conv_id * 1000000 + turn AS msg_id, unnest({toks('text')}) AS token
+    msg = (f"""mtok AS (SELECT {MSG_ID} AS msg_id, unnest({toks('text')}) AS token
              FROM conversations)""")
     q["answer_map"] = _with(
         LAB, LABTAB, SPLIT, msg,
-        nb_ctes(False, "mtok", "msg_id", "SELECT conv_id * 1000000 + turn AS msg_id FROM conversations")
+        nb_ctes(False, "mtok", "msg_id", f"SELECT {MSG_ID} AS msg_id FROM conversations")
     ) + "SELECT msg_id, intent, round(p, 6) AS p FROM proba"
     # M7: the JSON text itself. Probabilities are rounded to k / 10^6; the JVM prints such a
     # double as the shortest decimal with at least one fraction digit when k >= 1000, and as
@@ -389,7 +403,7 @@ WHERE intent NOT IN (SELECT pred_intent FROM top1)""")
            "CAST(length(CAST(k AS VARCHAR)) - 7 AS VARCHAR) END")
     q["answer_json"] = _with(
         LAB, LABTAB, SPLIT, msg,
-        nb_ctes(False, "mtok", "msg_id", "SELECT conv_id * 1000000 + turn AS msg_id FROM conversations")
+        nb_ctes(False, "mtok", "msg_id", f"SELECT {MSG_ID} AS msg_id FROM conversations")
     ) + f""", pk AS (SELECT msg_id, intent, CAST(round(round(p, 6) * 1000000) AS BIGINT) AS k FROM proba)
 SELECT msg_id, '[{{' || string_agg('"' || intent || '":' || ({num}), ',' ORDER BY intent) || '}}]' AS json
 FROM pk GROUP BY msg_id"""
@@ -406,6 +420,12 @@ SELECT p.doc_id, t.label AS predicted_label FROM top1 p JOIN labtab t ON p.pred_
                   f"SELECT doc_id * 1000000 FROM tst WHERE len({toks('text')}) = 0")
     q["plug_score"] = _with(LAB, LABTAB, SPLIT, chunk_tok, nb_ctes(False, "ctok", "ck", chunk_keys)) + """
 SELECT CAST(ck // 1000000 AS BIGINT) AS doc_id, CAST(ck % 1000000 AS BIGINT) AS chunk, pred_intent FROM top1"""
+    q["plug_predict"] = nb_sql("SELECT doc_id, pred_intent, round(p_top, 6) AS p_top FROM top1")
+    # M2: what any fitted classifier must give; the last column is the accuracy floor it has to pass
+    q["lr_coverage"] = _with(LAB, LABTAB, SPLIT) + """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_ids,
+       CAST(count(*) AS BIGINT) AS n_known, CAST(count(*) AS BIGINT) AS n_probabilities,
+       CAST(1 AS BIGINT) AS beats_biggest_class FROM tst"""
     q["accuracy"] = nb_sql("""
 SELECT round(avg(CASE WHEN y = yhat THEN 1.0 ELSE 0.0 END), 6) AS accuracy, CAST(count(*) AS BIGINT) AS n FROM pj""",
                            extra=(METRIC_BASE,))

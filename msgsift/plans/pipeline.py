@@ -18,7 +18,7 @@ from ..operators import metrics as met
 from ..operators.answers import answer_json, answer_map
 from ..operators.batching import shuffled_batches
 from ..operators.clean import drop_missing, normalize_na, select_feature, validate
-from ..operators.labels import encode, label_map, table_from_counts
+from ..operators.labels import class_counts, encode, label_map, table_from_counts
 from ..operators.naive_bayes import NBModel, predict, score, train_nb, truth_loss
 from ..operators.split import stratified_split, three_way_split
 from ..session import materialize
@@ -26,18 +26,21 @@ from ..sinks.files import load_model, save_model, write_answers, write_label_map
 
 
 def prepare_labelled(raw: DataFrame, feature: str = "Original Text", required_col: str = "Translation",
-                     on_bad: str = "error") -> DataFrame:
-    """P2 -> P1 -> P4 on the annotated shape: ``(doc_id, text, intent)``."""
-    chosen = select_feature(drop_missing(normalize_na(raw), required_col), feature)
-    if on_bad == "quarantine":
-        return validate(chosen, on_bad="quarantine")[0]
-    return validate(chosen, on_bad="error")
+                     on_bad: str = "error") -> DataFrame | tuple[DataFrame, DataFrame]:
+    """P2 -> P1 -> P4 on the annotated shape: ``(doc_id, text, intent)``.
+
+    ``on_bad="quarantine"`` gives ``(good, rejected)``, the rejects with their ``reason``.
+    """
+    return validate(select_feature(drop_missing(normalize_na(raw), required_col), feature), on_bad=on_bad)
+
 
+def prepare_scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   on_bad: str = "error") -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Messages to score, ``(id, text)``; a null text is rejected, an empty one stays.
 
-def prepare_scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Messages to score: ``(doc_id, text)`` with a null text rejected."""
-    return validate(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
-                    "text", None, on_bad="error")
+    ``on_bad`` as in :func:`prepare_labelled`.
+    """
+    return validate(df.select(id_col, F.col(text_col).alias("text")), "text", None, on_bad=on_bad, allow_empty=True)
 
 
 def _val_batches(df: DataFrame, cfg: TriageConfig) -> DataFrame:
@@ -58,7 +61,7 @@ def train(labelled: DataFrame, cfg: TriageConfig = TriageConfig(), out_dir: str
           background: DataFrame | None = None, version: int = 0) -> TrainResult:
     """S1..K5: label map, split, model, validation metrics (one row), saved model."""
     spark = labelled.sparkSession
-    counts = [tuple(r) for r in labelled.groupBy("intent").agg(F.count(F.lit(1))).collect()]
+    counts = class_counts(labelled)
     lm = label_map(labelled)
     enc = encode(labelled, table_from_counts(spark, counts), bounded=True)
     if cfg.val_share:
@@ -108,10 +111,20 @@ def evaluate(spark: SparkSession, model_path: str, test: DataFrame, out_dir: str
 
 
 def answer(spark: SparkSession, model_path: str, messages: DataFrame, out_dir: str | None = None,
-           id_col: str = "doc_id") -> DataFrame:
-    """S4/S5 -> T7 -> M5 -> M6 -> M7 -> K4: JSON answers for every message."""
+           id_col: str = "doc_id", on_bad: str = "error") -> DataFrame:
+    """S4/S5 -> P7 -> T7 -> M5 -> M6 -> M7 -> K4: JSON answers for every message with a text.
+
+    A null text fails the job, or with ``on_bad="quarantine"`` gets no
+    answer and is written, with its reason, under ``<out_dir>/rejected``.
+    """
     model = load_model(spark, model_path)
-    out = answer_json(answer_map(model, score(model, messages, id_col), id_col), id_col)
+    ready = prepare_scored(messages, id_col, on_bad=on_bad)
+    rejected = None
+    if on_bad == "quarantine":
+        ready, rejected = ready
+    out = answer_json(answer_map(model, score(model, ready, id_col), id_col), id_col)
     if out_dir:
         write_answers(out, f"{out_dir}/answers")
+        if rejected is not None:
+            rejected.write.mode("overwrite").parquet(f"{out_dir}/rejected")
     return out

@@ -16,15 +16,16 @@ from ..operators import answers as ans
 from ..operators import metrics as met
 from ..operators.batching import ordered_batches, shuffled_batches, step_counts
 from ..operators.clean import feature_table
-from ..operators.labels import (class_stats, decode, encode, label_map, label_table, table_from_counts,
-                               width_check)
+from ..operators.labels import (class_counts, class_stats, decode, encode, label_map, label_table,
+                               table_from_counts, width_check)
 from ..operators.masking import mask_epochs, mask_positions
 from ..operators.naive_bayes import long_form, predict, score, train_nb, truth_loss
 from ..operators.split import random_split, stratified_split, three_way_split
 from ..operators.tokens import encode as encode_texts, token_ids, tokenize, vocab_from_texts
 from ..session import materialize
 from ..sources.files import split_lines
-from ..sources.tables import annotated, documents, labelled, messages, unlabelled
+from ..sources.tables import annotated, documents, labelled, labelled_keys, messages, unlabelled, with_text
+from .pipeline import prepare_labelled, prepare_scored
 
 PREDICT_BATCH = 64  # batch of the training script's prediction helper, in order
 MLM_SEED = 1
@@ -34,38 +35,41 @@ MIN_DF = 1
 
 # --- shared stages ---------------------------------------------------------
 
-def _class_counts(lab: DataFrame) -> list[tuple]:
-    """``[(intent, n)]``: one row per class (bounded by the class count)."""
-    return [tuple(r) for r in lab.groupBy("intent").agg(F.count(F.lit(1))).collect()]
-
-
 def _encoded_labelled(spark: SparkSession, sf: str):
-    lab = labelled(spark, sf)
-    counts = _class_counts(lab)
+    lab = labelled_keys(spark, sf)
+    counts = class_counts(lab)
     return encode(lab, table_from_counts(spark, counts), bounded=True), counts
 
 
 def _split(spark: SparkSession, sf: str) -> DataFrame:
     """Stratified 80/20 split, seed 42; a one-row class stays in training.
 
-    Written once to the shared checkpoint folder: training, scoring and
-    metrics read it several times, and a lost executor re-reads the written
-    split instead of recomputing the ranks.
+    ``(doc_id, intent, label, part)`` without the texts, written once to the
+    shared checkpoint folder: training, scoring and metrics read it several
+    times, and a lost executor re-reads the written split instead of
+    recomputing the ranks.
     """
     enc, counts = _encoded_labelled(spark, sf)
     s = stratified_split(enc, "intent", "doc_id", seed=SEED, on_singleton="train", class_counts=counts)
-    return materialize(s, "split")
+    return materialize(s.select("doc_id", "intent", "label", "part"), "split")
 
 
-def _parts(spark: SparkSession, sf: str):
+def _part_keys(spark: SparkSession, sf: str):
+    """The two parts without texts."""
     s = _split(spark, sf)
     return s.where(F.col("part") == "train"), s.where(F.col("part") == "test")
 
 
+def _parts(spark: SparkSession, sf: str):
+    """The two parts with their texts."""
+    return tuple(with_text(spark, sf, keys) for keys in _part_keys(spark, sf))
+
+
 def _nb(spark: SparkSession, sf: str, background: bool = False):
-    train, test = _parts(spark, sf)
+    keys, test_keys = _part_keys(spark, sf)
+    train, test = with_text(spark, sf, keys), with_text(spark, sf, test_keys)
     bg = unlabelled(spark, sf) if background else None
-    model = train_nb(train, min_df=MIN_DF, max_vocab=MAX_VOCAB, background=bg)
+    model = train_nb(train, min_df=MIN_DF, max_vocab=MAX_VOCAB, background=bg, members=keys)
     return model, train, test
 
 
@@ -103,6 +107,21 @@ def q_feature_filter(spark, sf):
     return t.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "intent", "status")
 
 
+def q_prepared_labelled(spark, sf):
+    """P7 (training mode): P2 drops, P4 sorts the rest into good rows and rejects with a reason."""
+    good, rejected = prepare_labelled(annotated(spark, sf), on_bad="quarantine")
+    both = good.withColumn("reason", F.lit("ok")).unionByName(rejected)
+    return both.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "intent", "reason")
+
+
+def q_prepared_scored(spark, sf):
+    """P7 (scoring mode): user turns are the messages; another turn has no message text and is rejected."""
+    said = messages(spark, sf).withColumn("text", F.when(F.col("role") == "user", F.col("text")))
+    good, rejected = prepare_scored(said, "msg_id", on_bad="quarantine")
+    both = good.withColumn("reason", F.lit("ok")).unionByName(rejected)
+    return both.select("msg_id", F.length("text").cast("bigint").alias("n_chars"), "reason")
+
+
 def q_corpus_lines(spark, sf):
     lines = split_lines(unlabelled(spark, sf), "text", ["doc_id"], ALL_LINE_BREAKS)
     return lines.select("doc_id", "line_no", "line")
@@ -125,19 +144,19 @@ def q_split_random(spark, sf):
 
 
 def q_batches_shuffled(spark, sf):
-    train, _ = _parts(spark, sf)
+    train, _ = _part_keys(spark, sf)
     ep = train.select("doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(2))))
     b = shuffled_batches(ep, "doc_id", TRAIN_BATCH, SEED, "epoch", n_epochs=3)
     return b.select(F.col("epoch").cast("bigint"), "doc_id", "batch_id", "batch_pos")
 
 
 def q_batches_ordered(spark, sf):
-    _, test = _parts(spark, sf)
+    _, test = _part_keys(spark, sf)
     return ordered_batches(test.select("doc_id"), "doc_id", PREDICT_BATCH).select("doc_id", "batch_id", "batch_pos")
 
 
 def q_step_counts(spark, sf):
-    train, test = _parts(spark, sf)
+    train, test = _part_keys(spark, sf)
     a = step_counts(train, TRAIN_BATCH, 3).withColumn("part", F.lit("train"))
     b = step_counts(test, INFER_BATCH, 1).withColumn("part", F.lit("test"))
     return a.unionByName(b)
@@ -157,9 +176,12 @@ def q_vocab_topk(spark, sf):
 
 def q_encoded_padded(spark, sf):
     train, test = _parts(spark, sf)
-    vocab = vocab_from_texts(train, "text", MIN_DF, MAX_VOCAB)
-    enc = encode_texts(test, vocab, "doc_id", "text")
-    return enc.select("doc_id", "chunk", F.array_join("input_ids", " ").alias("input_ids"),
+    vocab = materialize(vocab_from_texts(train, "text", MIN_DF, MAX_VOCAB), "train-vocab")
+    enc = None
+    for name, part in (("train", train), ("test", test)):      # each part has its own width
+        e = encode_texts(part, vocab, "doc_id", "text").withColumn("part", F.lit(name))
+        enc = e if enc is None else enc.unionByName(e)
+    return enc.select("part", "doc_id", "chunk", F.array_join("input_ids", " ").alias("input_ids"),
                       F.array_join("attention_mask", " ").alias("attention_mask"), "n_tokens")
 
 
@@ -193,16 +215,19 @@ def q_mlm_epochs(spark, sf):
 
 
 def q_mlm_epoch_file(spark, sf):
-    """T9 -> sink: all epochs written partitioned by epoch; the last epoch read back (one folder)."""
+    """T9 -> sink: every epoch written partitioned by epoch and read back, summed per (epoch, document)."""
     from ..session import shared_path
     from ..sinks.files import write_masked
     ids, v = _corpus_ids(spark, sf)
     path = shared_path(spark, "mlm-epochs")
     write_masked(mask_epochs(ids, v, ["doc_id", "line_no", "pos"], CORPUS_EPOCHS, MLM_SEED)
                  .select("epoch", "doc_id", "line_no", "pos", "token_id", "input_id", "target_id"), path)
-    last = spark.read.parquet(path).where(F.col("epoch") == CORPUS_EPOCHS - 1)   # partition pruning
-    return last.select("doc_id", "line_no", "pos", F.col("token_id").cast("bigint"),
-                       F.col("input_id").cast("bigint"), F.col("target_id").cast("bigint"))
+    place = F.col("line_no") * 31 + F.col("pos") + 1      # each id weighted by its place
+    return spark.read.parquet(path).groupBy(F.col("epoch").cast("bigint").alias("epoch"), "doc_id").agg(
+        F.count(F.lit(1)).alias("n_positions"), F.count("target_id").alias("n_targets"),
+        F.sum(F.col("token_id") * place).cast("bigint").alias("token_sum"),
+        F.sum(F.col("input_id") * place).cast("bigint").alias("input_sum"),
+        F.coalesce(F.sum(F.col("target_id") * place), F.lit(0)).cast("bigint").alias("target_sum"))
 
 
 # --- Naive Bayes -------------------------------------------------------------
@@ -363,6 +388,8 @@ QUERIES = {
     "class_stats": q_class_stats,
     "label_roundtrip": q_label_roundtrip,
     "feature_filter": q_feature_filter,
+    "prepared_labelled": q_prepared_labelled,
+    "prepared_scored": q_prepared_scored,
     "corpus_lines": q_corpus_lines,
     "split_stratified": q_split_stratified,
     "split_random": q_split_random,
@@ -404,17 +431,51 @@ def q_lr_predict(spark, sf):
     train, test = _parts(spark, sf)
     model = fit_lr(train)
     pred = predict_lr(model, test)
-    lut = table_from_counts(spark, _class_counts(labelled(spark, sf)))
+    lut = table_from_counts(spark, class_counts(labelled_keys(spark, sf)))
     out = pred.join(F.broadcast(lut.withColumnRenamed("label", "pred_label")), "pred_label", "left")
     return out.select("doc_id", F.col("intent").alias("pred_intent"), F.round("p_top", 6).alias("p_top"))
 
 
-def q_plug_score(spark, sf):
+def q_lr_coverage(spark, sf):
+    """M2 held to figures SQL can state: every held-out row answered once, with a known intent and a
+    probability, and more of them right than by always naming the biggest training class."""
+    from ..operators.ml import fit_lr, predict_lr
+    train, test = _parts(spark, sf)
+    pred = predict_lr(fit_lr(train), test)
+    table = table_from_counts(spark, class_counts(labelled_keys(spark, sf)))
+    biggest = max(class_counts(train, "label"), key=lambda r: (r[1], -r[0]))[0] if not train.isEmpty() else None
+    j = (test.select("doc_id", "label").join(pred, "doc_id", "full_outer")
+         .join(F.broadcast(table.select(F.col("label").alias("pred_label"), F.col("intent").alias("known"))),
+               "pred_label", "left"))
+    right = F.sum((F.col("pred_label") == F.col("label")).cast("bigint"))
+    plain = F.sum((F.col("label") == F.lit(biggest)).cast("bigint"))
+    return j.agg(F.count("label").alias("n_rows"), F.countDistinct("doc_id").alias("n_ids"),
+                 F.count("known").alias("n_known"),
+                 F.sum(F.col("p_top").between(0, 1).cast("bigint")).alias("n_probabilities"),
+                 (right > plain).cast("bigint").alias("beats_biggest_class"))
+
+
+def _chunk_scores(spark, sf):
     """M8: encoded held-out chunks scored in Arrow batches of 128 by a NumPy model."""
     from ..operators.plug import nb_batch_model, score_batches
     model, _, test = _nb(spark, sf)
-    enc = materialize(encode_texts(test, model.vocab, "doc_id", "text", pad_to="max_len"), "encoded")
-    out = score_batches(enc, nb_batch_model(model), width=250, batch_size=INFER_BATCH)
+    enc = materialize(encode_texts(test, model.vocabulary(), "doc_id", "text", pad_to="max_len"), "encoded")
+    return model, score_batches(enc, nb_batch_model(model), width=250, batch_size=INFER_BATCH)
+
+
+def q_plug_predict(spark, sf):
+    """M8: one answer per held-out message, its chunk scores summed."""
+    from ..operators.plug import score_messages
+    model, chunks = _chunk_scores(spark, sf)
+    out = score_messages(chunks, model.log_prior)
+    ints = F.array(*[F.lit(x) for x in model.intents])
+    return out.select("doc_id", F.element_at(ints, F.col("pred_index") + 1).alias("pred_intent"),
+                      F.round("p_top", 6).alias("p_top"))
+
+
+def q_plug_score(spark, sf):
+    """M8 per chunk."""
+    model, out = _chunk_scores(spark, sf)
     ints = F.array(*[F.lit(x) for x in model.intents])
     return out.select("doc_id", "chunk", F.element_at(ints, F.col("pred_index") + 1).alias("pred_intent"))
 
@@ -452,7 +513,7 @@ def q_split_roundtrip(spark, sf):
     from ..sinks.files import write_split
     from ..sources.files import read_split
     path = shared_path(spark, "split-csv")
-    write_split(_split(spark, sf), path, fmt="csv")
+    write_split(with_text(spark, sf, _split(spark, sf)), path, fmt="csv")
     out = []
     for part in ("train", "test"):
         out.append(read_split(spark, f"{path}/part={part}").withColumn("part", F.lit(part)))
@@ -482,14 +543,19 @@ def q_annotated_csv(spark, sf):
 
 
 def q_corpus_file_lines(spark, sf):
-    """S3 -> P3: the unlabelled texts written as a line file, read back line by line."""
+    """S3 -> P3: the unlabelled texts written as a line file, read back line by line.
+
+    ``n_keys`` counts the distinct ``(file, line_no, piece)`` keys of a line: as many as its rows.
+    """
     from ..session import shared_path
     from ..sinks.files import write_lines
     from ..sources.files import read_corpus
     path = shared_path(spark, "corpus-txt")
     write_lines(unlabelled(spark, sf), path)
     lines = read_corpus(spark, path)
-    return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    one_per_key = lines.groupBy("file", "line_no", "piece").agg(F.first("value").alias("line"),
+                                                                F.count(F.lit(1)).alias("_rows"))
+    return one_per_key.groupBy("line").agg(F.sum("_rows").alias("n"), F.count(F.lit(1)).alias("n_keys"))
 
 
 def q_predictions_csv(spark, sf):
@@ -511,7 +577,7 @@ def q_answers_file(spark, sf):
     path = shared_path(spark, "answers-json")
     write_answers(ans.answer_json(ans.answer_map(model, score(model, messages(spark, sf), "msg_id"), "msg_id"),
                                   "msg_id"), path)
-    back = spark.read.schema("msg_id BIGINT, json STRING").json(path)
+    back = spark.read.schema("msg_id STRING, json STRING").json(path)
     return ans.parse_json(back, "msg_id").select("msg_id", "intent", F.round("p", 6).alias("p"))
 
 
@@ -521,6 +587,8 @@ QUERIES.update({
     "annotated_csv": q_annotated_csv,
     "corpus_file_lines": q_corpus_file_lines,
     "lr_predict": q_lr_predict,
+    "lr_coverage": q_lr_coverage,
+    "plug_predict": q_plug_predict,
     "plug_score": q_plug_score,
     "stream_score": q_stream_score,
     "csv_roundtrip": q_csv_roundtrip,

@@ -51,8 +51,14 @@ def write_lines(df: DataFrame, path: str, text_col: str = "text") -> None:
 
 
 def write_masked(masked: DataFrame, path: str) -> None:
-    """Masked-LM examples of every epoch, one folder per epoch (read back with pruning)."""
-    masked.write.mode("overwrite").partitionBy("epoch").parquet(path)
+    """Masked-LM examples of every epoch, one folder per epoch (read back with pruning).
+
+    Rows are brought together by epoch and key hash first, so a task writes
+    into few epoch folders instead of all of them.
+    """
+    spark = masked.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    masked.repartition(n, "epoch", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(n))).write.mode("overwrite").partitionBy("epoch").parquet(path)
 
 
 def write_answers(answers_json: DataFrame, path: str) -> None:
@@ -67,6 +73,11 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _fs(spark, path)
+    return fs.exists(jpath)
+
+
 def list_versions(spark: SparkSession, path: str) -> list[int]:
     """Model versions saved under ``path`` (``version=<k>`` folders), ascending."""
     fs, jpath = _fs(spark, path)
@@ -101,7 +112,7 @@ def save_model(model: NBModel, path: str, version: int | None = None, keep_last:
     root = f"{path.rstrip('/')}/version={version}" if version is not None else path
     model.weights.write.mode("overwrite").parquet(f"{root}/weights")
     model.counts.write.mode("overwrite").parquet(f"{root}/counts")
-    model.vocab.write.mode("overwrite").parquet(f"{root}/vocab")
+    model.vocabulary().write.mode("overwrite").parquet(f"{root}/vocab")
     meta = {"labels": model.labels, "intents": model.intents, "log_prior": model.log_prior,
             "n_tokens": model.n_tokens, "vocab_size": model.vocab_size, "kind": model.kind,
             "params": model.params}

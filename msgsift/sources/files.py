@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ANNOTATED_SCHEMA, LABEL_MAP_SCHEMA, SPLIT_SCHEMA
 from ..functions.text import EXTRA_LINE_BREAKS, is_blank
+from ..operators.labels import small
+from ..session import materialize
 
 
 def _csv(spark: SparkSession, schema: str, multiline: bool):
@@ -50,13 +52,22 @@ def split_lines(df: DataFrame, text_col: str = "value", keep: list[str] | None =
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """S3: one example per non-blank line, keyed by (file, line_no).
+    """S3: one example per non-blank line, ``(file, line_no, piece, value)``.
 
-    The text source already splits on ``\\n``, ``\\r\\n`` and ``\\r`` and
-    stays splittable; the other ``splitlines`` boundaries are split per row.
+    The text source splits on ``\\n``, ``\\r\\n`` and ``\\r`` and stays splittable;
+    the other ``splitlines`` boundaries are split per row (``piece``).
+    ``line_no`` counts the lines of the file from 0, however the scan cuts the
+    file: lines before the scan split (a running sum over one row per split)
+    plus the place inside the split, whose rows are numbered consecutively.
     """
     raw = (spark.read.text(path)
-           .withColumn("file", F.col("_metadata.file_path"))
-           .withColumn("row_id", F.monotonically_increasing_id()))
-    lines = split_lines(raw, "value", ["file", "row_id"])
-    return lines.select("file", "row_id", F.col("line_no").alias("piece"), F.col("line").alias("value"))
+           .select("value", F.col("_metadata.file_path").alias("file"),
+                   F.col("_metadata.file_block_start").alias("_block"),
+                   F.monotonically_increasing_id().alias("_id")))
+    splits = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
+    base = materialize(splits.select("file", "_block", (before - F.col("_first")).alias("_base")), "corpus-splits")
+    numbered = raw.join(small(base), ["file", "_block"]).withColumn("line_no", F.col("_id") + F.col("_base"))
+    pieces = split_lines(numbered.withColumnRenamed("line_no", "row_no"), "value", ["file", "row_no"])
+    return pieces.select("file", F.col("row_no").alias("line_no"), F.col("line_no").alias("piece"),
+                         F.col("line").alias("value"))

@@ -2,8 +2,11 @@
 
 labelled    = documents JOIN labels ON doc_id, intent = lang_q<quality>_t<toxic>
 unlabelled  = documents LEFT ANTI labels
-messages    = conversations, key msg_id = conv_id * 1e6 + turn (turn < 1e6)
+messages    = conversations, key msg_id = "<conv_id>:<turn>"
 annotated   = documents LEFT JOIN labels in the annotated-table shape (D1)
+
+Splits are decided on the narrow :func:`labelled_keys`; :func:`with_text` joins
+the texts once, where tokens are needed.
 """
 
 from __future__ import annotations
@@ -11,7 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TURN_RADIX = 1_000_000
+
+def message_key(conv: str = "conv_id", turn: str = "turn"):
+    """``"<conv_id>:<turn>"``: the pair itself as text, so no two messages share a key (null reads as empty)."""
+    return F.concat(F.coalesce(F.col(conv).cast("string"), F.lit("")), F.lit(":"),
+                    F.coalesce(F.col(turn).cast("string"), F.lit("")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +64,17 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(out, "doc_id", scan=docs)
 
 
+def labelled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, intent)`` for every labelled document: no text is read."""
+    return labelled(spark, sf_dir).select("doc_id", "intent")
+
+
+def with_text(spark: SparkSession, sf_dir: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` (unique ``doc_id``) with their ``text``: the one join that carries texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(docs.join(keys, "doc_id"), "doc_id", scan=docs)
+
+
 def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text)`` for documents without a label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,8 +85,7 @@ def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(msg_id, conv_id, turn, role, text)`` new messages to answer."""
     conv = table(spark, sf_dir, "conversations")
-    out = conv.select((F.col("conv_id") * TURN_RADIX + F.col("turn")).alias("msg_id"),
-                      "conv_id", "turn", "role", "text")
+    out = conv.select(message_key().alias("msg_id"), "conv_id", "turn", "role", "text")
     # spread by the unique message key: one long conversation stays in many tasks
     return spread(out, "msg_id")
 
@@ -76,17 +93,18 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the annotated-table shape.
 
-    ``Translation`` is the first line of the text (trimmed, may be empty),
-    ``Intent1_Cleaned`` is null for unlabelled documents.
+    ``Translation`` (into English) is the whole text of an English document and
+    null where the tables hold no translation (other languages) or the text is
+    empty; ``Intent1_Cleaned`` is null for unlabelled documents.
     """
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     j = docs.join(labels, "doc_id", "left")
-    first_line = F.trim(F.substring_index(F.col("text"), "\n", 1))   # no array of all lines
+    translation = F.when(F.col("lang") == "en", F.nullif(F.col("text"), F.lit("")))
     return j.select(
         F.col("doc_id").alias("Index"),
         F.col("text").alias("Original Text"),
-        first_line.alias("Translation"),
+        translation.alias("Translation"),
         intent_expr().alias("Intent1_Cleaned"),
         F.lit(None).cast("string").alias("Intent2"),
         F.col("source").alias("Other"),

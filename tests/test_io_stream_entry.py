@@ -2,12 +2,14 @@ import json
 import os
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from msgsift.operators.answers import answer_json, answer_map
 from msgsift.operators.naive_bayes import predict, score, train_nb
 from msgsift.sinks.files import load_model, save_model, write_label_map
 from msgsift.sources.files import read_label_map
+from msgsift.sources.tables import message_key
 from msgsift.streaming.score_stream import message_stream, read_answers, start_answering
 
 from .conftest import SF_SMALL
@@ -56,7 +58,7 @@ def test_stream_equals_batch_and_replay_adds_nothing(spark, tmp_dir):
     again = read_answers(spark, out).select("msg_id", "json").collect()
     assert sorted(first) == sorted(again) and len(first) == 3
     msgs = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING") \
-        .withColumn("msg_id", F.col("conv_id") * 1_000_000 + F.col("turn"))
+        .withColumn("msg_id", message_key())
     batch = answer_json(answer_map(model, score(model, msgs, "msg_id"), "msg_id"), "msg_id").collect()
     assert sorted(tuple(r) for r in batch) == sorted(tuple(r) for r in first)
 
@@ -136,6 +138,21 @@ def test_stream_over_several_micro_batches(spark, tmp_dir):
     start_answering(model, message_stream(spark, src, max_files_per_trigger=1), out, ckpt).awaitTermination()
     assert sorted(tuple(r) for r in read_answers(spark, out).select("msg_id", "json").collect()) == first
     msgs = spark.createDataFrame([r for f in files for r in f], schema) \
-        .withColumn("msg_id", F.col("conv_id") * 1_000_000 + F.col("turn"))
+        .withColumn("msg_id", message_key())
     batch = answer_json(answer_map(model, score(model, msgs, "msg_id"), "msg_id"), "msg_id").collect()
     assert sorted(tuple(r) for r in batch) == first and len(first) == 4
+
+
+def test_another_checkpoint_keeps_the_old_answers(spark, tmp_dir):
+    model = _model(spark)
+    src, out = f"{tmp_dir}/in4", f"{tmp_dir}/out4"
+    spark.createDataFrame([(1, 0, "user", "good day"), (10**15, 10**7, "user", "sad")],
+                          "conv_id BIGINT, turn BIGINT, role STRING, text STRING").write.parquet(src)
+    for k in (1, 2):
+        start_answering(model, message_stream(spark, src), out, f"{tmp_dir}/ckpt4-{k}").awaitTermination()
+        got = read_answers(spark, out)
+        assert got.select("run").distinct().count() == k and got.count() == 2 * k
+    assert {r["msg_id"] for r in got.collect()} == {"1:0", f"{10**15}:{10**7}"}
+    os.rename(f"{tmp_dir}/ckpt4-1", f"{tmp_dir}/elsewhere")
+    with pytest.raises(ValueError, match="checkpoint is gone"):
+        start_answering(model, message_stream(spark, src), out, f"{tmp_dir}/ckpt4-1")

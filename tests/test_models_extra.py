@@ -48,7 +48,7 @@ def test_batch_model_equals_nb_per_chunk(spark):
     model = train_nb(_train(spark), min_df=1, max_vocab=100)
     long_text = " ".join(["good", "sad", "night", "qqq"] * 70)   # 280 tokens: two chunks of 248 + 32
     test = spark.createDataFrame([(10, long_text), (11, "happy day"), (12, "")], "doc_id BIGINT, text STRING")
-    enc = encode(test, model.vocab, pad_to="max_len")
+    enc = encode(test, model.vocabulary(), pad_to="max_len")
     out = {(r["doc_id"], r["chunk"]): r for r in score_batches(enc, nb_batch_model(model), width=250,
                                                                 batch_size=2).collect()}
     assert set(out) == {(10, 0), (10, 1), (11, 0), (12, 0)}
@@ -140,3 +140,22 @@ def test_batch_lookup_and_join_scoring_agree(spark, monkeypatch):
     for k in a:
         assert a[k][0] == b[k][0] and np.allclose(a[k][1], b[k][1], rtol=0, atol=1e-9)
     assert np.allclose(a[2][1], model.log_prior) and np.allclose(a[3][1], model.log_prior)
+
+
+def test_message_scores_from_chunks_equal_whole_text_scores(spark):
+    from msgsift.operators.plug import nb_batch_model, score_batches, score_messages
+    from msgsift.operators.tokens import encode
+    train = spark.createDataFrame([(1, "a b c a", 0, "x"), (2, "c d d e", 1, "y"), (3, "b e", 1, "y")],
+                                  "doc_id BIGINT, text STRING, label INT, intent STRING")
+    model = train_nb(train)
+    test = spark.createDataFrame([(1, " ".join("abcdez"[i % 6] for i in range(700))), (2, ""), (3, "d zz")],
+                                 "doc_id BIGINT, text STRING")
+    enc = encode(test, model.vocabulary(), pad_to="max_len")
+    assert enc.count() > 3
+    got = {r["doc_id"]: r for r in score_messages(score_batches(enc, nb_batch_model(model), 250),
+                                                  model.log_prior).collect()}
+    want = {r["doc_id"]: r for r in predict(model, score(model, test)).collect()}
+    assert set(got) == set(want) == {1, 2, 3}
+    for k in want:
+        assert all(abs(x - y) < 1e-6 for x, y in zip(got[k]["scores"], want[k]["scores"]))
+        assert abs(got[k]["p_top"] - want[k]["p_top"]) < 1e-6

@@ -84,3 +84,8 @@ def test_encoding_has_no_shuffle(spark):
     ex, text = _exchanges(encode(docs, vocab, pad_to="max_len"))
     assert ex == [], text
     assert "MapInArrow" in text or "PythonMapInArrow" in text
+
+
+def test_split_writes_no_texts(spark):
+    from msgsift.plans.queries import _split
+    assert _split(spark, "/root/testdata/sf0.001").columns == ["doc_id", "intent", "label", "part"]

@@ -47,11 +47,26 @@ def test_corpus_lines_follow_splitlines(spark, tmp_dir):
     text = "first\n\n   \nin side\nnel\u0085here\r\nlast line\rno newline"
     p = f"{tmp_dir}/c.txt"
     _write(p, text)
-    got = [r["value"] for r in read_corpus(spark, p).orderBy("row_id", "piece").collect()]
+    got = [r["value"] for r in read_corpus(spark, p).orderBy("line_no", "piece").collect()]
     want = [x for x in text.splitlines() if not x.isspace() and x != ""]
     assert got == want
 
 
+def test_line_numbers_do_not_depend_on_how_the_scan_cuts_the_files(spark, tmp_dir):
+    for name, n in (("a", 4000), ("b", 300)):
+        _write(f"{tmp_dir}/{name}.txt", "".join(f"{name} line {i}\n" if i % 7 else "\n" for i in range(n)))
+    want = {(name, i, f"{name} line {i}") for name, n in (("a", 4000), ("b", 300)) for i in range(n) if i % 7}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "7000", "64000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = [(r["file"].rsplit("/", 1)[1][0], r["line_no"], r["value"])
+                   for r in read_corpus(spark, f"{tmp_dir}/*.txt").collect()]
+            assert len(got) == len(want) and set(got) == want, size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_split_lines_all_breaks_match_python(spark):
     text = "a\r\nb\x0bc\x0cd\x1ce\x1df\x1eg\x85h i j\n \t　\nk"
     df = spark.createDataFrame([(1, text)], "doc_id BIGINT, text STRING")
