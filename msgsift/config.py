@@ -46,16 +46,12 @@ class TriageConfig:
 
     seed: int = SEED
     test_share: float = HELD_OUT_SHARE
-    max_tokens: int = MAX_TOKENS
     train_batch: int = TRAIN_BATCH
-    infer_batch: int = INFER_BATCH
     min_df: int = 1
     max_vocab: int | None = None     # every token
     smoothing: float = 1.0
     background_mu: float = 1000.0
     on_singleton: str = "error"   # or "train"
     val_share: float | None = None   # a separate validation part (None: validate on the test part)
-    # Broadcast a model table only when its proven row bound is below this.
-    broadcast_row_limit: int = 2_000_000
     # Weight matrix shipped with the tasks for in-batch scoring (join path above).
     lookup_bytes: int = 64 << 20
