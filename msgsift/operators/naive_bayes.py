@@ -175,13 +175,13 @@ def batch_scorer(model: NBModel, max_bytes: int | None = None):
     c = model.n_classes
     if model.vocab_size * max(c, 1) * 8 > max_bytes:
         return None
-    rows = model.weights.select("token", "w").collect()        # bounded by the check above
-    tokens = pa.array([r[0] for r in rows], pa.string())
-    v = len(rows)
+    rows = model.weights.select("token", "w").toArrow()        # bounded by the check above
+    tokens = rows.column("token").combine_chunks().cast(pa.string())
+    v = rows.num_rows
     # one row per class; column v is the zero row of unknown tokens
     w_by_class = np.zeros((c, v + 1))
     if v:
-        w_by_class[:, :v] = np.asarray([r[1] for r in rows], dtype=np.float64).T
+        w_by_class[:, :v] = rows.column("w").combine_chunks().flatten().to_numpy().reshape(v, c).T
     prior = np.asarray(model.log_prior, dtype=np.float64)
     slice_tokens = SCORE_SLICE_TOKENS
 

@@ -138,11 +138,11 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    rows = vocab.select("token", "token_id").limit(max_vocab_rows + 1).collect()
-    if len(rows) > max_vocab_rows:
+    rows = vocab.select("token", "token_id").limit(max_vocab_rows + 1).toArrow()
+    if rows.num_rows > max_vocab_rows:
         return None
-    tokens = pa.array([r[0] for r in rows], pa.string())
-    ids = pa.array([r[1] for r in rows], pa.int32())
+    tokens = rows.column("token").combine_chunks().cast(pa.string())
+    ids = rows.column("token_id").combine_chunks().cast(pa.int32())
 
     def to_ids(batches):
         for b in batches:
