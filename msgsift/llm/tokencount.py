@@ -20,6 +20,8 @@ Defined cases
 
 from __future__ import annotations
 
+from math import inf
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,7 @@ class UnigramCounter(dict):
         for piece, score in vocabulary:
             self.auto.add_word(piece, (len(piece), score))
         self.auto.make_automaton()
+        self.singles = {piece for piece, _ in vocabulary if len(piece) == 1}
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.cache_words = cache_words
 
@@ -62,22 +65,26 @@ class UnigramCounter(dict):
     def segment(self, s: str) -> tuple[int, float]:
         """(pieces, score) of the best segmentation of ``s``."""
         n = len(s)
+        score, count = [0.0] + [-inf] * n, [0] * (n + 1)
+        if self.singles.issuperset(s):       # every place can be reached, so matches are used as they come
+            for end, (length, v) in self.auto.iter(s):       # by end, the earliest beginning first
+                start = end + 1 - length
+                c = score[start] + v
+                if c > score[end + 1]:
+                    score[end + 1], count[end + 1] = c, count[start] + 1
+            return count[n], score[n]
         ends: list[list] = [[] for _ in range(n)]
         for end, hit in self.auto.iter(s):
             ends[end].append(hit)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
         for e in range(n):
-            best, pieces = None, 0
-            single = False
-            for length, v in sorted(ends[e], reverse=True):      # the earliest beginning first
-                start = e + 1 - length
-                c = score[start] + v
-                if best is None or c > best:
-                    best, pieces = c, count[start] + 1
-                single |= length == 1
-            if not single:
+            best, pieces = -inf, 0
+            for length, v in ends[e]:
+                c = score[e + 1 - length] + v
+                if c > best:
+                    best, pieces = c, count[e + 1 - length] + 1
+            if s[e] not in self.singles:
                 c = score[e] + self.unknown
-                if best is None or c > best:
+                if c > best:
                     best, pieces = c, count[e] + len(s[e].encode("utf-8", "surrogatepass"))
             score[e + 1], count[e + 1] = best, pieces
         return count[n], score[n]
