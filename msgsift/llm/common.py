@@ -9,7 +9,7 @@ HOT_SHARE = 512   # a key holding more than 1/512 of the rows is hot: at most 51
 
 FILTER_BITS = 24  # bit filter before a join: 2 MiB of bits, at most 262,144 rows
 
-BATCH_ROWS = 2_000  # rows of an Arrow batch that carries whole texts
+BATCH_ROWS = 500  # rows of an Arrow batch that carries whole texts
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -235,22 +235,27 @@ def predict(docs: DataFrame, model: CrossParser, text_col: str = "text", out_lan
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = [c for c in (docs.columns if keep is None else keep) if c not in (out_lang, out_score)]
-    src = docs.select(docs[text_col].cast("string").alias("_parse_text"), *[docs[f"`{c}`"] for c in cols])
-    schema = src.drop("_parse_text").schema.add(out_lang, "string").add(out_score, "double")
+    kept = [docs[f"`{c}`"] for c in cols]
+    schema = docs.select(kept).schema.add(out_lang, "string").add(out_score, "double")
+    if text_col in cols and docs.schema[text_col].dataType.simpleString() == "string":
+        at = cols.index(text_col)              # the text travels once
+    else:
+        at = len(cols)
+        kept.append(docs[text_col].cast("string").alias("_parse_text"))
 
     def run(batches):
         m = shared.value
         for b in batches:
-            texts = b.column(0).to_pylist()
+            texts = b.column(at).to_pylist()
             langs, scores = [], []
             for lo, hi in _slices([len(t or "") for t in texts]):
                 p, s = m.predict([t or "" for t in texts[lo:hi]])
                 langs += p
                 scores.append(s)
             score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(score)],
-                                             names=[*b.schema.names[1:], out_lang, out_score])
-    return src.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(cols)], pa.array(langs, pa.string()), pa.array(score)],
+                                             names=[*cols, out_lang, out_score])
+    return docs.select(kept).mapInArrow(run, schema)
 
 
 def _slices(sizes: list[int]):
@@ -266,6 +271,7 @@ def _slices(sizes: list[int]):
 
 def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows whose text has a language, all columns unchanged: texts without a letter go."""
-    out = predict(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[text_col].alias("_t")),
-                  fit(docs, id_col, text_col, lang_col), "_t", "_lang", "_score", keep=["_row"])
-    return out.where(F.col("_lang") != UNDETERMINED).select("_row.*")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])       # no name can clash with the added columns
+    out = predict(plain, fit(docs, id_col, text_col, lang_col), f"c{names.index(text_col)}", "_lang", "_score")
+    return out.where(F.col("_lang") != UNDETERMINED).drop("_lang", "_score").toDF(*names)

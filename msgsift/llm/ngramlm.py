@@ -50,6 +50,7 @@ from .textbytes import SPACE_WORDS, batch_words, mix
 END = mix(np.array([0x454E44], dtype=np.uint64))[0]     # the end token's hash
 SHARD_TOKENS = 1_000_000     # pairs owned by one task
 SHARD_WORDS = 1 << 20        # words of one unigram shard
+BATCH_ROWS = 2_000           # rows of an Arrow batch; pairs are packed per batch
 BUCKET_BITS = 12             # row ids whose scores are added up together: 4,096
 GROUPS = 64                  # successor groups of a frequent context
 STEPS = 2048                 # quantisation steps per decade
@@ -520,7 +521,7 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   held_out_rest: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH_ROWS)
     root = shared_path(spark, "lm")
     src = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].alias("doc_id"),
                       (crc_mod(docs[id_col], held_out_mod) != held_out_rest).alias("train"),
