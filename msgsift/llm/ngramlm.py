@@ -12,13 +12,15 @@ read, where the folder is no mounted file system).
 
 Smoothing (Witten-Bell): p(w|h) = (c(hw) + T(h) p(w)) / (c(h) + T(h)) with T(h)
 the distinct successors of h and p(w) = (c(w) + 1) / (N + V + 1). The first
-token, and tokens after an unknown word, take p(w). A context with more than
-``shard_tokens / 8`` occurrences is cut into 64 groups of successors by word
-id, p(w|h) = p(group|h) p(w|h, group), so a word that makes up a third of all
-tokens is spread over 64 places; both forms are proper distributions.
+token, and tokens after an unknown word, take p(w). The successors of a context
+with more than ``shard_tokens / 8`` occurrences are dealt to 64 places by word
+id, so a word that makes up a third of all tokens is not in one task; the
+formula is the same, with c(h) and T(h) of the whole context at every place.
 
 Data flow: one pass counts words (partial sums per slice of text, then per
-task). A second pass sends every (context, word) pair once to the task that
+task). Where there are frequent contexts, a pass over their training pairs
+(distinct per slice, packed) counts T(h), at most 8 rows per ``shard_tokens``
+tokens. A last pass sends every (context, word) pair once to the task that
 owns it, packed per slice (sorted, as small integers, compressed). That task
 builds its part of the trie from the training pairs, writes it, maps it and
 scores all its pairs; packed sums per 4,096 row ids come back and are added up. What is gathered
@@ -52,7 +54,7 @@ SHARD_TOKENS = 1_000_000     # pairs owned by one task
 SHARD_WORDS = 1 << 20        # words of one unigram shard
 BATCH_ROWS = 2_000           # rows of an Arrow batch; pairs are packed per batch
 BUCKET_BITS = 12             # row ids whose scores are added up together: 4,096
-GROUPS = 64                  # successor groups of a frequent context
+GROUPS = 64                  # places that the successors of a frequent context are dealt to
 STEPS = 2048                 # quantisation steps per decade
 
 
@@ -170,12 +172,11 @@ def _named(name: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 class Unigrams:
     """All unigram shards of a model; opens a shard when it is first asked for."""
 
-    group_mass: np.ndarray       # p(w) summed per successor group
-
     def __init__(self, root: str, bits: int, first_id: list[int], n_tokens: int):
         self.root, self.bits, self.first_id, self.n_tokens = root, bits, first_id, n_tokens
         self.n_words = first_id[-1]
         self.total = n_tokens + self.n_words + 1
+        self.split_ids, self.split_kinds = np.zeros(0, np.int64), np.zeros(0, np.int64)     # T(h) of frequent contexts
         self._open: dict[int, tuple] = {}
 
     def __getstate__(self):
@@ -208,6 +209,13 @@ class Unigrams:
                 out[at] = self._shard(s)[1][ids[at] - self.first_id[s]]
         return out
 
+    def kinds(self, ids: np.ndarray) -> np.ndarray:
+        """Distinct successors of frequent contexts, 0 for any other word."""
+        if not len(self.split_ids):
+            return np.zeros(len(ids), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.split_ids, ids), len(self.split_ids) - 1)
+        return np.where(self.split_ids[at] == ids, self.split_kinds[at], 0)
+
 
 # ---- training: unigram level ---------------------------------------------
 
@@ -235,7 +243,7 @@ def train_unigrams(src: DataFrame, root: str, shard_words: int = SHARD_WORDS) ->
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
     words = materialize(src.where("train").select("text").mapInArrow(count, "h bigint, c bigint")
                         .groupBy("h").agg(F.sum("c").alias("c")), "lm-words")
-    n_words, n_tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    n_words, n_tokens, most = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
     bits = max(3, math.ceil(math.log2(max(1, n_words) / shard_words)) if n_words else 3)
     shard = F.shiftrightunsigned("h", 64 - bits)
 
@@ -258,7 +266,7 @@ def train_unigrams(src: DataFrame, root: str, shard_words: int = SHARD_WORDS) ->
     for k in range(1 << bits):
         first_id.append(first_id[-1] + sizes.get(k, 0))
     model = Unigrams(root, bits, first_id, int(n_tokens))
-    return model, {"tokens": int(n_tokens), "words": int(n_words)}
+    return model, {"tokens": int(n_tokens), "words": int(n_words), "most": int(most)}
 
 
 # ---- pairs ---------------------------------------------------------------
@@ -314,6 +322,54 @@ def _text_rows(id_type: pa.DataType, n: int, **cols) -> list[pa.Array]:
             for k, t in zip(_TEXT, types)]
 
 
+def count_kinds(src: DataFrame, uni: Unigrams, shards: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distinct successors) of the contexts with more than ``hot`` occurrences, ids ascending."""
+    def pairs(batches):
+        for b in batches:
+            for w in batch_words(b.column(0), SPACE_WORDS):
+                h, _, begins = _tokens(w)
+                u, inv = np.unique(h, return_inverse=True)
+                uid = uni.ids(u)
+                ids, frequent = uid[inv], (uni.counts(uid) > hot)[inv]
+                at = np.flatnonzero(frequent[:-1] & ~begins[1:])
+                if not len(at):
+                    continue
+                key = ids[at] * (GROUPS + 1) + 1 + group_of(ids[at + 1])
+                owner = (mix(key.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                order = np.lexsort((ids[at + 1], key, owner))
+                cols = np.stack([owner, key, ids[at + 1]])[:, order]
+                cols = cols[:, np.r_[True, (cols[:, 1:] != cols[:, :-1]).any(axis=0)]]
+                cut = np.r_[0, np.flatnonzero(np.diff(cols[0])) + 1, cols.shape[1]]
+                blobs = [_pack(cols[1, i:j], cols[2, i:j]) for i, j in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0, cut[:-1]]), pa.array(blobs, pa.binary())], names=["owner", "pairs"])
+
+    def flush(blobs):
+        key, word = map(np.concatenate, zip(*(_unpack(p, 2) for p in blobs)))
+        order = np.lexsort((word, key))
+        key, word = key[order], word[order]
+        key = key[np.r_[True, (key[1:] != key[:-1]) | (word[1:] != word[:-1])]]
+        ctx, n = np.unique(key // (GROUPS + 1), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(n.astype(np.int64))], names=["ctx", "n"])
+
+    def count(batches):
+        owner, blobs = None, []
+        for b in batches:
+            for o, p in zip(b.column("owner").to_pylist(), b.column("pairs").to_pylist()):
+                if blobs and o != owner:
+                    yield flush(blobs)
+                    blobs = []
+                owner = o
+                blobs.append(p)
+        if blobs:
+            yield flush(blobs)
+
+    dealt = (src.where("train").select("text").mapInArrow(pairs, "owner bigint, pairs binary")
+             .repartition(shards, "owner").sortWithinPartitions("owner"))
+    rows = dealt.mapInArrow(count, "ctx bigint, n bigint").groupBy("ctx").agg(F.sum("n").alias("n")).collect()   # at most tokens / hot
+    rows.sort()
+    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
+
+
 def scatter(src: DataFrame, uni: Unigrams, shards: int, hot: int, schema: str) -> DataFrame:
     """Per text one row of counts, base score and the score of tokens without a known context (owner: spread evenly);
     per slice and owner one row with a packed blob of (context key, word, text, times) and its texts."""
@@ -377,13 +433,13 @@ def build_bigrams(key: np.ndarray, word: np.ndarray, times: np.ndarray, uni: Uni
     ctx = k[first]
     kinds = np.diff(np.r_[first, len(k)])
     total = np.add.reduceat(c, first) if len(first) else np.zeros(0, np.int64)
-    group = ctx % (GROUPS + 1)
-    mass = np.where(group > 0, uni.group_mass[np.maximum(group - 1, 0)], 1.0)
-    p_group = np.where(group > 0, (total + mass) / (uni.counts(ctx // (GROUPS + 1)) + 1), 1.0)
+    whole, split = ctx // (GROUPS + 1), ctx % (GROUPS + 1) > 0
+    total = np.where(split, uni.counts(whole), total)          # of the whole context, not of the part that is here
+    distinct = np.where(split, uni.kinds(whole), kinds)
     place = np.repeat(np.arange(len(ctx)), kinds)
-    p_word = (uni.counts(w) + 1) / uni.total / mass[place]
-    p = p_group[place] * (c + kinds[place] * p_word) / (total + kinds)[place]
-    back = p_group * kinds / (total + kinds) / mass
+    p_word = (uni.counts(w) + 1) / uni.total
+    p = (c + distinct[place] * p_word) / (total + distinct)[place]
+    back = distinct / (total + distinct)
     vocab = uni.n_words + 1
     return {**_named("ctx", EliasFano.encode(ctx)), **_named("begin", EliasFano.encode(np.r_[first, len(k)])),
             **_named("next", EliasFano.encode(place * vocab + w)),
@@ -391,7 +447,10 @@ def build_bigrams(key: np.ndarray, word: np.ndarray, times: np.ndarray, uni: Uni
 
 
 def _quantise(logs: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(-logs * STEPS), 65_535).astype(np.uint16)
+    steps = np.rint(-logs * STEPS)
+    if len(steps) and not 0 <= steps.min() <= steps.max() <= 65_535:
+        raise ValueError("a probability is above 1 or below 1e-31")
+    return steps.astype(np.uint16)
 
 
 class Bigrams:
@@ -421,9 +480,10 @@ class Bigrams:
         out[found] = -self.p[i[found]].astype(np.float64) / STEPS
         backed = seen & ~found
         out[backed] = -self.back[at[backed]].astype(np.float64) / STEPS + low[backed]
-        none = ~seen                                          # a frequent context without a successor in this group,
-        c = self.uni.counts(key[none] // (GROUPS + 1))        # or, for an unknown word, without a group: p(w) / (c + 1)
-        out[none] = low[none] - np.log10(c + 1)
+        none = ~seen                                          # a frequent context without a successor at this place,
+        whole = key[none] // (GROUPS + 1)                     # or an unknown word after one: backed off like any other
+        kinds = self.uni.kinds(whole)
+        out[none] = low[none] + np.log10(kinds / (self.uni.counts(whole) + kinds))
         return out
 
 
@@ -527,32 +587,15 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                       (crc_mod(docs[id_col], held_out_mod) != held_out_rest).alias("train"),
                       docs[text_col].cast("string").alias("text"))
     uni, size = train_unigrams(src, root)
-    uni.group_mass = _group_mass(uni, spark)
-    shards = max(1, math.ceil(size["tokens"] / shard_tokens))
+    shards, hot = max(1, math.ceil(size["tokens"] / shard_tokens)), max(1, shard_tokens // 8)
+    if size["most"] > hot:
+        uni.split_ids, uni.split_kinds = count_kinds(src, uni, shards, hot)
     schema = (f"rid bigint, doc_id {docs.schema[id_col].dataType.simpleString()}, train boolean, n_tokens bigint, "
               "n_known bigint, base double, s double")
-    dealt = (scatter(src, uni, shards, max(1, shard_tokens // 8), schema)
+    dealt = (scatter(src, uni, shards, hot, schema)
              .repartition(shards, "owner").sortWithinPartitions("owner"))
     parts = dealt.mapInArrow(owner_scores(uni, root), f"bucket bigint, {schema}, part binary, tail bigint")
     rows = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_parts, schema)
     return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
                        F.lit(size["tokens"]).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"),
                        F.col("s").alias("score"))
-
-
-def _group_mass(uni: Unigrams, spark) -> np.ndarray:
-    """p of each successor group under the unigrams: one task per unigram shard, GROUPS numbers each."""
-    n = len(uni.first_id) - 1
-
-    def run(batches):
-        for b in batches:
-            for s in b.column(0).to_pylist():
-                a, z = uni.first_id[s], uni.first_id[s + 1]
-                ids = np.arange(a, z)
-                m = np.bincount(group_of(ids), weights=uni.counts(ids) + 1, minlength=GROUPS) if z > a else np.zeros(GROUPS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(GROUPS)), pa.array(m)], names=["g", "m"])
-    got = spark.range(n, numPartitions=min(n, 64)).mapInArrow(run, "g bigint, m double").groupBy("g").agg(F.sum("m")).collect()
-    out = np.zeros(GROUPS)
-    for g, m in got:
-        out[g] = m / uni.total
-    return np.maximum(out, 1e-300)

@@ -273,6 +273,18 @@ def test_lm_is_a_distribution_also_when_contexts_are_split(spark):
             assert total + 10 ** (got[ids[-1]] - first) == pytest.approx(1.0, abs=0.01)
 
 
+def test_lm_scores_match_brute_force_when_contexts_are_split(spark):
+    import zlib
+    held = [i for i in range(20_000, 21_000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = _lm_rows() + list(zip(held, ["the neverseen", "cat the neverseen dog the", "the x1 neverseen", "a zebra the cat"]))
+    rows += [(600 + i, f"the rare{i} cat") for i in range(200)]      # a frequent word before many distinct rare words
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = _lm_brute(rows)
+    for r in ngramlm.fit_and_score(docs, shard_tokens=200).collect():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
+        assert r.score == pytest.approx(want[r.doc_id][5], abs=r.n_tokens / ngramlm.STEPS + 1e-3)
+
+
 def _counts(rows):
     import zlib
     toks = [t.translate(LOWER).split() + [None] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
