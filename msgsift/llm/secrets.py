@@ -4,10 +4,16 @@ Candidates are runs of at least ``MIN_LENGTH`` key characters with a digit or
 an upper-case letter beyond the first place, in whitespace-separated words of
 the whole text. Features: length; shares of digits, upper-case letters and hex
 digits; runs of one character class per character and distinct characters
-(character transitions); share of the candidate's four-letter stretches that
-the corpus' own word dictionary holds; whether the word looks like a path, an
+(character transitions); how far the candidate's four-letter stretches are
+those of the corpus' own words; whether the word looks like a path, an
 address or a URL; and whether the words before it name a secret or assign it.
 
+The dictionary counts the four-letter stretches of the lower-case words of all
+texts (words are partially aggregated; at most 26^4 stretches exist, none is
+left out). A stretch weighs n / (n + noise), with noise the count it would have
+if a share ``NOISE`` of all stretches were random letters: a weight that does
+not move with the size of the corpus.
+
 Training findings are labelled from the corpus itself, there being no labelled
 table: a candidate in a published key format, or assigned to a name such as
 ``password`` or ``token``, is a finding; prose in capitals, addresses, paths and
@@ -29,8 +35,7 @@ from ..session import materialize
 
 MIN_LENGTH = 16
 TRAIN_ROWS = 20_000
-DICTIONARY_GRAMS = 4_000     # most frequent four-letter stretches of the corpus' words
-DICTIONARY_ROWS = 2_000      # texts the dictionary is drawn from
+NOISE = 0.01                 # share of random letters at which a stretch of them weighs one half
 TREES, DEPTH = 20, 6
 # Published key formats and the names that secrets are assigned to.
 KEY_FORMATS = (r"^(AKIA|ASIA)[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}$", r"^xox[abprs]-[A-Za-z0-9-]{10,}$",
@@ -57,18 +62,19 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return runs.where(F.col("value").rlike(r"[0-9]|.[A-Z]"))
 
 
-def dictionary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(gram): the most frequent four-letter stretches of lower-case words, from a bounded hash sample of texts."""
-    key = F.xxhash64(docs[id_col])
-    top = docs.select(key.alias("k")).orderBy("k").limit(DICTIONARY_ROWS).agg(F.max("k")).first()[0]    # ids only
-    some = docs.where(key <= F.lit(top).cast("bigint")).select(docs[text_col].alias("t"))
-    words = some.select(F.explode(F.regexp_extract_all("t", F.lit(r"\b[a-z]{4,}\b"), F.lit(0))).alias("w"))
-    grams = words.select(F.explode(_grams(F.col("w"))).alias("gram"))
-    return grams.groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(DICTIONARY_GRAMS).select("gram")
+def dictionary(docs: DataFrame, text_col: str) -> DataFrame:
+    """(gram, weight): the four-letter stretches of lower-case words, counted over all texts; at most 26^4 rows."""
+    words = docs.select(F.explode(F.regexp_extract_all(docs[text_col].cast("string"), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))).alias("w"))
+    words = words.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    grams = words.select(F.explode(_grams(F.col("w"))).alias("gram"), "c").groupBy("gram").agg(F.sum("c").alias("n"))
+    grams = materialize(grams, "secret-dictionary")
+    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return grams.select("gram", (F.col("n") / (F.col("n") + F.lit(NOISE * total / 26 ** 4))).alias("weight"))
 
 
 def _grams(word: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(word) - 3, F.lit(1))), lambda i: F.substr(word, i, F.lit(4)))
+    stretches = F.regexp_extract_all(word, F.lit("(?s)(?=(.{4}))"), F.lit(1))
+    return F.when(F.char_length(word) < 4, F.array(word)).otherwise(stretches)
 
 
 def _share(value: Column, chars: str) -> Column:
@@ -76,18 +82,19 @@ def _share(value: Column, chars: str) -> Column:
 
 
 def with_features(cand: DataFrame, words: DataFrame) -> DataFrame:
-    """Candidates with the feature columns; ``words`` is the dictionary (at most DICTIONARY_GRAMS rows, broadcast)."""
+    """Candidates (keyed ``cid``) with the feature columns; ``words`` is the dictionary (at most 26^4 rows, broadcast)."""
     value, word, before = F.col("value"), F.col("word"), F.col("before")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
-    held = words.agg(F.collect_set("gram").alias("dict"))                  # one row of at most DICTIONARY_GRAMS short strings
-    grams = _grams(F.lower(value))
+    grams = cand.select("cid", F.explode(F.array_distinct(_grams(F.lower(value)))).alias("gram"))
+    held = (grams.join(F.broadcast(words), "gram", "left").groupBy("cid")
+            .agg(F.round(F.avg(F.coalesce("weight", F.lit(0.0))), 9).alias("dictionary")))
     flag = lambda c: c.cast("double")
-    return cand.join(F.broadcast(held)).select(
+    return cand.join(held, "cid").select(
         *cand.columns, F.char_length(value).cast("double").alias("length"), _share(value, "0-9").alias("digits"),
         _share(value, "A-Z").alias("upper"), _share(value, "0-9a-fA-F").alias("hex"),
         (F.char_length(F.regexp_replace(classes, r"(.)\1*", "x")) / F.char_length(value)).alias("transitions"),
         (F.size(F.array_distinct(F.split(value, ""))) / F.char_length(value)).alias("distinct"),
-        (F.size(F.array_intersect(grams, "dict")) / F.size(F.array_distinct(grams))).alias("dictionary"),
+        "dictionary",
         flag(value.rlike("/.*/|^/") | word.rlike(r"\.[a-z]{2,4}$")).alias("path"),
         flag(word.rlike("://|www\\.")).alias("url"), flag(word.contains("@")).alias("address"),
         flag(before.rlike(SECRET_NAMES) | _assigned_name(word).rlike(SECRET_NAMES)).alias("named"),
@@ -116,9 +123,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    words = materialize(dictionary(docs, id_col, text_col), "secret-dictionary")
-    found = with_features(candidates(docs, id_col, text_col), words)
-    found = materialize(found.withColumn("label", weak_label(found)), "secret-candidates")
+    cand = materialize(candidates(docs, id_col, text_col).withColumn("cid", F.monotonically_increasing_id()), "secret-candidates")
+    found = with_features(cand, dictionary(docs, text_col))
+    found = materialize(found.withColumn("label", weak_label(found)), "secret-features")
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
     train = (vectors.where("label is not null").orderBy(F.xxhash64("doc_id", "word_no", "value"), "doc_id", "word_no", "value")
              .limit(train_rows))

@@ -119,6 +119,18 @@ def test_secret_scan_keeps_findings_and_drops_prose(spark):
     assert {r.secret for r in one.collect()} == {True}
 
 
+def test_secret_dictionary_counts_every_text(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [" ".join(word(rng.randrange(4, 9)) for _ in range(4)) for _ in range(6_000)] + [None, "", "x" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    n = Counter(w[i:i + 4] for t in texts for w in (t or "").split() for i in range(len(w) - 3))
+    noise = secrets.NOISE * sum(n.values()) / 26 ** 4
+    got = {r.gram: r.weight for r in secrets.dictionary(docs, "text").collect()}
+    assert got.keys() == n.keys()
+    assert all(w == pytest.approx(n[g] / (n[g] + noise)) for g, w in got.items())
+
+
 # ---- WARC
 
 def _pages(spark):
