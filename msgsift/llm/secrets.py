@@ -1,8 +1,13 @@
 """Secret scan with a random forest that removes false positives (DataFrame and Spark ML operations only).
 
-Candidates are runs of at least ``MIN_LENGTH`` key characters with a digit or
-an upper-case letter beyond the first place, in whitespace-separated words of
-the whole text. Features: length; shares of digits, upper-case letters and hex
+Candidates, in whitespace-separated words of the whole text, are
+    runs of at least ``MIN_LENGTH`` key characters with a digit or an upper-case
+    letter beyond the first place;
+    matches of a published key format, whatever their length;
+    what follows a name such as ``password`` or ``token`` and ``=`` or ``:``, at
+    any length and of any non-space characters: between quotes, else to the end
+    of the word without closing commas and semicolons.
+Features: length; shares of digits, upper-case letters and hex
 digits; runs of one character class per character and distinct characters
 (character transitions); how far the candidate's four-letter stretches are
 those of the corpus' own words; whether the word looks like a path, an
@@ -17,7 +22,8 @@ not move with the size of the corpus.
 Training findings are labelled from the corpus itself, there being no labelled
 table: a candidate in a published key format, or assigned to a name such as
 ``password`` or ``token``, is a finding; prose in capitals, addresses, paths and
-bare numbers are not; the rest stays unlabelled and is judged by the forest.
+bare numbers are not; the rest stays unlabelled and is judged by the forest, also
+short, numeric or plain-word values that are assigned to such a name.
 At most ``TRAIN_ROWS`` labelled candidates, drawn by hash, train it.
 
 Defined cases
@@ -43,23 +49,54 @@ KEY_FORMATS = (r"^(AKIA|ASIA)[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}$", r"^
 SECRET_NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|auth|bearer|credential|private[_-]?key)"
 
 _RUN = r"[A-Za-z0-9+/_-]{%d,}" % MIN_LENGTH
+_KEYS = "(?<![A-Za-z0-9])(?:" + "|".join(f.strip("^$") for f in KEY_FORMATS) + ")(?![A-Za-z0-9])"
+KEY_LENGTH = 13              # shortest match of a key format
+_NAME = SECRET_NAMES + r"[A-Za-z0-9_-]{0,64}+[\"'`)\]]*"
+_TO = r"\s?[=:]+>?\s?"        # between a name and its value; the value is group 3 or, in quotes, group 4
+_PLAIN, _QUOTED = r"[\"'`(\[{]*([^\s\"'`=:]\S*?)[,;]*$", r"([\"'`])(\S+?)\3\S*$"
+_WHOLE_NAME = SECRET_NAMES + r"s?(?-i:(?![a-z]))[A-Za-z0-9_-]{0,64}+[\"'`)\]]*"       # password, token_2; not author
 FEATURES = ["length", "digits", "upper", "hex", "transitions", "distinct", "dictionary", "path", "url", "address",
             "named", "assigned", "quoted"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, word_no, word, before, value): one row per candidate, in whole texts."""
-    words = F.split(docs[text_col].cast("string"), r"\s+")
-    d = docs.select(docs[id_col].alias("doc_id"), words.alias("w"))
-    long_words = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("word_no"), x.alias("word"))),
-                          lambda s: (F.char_length(s["word"]) >= MIN_LENGTH) & s["word"].rlike(_RUN)
-                          & s["word"].rlike(r"[0-9]|.[A-Z]"))
-    one = d.select("doc_id", "w", F.explode(long_words).alias("s")).select(
+    """(doc_id, word_no, word, before, value, by_name): one row per candidate, in whole texts."""
+    text = docs[text_col].cast("string")
+    d = docs.select(docs[id_col].alias("doc_id"), F.split(text, r"\s+").alias("w"), text.rlike(_NAME + r"\s*[=:]").alias("names"))
+    numbered = F.transform("w", lambda x, i: F.struct(i.alias("word_no"), x.alias("word")))
+    some = F.filter(numbered, lambda s: _has_run(s["word"]) | _has_key(s["word"])
+                    | (F.col("names") & _after_name(F.col("w"), s["word_no"], s["word"])))
+    one = d.select("doc_id", "w", F.explode(some).alias("s")).select(
         "doc_id", F.col("s.word_no").alias("word_no"), F.col("s.word").alias("word"),
-        F.concat_ws(" ", F.slice("w", F.greatest(F.col("s.word_no") - 1, F.lit(1)),
-                                 F.least(F.col("s.word_no"), F.lit(2)))).alias("before"))
-    runs = one.withColumn("value", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(_RUN), F.lit(0)))))
-    return runs.where(F.col("value").rlike(r"[0-9]|.[A-Z]"))
+        _before(F.col("w"), F.col("s.word_no")).alias("before"))
+    near = F.concat_ws(" ", "before", "word")
+    quoted, plain = F.regexp_extract(near, _NAME + _TO + _QUOTED, 4), F.regexp_extract(near, _NAME + _TO + _PLAIN, 3)
+    one = one.withColumn("named_value", F.when(quoted != "", quoted).otherwise(plain))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(_RUN), F.lit(0)), lambda v: v.rlike(r"[0-9]|.[A-Z]"))
+    keys = F.regexp_extract_all("word", F.lit(_KEYS), F.lit(0))
+    named = F.filter(F.array("named_value"), lambda v: v != "")
+    out = one.withColumn("value", F.explode(F.array_distinct(F.concat(runs, keys, named))))
+    by_name = (F.col("value") == F.col("named_value")) & near.rlike(_WHOLE_NAME + _TO + r"[\"'`(\[{]*\S+$")
+    return out.select("doc_id", "word_no", "word", "before", "value", by_name.alias("by_name"))
+
+
+def _has_run(word: Column) -> Column:
+    return (F.char_length(word) >= MIN_LENGTH) & word.rlike(_RUN) & word.rlike(r"[0-9]|.[A-Z]")
+
+
+def _has_key(word: Column) -> Column:
+    return (F.char_length(word) >= KEY_LENGTH) & word.rlike(_KEYS)
+
+
+def _before(words: Column, word_no: Column) -> Column:
+    """The one or two words before, joined."""
+    return F.concat_ws(" ", F.slice(words, F.greatest(word_no - 1, F.lit(1)), F.least(word_no, F.lit(2))))
+
+
+def _after_name(words: Column, word_no: Column, word: Column) -> Column:
+    last = F.coalesce(F.get(words, word_no - 1), F.lit(""))
+    return ((word.contains("=") | word.contains(":") | last.contains("=") | last.contains(":"))
+            & F.concat_ws(" ", _before(words, word_no), word).rlike(_NAME + _TO + r"(?:[\"'`(\[{]*[^\s\"'`=:]|[\"'`])\S*$"))
 
 
 def dictionary(docs: DataFrame, text_col: str) -> DataFrame:
@@ -97,8 +134,8 @@ def with_features(cand: DataFrame, words: DataFrame) -> DataFrame:
         "dictionary",
         flag(value.rlike("/.*/|^/") | word.rlike(r"\.[a-z]{2,4}$")).alias("path"),
         flag(word.rlike("://|www\\.")).alias("url"), flag(word.contains("@")).alias("address"),
-        flag(before.rlike(SECRET_NAMES) | _assigned_name(word).rlike(SECRET_NAMES)).alias("named"),
-        flag(word.rlike("^[^=:]+[=:]") | before.rlike("[=:]$")).alias("assigned"),
+        flag(F.col("by_name") | before.rlike(SECRET_NAMES) | _assigned_name(word).rlike(SECRET_NAMES)).alias("named"),
+        flag(F.col("by_name") | word.rlike("^[^=:]+[=:]") | before.rlike("[=:]$")).alias("assigned"),
         flag(word.rlike("^[\"'`]")).alias("quoted"))
 
 
@@ -111,9 +148,10 @@ def weak_label(found: DataFrame) -> Column:
     key = F.lit(False)
     for f in KEY_FORMATS:
         key = key | F.col("value").rlike(f)
-    prose = (F.col("digits") == 0) & (F.col("dictionary") >= 0.5)
-    harmless = (F.col("address") == 1) | (F.col("url") == 1) | (F.col("digits") == 1) | ((F.col("path") == 1) & (F.col("named") == 0))
-    assigned = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0) & (F.col("digits") < 1)
+    prose = (F.col("digits") == 0) & (F.col("dictionary") >= 0.5) & ~F.col("by_name")
+    number = (F.col("digits") == 1) & ~F.col("by_name")
+    harmless = (((F.col("address") == 1) | (F.col("url") == 1)) & ~F.col("by_name")) | number | ((F.col("path") == 1) & (F.col("named") == 0))
+    assigned = (F.col("length") >= MIN_LENGTH) & (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0) & (F.col("digits") < 1)
     return F.when(key | (assigned & (F.col("dictionary") < 0.5)), 1.0).when(prose | harmless, 0.0)
 
 

@@ -119,6 +119,35 @@ def test_secret_scan_keeps_findings_and_drops_prose(spark):
     assert {r.secret for r in one.collect()} == {True}
 
 
+def test_secret_candidates_of_any_length_after_a_name_and_in_key_formats(spark):
+    slack = "xoxb" + "-1234567890"          # 15 characters
+    values = {"password=Hunter2!": "Hunter2!", "the pin token: 4711 is": "4711", 'pwd = "p@$$.w#rd!"; next': "p@$$.w#rd!",
+              "passphrase=correcthorse": "correcthorse", "db.API_KEY_2=>'a1'": "a1", "secret:\n  x9, then": "x9",
+              f"see {slack} there": slack, f"({slack})": slack, '{"password":"ab.c!1","n":2}': "ab.c!1",
+              "sk_live_" + "a" * 16: "sk_live_" + "a" * 16, "password=abcdefghijklmnop1!": "abcdefghijklmnop1!"}
+    none = ["password", "a password is needed", "time: 12:30 and x=1", "password= "]
+    docs = spark.createDataFrame(list(enumerate([*values, *none])), "doc_id bigint, text string")
+    got = defaultdict(set)
+    for r in secrets.candidates(docs).collect():
+        got[r.doc_id].add(r.value)
+    assert all(v in got[i] for i, v in enumerate(values.values())), got
+    assert not any(got[i] for i in range(len(values), len(values) + len(none))), got
+
+
+def test_short_secrets_after_a_name_are_found(spark):
+    rng = random.Random(3)
+    mixed = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    prose = "the administration understanding internationalisation of characterisation and responsibilities "
+    kinds = [lambda: f"password={mixed(24)}", lambda: "INTERNATIONALISATIONS", lambda: "4" + str(rng.randrange(10 ** 14, 10 ** 15))]
+    rows = [(i, prose + kinds[i % 3]() + " " + prose) for i in range(300)]
+    rows += [(1_000, prose + "password=Hunter2!"), (1_001, prose + "password=correcthorse"), (1_002, prose + "token: 4711")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = secrets.scan(docs).collect()
+    got = {r.doc_id for r in out if r.secret}
+    assert (1_001, "correcthorse") in {(r.doc_id, r.value) for r in out}          # plain words: scored, the forest decides
+    assert {1_000, 1_002} <= got and {i for i in got if i < 1_000} == {i for i in range(300) if i % 3 == 0}
+
+
 def test_secret_dictionary_counts_every_text(spark):
     rng = random.Random(2)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
