@@ -18,7 +18,8 @@ in total over all languages go into the automata (a row longer than its
 language's share gives only that many characters). Predictions read whole texts.
 
 Defined cases
-    null text or no letter: ``und`` with score 0. no labelled row at all: everything ``und``.
+    null text or no letter: ``und`` with score 0. no labelled row at all: everything ``und``
+    (:func:`drop_undetermined` drops texts without a letter only, also then).
     very long texts: parsed whole; a phrase also ends every ``SEGMENT`` characters.
     ties: the language that sorts first. letters never seen in training: phrases of one letter.
     repeated rows and null ids: predicted like any row. empty table: no rows.
@@ -178,14 +179,15 @@ class CrossParser:
             total[i] = np.bincount(text, weights=ph[i], minlength=len(n))
         return (total * np.array(self.log_n)[:, None] / np.maximum(n, 1)).T, letter
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, has a letter) of each text."""
         if not self.langs:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), encode(texts, self.codes)[2]
         bits, letter = self.bits(texts)
         best = bits.argmin(axis=1)
         z = np.exp(-SHARPNESS * (bits - bits.min(axis=1, keepdims=True)))
         score = np.where(letter, 1.0 / z.sum(axis=1), 0.0)
-        return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letter.tolist())], score
+        return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letter.tolist())], score, letter
 
 
 def _first_chars(texts: list[str], limit: int) -> list[str]:
@@ -230,13 +232,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: CrossParser, text_col: str = "text", out_lang: str = "lang_pred",
-            out_score: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all by default) and the predicted language and score, read from the text only."""
+            out_score: str = "score", keep: list[str] | None = None, out_letter: str | None = None) -> DataFrame:
+    """``keep`` columns (all by default) and the predicted language and score, read from the text only;
+    with ``out_letter`` also whether the text has a letter."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = [c for c in (docs.columns if keep is None else keep) if c not in (out_lang, out_score)]
+    cols = [c for c in (docs.columns if keep is None else keep) if c not in (out_lang, out_score, out_letter)]
     kept = [docs[f"`{c}`"] for c in cols]
     schema = docs.select(kept).schema.add(out_lang, "string").add(out_score, "double")
+    if out_letter:
+        schema = schema.add(out_letter, "boolean")
     if text_col in cols and docs.schema[text_col].dataType.simpleString() == "string":
         at = cols.index(text_col)              # the text travels once
     else:
@@ -247,14 +252,15 @@ def predict(docs: DataFrame, model: CrossParser, text_col: str = "text", out_lan
         m = shared.value
         for b in batches:
             texts = b.column(at).to_pylist()
-            langs, scores = [], []
+            langs, scores, letters = [], [], []
             for lo, hi in _slices([len(t or "") for t in texts]):
-                p, s = m.predict([t or "" for t in texts[lo:hi]])
+                p, s, has = m.predict([t or "" for t in texts[lo:hi]])
                 langs += p
                 scores.append(s)
+                letters += has.tolist()
             score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(cols)], pa.array(langs, pa.string()), pa.array(score)],
-                                             names=[*cols, out_lang, out_score])
+            added = [pa.array(langs, pa.string()), pa.array(score), *([pa.array(letters, pa.bool_())] if out_letter else [])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(cols)], *added], names=schema.names)
     return docs.select(kept).mapInArrow(run, schema)
 
 
@@ -270,8 +276,9 @@ def _slices(sizes: list[int]):
 
 
 def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows whose text has a language, all columns unchanged: texts without a letter go."""
+    """Rows whose text has a letter, all columns unchanged, whether or not a language could be learned."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])       # no name can clash with the added columns
-    out = predict(plain, fit(docs, id_col, text_col, lang_col), f"c{names.index(text_col)}", "_lang", "_score")
-    return out.where(F.col("_lang") != UNDETERMINED).drop("_lang", "_score").toDF(*names)
+    out = predict(plain, fit(docs, id_col, text_col, lang_col), f"c{names.index(text_col)}", "_lang", "_score",
+                  out_letter="_letter")
+    return out.where("_letter").drop("_lang", "_score", "_letter").toDF(*names)
