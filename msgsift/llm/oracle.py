@@ -4,6 +4,17 @@ from __future__ import annotations
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# crc32 of an id's decimal text: the reflected polynomial, byte by byte and bit by bit
+_CRC = ("xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: "
+        "CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), "
+        "lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)")
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+                                   for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
 ORACLE_SQL = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_NORM} AS t FROM documents)
@@ -45,4 +56,38 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
                d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
         FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN comp ON comp.node = d.doc_id""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE leaf AS (
+            SELECT doc_id, lang, {_leaf("n_chars")} AS h, {_leaf("n_chars + 1")} AS bad, {_CRC} % 7 = 0 AS touched FROM documents),
+        d AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+                     row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS p FROM leaf),
+        tree(g, lv, p, h, n) AS (
+            SELECT g, 0, p, h, count(*) OVER (PARTITION BY g) FROM d UNION ALL
+            SELECT g, lv + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (n + 1) // 2 FROM tree WHERE n > 1
+            GROUP BY g, lv, p // 2, n),
+        sub AS (SELECT g AS p, h FROM tree WHERE n = 1),
+        ttree(lv, p, h, n) AS (
+            SELECT 0, p, h, count(*) OVER () FROM sub UNION ALL
+            SELECT lv + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (n + 1) // 2 FROM ttree WHERE n > 1
+            GROUP BY lv, p // 2, n),
+        top AS (SELECT h AS root FROM ttree WHERE n = 1),
+        depth AS (SELECT g, max(lv) AS up FROM tree GROUP BY g),
+        step AS (
+            SELECT d.g, d.p, n.lv, n.p < (d.p >> n.lv) AS before, n.h AS sib FROM d JOIN tree n
+                ON n.g = d.g AND n.n > 1 AND n.p = xor(d.p >> n.lv, 1)
+            UNION ALL
+            SELECT d.g, d.p, up + t.lv, t.p < (d.g >> t.lv), t.h FROM d JOIN depth USING (g) JOIN ttree t
+                ON t.n > 1 AND t.p = xor(d.g >> t.lv, 1)),
+        steps AS (SELECT d.g, d.p, up + (SELECT max(lv) FROM ttree) AS height FROM d JOIN depth USING (g)),
+        proof AS (SELECT g, p, string_agg(sib, '' ORDER BY lv) AS sibs FROM step GROUP BY g, p),
+        fold(g, p, lv, h) AS (
+            SELECT g, p, 0, CASE WHEN touched THEN bad ELSE h END FROM d UNION ALL
+            SELECT f.g, f.p, f.lv + 1, sha256(CASE WHEN s.sib IS NULL THEN f.h WHEN s.before THEN s.sib || f.h ELSE f.h || s.sib END)
+            FROM fold f JOIN steps x ON x.g = f.g AND x.p = f.p AND f.lv < x.height
+                 LEFT JOIN step s ON s.g = f.g AND s.p = f.p AND s.lv = f.lv)
+        SELECT d.doc_id, d.h AS leaf, sub.h AS subroot, root, sha256(coalesce(sibs, '')) AS proof_sha256,
+               fold.h AS folded_root, fold.h = root AS verified
+        FROM d JOIN sub ON sub.p = d.g CROSS JOIN top JOIN steps ON steps.g = d.g AND steps.p = d.p
+             JOIN fold ON fold.g = d.g AND fold.p = d.p AND fold.lv = steps.height
+             LEFT JOIN proof ON proof.g = d.g AND proof.p = d.p""",
 }

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, minmax, mixing, ngramlm, secrets, tokencount, toxicity, warc
+from . import decontam, exact_dedup, langid, merkle, minmax, mixing, ngramlm, secrets, tokencount, toxicity, warc
 from .common import crc_mod
 
 
@@ -63,6 +63,18 @@ def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_groups(_table(spark, sf_dir, "documents")).drop("th")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents; where 7 divides the id's checksum, n_chars is tampered with before the check."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = {c: docs[c] for c in merkle.FIELDS}
+    touched = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 0
+    found = F.when(touched, merkle.leaf_digest([*(fields | {"n_chars": docs["n_chars"] + 1}).values()]))
+    out = merkle.manifest(docs, leaves={"leaf": merkle.leaf_digest([*fields.values()]), "found": found})
+    out = out.withColumn("folded_root", merkle.root_from(F.coalesce("found", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -74,4 +86,5 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_ngram_lm": op9_ngram_lm,
     "op10_minmax_near_dedup": op10_minmax_near_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
