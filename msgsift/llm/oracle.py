@@ -56,6 +56,17 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
                d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
         FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN comp ON comp.node = d.doc_id""",
+    "op11_substring_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+        win AS (SELECT doc_id, i, sha256(array_to_string(w[i + 1:i + 35], ' ')) AS t
+                FROM (SELECT doc_id, w, unnest(range(len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+        again AS (SELECT t FROM win GROUP BY t HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM win SEMI JOIN again USING (t)),
+        n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+        word AS (SELECT doc_id, i, w[i + 1] AS x FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d)),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id""",
     "op12_merkle_manifest": f"""
         WITH RECURSIVE leaf AS (
             SELECT doc_id, lang, {_leaf("n_chars")} AS h, {_leaf("n_chars + 1")} AS bad, {_CRC} % 7 = 0 AS touched FROM documents),
@@ -90,4 +101,26 @@ ORACLE_SQL = {
         FROM d JOIN sub ON sub.p = d.g CROSS JOIN top JOIN steps ON steps.g = d.g AND steps.p = d.p
              JOIN fold ON fold.g = d.g AND fold.p = d.p AND fold.lv = steps.height
              LEFT JOIN proof ON proof.g = d.g AND proof.p = d.p""",
+    "op13_periodic_runs": f"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w, {_CRC} AS h FROM documents),
+        e AS (SELECT doc_id, w, h, len(w) AS n, (h // 10) % len(w) AS a, (h // 10) % 8 AS m FROM d WHERE len(w) > 0),
+        v AS (SELECT *, 1 + (n - a) // (3 + m) AS p FROM e),
+        word AS (SELECT doc_id, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS x
+                 FROM (SELECT *, unnest(range(n)) AS i FROM v)),
+        tri AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS t
+                FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM tri x JOIN tri y ON x.doc_id = y.doc_id AND x.t = y.t AND x.i < y.i),
+        isle AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pair),
+        cand AS (SELECT doc_id, q, min(i) AS s, count(*) + 2 + q AS len FROM isle GROUP BY doc_id, q, k
+                 HAVING count(*) + 2 + q >= greatest(6, 4 * q)),
+        run AS (SELECT * FROM cand c WHERE NOT EXISTS (
+            SELECT 1 FROM cand b WHERE b.doc_id = c.doc_id AND b.q < c.q AND b.s <= c.s AND b.s + b.len >= c.s + c.len)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+        per AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t,
+                       first(s ORDER BY len DESC, s, q) AS start, first(len ORDER BY len DESC, s, q) AS length,
+                       first(q ORDER BY len DESC, s, q) AS period FROM run GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+               sha256(coalesce(per.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+        FROM d LEFT JOIN per ON per.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id""",
 }
