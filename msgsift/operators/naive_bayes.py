@@ -12,8 +12,8 @@ Scoring joins each token occurrence of a text to its weight row and sums the
 arrays per text with partial (map-side) aggregation: one shuffle on the text
 key, one output row per text. Texts without a known token keep the prior.
 The weight table is broadcast only when its size bound (rows x classes x 8
-bytes) is below ``broadcast_bytes``; otherwise it is a shuffle join on token,
-whose hot tokens AQE's skew-join handling splits.
+bytes) is below ``broadcast_bytes``; otherwise pages of texts ask for the
+weight rows of their distinct tokens.
 
 Smoothing: ``kind="add_one"`` gives ``(n_tc + a) / (N_c + a V)``;
 ``kind="background"`` (M3) gives ``(n_tc + mu p_bg(t)) / (N_c + mu)`` with
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..config import LOG_FLOOR
 from ..functions.text import argmax, softmax, token_array
 from ..session import materialize
+from .lookup import answered, paged
 from .tokens import token_stats, vocab_from_stats
 
 BROADCAST_BYTES = 256 << 20
@@ -219,28 +220,65 @@ def score(model: NBModel, df: DataFrame, id_col: str = "doc_id", text_col: str =
     ``keep`` columns (functions of the id, e.g. the true label) ride along,
     so callers need no join back to the input. With a weight matrix of at
     most ``lookup_bytes`` the scores are computed per Arrow batch with no
-    shuffle (:func:`_lookup_score`); otherwise each token occurrence joins
-    its weight row (broadcast below ``broadcast_bytes``, else a shuffle join
-    on token) and the rows are summed per text with partial aggregation.
+    shuffle (:func:`_lookup_score`); below ``broadcast_bytes`` each token
+    occurrence joins its broadcast weight row and the rows are summed per text
+    with partial aggregation; beyond, see :func:`_asked_score`.
     """
     c = model.n_classes
     cols = [id_col] + list(keep or [])
     fast = _lookup_score(model, df, cols, text_col, lookup_bytes)
     if fast is not None:
         return fast
+    if model.vocab_size * max(c, 1) * 8 > broadcast_bytes:
+        return _asked_score(model, df, cols, text_col, lookup_bytes)
     # a row key keeps rows that share an id apart, as the in-batch path does
     toks = (df.select(*cols, F.monotonically_increasing_id().alias("_row"), text_col)
             .select(*cols, "_row", F.explode_outer(token_array(text_col)).alias("token")))
-    w = model.weights.select("token", "w")
-    if model.vocab_size * max(c, 1) * 8 <= broadcast_bytes:
-        w = F.broadcast(w)
-    j = toks.join(w, "token", "left")
+    j = toks.join(F.broadcast(model.weights.select("token", "w")), "token", "left")
     sums = j.groupBy(*cols, "_row").agg(*[F.sum(F.col("w")[k]).alias(f"_s{k}") for k in range(c)])
     prior = model.log_prior
     scores = F.array(*[F.lit(prior[k]) + F.coalesce(F.col(f"_s{k}"), F.lit(0.0)) for k in range(c)])
     return sums.select(*cols, scores.alias("scores"))
 
 
+def _asked_score(model: NBModel, df: DataFrame, cols: list[str], text_col: str, head_bytes: int) -> DataFrame:
+    """M4 for a weight table of any size: ``(*cols, scores)``.
+
+    Every page of texts asks once per distinct token for its weight row
+    (:mod:`.lookup`) and sums in place. The tokens with the highest counts, as
+    many as fit ``head_bytes``, travel with the tasks.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    c = model.n_classes
+    n_head = head_bytes // (8 * max(c, 1))
+    tops = model.counts.groupBy("token").agg(F.sum("n_tc").alias("n")).orderBy(F.desc("n"), "token").limit(n_head)
+    head = tops.join(model.weights, "token").select("token", "w").toArrow() if n_head else None     # at most n_head rows
+    mine = np.zeros((0, c))
+    if head is not None and head.num_rows:
+        mine = head.column("w").combine_chunks().flatten().to_numpy().reshape(-1, c)
+        head = head.select(["token"]).append_column("code", pa.array(np.arange(head.num_rows)))
+    prior = np.asarray(model.log_prior, dtype=np.float64)
+
+    def run(rows, sizes, codes, answers):
+        w = answers.field("w")
+        there = np.asarray(w.is_valid())
+        own = np.zeros((len(w), c))
+        own[there] = w.drop_null().flatten().to_numpy().reshape(-1, c)
+        every = np.concatenate([mine, own])
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.where(codes >= 0, codes, len(mine) - 1 - codes)
+        sums = np.tile(prior, (len(sizes), 1))
+        for k in range(c):
+            sums[:, k] += np.bincount(row, weights=every[at, k], minlength=len(sizes))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * c + 1, c), pa.int32()), pa.array(sums.ravel()))
+
+    src = df.select(*cols, F.coalesce(token_array(text_col), F.array().cast("array<string>")).alias("_t"))
+    pages = materialize(paged(src, cols, "_t", head), "score-pages")
+    return answered(pages, model.weights.select("token", "w"), df.select(*cols).schema, run, "scores array<double>")
+
+
 def predict(model: NBModel, scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, *kept, scores, proba, pred_label, pred_intent, p_top)`` from score arrays."""
     lab = F.array(*[F.lit(x) for x in model.labels])

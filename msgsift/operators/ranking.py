@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_bucket
+from ..session import materialize
 
 DEFAULT_BITS = 16  # 65,536 buckets per group: ~5e5 rows/bucket at 3e10 rows
 # Quantile ranges for id order: the cut points come back through the driver
@@ -111,3 +112,52 @@ def ordered_rank(df: DataFrame, id_col: str, group: list[str] | None = None,
         return df.withColumn(rank_col, F.lit(None).cast("bigint"))
     return bucketed_rank(ranged, [id_col], F.col("_range"), group, rank_col, n_ranges, None,
                          broadcast_row_limit).drop("_range")
+
+
+def range_places(df: DataFrame, order: list, rows_per_range: int = ROWS_PER_RANGE, name: str = "ranges") -> DataFrame:
+    """``df`` written in the order of ``order``, with ``_range`` (bigint, ascending) and ``_at`` (place in the range, from 0).
+
+    Cut points over the order key are sampled (``repartitionByRange``), so the
+    key may be of any type and spread. Ranges of more than twice
+    ``rows_per_range`` rows, which the sample misjudged, are cut once more by
+    a sample of their own. Each range is sorted by its task and its rows are
+    numbered as they are written; nothing is ordered in one task.
+    """
+    rows = materialize(df, f"{name}-rows")      # counted, sampled and sorted from the written table
+    n = rows.count()
+
+    def cut(part: DataFrame, keys: list, ranges: int, step: str) -> DataFrame:
+        done = (part.repartitionByRange(max(1, ranges), *keys).sortWithinPartitions(*keys)
+                .withColumn("_m", F.monotonically_increasing_id()))
+        return materialize(done, f"{name}-{step}")
+
+    first = cut(rows, order, math.ceil(n / rows_per_range), "cut")
+    first = first.withColumn("_range", F.shiftright("_m", 33)).withColumn("_at", F.col("_m") % (1 << 33)).drop("_m")
+    sizes = first.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))          # one row per range
+    full = sizes.where(F.col("_n") > 2 * rows_per_range)
+    extra = full.agg(F.sum("_n")).first()[0]
+    stretch = 1 << 20                                                           # room for the second cut's ranges
+    first = first.withColumn("_range", F.col("_range") * stretch)
+    if not extra:
+        return first
+    marked = full.select((F.col("_range") * stretch).alias("_range"))
+    again = cut(first.join(F.broadcast(marked), "_range", "left_semi").drop("_at"), ["_range", *order],
+                math.ceil(extra / rows_per_range), "recut")
+    part = F.shiftright("_m", 33)
+    again = (again.withColumn("_range", F.col("_range") + part).withColumn("_m", F.col("_m") % (1 << 33)))
+    start = again.groupBy("_range").agg(F.min("_m").alias("_s"))                # a task may hold the ends of two ranges
+    again = again.join(F.broadcast(start), "_range").withColumn("_at", F.col("_m") - F.col("_s")).drop("_m", "_s")
+    return first.join(F.broadcast(marked), "_range", "left_anti").unionByName(again.select(first.columns))
+
+
+def sorted_rank(df: DataFrame, order: list, rank_col: str = "rank", rows_per_range: int = ROWS_PER_RANGE,
+                name: str = "ranges") -> DataFrame:
+    """1-based, gap-free ``rank_col`` in the order of ``order``, for a table of any size and key.
+
+    The rows before a range are a running sum over one row per range.
+    """
+    placed = range_places(df, order, rows_per_range, name)
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return (placed.join(F.broadcast(before), "_range")
+            .withColumn(rank_col, (F.col("_before") + F.col("_at") + 1).cast("bigint")).drop("_range", "_at", "_before"))

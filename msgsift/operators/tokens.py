@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..config import BOS_ID, EOS_ID, FIRST_TOKEN_ID, MAX_TOKENS, PAD_ID, UNK_ID
 from ..functions.text import token_array
 from ..session import materialize
-from .ranking import bucketed_rank
+from .lookup import answered, paged
+from .ranking import sorted_rank
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -54,10 +55,8 @@ def _top(stats: DataFrame, min_df: int, max_vocab: int | None) -> DataFrame:
         w = Window.orderBy(F.desc("tf"), F.asc("token"))   # <= max_vocab rows
         ranked = top.withColumn("_rank", F.row_number().over(w))
     else:
-        # ranks inside (frequency, first two characters) ranges: no global sort in one task
-        keyed = materialize(top.withColumn("_neg", -F.col("tf")), "vocab-stats")   # the rank reads it twice
-        bucket = F.struct("_neg", F.substring("token", 1, 2).alias("_head"))
-        ranked = bucketed_rank(keyed, ["_neg", "token"], bucket, rank_col="_rank")
+        # ranks inside ranges of (frequency, token) cut at sampled points: no global sort in one task
+        ranked = sorted_rank(top, [F.desc("tf"), F.asc("token")], "_rank", name="vocab")
     return ranked.select("token", (F.col("_rank") - 1 + FIRST_TOKEN_ID).cast("int").alias("token_id"), "df", "tf")
 
 
@@ -157,6 +156,34 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col
     return arr.mapInArrow(to_ids, f"`{id_col}` {key_type}, ids array<int>")
 
 
+def ask_ids(df: DataFrame, vocab: DataFrame, cols: list[str], text_col: str = "text", head_rows: int = 1_000_000) -> DataFrame:
+    """T1-T3 for a vocabulary of any size: ``(*cols, ids)`` with the id array of each whole text.
+
+    The ``head_rows`` most frequent tokens (ids are ranks) travel with the
+    tasks; the others are asked for once per page (:mod:`.lookup`).
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words = vocab.select("token", F.col("token_id").cast("bigint").alias("code"))
+    head = words.where(F.col("code") < FIRST_TOKEN_ID + head_rows).toArrow()
+
+    def ids(codes, answers):
+        own = pc.fill_null(answers.field("code"), UNK_ID).to_numpy(zero_copy_only=False)
+        out = codes.copy()
+        ask = codes < 0
+        out[ask] = own[-1 - codes[ask]]
+        return out
+
+    def run(rows, sizes, codes, answers):
+        at = pa.array([0, *sizes.cumsum()], pa.int32())
+        return pa.ListArray.from_arrays(at, pa.array(ids(codes, answers), pa.int32()))
+
+    src = df.select(*cols, F.coalesce(token_array(text_col), F.array().cast("array<string>")).alias("_t"))
+    pages = materialize(paged(src, cols, "_t", head), "token-pages")
+    return answered(pages, words, df.select(*cols).schema, run, "ids array<int>")
+
+
 def chunk_arrays(ids: DataFrame, id_col: str = "doc_id", max_tokens: int = MAX_TOKENS) -> DataFrame:
     """T2 in-row: ``(id, chunk, ids, n_tokens)``, consecutive slices of ``max_tokens-2`` ids
     (a text without tokens keeps one empty chunk)."""
@@ -188,7 +215,7 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: st
     """Texts -> ``(id, chunk, input_ids, attention_mask, n_tokens)``.
 
     Ids come from :func:`lookup_ids` (no shuffle) when the vocabulary fits the
-    bound, else from a join on token regrouped per row and chunk: the same chunks.
+    bound, else from :func:`ask_ids`: the same chunks.
 
     ``pad_to="longest"`` pads to the longest example of this set (one small
     aggregate); ``"max_len"`` pads to ``max_tokens`` without the extra pass.
@@ -196,10 +223,8 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: st
     looked_up = lookup_ids(df, vocab, id_col, text_col, max_lookup_rows)
     if looked_up is not None:   # narrow: no shuffle of token ids
         chunks = chunk_arrays(looked_up, id_col, max_tokens)
-    else:                       # vocabulary too big to ship: join on token, regroup per chunk
-        rows = df.withColumn("_row", F.monotonically_increasing_id())   # rows that share an id stay apart
-        toks = tokenize(rows, id_col, text_col, keep_empty=True, extra=["_row"])
-        chunks = chunk_ids(token_ids(toks, vocab), id_col, max_tokens, ["_row"]).drop("_row")
+    else:                       # vocabulary too big to ship: each page asks once per distinct token
+        chunks = chunk_arrays(ask_ids(df, vocab, [id_col], text_col, max_lookup_rows), id_col, max_tokens)
     if pad_to == "longest":
         # written once: the width aggregate and the padded output both read it
         chunks = materialize(chunks, "encoded-chunks")

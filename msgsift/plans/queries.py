@@ -457,10 +457,10 @@ def q_lr_coverage(spark, sf):
 
 def _chunk_scores(spark, sf):
     """M8: encoded held-out chunks scored in Arrow batches of 128 by a NumPy model."""
-    from ..operators.plug import nb_batch_model, score_batches
+    from ..operators.plug import nb_additive, score_additive
     model, _, test = _nb(spark, sf)
     enc = materialize(encode_texts(test, model.vocabulary(), "doc_id", "text", pad_to="max_len"), "encoded")
-    return model, score_batches(enc, nb_batch_model(model), width=250, batch_size=INFER_BATCH)
+    return model, score_additive(enc, nb_additive(model), width=250, batch_size=INFER_BATCH)
 
 
 def q_plug_predict(spark, sf):
