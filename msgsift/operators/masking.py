@@ -5,6 +5,10 @@ the known-token positions, draw 1 ``% 100 < 15`` selects; of those, draw 2
 gives 80 % mask id, 10 % a random vocabulary id, 10 % unchanged; draw 3
 picks the random id directly (ids are dense from 4, so no lookup join). The target is the original id
 on selected positions and null elsewhere.
+
+:func:`mask_arrays` draws inside the row, for one array of ids per line; epochs
+are copies of lines, and no row per token is made. :func:`mask_positions` does
+the same for position rows.
 """
 
 from __future__ import annotations
@@ -51,6 +55,37 @@ def mask_positions(ids: DataFrame, vocab_size: int, key_cols: list[str], seed: i
     return out.drop("_md5", "_sel", "_how")
 
 
+def mask_arrays(lines: DataFrame, vocab_size: int, key_cols: list[str], seed: int = 1, epoch_col: str | None = None,
+                rate: float = MASK_RATE, ids_col: str = "ids") -> DataFrame:
+    """T8 in-row: adds ``cells``, one ``(input_id, target_id, action)`` per entry of ``ids_col``.
+
+    The draws are those of :func:`mask_positions` with the entry's place (from
+    0) as the last key. Draws 2 and 3 are made for selected entries only.
+    """
+    parts = ([F.col(epoch_col)] if epoch_col else []) + [F.col(c) for c in key_cols]
+    pct = int(round(rate * 100))
+    masked, randomised = MASK_SPLIT[0], MASK_SPLIT[0] + MASK_SPLIT[1]
+    digests = F.transform(ids_col, lambda x, i: hash_digest(seed, *parts, i))
+
+    def cell(value, target, action):
+        return F.struct(value.cast("int").alias("input_id"), target.cast("int").alias("target_id"), F.lit(action).alias("action"))
+
+    def draw(x, d):
+        how = digest_key(d, 1) % 100
+        picked = (F.when(how < masked, cell(F.lit(mask_id(vocab_size)), x, "mask"))
+                  .when(how < randomised, cell(digest_key(d, 2) % vocab_size + FIRST_TOKEN_ID, x, "random"))
+                  .otherwise(cell(x, x, "same")))
+        return F.when((x >= FIRST_TOKEN_ID) & (digest_key(d, 0) % 100 < pct), picked).otherwise(cell(x, F.lit(None), "keep"))
+
+    return lines.withColumn("cells", F.zip_with(ids_col, digests, draw))
+
+
+def mask_line_epochs(lines: DataFrame, vocab_size: int, key_cols: list[str], epochs: int, seed: int = 1,
+                     rate: float = MASK_RATE) -> DataFrame:
+    """T9 in-row: the masked lines of every epoch (a copy of the line per epoch, its cells drawn anew)."""
+    return mask_arrays(with_epochs(lines, epochs), vocab_size, key_cols, seed, "epoch", rate)
+
+
 def mask_epochs(ids: DataFrame, vocab_size: int, key_cols: list[str], epochs: int, seed: int = 1,
                 rate: float = MASK_RATE) -> DataFrame:
     """The masked examples of every epoch (write partitioned by ``epoch``)."""

@@ -124,9 +124,9 @@ def chunk_ids(ids: DataFrame, id_col: str = "doc_id", max_tokens: int = MAX_TOKE
         .withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
-def lookup_ids(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def lookup_ids(df: DataFrame, vocab: DataFrame, id_col: str | list[str] = "doc_id", text_col: str = "text",
                max_vocab_rows: int = 1_000_000) -> DataFrame | None:
-    """T1-T3 without a shuffle: ``(id, ids)`` with the id array of each whole text.
+    """T1-T3 without a shuffle: ``(id, ids)`` with the id array of each whole text (``id_col``: one column or several).
 
     Tokens come from the JVM regex; each Arrow batch maps them to ids with one
     vectorised hash lookup (``pyarrow.compute.index_in``) against the
@@ -137,6 +137,7 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    cols = [id_col] if isinstance(id_col, str) else list(id_col)
     rows = vocab.select("token", "token_id").limit(max_vocab_rows + 1).toArrow()
     if rows.num_rows > max_vocab_rows:
         return None
@@ -145,15 +146,15 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col
 
     def to_ids(batches):
         for b in batches:
-            lists = b.column(1)
+            lists = b.column(len(cols))
             offsets = pc.subtract(lists.offsets, lists.offsets[0])
             found = pc.fill_null(pc.take(ids, pc.index_in(lists.flatten(), value_set=tokens)), UNK_ID)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, found)],
-                                             names=[id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, found)],
+                                             names=[*cols, "ids"])
 
-    arr = df.select(id_col, F.coalesce(token_array(text_col), F.array().cast("array<string>")).alias("_t"))
-    key_type = df.schema[id_col].dataType.simpleString()
-    return arr.mapInArrow(to_ids, f"`{id_col}` {key_type}, ids array<int>")
+    arr = df.select(*cols, F.coalesce(token_array(text_col), F.array().cast("array<string>")).alias("_t"))
+    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+    return arr.mapInArrow(to_ids, f"{keys}, ids array<int>")
 
 
 def ask_ids(df: DataFrame, vocab: DataFrame, cols: list[str], text_col: str = "text", head_rows: int = 1_000_000) -> DataFrame:
@@ -184,6 +185,12 @@ def ask_ids(df: DataFrame, vocab: DataFrame, cols: list[str], text_col: str = "t
     return answered(pages, words, df.select(*cols).schema, run, "ids array<int>")
 
 
+def text_ids(df: DataFrame, vocab: DataFrame, cols: list[str], text_col: str = "text", max_lookup_rows: int = 1_000_000) -> DataFrame:
+    """``(*cols, ids)`` by :func:`lookup_ids`, or by :func:`ask_ids` beyond its bound."""
+    found = lookup_ids(df, vocab, cols, text_col, max_lookup_rows)
+    return ask_ids(df, vocab, cols, text_col, max_lookup_rows) if found is None else found
+
+
 def chunk_arrays(ids: DataFrame, id_col: str = "doc_id", max_tokens: int = MAX_TOKENS) -> DataFrame:
     """T2 in-row: ``(id, chunk, ids, n_tokens)``, consecutive slices of ``max_tokens-2`` ids
     (a text without tokens keeps one empty chunk)."""
@@ -220,11 +227,7 @@ def encode(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: st
     ``pad_to="longest"`` pads to the longest example of this set (one small
     aggregate); ``"max_len"`` pads to ``max_tokens`` without the extra pass.
     """
-    looked_up = lookup_ids(df, vocab, id_col, text_col, max_lookup_rows)
-    if looked_up is not None:   # narrow: no shuffle of token ids
-        chunks = chunk_arrays(looked_up, id_col, max_tokens)
-    else:                       # vocabulary too big to ship: each page asks once per distinct token
-        chunks = chunk_arrays(ask_ids(df, vocab, [id_col], text_col, max_lookup_rows), id_col, max_tokens)
+    chunks = chunk_arrays(text_ids(df, vocab, [id_col], text_col, max_lookup_rows), id_col, max_tokens)
     if pad_to == "longest":
         # written once: the width aggregate and the padded output both read it
         chunks = materialize(chunks, "encoded-chunks")

@@ -18,10 +18,10 @@ from ..operators.batching import ordered_batches, shuffled_batches, step_counts
 from ..operators.clean import feature_table
 from ..operators.labels import (class_counts, class_stats, decode, encode, label_map, label_table,
                                table_from_counts, width_check)
-from ..operators.masking import mask_epochs, mask_positions
+from ..operators.masking import mask_arrays, mask_line_epochs
 from ..operators.naive_bayes import long_form, predict, score, train_nb, truth_loss
 from ..operators.split import random_split, stratified_split, three_way_split
-from ..operators.tokens import encode as encode_texts, token_ids, tokenize, vocab_from_texts
+from ..operators.tokens import encode as encode_texts, text_ids, tokenize, vocab_from_texts
 from ..session import materialize
 from ..sources.files import split_lines
 from ..sources.tables import annotated, documents, labelled, labelled_keys, messages, unlabelled, with_text
@@ -185,49 +185,54 @@ def q_encoded_padded(spark, sf):
                       F.array_join("attention_mask", " ").alias("attention_mask"), "n_tokens")
 
 
-def _corpus_ids(spark, sf):
+def _corpus_line_ids(spark, sf):
+    """(doc_id, line_no, ids) of every corpus line with a token, and the vocabulary's size."""
     corpus = unlabelled(spark, sf)
     lines = split_lines(corpus, "text", ["doc_id"], ALL_LINE_BREAKS)
-    toks = tokenize(lines, "doc_id", "line", extra=["line_no"])
     # document frequency per corpus document (tokens never span a line break)
     vocab = materialize(vocab_from_texts(corpus, "text", MIN_DF, MAX_VOCAB), "corpus-vocab")
-    v = vocab.count()
-    return token_ids(toks, vocab), v
+    return text_ids(lines, vocab, ["doc_id", "line_no"], "line").where("size(ids) > 0"), vocab.count()
 
 
 def q_mlm_mask(spark, sf):
-    ids, v = _corpus_ids(spark, sf)
-    m = mask_positions(ids, v, ["doc_id", "line_no", "pos"], MLM_SEED)
-    return m.select("doc_id", "line_no", "pos", F.col("token_id").cast("bigint"),
-                    F.col("input_id").cast("bigint"), F.col("target_id").cast("bigint"))
+    lines, v = _corpus_line_ids(spark, sf)
+    m = mask_arrays(lines, v, ["doc_id", "line_no"], MLM_SEED)
+    rows = m.select("doc_id", "line_no", F.posexplode(F.arrays_zip("ids", "cells")).alias("pos", "x"))
+    return rows.select("doc_id", "line_no", F.col("pos").cast("bigint"), F.col("x.ids").cast("bigint").alias("token_id"),
+                       F.col("x.cells.input_id").cast("bigint").alias("input_id"),
+                       F.col("x.cells.target_id").cast("bigint").alias("target_id"))
 
 
 def q_mlm_epochs(spark, sf):
-    ids, v = _corpus_ids(spark, sf)
-    m = mask_epochs(ids, v, ["doc_id", "line_no", "pos"], CORPUS_EPOCHS, MLM_SEED)
-    return m.groupBy("epoch").agg(
-        F.count(F.lit(1)).alias("n_positions"),
-        F.sum(F.when(F.col("action") != "keep", 1).otherwise(0)).cast("bigint").alias("n_selected"),
-        F.sum(F.when(F.col("action") == "mask", 1).otherwise(0)).cast("bigint").alias("n_masked"),
-        F.sum(F.when(F.col("action") == "random", 1).otherwise(0)).cast("bigint").alias("n_random"),
-        F.sum(F.when(F.col("action") == "same", 1).otherwise(0)).cast("bigint").alias("n_same"),
-    ).select(F.col("epoch").cast("bigint"), "n_positions", "n_selected", "n_masked", "n_random", "n_same")
+    lines, v = _corpus_line_ids(spark, sf)
+    m = mask_line_epochs(lines, v, ["doc_id", "line_no"], CORPUS_EPOCHS, MLM_SEED)
+
+    def total(action):
+        return F.sum(F.size(F.filter("actions", lambda a: a == action))).cast("bigint")
+    sums = m.select("epoch", F.col("cells.action").alias("actions")).groupBy(F.col("epoch").cast("bigint").alias("epoch")).agg(
+        F.sum(F.size("actions")).cast("bigint").alias("n_positions"), total("mask").alias("n_masked"),
+        total("random").alias("n_random"), total("same").alias("n_same"))
+    return sums.select("epoch", "n_positions", F.expr("n_masked + n_random + n_same").alias("n_selected"),
+                       "n_masked", "n_random", "n_same")
 
 
 def q_mlm_epoch_file(spark, sf):
     """T9 -> sink: every epoch written partitioned by epoch and read back, summed per (epoch, document)."""
     from ..session import shared_path
-    from ..sinks.files import write_masked
-    ids, v = _corpus_ids(spark, sf)
+    from ..sinks.files import write_masked_lines
+    lines, v = _corpus_line_ids(spark, sf)
     path = shared_path(spark, "mlm-epochs")
-    write_masked(mask_epochs(ids, v, ["doc_id", "line_no", "pos"], CORPUS_EPOCHS, MLM_SEED)
-                 .select("epoch", "doc_id", "line_no", "pos", "token_id", "input_id", "target_id"), path)
-    place = F.col("line_no") * 31 + F.col("pos") + 1      # each id weighted by its place
+    write_masked_lines(mask_line_epochs(lines, v, ["doc_id", "line_no"], CORPUS_EPOCHS, MLM_SEED), path)
+
+    def place_sum(value):      # each id weighted by its place; value: (input, target) -> id
+        weighted = F.transform(F.arrays_zip("input_ids", "target_ids"), lambda x, i:
+                               F.coalesce(value(x["input_ids"], x["target_ids"]), F.lit(0)).cast("bigint") * (F.col("line_no") * 31 + i + 1))
+        return F.sum(F.aggregate(weighted, F.lit(0).cast("bigint"), lambda a, x: a + x)).cast("bigint")
     return spark.read.parquet(path).groupBy(F.col("epoch").cast("bigint").alias("epoch"), "doc_id").agg(
-        F.count(F.lit(1)).alias("n_positions"), F.count("target_id").alias("n_targets"),
-        F.sum(F.col("token_id") * place).cast("bigint").alias("token_sum"),
-        F.sum(F.col("input_id") * place).cast("bigint").alias("input_sum"),
-        F.coalesce(F.sum(F.col("target_id") * place), F.lit(0)).cast("bigint").alias("target_sum"))
+        F.sum(F.size("input_ids")).cast("bigint").alias("n_positions"),
+        F.sum(F.size(F.filter("target_ids", lambda t: t.isNotNull()))).cast("bigint").alias("n_targets"),
+        place_sum(lambda i, t: F.coalesce(t, i)).alias("token_sum"), place_sum(lambda i, t: i).alias("input_sum"),
+        place_sum(lambda i, t: t).alias("target_sum"))
 
 
 # --- Naive Bayes -------------------------------------------------------------

@@ -61,6 +61,15 @@ def write_masked(masked: DataFrame, path: str) -> None:
     masked.repartition(n, "epoch", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(n))).write.mode("overwrite").partitionBy("epoch").parquet(path)
 
 
+def write_masked_lines(masked: DataFrame, path: str) -> None:
+    """The lines of :func:`operators.masking.mask_line_epochs`, one folder per epoch: arrays ``input_ids`` and ``target_ids``."""
+    spark = masked.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = masked.select("epoch", "doc_id", "line_no", F.col("cells.input_id").alias("input_ids"),
+                         F.col("cells.target_id").alias("target_ids"))
+    rows.repartition(n, "epoch", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(n))).write.mode("overwrite").partitionBy("epoch").parquet(path)
+
+
 def write_answers(answers_json: DataFrame, path: str) -> None:
     """K4: JSON answers as JSON lines ``{"doc_id":..., "json": "[{...}]"}``."""
     answers_json.write.mode("overwrite").json(path)
