@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SEED, TRAIN_BATCH
 from ..functions.keys import hash_key
+from ..session import materialize
 from .ranking import DEFAULT_BITS, hash_rank, ordered_rank
 
 
+FEISTEL_ROUNDS = 6
+
+
 def with_epochs(df: DataFrame, epochs: int, epoch_col: str = "epoch") -> DataFrame:
     """One copy of each row per epoch (a per-row generator, no join)."""
     return df.withColumn(epoch_col, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
@@ -32,6 +38,51 @@ def shuffled_batches(df: DataFrame, id_col: str = "doc_id", size: int = TRAIN_BA
     return _cut(ranked, size).drop("_k")
 
 
+def permute(ranks, epochs, n: int, seed: int = SEED):
+    """NumPy: place of rank ``0 .. n-1`` in the order of its epoch; a bijection per epoch.
+
+    A Feistel network over the least even number of bits (8 at least) that
+    hold ``n`` ranks; a result of ``n`` or more goes through it again until it is a rank
+    (cycle walking), which keeps the map one to one.
+    """
+    half = max(4, -(-max(n - 1, 1).bit_length() // 2))
+    m = 1 << half
+
+    def once(x, key):
+        left, right = x >> half, x & (m - 1)
+        for k in range(FEISTEL_ROUNDS):
+            odd = 2 * ((key * 7_919 + k * 104_729 + seed) % m) + 1
+            t = (right * odd + key * 40_503 + k * 9_176 + seed * 613) % m
+            left, right = right, left ^ (((t * t) // (1 << (half // 2)) + t * 25_173 + key + k) % m)
+        return left << half | right
+    x, key = np.asarray(ranks, dtype=np.int64).copy(), np.asarray(epochs, dtype=np.int64) + 1
+    todo = np.arange(len(x))
+    while len(todo):
+        x[todo] = once(x[todo], key[todo])
+        todo = todo[x[todo] >= n]
+    return x
+
+
+def epoch_batches(df: DataFrame, epochs: int, id_col: str = "doc_id", size: int = TRAIN_BATCH, seed: int = SEED,
+                  bits: int = DEFAULT_BITS) -> DataFrame:
+    """X3/B1 for many epochs: ``(*, epoch, batch_id, batch_pos)``.
+
+    Rows are ranked once, by hash of the id; every epoch's order is a keyed
+    permutation of those ranks (:func:`permute`), made in the row, so the
+    shuffles are the same for any number of epochs.
+    """
+    ranked = materialize(hash_rank(df.withColumn("_k", hash_key(seed, F.col(id_col))), "_k", id_col, None, "_rank", bits).drop("_k"),
+                         "epoch-ranks")
+    n = ranked.count()
+
+    @F.pandas_udf("bigint")
+    def place(ranks: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series(permute(ranks.to_numpy() - 1, key.to_numpy(), n, seed) + 1)
+
+    rows = with_epochs(ranked, epochs)
+    return _cut(rows.withColumn("_rank", place("_rank", "epoch")), size)
+
+
 def ordered_batches(df: DataFrame, id_col: str = "doc_id", size: int = 128,
                     bits: int | None = None) -> DataFrame:
     """B2: batches in key order (the project's ``shuffle=False`` loaders)."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,18 +30,41 @@ def select_feature(df: DataFrame, feature: str = "Original Text", label: str = "
                      F.col(f"`{label}`").alias("intent"))
 
 
-def validate(df: DataFrame, text_col: str = "text", label_col: str | None = "intent",
-             on_bad: str = "error", allow_empty: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """A null/empty feature (null only with ``allow_empty``) or a null/empty label is invalid.
+def bad_reason(text_col: str = "text", label_col: str | None = "intent", allow_empty: bool = False) -> Column:
+    """``feature`` or ``label`` for an invalid row, null for a good one.
 
-    ``on_bad="error"`` fails the job at the first bad row (``raise_error``);
-    ``"quarantine"`` returns ``(good, rejected)`` with a ``reason`` column.
+    A null/empty feature (null only with ``allow_empty``) or a null/empty label is invalid.
     """
     missing = F.col(text_col).isNull()
     reason = F.when(missing if allow_empty else missing | (F.col(text_col) == ""), F.lit("feature"))
     if label_col is not None:
         reason = reason.when(F.col(label_col).isNull() | (F.col(label_col) == ""), F.lit("label"))
-    tagged = df.withColumn("reason", reason)
+    return reason
+
+
+def counted(df: DataFrame, text_col: str = "text", label_col: str | None = "intent",
+            allow_empty: bool = False) -> tuple[DataFrame, Observation]:
+    """The rows with their ``reason``, and counts that come with the first action on them (a write, say).
+
+    ``n_rows``, ``n_good``, ``n_feature`` and ``n_label`` are read with
+    ``Observation.get`` after it; no job is run for them.
+    """
+    seen = Observation()
+    n = F.count(F.lit(1))
+    tagged = df.withColumn("reason", bad_reason(text_col, label_col, allow_empty))
+    return tagged.observe(seen, n.alias("n_rows"), F.count_if(F.col("reason").isNull()).alias("n_good"),
+                          F.count_if(F.col("reason") == "feature").alias("n_feature"),
+                          F.count_if(F.col("reason") == "label").alias("n_label")), seen
+
+
+def validate(df: DataFrame, text_col: str = "text", label_col: str | None = "intent",
+             on_bad: str = "error", allow_empty: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """P4 by :func:`bad_reason`.
+
+    ``on_bad="error"`` fails the job at the first bad row (``raise_error``);
+    ``"quarantine"`` returns ``(good, rejected)`` with a ``reason`` column.
+    """
+    tagged = df.withColumn("reason", bad_reason(text_col, label_col, allow_empty))
     if on_bad == "error":
         # a filter (not a dropped column) so column pruning keeps the check
         ok = F.when(F.col("reason").isNotNull(),

@@ -8,8 +8,9 @@ Classes are the union of true and predicted labels; empty denominators give 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import EVERY_N_BATCHES, LOG_FLOOR
 
@@ -119,6 +120,31 @@ def every_n_accuracy(pred: DataFrame, y: str = "y", yhat: str = "yhat", batch_co
     return accuracy(sel, y, yhat, [batch_col])
 
 
+def aligned(truth: DataFrame, pred: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Observation]:
+    """E9 in the pass that joins truth and predictions: the full outer join, and its counts.
+
+    The counts (``n_matched``, ``n_truth_only``, ``n_pred_only``, ``n_duplicate_keys``
+    as in :func:`alignment`) come with the first action on the joined rows,
+    without a job of their own. A key that is there twice on one side gives
+    a row per pair and counts once.
+    """
+    t = truth.withColumn("_tn", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
+    p = pred.withColumn("_pn", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
+    seen = Observation()
+    # of the rows of a key, each side's number times the other's, one is counted
+    share = 1.0 / (F.coalesce("_tn", F.lit(1)) * F.coalesce("_pn", F.lit(1)))
+    both = F.col("_tn").isNotNull() & F.col("_pn").isNotNull()
+
+    def keys(cond):
+        return F.coalesce(F.round(F.sum(F.when(cond, share))), F.lit(0.0)).cast("bigint")
+    # a key of one side only has as many rows as it occurs times
+    joined = t.join(p, id_col, "full_outer").observe(
+        seen, keys(both).alias("n_matched"), keys(F.col("_pn").isNull()).alias("n_truth_only"),
+        keys(F.col("_tn").isNull()).alias("n_pred_only"),
+        keys((F.col("_tn") > 1) | (F.col("_pn") > 1)).alias("n_duplicate_keys"))
+    return joined.drop("_tn", "_pn"), seen
+
+
 def alignment(truth: DataFrame, pred: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Matched / truth-only / prediction-only counts, and duplicate keys."""
     t = truth.select(id_col).withColumn("_t", F.lit(1))

@@ -8,6 +8,7 @@ Spark. Ranks use plain ``row_number()``; Spark uses bucketed ranks.
 from __future__ import annotations
 
 from ..functions.keys import sql_hash_key as hk
+from ..operators.softmax import BITS, RATE, REG, STEPS
 
 TOKENS = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -261,6 +262,42 @@ def _mask_select(prefix: str) -> str:
             f"{rnd} % (SELECT v FROM vs) + 4 AS rnd")
 
 
+def softmax_ctes(bits: int = BITS, steps: int = STEPS, rate: float = RATE, reg: float = REG) -> tuple[str, ...]:
+    """M2: hashed features, then every gradient step as its own pair of tables; ``tp`` holds the held-out probabilities."""
+    out = [f"""fx AS MATERIALIZED (SELECT part, doc_id, label, b, ln(1 + count(*)) AS x FROM (
+  SELECT part, doc_id, label, {hk_plain('token')} % {1 << bits} AS b FROM (
+    SELECT part, doc_id, label, unnest({toks('text')}) AS token FROM split)) GROUP BY part, doc_id, label, b)""",
+           """fv AS MATERIALIZED (SELECT f.part, f.doc_id, f.label, f.b, f.x / n.n AS v
+  FROM fx f JOIN (SELECT doc_id, sqrt(sum(x * x)) AS n FROM fx GROUP BY doc_id) n USING (doc_id))""",
+           "cls AS (SELECT label, intent, count(*)::DOUBLE / (SELECT count(*) FROM trn) AS share FROM trn GROUP BY label, intent)",
+           "w0 AS (SELECT 0::BIGINT AS b, label, 0.0::DOUBLE AS w FROM cls WHERE false)",
+           "b0 AS (SELECT label, ln(share) AS w FROM cls)"]
+
+    def probabilities(name: str, part: str, k: int) -> list[str]:
+        rows = "trn" if part == "train" else "tst"
+        return [f"""{name}z AS MATERIALIZED (SELECT d.doc_id, c.label, c.w + coalesce(s.z, 0) AS z
+  FROM (SELECT doc_id FROM {rows}) d CROSS JOIN b{k} c
+  LEFT JOIN (SELECT f.doc_id, w.label, sum(f.v * w.w) AS z FROM fv f JOIN w{k} w ON f.b = w.b
+             WHERE f.part = '{part}' GROUP BY f.doc_id, w.label) s ON s.doc_id = d.doc_id AND s.label = c.label)""",
+                f"""{name} AS MATERIALIZED (SELECT doc_id, label, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY doc_id) AS p
+  FROM (SELECT *, max(z) OVER (PARTITION BY doc_id) AS m FROM {name}z))"""]
+    for k in range(steps):
+        out += probabilities(f"p{k}", "train", k)
+        out.append(f"""e{k} AS MATERIALIZED (SELECT p.doc_id, p.label, p.p - CASE WHEN t.label = p.label THEN 1 ELSE 0 END AS e
+  FROM p{k} p JOIN trn t ON t.doc_id = p.doc_id)""")
+        out.append(f"""w{k + 1} AS MATERIALIZED (SELECT g.b, g.label, coalesce(w.w, 0) - {rate} * (g.g / (SELECT count(*) FROM trn) + {reg} * coalesce(w.w, 0)) AS w
+  FROM (SELECT f.b, e.label, sum(f.v * e.e) AS g FROM fv f JOIN e{k} e ON f.doc_id = e.doc_id WHERE f.part = 'train' GROUP BY f.b, e.label) g
+  LEFT JOIN w{k} w ON w.b = g.b AND w.label = g.label)""")
+        out.append(f"""b{k + 1} AS MATERIALIZED (SELECT b.label, b.w - {rate} * s.g / (SELECT count(*) FROM trn) AS w
+  FROM b{k} b JOIN (SELECT label, sum(e) AS g FROM e{k} GROUP BY label) s ON s.label = b.label)""")
+    return (*out, *probabilities("tp", "test", steps))
+
+
+def hk_plain(column: str) -> str:
+    """First 32 bits of the md5 of a text column."""
+    return f"('0x' || substr(md5({column}), 1, 8))::BIGINT"
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["label_map"] = _with(LAB) + """
@@ -313,6 +350,24 @@ SELECT epoch, doc_id, CAST((rk - 1) // 8 AS BIGINT) AS batch_id, CAST((rk - 1) %
 FROM (SELECT e.epoch, t.doc_id,
              row_number() OVER (PARTITION BY e.epoch ORDER BY {hk(42, 'e.epoch', 't.doc_id')}, t.doc_id) AS rk
       FROM trn t, (SELECT CAST(range AS BIGINT) AS epoch FROM range(3)) e)"""
+    # ranks by hash, then a Feistel network per epoch over 2 * half bits, walked until the result is a rank
+    q["batches_epochs"] = "WITH RECURSIVE " + _with(LAB, LABTAB, SPLIT).strip()[len("WITH "):] + f""",
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY {hk(42, 'doc_id')}, doc_id) - 1 AS r FROM trn),
+dim AS (SELECT count(*) AS n, greatest(4, (length(format('{{:b}}', greatest(count(*) - 1, 1))) + 1) // 2) AS half FROM rk),
+walk(epoch, doc_id, x, l, r, k) AS (
+  SELECT e.epoch, doc_id, rk.r, rk.r >> half, rk.r & ((1::BIGINT << half) - 1), 0
+  FROM rk, dim, (SELECT CAST(range AS BIGINT) AS epoch FROM range(15)) e
+  UNION ALL
+  SELECT epoch, doc_id, x2, CASE WHEN k = 6 THEN x2 >> half ELSE r END,
+         CASE WHEN k = 6 THEN x2 & (m - 1) ELSE xor(l, ((t * t) // (1::BIGINT << (half // 2)) + t * 25173 + epoch + 1 + k) % m) END,
+         CASE WHEN k = 6 THEN 0 ELSE k + 1 END
+  FROM (SELECT w.*, half, n, 1::BIGINT << half AS m,
+               (r * (2 * (((epoch + 1) * 7919 + k * 104729 + 42) % (1::BIGINT << half)) + 1)
+                + (epoch + 1) * 40503 + k * 9176 + 42 * 613) % (1::BIGINT << half) AS t,
+               CASE WHEN k = 6 THEN (l << half) | r ELSE x END AS x2 FROM walk w, dim)
+  WHERE NOT (k = 6 AND x2 < n))
+SELECT epoch, doc_id, CAST(((l << half) | r) // 8 AS BIGINT) AS batch_id, CAST(((l << half) | r) % 8 AS BIGINT) AS batch_pos
+FROM walk, dim WHERE k = 6 AND ((l << half) | r) < n"""
     q["batches_ordered"] = _with(LAB, LABTAB, SPLIT) + """
 SELECT doc_id, CAST((rk - 1) // 64 AS BIGINT) AS batch_id, CAST((rk - 1) % 64 AS BIGINT) AS batch_pos
 FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rk FROM tst)"""
@@ -421,6 +476,10 @@ SELECT p.doc_id, t.label AS predicted_label FROM top1 p JOIN labtab t ON p.pred_
     q["plug_score"] = _with(LAB, LABTAB, SPLIT, chunk_tok, nb_ctes(False, "ctok", "ck", chunk_keys)) + """
 SELECT CAST(ck // 1000000 AS BIGINT) AS doc_id, CAST(ck % 1000000 AS BIGINT) AS chunk, pred_intent FROM top1"""
     q["plug_predict"] = nb_sql("SELECT doc_id, pred_intent, round(p_top, 6) AS p_top FROM top1")
+    q["lr_predict"] = _with(LAB, LABTAB, SPLIT, *softmax_ctes()) + """
+SELECT t.doc_id, t.intent AS pred_intent, round(t.p, 6) AS p_top
+FROM (SELECT s.doc_id, c.intent, s.p, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.p DESC, s.label) AS r
+      FROM tp s JOIN cls c ON c.label = s.label) t WHERE r = 1"""
     # M2: what any fitted classifier must give; the last column is the accuracy floor it has to pass
     q["lr_coverage"] = _with(LAB, LABTAB, SPLIT) + """
 SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_ids,
@@ -479,10 +538,22 @@ SELECT CAST(count(p.doc_id) AS BIGINT) AS n_matched,
        CAST(sum(CASE WHEN p.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_truth_only,
        CAST(0 AS BIGINT) AS n_pred_only, CAST(0 AS BIGINT) AS n_duplicate_keys
 FROM lab l LEFT JOIN top1 p ON l.doc_id = p.doc_id""")
+    q["test_alignment"] = nb_sql("""
+SELECT CAST(count(*) AS BIGINT) AS n_matched, CAST(0 AS BIGINT) AS n_truth_only, CAST(0 AS BIGINT) AS n_pred_only,
+       CAST(0 AS BIGINT) AS n_duplicate_keys, CAST(count(*) FILTER (y = yhat) AS BIGINT) AS n_right FROM pj""",
+                                 extra=(METRIC_BASE,))
+    q["prepared_counts"] = f"""
+WITH p AS ({q["prepared_labelled"]}), r AS (SELECT unnest(['ok', 'feature', 'label']) AS reason)
+SELECT r.reason, CAST(count(p.reason) AS BIGINT) AS n_counted, CAST(count(p.reason) AS BIGINT) AS n_written,
+       CAST(sum(doc_id) AS BIGINT) AS id_sum FROM r LEFT JOIN p ON p.reason = r.reason GROUP BY r.reason"""
+    q["run_table"] = nb_sql("""
+SELECT v.version, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1 FROM whole, (SELECT CAST(range AS BIGINT) AS version FROM range(2)) v""", extra=(METRIC_BASE, WHOLE))
     q["csv_roundtrip"] = _with(LAB) + """
 SELECT intent, CAST(row_number() OVER (ORDER BY intent) - 1 AS BIGINT) AS corresponding_label
 FROM (SELECT DISTINCT intent FROM lab)"""
     q["split_roundtrip"] = _with(LAB, LABTAB, SPLIT) + \
         "SELECT doc_id, label, part, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM split"
     q["model_roundtrip"] = q["nb_predict"]
+    q["model_latest"] = q["nb_predict"]
     return q

@@ -10,19 +10,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TriageConfig
 from ..operators import metrics as met
 from ..operators.answers import answer_json, answer_map
 from ..operators.batching import shuffled_batches
-from ..operators.clean import drop_missing, normalize_na, select_feature, validate
+from ..operators.clean import counted, drop_missing, normalize_na, select_feature, validate
 from ..operators.labels import class_counts, encode, label_map, table_from_counts
 from ..operators.naive_bayes import NBModel, predict, score, train_nb, truth_loss
 from ..operators.split import stratified_split, three_way_split
 from ..session import materialize
-from ..sinks.files import load_model, save_model, write_answers, write_label_map, write_predictions, write_split
+from ..sinks.files import load_model, save_model, write_answers, write_label_map, write_predictions, write_run, write_split
 
 
 def prepare_labelled(raw: DataFrame, feature: str = "Original Text", required_col: str = "Translation",
@@ -43,6 +43,18 @@ def prepare_scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return validate(df.select(id_col, F.col(text_col).alias("text")), "text", None, on_bad=on_bad, allow_empty=True)
 
 
+def write_prepared(rows: DataFrame, path: str, text_col: str = "text", label_col: str | None = "intent",
+                   allow_empty: bool = False) -> dict[str, int]:
+    """P4 -> a table partitioned by ``reason`` (``ok`` or why a row is rejected), in one pass.
+
+    Returns the counts of :func:`operators.clean.counted`, gathered by the write.
+    """
+    tagged, seen = counted(rows, text_col, label_col, allow_empty)
+    (tagged.withColumn("reason", F.coalesce("reason", F.lit("ok")))
+     .write.mode("overwrite").partitionBy("reason").parquet(path))
+    return seen.get
+
+
 def _val_batches(df: DataFrame, cfg: TriageConfig) -> DataFrame:
     """Validation batches have the training size and are shuffled."""
     return shuffled_batches(df.withColumn("epoch", F.lit(0)), "doc_id", cfg.train_batch, cfg.seed, "epoch", n_epochs=1)
@@ -89,7 +101,7 @@ def train(labelled: DataFrame, cfg: TriageConfig = TriageConfig(), out_dir: str
         write_label_map(lm, f"{out_dir}/intent_label_relation")
         write_split(split, f"{out_dir}/split")
         path = save_model(model, f"{out_dir}/model", version=version)
-        metrics.write.mode("append").parquet(f"{out_dir}/metrics")
+        write_run(metrics, f"{out_dir}/metrics")
     return TrainResult(model, split, lm, metrics, path)
 
 
@@ -100,13 +112,15 @@ def evaluate(spark: SparkSession, model_path: str, test: DataFrame, out_dir: str
     if out_dir:
         write_predictions(pred, f"{out_dir}/predicted_label_on_test")
     lut = spark.createDataFrame(list(zip(model.labels, model.intents)), "label INT, intent STRING")
-    truth = test.join(F.broadcast(lut), "label", "left").select("doc_id", F.col("intent").alias("y"))
-    if not truth.where(F.col("y").isNull()).isEmpty():
-        raise ValueError("the test part has a label the model does not know")
-    # Every test row has its prediction and no other
-    j = truth.join(pred.select("doc_id", F.col("pred_intent").alias("yhat")), "doc_id", "full_outer")
-    if not j.where(F.col("y").isNull() | F.col("yhat").isNull()).isEmpty():
-        raise ValueError("test rows and predictions do not align")
+    truth = test.join(F.broadcast(lut), "label", "left").select("doc_id", F.col("intent").alias("y"), F.lit(True).alias("there"))
+    # Every test row has its prediction and no other; counted by the pass that writes the joined rows
+    j, seen = met.aligned(truth, pred.select("doc_id", F.col("pred_intent").alias("yhat")))
+    strange = Observation()
+    j = materialize(j.observe(strange, F.count_if(F.col("there") & F.col("y").isNull()).alias("n")).drop("there"), "eval-joined")
+    if strange.get["n"]:
+        raise ValueError(f"the test part has a label the model does not know ({strange.get['n']} rows)")
+    if seen.get["n_truth_only"] or seen.get["n_pred_only"]:
+        raise ValueError(f"test rows and predictions do not align: {seen.get}")
     return met.report(j)
 
 

@@ -14,7 +14,7 @@ from ..config import CORPUS_EPOCHS, INFER_BATCH, SEED, TRAIN_BATCH
 from ..functions.text import ALL_LINE_BREAKS
 from ..operators import answers as ans
 from ..operators import metrics as met
-from ..operators.batching import ordered_batches, shuffled_batches, step_counts
+from ..operators.batching import epoch_batches, ordered_batches, shuffled_batches, step_counts
 from ..operators.clean import feature_table
 from ..operators.labels import (class_counts, class_stats, decode, encode, label_map, label_table,
                                table_from_counts, width_check)
@@ -150,6 +150,13 @@ def q_batches_shuffled(spark, sf):
     return b.select(F.col("epoch").cast("bigint"), "doc_id", "batch_id", "batch_pos")
 
 
+def q_batches_epochs(spark, sf):
+    """X3/B1 for all corpus epochs: one rank, a keyed permutation of it per epoch."""
+    train, _ = _part_keys(spark, sf)
+    b = epoch_batches(train.select("doc_id"), CORPUS_EPOCHS, "doc_id", TRAIN_BATCH, SEED)
+    return b.select(F.col("epoch").cast("bigint"), "doc_id", "batch_id", "batch_pos")
+
+
 def q_batches_ordered(spark, sf):
     _, test = _part_keys(spark, sf)
     return ordered_batches(test.select("doc_id"), "doc_id", PREDICT_BATCH).select("doc_id", "batch_id", "batch_pos")
@@ -383,6 +390,36 @@ def q_run_summary(spark, sf):
     return out.select("metric", F.round("value", 6).alias("value"))
 
 
+def q_test_alignment(spark, sf):
+    """E9 as ``evaluate`` has it: the test part against its predictions, counted by the pass that writes the joined rows."""
+    model, _, test = _nb(spark, sf)
+    pred = predict(model, score(model, test))
+    joined, seen = met.aligned(test.select("doc_id", F.col("intent").alias("y")), pred.select("doc_id", F.col("pred_intent").alias("yhat")))
+    rows = materialize(joined, "aligned")
+    counts = spark.createDataFrame([tuple(seen.get[c] for c in _ALIGNED)], ", ".join(f"{c} bigint" for c in _ALIGNED))
+    right = rows.agg(F.count_if(F.col("y") == F.col("yhat")).alias("n_right"))
+    return counts.join(F.broadcast(right))      # one row each
+
+
+_ALIGNED = ("n_matched", "n_truth_only", "n_pred_only", "n_duplicate_keys")
+
+
+def q_prepared_counts(spark, sf):
+    """P4 -> sink: good rows and rejects written by reason in one pass, its counts beside those of the files."""
+    from ..operators.clean import drop_missing, normalize_na, select_feature
+    from ..session import shared_path
+    from .pipeline import write_prepared
+    path = shared_path(spark, "prepared")
+    rows = select_feature(drop_missing(normalize_na(annotated(spark, sf)), "Translation"), "Original Text")
+    seen = write_prepared(rows, path)
+    told = spark.createDataFrame([("ok", seen["n_good"]), ("feature", seen["n_feature"]), ("label", seen["n_label"])],
+                                 "reason STRING, n_counted BIGINT")
+    back = spark.read.schema("doc_id BIGINT, text STRING, intent STRING, reason STRING").parquet(path)
+    found = back.groupBy("reason").agg(F.count(F.lit(1)).alias("n_written"), F.sum("doc_id").alias("id_sum"))
+    return told.join(found, "reason", "left").select(
+        "reason", "n_counted", F.coalesce("n_written", F.lit(0)).cast("bigint").alias("n_written"), "id_sum")
+
+
 def q_pred_alignment(spark, sf):
     *_, j = _test_predictions(spark, sf)
     return met.alignment(labelled(spark, sf), j)
@@ -400,6 +437,7 @@ QUERIES = {
     "split_random": q_split_random,
     "split_three_way": q_split_three_way,
     "batches_shuffled": q_batches_shuffled,
+    "batches_epochs": q_batches_epochs,
     "batches_ordered": q_batches_ordered,
     "step_counts": q_step_counts,
     "tokens": q_tokens,
@@ -425,17 +463,18 @@ QUERIES = {
     "every10_accuracy": q_every10_accuracy,
     "run_summary": q_run_summary,
     "pred_alignment": q_pred_alignment,
+    "test_alignment": q_test_alignment,
+    "prepared_counts": q_prepared_counts,
 }
 
 
 # --- ML pipeline, pluggable model, stream, files -------------------------------
 
 def q_lr_predict(spark, sf):
-    """M2: Spark ML pipeline fitted on the training part, top-1 on the held-out part."""
-    from ..operators.ml import fit_lr, predict_lr
+    """M2: softmax on hashed counts, fitted on the training part by a fixed number of gradient steps, top-1 on the held-out part."""
+    from ..operators import softmax
     train, test = _parts(spark, sf)
-    model = fit_lr(train)
-    pred = predict_lr(model, test)
+    pred = softmax.predict(softmax.fit(train), test, ["doc_id"])
     lut = table_from_counts(spark, class_counts(labelled_keys(spark, sf)))
     out = pred.join(F.broadcast(lut.withColumnRenamed("label", "pred_label")), "pred_label", "left")
     return out.select("doc_id", F.col("intent").alias("pred_intent"), F.round("p_top", 6).alias("p_top"))
@@ -444,9 +483,9 @@ def q_lr_predict(spark, sf):
 def q_lr_coverage(spark, sf):
     """M2 held to figures SQL can state: every held-out row answered once, with a known intent and a
     probability, and more of them right than by always naming the biggest training class."""
-    from ..operators.ml import fit_lr, predict_lr
+    from ..operators import softmax
     train, test = _parts(spark, sf)
-    pred = predict_lr(fit_lr(train), test)
+    pred = softmax.predict(softmax.fit(train), test, ["doc_id"])
     table = table_from_counts(spark, class_counts(labelled_keys(spark, sf)))
     biggest = max(class_counts(train, "label"), key=lambda r: (r[1], -r[0]))[0] if not train.isEmpty() else None
     j = (test.select("doc_id", "label").join(pred, "doc_id", "full_outer")
@@ -536,6 +575,32 @@ def q_model_roundtrip(spark, sf):
     return _predict_rows(load_model(spark, root), test)
 
 
+def q_model_latest(spark, sf):
+    """Versions 0 and 1 committed, version 2 torn (its tables are there, its commit is not); ``latest`` is version 1."""
+    from ..session import shared_path
+    from ..sinks.files import load_model, save_model
+    model, _, test = _nb(spark, sf)
+    path = shared_path(spark, "models")
+    for version in (0, 1):
+        save_model(model, path, version=version, keep_last=2)
+    model.weights.limit(1).write.parquet(f"{path}/version=2/attempt-torn/weights")
+    return _predict_rows(load_model(spark, path, version="latest", check=True), test)
+
+
+def q_run_table(spark, sf):
+    """The run table after version 0 was run twice and version 1 once: one row per version."""
+    from ..session import shared_path
+    from ..sinks.files import read_runs, write_run
+    *_, j = _test_predictions(spark, sf)
+    figures = materialize(met.weighted_prf(j), "run-figures")
+    path = shared_path(spark, "runs")
+    for version in (0, 1, 0):
+        write_run(figures.withColumn("version", F.lit(version)), path)
+    runs = read_runs(spark, path)
+    return _r6(runs, ["accuracy", "precision", "recall", "f1"]).select(
+        F.col("version").cast("bigint"), "accuracy", "precision", "recall", "f1")
+
+
 def q_annotated_csv(spark, sf):
     """S1 -> P2 -> P1 -> P4: the annotated shape written as multi-line CSV, read back, cleaned."""
     from ..session import shared_path
@@ -599,4 +664,6 @@ QUERIES.update({
     "csv_roundtrip": q_csv_roundtrip,
     "split_roundtrip": q_split_roundtrip,
     "model_roundtrip": q_model_roundtrip,
+    "model_latest": q_model_latest,
+    "run_table": q_run_table,
 })

@@ -1,10 +1,20 @@
-"""K1-K5: label map, split tables, predictions, JSON answers, versioned models."""
+"""K1-K5: label map, split tables, predictions, JSON answers, versioned models, the run table.
+
+A model version is a folder ``version=<k>``. Every save writes its tables to a
+fresh ``attempt-<id>`` folder in it and then, as its last step, one small
+``commit-<time>-<id>.json`` that names the attempt and its row counts. A version is
+there once it has such a file; the newest one counts. A save that dies half-way
+leaves an attempt that nothing refers to, and a repeated save never touches the
+tables that the version before it reads.
+"""
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.naive_bayes import NBModel
@@ -70,6 +80,17 @@ def write_masked_lines(masked: DataFrame, path: str) -> None:
     rows.repartition(n, "epoch", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(n))).write.mode("overwrite").partitionBy("epoch").parquet(path)
 
 
+def write_run(metrics: DataFrame, path: str) -> None:
+    """The run table, one partition per ``version``; a version that is written again replaces its rows."""
+    (metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path))
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All runs, ``version`` as a column."""
+    runs = spark.read.parquet(path)
+    return runs.withColumn("version", F.col("version").cast("int"))
+
+
 def write_answers(answers_json: DataFrame, path: str) -> None:
     """K4: JSON answers as JSON lines ``{"doc_id":..., "json": "[{...}]"}``."""
     answers_json.write.mode("overwrite").json(path)
@@ -87,21 +108,39 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def list_versions(spark: SparkSession, path: str) -> list[int]:
-    """Model versions saved under ``path`` (``version=<k>`` folders), ascending."""
+def _names(spark: SparkSession, path: str) -> list[str]:
     fs, jpath = _fs(spark, path)
-    if not fs.exists(jpath):
-        return []
-    out = []
-    for st in fs.listStatus(jpath):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("version=") and name[8:].lstrip("-").isdigit():
-            out.append(int(name[8:]))
-    return sorted(out)
+    return [st.getPath().getName() for st in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def _commits(spark: SparkSession, root: str) -> list[str]:
+    """Commit files of a model folder, oldest first."""
+    return sorted(n for n in _names(spark, root) if n.startswith("commit-") and n.endswith(".json"))
+
+
+def _write_small(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, complete or absent: written under another name, then renamed."""
+    jvm = spark.sparkContext._jvm
+    fs, jpath = _fs(spark, path)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(part, jpath):
+        raise OSError(f"could not write {path}")
+
+
+def list_versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed model versions under ``path`` (``version=<k>`` folders), ascending."""
+    numbers = [int(n[8:]) for n in _names(spark, path) if n.startswith("version=") and n[8:].lstrip("-").isdigit()]
+    return sorted(k for k in numbers if _commits(spark, f"{path.rstrip('/')}/version={k}"))
 
 
 def prune_versions(spark: SparkSession, path: str, keep_last: int) -> list[int]:
-    """Delete all but the ``keep_last`` newest versions; returns the deleted ones."""
+    """Delete all but the ``keep_last`` newest committed versions; returns the deleted ones.
+
+    Versions without a commit neither count as kept nor are deleted: their save may still be running.
+    """
     versions = list_versions(spark, path)
     old = versions[:-keep_last] if keep_last > 0 else versions
     fs, _ = _fs(spark, path)
@@ -112,29 +151,42 @@ def prune_versions(spark: SparkSession, path: str, keep_last: int) -> list[int]:
 
 
 def save_model(model: NBModel, path: str, version: int | None = None, keep_last: int | None = None) -> str:
-    """K5: weights and counts as parquet, class arrays as a one-row JSON table.
+    """K5: weights, counts and vocabulary as parquet, class arrays in the commit file (written last).
 
     ``version`` writes under ``<path>/version=<k>`` (one folder per epoch/run);
-    ``keep_last`` then deletes all but the newest versions (the corpus trainer
-    keeps 2).
+    ``keep_last`` then deletes all but the newest committed versions (the
+    corpus trainer keeps 2). Saving a version again replaces it: readers see the old tables until
+    the new commit is there, and the old ones are deleted after it.
     """
-    root = f"{path.rstrip('/')}/version={version}" if version is not None else path
-    model.weights.write.mode("overwrite").parquet(f"{root}/weights")
-    model.counts.write.mode("overwrite").parquet(f"{root}/counts")
-    model.vocabulary().write.mode("overwrite").parquet(f"{root}/vocab")
+    root = f"{path.rstrip('/')}/version={version}" if version is not None else path.rstrip("/")
+    spark = model.weights.sparkSession
+    attempt = f"attempt-{uuid.uuid4().hex[:12]}"
+    tables = {"weights": model.weights, "counts": model.counts, "vocab": model.vocabulary()}
+    rows = {}
+    for name, df in tables.items():
+        seen = Observation(name)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{root}/{attempt}/{name}")
+        rows[name] = seen.get["n"]
+    before = _commits(spark, root)
     meta = {"labels": model.labels, "intents": model.intents, "log_prior": model.log_prior,
             "n_tokens": model.n_tokens, "vocab_size": model.vocab_size, "kind": model.kind,
-            "params": model.params}
-    spark = model.weights.sparkSession
-    spark.createDataFrame([(json.dumps(meta),)], "meta STRING").coalesce(1)\
-        .write.mode("overwrite").text(f"{root}/meta")
+            "params": model.params, "attempt": attempt, "rows": rows}
+    _write_small(spark, f"{root}/commit-{time.time_ns():020d}-{uuid.uuid4().hex[:6]}.json", json.dumps(meta))
+    fs, _ = _fs(spark, root)
+    for name in before:
+        old = json.loads(spark.read.text(f"{root}/{name}").first()[0])["attempt"]
+        for gone in (name, old):
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{gone}"), True)
     if version is not None and keep_last:
         prune_versions(spark, path, keep_last)
     return root
 
 
-def load_model(spark: SparkSession, root: str, version: int | str | None = None) -> NBModel:
-    """The model written by :func:`save_model`; ``version="latest"`` picks the newest."""
+def load_model(spark: SparkSession, root: str, version: int | str | None = None, check: bool = False) -> NBModel:
+    """The model written by :func:`save_model`; ``version="latest"`` picks the newest committed one.
+
+    ``check`` counts the tables' rows (from their footers) and compares them with the commit's.
+    """
     if version == "latest":
         versions = list_versions(spark, root)
         if not versions:
@@ -142,10 +194,16 @@ def load_model(spark: SparkSession, root: str, version: int | str | None = None)
         version = versions[-1]
     if version is not None:
         root = f"{root.rstrip('/')}/version={version}"
-    meta = json.loads(spark.read.text(f"{root}/meta").first()[0])
-    return NBModel(weights=spark.read.parquet(f"{root}/weights"),
-                   counts=spark.read.parquet(f"{root}/counts"),
-                   vocab=spark.read.parquet(f"{root}/vocab"),
+    commits = _commits(spark, root)
+    if not commits:
+        raise FileNotFoundError(f"no committed model in {root}")
+    meta = json.loads(spark.read.text(f"{root.rstrip('/')}/{commits[-1]}").first()[0])
+    tables = {name: spark.read.parquet(f"{root.rstrip('/')}/{meta['attempt']}/{name}") for name in meta["rows"]}
+    if check:
+        for name, df in tables.items():
+            if df.count() != meta["rows"][name]:
+                raise ValueError(f"{root}: {name} does not hold the {meta['rows'][name]} rows of its commit")
+    return NBModel(weights=tables["weights"], counts=tables["counts"], vocab=tables["vocab"],
                    labels=meta["labels"], intents=meta["intents"], log_prior=meta["log_prior"],
                    n_tokens=meta["n_tokens"], vocab_size=meta["vocab_size"], kind=meta["kind"],
                    params=meta["params"])
