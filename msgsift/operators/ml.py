@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TOKEN_SPLIT
+from ..session import shared_path
 
 
 def lr_pipeline(max_vocab: int = 1 << 24, min_df: int = 1, max_iter: int = 50, reg: float = 0.01) -> Pipeline:
@@ -22,8 +23,16 @@ def lr_pipeline(max_vocab: int = 1 << 24, min_df: int = 1, max_iter: int = 50, r
 
 
 def fit_lr(train: DataFrame, **kw) -> PipelineModel:
-    """Fit on ``(text, label)``; the label id is the class index."""
-    return lr_pipeline(**kw).fit(train.withColumn("label_d", F.col("label").cast("double")))
+    """Fit on ``(text, label)``; the label id is the class index.
+
+    The fitted model is written to the shared folder and read back: a freshly
+    fitted one holds its training summary, and with it the session, which
+    cannot be sent to tasks once the session has observed a write.
+    """
+    model = lr_pipeline(**kw).fit(train.withColumn("label_d", F.col("label").cast("double")))
+    path = shared_path(train.sparkSession, "lr-model")
+    model.write().save(path)
+    return PipelineModel.load(path)
 
 
 def predict_lr(model: PipelineModel, df: DataFrame, id_col: str = "doc_id") -> DataFrame:
