@@ -169,24 +169,47 @@ def test_contamination_matches_brute_force(spark, bits):
     assert decontam.contamination(docs.limit(0), bench).count() == 0
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 97, "b": 2, "c": 1}, {"a": 0.5, "b": 0.3, "c": 0.2}])
-def test_pfair_windows_and_lag(weights):
-    shares = mixing.integer_shares(weights, 100)
-    assert sum(shares.values()) == 100
-    plan = mixing.pfair_period(shares)
-    assert sorted(p[2] for p in plan) == list(range(100))
+def _check_schedule(weights, slots, frame):
+    """Every block in its window and every source less than a block from its exact share, at every slot."""
+    shares = list(mixing.shares_of(weights).values())
+    blocks = [-(-slots * s.numerator // s.denominator) + 5 for s in shares]
+    frame = max(frame, 2 * len(shares))
+    plan = [x for f in range(-(-slots // frame)) for x in mixing.schedule_frame(shares, blocks, f * frame, frame)]
+    assert [p[2] for p in plan] == list(range(len(plan)))                    # no slot empty, none used twice
     assert all(rel <= slot < dead for _, _, slot, rel, dead in plan)
-    done = Counter()
-    for t, (k, *_rest) in enumerate(sorted(plan, key=lambda p: p[2]), 1):
+    done = [0] * len(shares)
+    for t, (k, j, *_rest) in enumerate(plan, 1):
         done[k] += 1
-        assert all(abs(done[s] - shares[s] * t / 100) < 1 for s in shares)
+        assert j == done[k]
+        assert abs(done[k] - shares[k] * t) < 1
+        if t % 61 == 0:
+            assert all(abs(d - s * t) < 1 for d, s in zip(done, shares))
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 97, "b": 2, "c": 1}, {"a": 0.5, "b": 0.3, "c": 0.2},
+                                     {"x": 3 ** 0.5, "y": 2 ** 0.5, "z": 0.1}, {"only": 2}])
+def test_pfair_windows_and_lag(weights):
+    _check_schedule(weights, 3_000, 100)
+
+
+def test_pfair_holds_the_given_weights_over_many_frames_and_sources():
+    _check_schedule({k: 0.5 if k == 0 else 0.5 / 99 for k in range(100)}, 20 * 200, 200)
+    _check_schedule({k: 0.3 if k == 0 else 0.7 / 999 for k in range(1_000)}, 6_000, 2_000)
+    _check_schedule({k: 0.14 if k == 0 else 0.86 / 19 for k in range(20)}, 20 * 250, 250)
+
+
+def test_boundaries_sum_to_the_slot():
+    shares = list(mixing.shares_of({k: (k + 1) ** 0.5 for k in range(30)}).values())
+    for t in (0, 1, 7, 4_096, 10 ** 12 + 3):
+        a = mixing.placed_before(shares, t)
+        assert sum(a) == t and all(abs(n - s * t) < 1 for n, s in zip(a, shares))
 
 
 def test_mix_keeps_every_row_and_the_shares(spark):
     rows = [(i, "a" if i % 3 else ("b" if i % 2 else None), "t", 9) for i in range(3_000)] + [(7, "b", "t", 9), (7, "b", "t", 9)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, mix_slot int")
     w = {"a": 0.5, "b": 0.3, None: 0.2}
-    out = mixing.mix(docs, w, block_rows=8, period=50).collect()
+    out = mixing.mix(docs, w, block_rows=8, frame=50, range_rows=100).collect()
     assert Counter((r.doc_id, r.source) for r in out) == Counter((r[0], r[1]) for r in rows)
     assert len({r.mix_pos for r in out}) == len(out)
     slots = {}
@@ -201,5 +224,5 @@ def test_mix_keeps_every_row_and_the_shares(spark):
     with pytest.raises(ValueError):
         mixing.mix(docs, {"a": 1})
     assert mixing.mix(docs.limit(0)).count() == 0
-    zero = mixing.mix(docs, {"a": 1, "b": 1, None: 0}, block_rows=8, period=50)
+    zero = mixing.mix(docs, {"a": 1, "b": 1, None: 0}, block_rows=8, frame=50)
     assert zero.where("source is null and mix_slot is null").count() == sum(r[1] is None for r in rows)
