@@ -13,13 +13,14 @@ The automaton is stored as a dense table (state, letter) -> next state and
 character position for all (text, language) pairs of the batch.
 
 Training reads a bounded sample: at most ``rows_per_language`` labelled rows
-per language, drawn by a hash of the row, of which ``train_chars`` characters
-in total over all languages go into the automata (a row longer than its
-language's share gives only that many characters). Predictions read whole texts.
+per language, drawn by a hash of the id; equal texts count once. Every drawn
+row gives an equal piece of whole words, at a place chosen by the hash, so
+that ``train_chars`` characters over all languages go into the automata.
+Predictions read whole texts.
 
 Defined cases
     null text or no letter: ``und`` with score 0. no labelled row at all: everything ``und``
-    (:func:`drop_undetermined` drops texts without a letter only, also then).
+    (:func:`drop_undetermined` drops texts without a letter only, also then, and leaves a missing language missing).
     very long texts: parsed whole; a phrase also ends every ``SEGMENT`` characters.
     ties: the language that sorts first. letters never seen in training: phrases of one letter.
     repeated rows and null ids: predicted like any row. empty table: no rows.
@@ -28,6 +29,7 @@ Defined cases
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -131,11 +133,11 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS, letters: int = LETTERS):
         self.langs = sorted(samples)
-        share = max(1, train_chars // max(1, len(self.langs)))
+        share = max(1, train_chars // max(1, len(self.langs)))    # of a language
         self.codes, self.alphabet = letter_codes([t.lower() for v in samples.values() for t in v], letters)
         tables, self.base, self.log_n, at = [], [], [], 0
         for lang in self.langs:
-            seq, _, _ = encode(_first_chars(samples[lang], share), self.codes)
+            seq, _, _ = encode(_pieces(samples[lang], share), self.codes)
             gaps = np.flatnonzero(seq == _OTHER)[PIECE_WORDS - 1::PIECE_WORDS]
             tab = parse_table(np.insert(seq, gaps + 1, self.alphabet - 1), self.alphabet)
             self.base.append(at)
@@ -190,18 +192,30 @@ class CrossParser:
         return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letter.tolist())], score, letter
 
 
-def _first_chars(texts: list[str], limit: int) -> list[str]:
-    out, used = [], 0
-    for t in texts:
-        if used >= limit:
-            break
-        out.append(t[:limit - used] + "\n")
-        used += len(t)
+def _pieces(texts: list[str], limit: int) -> list[str]:
+    """Of each text an equal share of ``limit`` characters, in whole words, from a place that its hash chooses."""
+    out, left = [], limit
+    order = sorted(set(texts), key=len)                      # what short texts leave over goes to the longer ones
+    for k, t in enumerate(order):
+        size = max(1, left // (len(order) - k))
+        if len(t) > size:
+            a = zlib.crc32(t.encode("utf-8", "surrogatepass")) % (len(t) - size + 1)
+            piece = t[a:a + size]
+            whole = piece.split(None, 1)[-1] if a and not t[a - 1].isspace() else piece
+            if a + size < len(t) and not t[a + size].isspace():
+                whole = (whole.rsplit(None, 1) or [whole])[0]
+            t = whole or piece
+        out.append(t + "\n")
+        left -= len(t)
     return out
 
 
 def sample_rows(labelled: DataFrame, lang_col: str, text_col: str, rows_per_language: int, max_chars: int) -> dict:
-    """{language: texts}: at most ``rows_per_language`` rows each, drawn by a hash of the text."""
+    """{language: texts}: at most ``rows_per_language`` rows each, drawn by a hash of the id.
+
+    Of a text longer than ``max_chars``, which is more than any row can give, a
+    stretch of that length from a place chosen by the hash travels to the driver.
+    """
     lang = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in lang.groupBy(lang_col).count().collect()}
     if not counts:
@@ -211,8 +225,9 @@ def sample_rows(labelled: DataFrame, lang_col: str, text_col: str, rows_per_lang
     for k, n in counts.items():
         share = F.when(F.col(lang_col) == F.lit(k), F.lit(min(1.0, rows_per_language / n))).otherwise(share)
     u = F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))
-    rows = (lang.where(u < share).select(F.col(lang_col).alias("l"), F.substring(text_col, 1, max_chars).alias("t"),
-                                         key.alias("k"))
+    begin = F.pmod(F.xxhash64("_id", F.lit(11)), F.greatest(F.char_length(text_col) - max_chars + 1, F.lit(1))) + 1
+    rows = (lang.where(u < share).select(F.col(lang_col).alias("l"),
+                                         F.substr(text_col, begin.cast("int"), F.lit(max_chars)).alias("t"), key.alias("k"))
             .orderBy("k").limit(2 * rows_per_language * len(counts)).collect())
     out: dict[str, list[str]] = {k: [] for k in counts}
     for r in rows:
@@ -276,9 +291,18 @@ def _slices(sizes: list[int]):
 
 
 def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows whose text has a letter, all columns unchanged, whether or not a language could be learned."""
+    """Rows whose text has a letter, each with a language; all other columns unchanged.
+
+    A row that comes with a language keeps it and is only looked at for a
+    letter. A row without one gets the predicted language (none where no
+    language could be learned). Rows without a letter are undetermined and go.
+    """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])       # no name can clash with the added columns
-    out = predict(plain, fit(docs, id_col, text_col, lang_col), f"c{names.index(text_col)}", "_lang", "_score",
-                  out_letter="_letter")
-    return out.where("_letter").drop("_lang", "_score", "_letter").toDF(*names)
+    text, lang = f"c{names.index(text_col)}", f"c{names.index(lang_col)}"
+    said = plain.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    model = fit(docs, id_col, text_col, lang_col)
+    out = predict(plain.where(F.col(lang).isNull()), model, text, "_lang", "_score", out_letter="_letter")
+    found = F.when(F.col("_lang") != UNDETERMINED, F.col("_lang")).cast(docs.schema[lang_col].dataType)
+    guessed = out.where("_letter").withColumn(lang, found).drop("_lang", "_score", "_letter")
+    return said.unionByName(guessed).toDF(*names)

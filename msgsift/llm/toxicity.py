@@ -9,9 +9,10 @@ mention groups often enough, every term is also appended to a fixed number of
 labelled sentences and swapped there. Weights that hang on the mention itself
 are driven to zero, so a neutral mention does not raise the score.
 
-Training reads at most ``rows_per_class`` labelled rows per label, drawn by a
-hash of the id, and at most ``train_chars`` characters of each. Scores read
-whole texts and nothing but the text.
+Training reads the whole texts of at most ``rows_per_class`` labelled documents
+per label, drawn by a hash of the id. Every sentence of them that mentions a
+group is swapped, one mention at a time. Scores read whole texts and nothing
+but the text.
 
 Defined cases
     null or wordless text: the score of a text without features. null label: not used.
@@ -31,7 +32,6 @@ from .common import crc_mod, small_batches
 from .textbytes import ALNUM_WORDS, batch_words, hash_words, mix
 
 ROWS_PER_CLASS = 3_000
-TRAIN_CHARS = 20_000       # of one training text
 MAX_FEATURES = 20_000
 MIN_TEXTS = 3              # training texts a feature must occur in
 Z_LEAST = 3.0              # lean to one label, in standard deviations
@@ -83,16 +83,14 @@ def swapped_sentences(texts: list[str], sentences: int = SENTENCES) -> list[tupl
     out, plain = [], []
     for text in texts:
         for s in re.split(r"(?<=[.!?\n])\s+", text):
-            m = pattern.search(s)
-            if m:
+            mentions = list(pattern.finditer(s))
+            for m in mentions:
                 g = group[m.group(0).lower()]
                 at = g.index(m.group(0).lower())
                 for step in (1, 2):
                     out.append((s, s[:m.start()] + g[(at + step) % len(g)] + s[m.end():]))
-            elif len(plain) < sentences and s.strip():
+            if not mentions and len(plain) < sentences and s.strip():
                 plain.append(s)
-        if len(out) >= 4 * sentences:
-            break
     for s in plain:
         for g in IDENTITY_TERMS:
             out += [(s, f"{s} {a}") for a in g]
@@ -180,15 +178,16 @@ def fit_texts(texts: list[str], y: np.ndarray, penalty: float = SWAP_PENALTY, st
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, held_out_mod: int,
            rows_per_class: int) -> tuple[list[str], np.ndarray]:
-    """Labelled texts: per label the rows with the smallest hashes, never a held-out row."""
+    """Labelled texts: per label the documents with the smallest hashes, never a held-out one, nor a label without a document."""
     lab = labels.select(labels[id_col].alias("i"), labels[label_col].cast("int").alias("y")).where(
         F.col("y").isin(0, 1) & (crc_mod(F.col("i"), held_out_mod) != 0))
+    lab = lab.join(docs.where(docs[text_col].isNotNull()).select(docs[id_col].alias("i")), "i", "left_semi")
     # ids first (at most 2 * rows_per_class), so only their texts are joined
     picked = None
     for v in (0, 1):
         part = lab.where(F.col("y") == v).orderBy(F.xxhash64("i"), "i").limit(rows_per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = (docs.select(docs[id_col].alias("i"), F.substring(docs[text_col], 1, TRAIN_CHARS).alias("t"))
+    rows = (docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"))
             .join(F.broadcast(picked), "i").where(F.col("t").isNotNull())
             .orderBy(F.xxhash64("i"), "i", "y", "t").limit(2 * rows_per_class).collect())
     return [r["t"] for r in rows], np.array([r["y"] for r in rows], dtype=np.float64)

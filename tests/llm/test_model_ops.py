@@ -63,6 +63,32 @@ def test_language_id_learns_and_handles_odd_rows(spark):
     assert langid.predict(docs.limit(0), langid.fit(docs), keep=["doc_id"]).count() == 0
 
 
+def test_every_drawn_row_gives_a_piece_of_whole_words():
+    texts = [" ".join("%s%d" % ("abcdefghij"[k], i) for i in range(n)) for k, n in enumerate([1, 2, 30, 400, 400, 400, 5_000])]
+    texts.append("z" * 900)                                  # no place to cut at a word
+    pieces = langid._pieces(texts + texts, 1_600)            # equal texts count once
+    assert len(pieces) == len(texts) and sum(map(len, pieces)) <= 1_600 + len(texts)
+    for t in texts[:-1]:
+        mine = [p.strip() for p in pieces if p[0] == t[0]]
+        assert len(mine) == 1 and mine[0] and set(mine[0].split()) <= set(t.split())
+    long = [len(p) for p in pieces if p[0] in "defg"]
+    assert min(long) > 0.8 * max(long)                       # equal shares, not the first rows' whole texts
+    assert all(not t.startswith(p.strip()) for t in texts for p in pieces if p[0] == t[0] == "g")
+
+
+def test_rows_without_a_language_get_the_predicted_one(spark):
+    words = {"aa": "lorem ipsum dolor sit amet", "bb": "schnell gruß über weg klein"}
+    rows = [(i, words[k] * (i % 5 + 1), k) for i, k in enumerate(["aa", "bb"] * 40)]
+    rows += [(900, "dolor amet ipsum", None), (901, "über gruß klein", None), (902, "12 !", None), (903, None, None), (904, "!", "aa"),
+             (905, "schnell klein", "aa"), (906, "é", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang for r in langid.drop_undetermined(docs).collect()}
+    assert (got[900], got[901], got[905], got[906]) == ("aa", "bb", "aa", "bb") and not {902, 903, 904} & set(got)
+    assert len(got) == len(rows) - 3
+    unknown = langid.drop_undetermined(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(unknown) == len(rows) - 3 and {r.lang for r in unknown} == {None}
+
+
 # ---- token counts
 
 def test_token_counts_equal_the_library(spark):
@@ -234,6 +260,19 @@ def test_toxicity_on_held_out_rows_and_word_beginnings(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_every_mention_of_every_sentence_is_swapped():
+    texts = ["The old man met young women. Nothing here."] * 500
+    pairs = [p for p in toxicity.swapped_sentences(texts, 1) if p[0].startswith("The old")]
+    assert len(pairs) >= 500 * 6 and {b for a, b in pairs if " old " not in b} and {b for a, b in pairs if "women" not in b}
+
+
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(900, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2_000)], "doc_id bigint, toxic int")
+    texts, y = toxicity.sample(docs, labels, "doc_id", "text", "toxic", 5, 10)
+    assert len(texts) == 20 and sorted(y) == [0.0] * 10 + [1.0] * 10
+
+
 def test_swap_penalty_frees_neutral_mentions():
     import pyarrow as pa
     rng = random.Random(6)
