@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import ANNOTATED_SCHEMA, LABEL_MAP_SCHEMA, SPLIT_SCHEMA
 from ..functions.text import EXTRA_LINE_BREAKS, is_blank
 from ..session import materialize
+from .quoted import read_quoted_csv
 
 
 def _csv(spark: SparkSession, schema: str, multiline: bool):
@@ -21,18 +22,25 @@ def _csv(spark: SparkSession, schema: str, multiline: bool):
             .option("mode", "FAILFAST"))
 
 
-def read_annotated(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def _read_quoted(spark: SparkSession, path: str, schema: str, multiline: bool, bare_quotes: bool) -> DataFrame:
+    if multiline and not bare_quotes:
+        return read_quoted_csv(spark, path, schema)
+    return _csv(spark, schema, multiline).csv(path)
+
+
+def read_annotated(spark: SparkSession, path: str, multiline: bool = True, bare_quotes: bool = False) -> DataFrame:
     """The annotated message table with its explicit schema.
 
-    ``multiline`` keeps quoted newlines but reads each file in one task;
-    keep big inputs in many files (or convert once to parquet).
+    ``multiline`` keeps line breaks inside quoted fields; big files are still
+    read by many tasks (:mod:`.quoted`). Files with quotes inside unquoted
+    fields (``bare_quotes``) are left to Spark's reader, one task per file.
     """
-    return _csv(spark, ANNOTATED_SCHEMA, multiline).csv(path)
+    return _read_quoted(spark, path, ANNOTATED_SCHEMA, multiline, bare_quotes)
 
 
-def read_split(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """A ``doc_id,text,label`` table as written by :func:`sinks.write_split`."""
-    return _csv(spark, SPLIT_SCHEMA, multiline).csv(path)
+def read_split(spark: SparkSession, path: str, multiline: bool = True, bare_quotes: bool = False) -> DataFrame:
+    """A ``doc_id,text,label`` table as written by :func:`sinks.write_split`; options as in :func:`read_annotated`."""
+    return _read_quoted(spark, path, SPLIT_SCHEMA, multiline, bare_quotes)
 
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
