@@ -5,13 +5,15 @@ cut by an extendible-hash directory: it doubles while a bucket holds more than
 ``bucket_rows`` keys, and only the overfull buckets split, so a bucket is a
 hash prefix of its own local depth. Each bucket, a key range, belongs to one
 owner task, which chains the entries that share a hash. Rows whose hash occurs
-once need no comparison; all others are compared byte by byte: they are
-grouped by hash and whole text, and Spark's aggregation compares the key
-bytes. That grouping is partial before the shuffle, so a text that fills a
-third of the table sends one row per task, not one per copy.
+once need no comparison; all others go to the bucket that the directory names
+for their hash and are compared there byte by byte: grouped by bucket, hash
+and whole text, where Spark's aggregation compares the key bytes. That grouping
+is partial before the shuffle, so a text that fills a third of the table sends
+one row per task, not one per copy.
 
 The index is one table in ``spark.checkpoint.dir``: bucket, h, chain,
-text_sha256, n_bytes, keep_id, group_size. A lost executor rereads it.
+text_sha256, n_bytes, keep_id, group_size. A lost executor rereads it. A row's
+verdict is looked up in it like any key: directory slot, bucket, hash, text.
 
 Defined cases
     null text: an empty text. Empty texts are equal to each other.
@@ -59,8 +61,11 @@ def split_buckets(counts: dict[int, int], bucket_rows: int, max_depth: int) -> l
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS,
-                max_depth: int = MAX_DEPTH, hash_bits: int = 64) -> tuple[DataFrame, DataFrame, int]:
-    """(entries: doc_id, h, th, text_sha256, n_bytes; index; number of rows), both written to the shared folder."""
+                max_depth: int = MAX_DEPTH, hash_bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(entries: doc_id, h, th, text_sha256, n_bytes; directory: slot, bucket; index; number of rows).
+
+    Entries and index are written to the shared folder; the directory has 2^max_depth rows.
+    """
     spark = docs.sparkSession
     d = docs.select(docs[id_col].alias("doc_id"), ascii_lower(docs[text_col]).alias("norm"),
                     text_hash(docs[text_col], hash_bits).alias("h"), F.xxhash64(docs[text_col]).alias("th"))
@@ -88,24 +93,28 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = flag_keys(raw, F.col("th"), theirs, F.col("m_th")).where("_in").select(
         "doc_id", ascii_lower(F.col("text")).alias("norm"), text_hash(F.col("text"), hash_bits).alias("h"))
     shared = join_by_key(some, multi, ["h"], "n", n_rows)
-    groups = (shared.groupBy("h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-              .select("h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
+    groups = (owned_by(directory, shared, max_depth).groupBy("bucket", "h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+              .select("bucket", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
                       F.octet_length("norm").cast("bigint").alias("n_bytes"), "keep_id", "group_size"))
-    single = keys.where("n = 1").select("h", "text_sha256", "n_bytes", F.col("doc_id").alias("keep_id"),
-                                        F.col("n").alias("group_size"))
-    records = groups.unionByName(single).withColumn("slot", _prefix(F.col("h"), max_depth))
-    owned = (records.join(F.broadcast(directory.select("slot", "bucket")), "slot").drop("slot")
-             .repartition("bucket"))
+    single = owned_by(directory, keys.where("n = 1"), max_depth).select(
+        "bucket", "h", "text_sha256", "n_bytes", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
     chain = Window.partitionBy("bucket", "h").orderBy("text_sha256")
-    index = owned.withColumn("chain", F.row_number().over(chain))
-    return entries, materialize(index, "dedup-index"), n_rows
+    index = groups.unionByName(single).repartition("bucket").withColumn("chain", F.row_number().over(chain))
+    return entries, directory, materialize(index, "dedup-index"), n_rows
+
+
+def owned_by(directory: DataFrame, rows: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``rows`` with the bucket that the directory names for the leading bits of their hash ``h``."""
+    slots = F.broadcast(directory.select("slot", "bucket"))
+    return rows.withColumn("slot", _prefix(F.col("h"), max_depth)).join(slots, "slot").drop("slot")
 
 
 def _verdicts(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     """doc_id, th, keep_id, group_size, kept, text_sha256; one row per input row. ``th`` is xxhash64 of the raw text."""
-    entries, index, n_rows = build_index(docs, id_col, text_col, **options)
-    groups = index.select("h", "text_sha256", "keep_id", "group_size")
-    out = join_by_key(entries.select("doc_id", "h", "th", "text_sha256"), groups, ["h", "text_sha256"], "group_size", n_rows)
+    entries, directory, index, n_rows = build_index(docs, id_col, text_col, **options)
+    groups = index.select("bucket", "h", "text_sha256", "keep_id", "group_size")
+    asked = owned_by(directory, entries.select("doc_id", "h", "th", "text_sha256"), options.get("max_depth", MAX_DEPTH))
+    out = join_by_key(asked, groups, ["bucket", "h", "text_sha256"], "group_size", n_rows)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 

@@ -75,6 +75,20 @@ def test_directory_doubles_only_full_buckets():
     assert len({d for _, d, _ in leaves}) > 1
 
 
+def test_verdicts_come_through_the_directory(spark, monkeypatch):
+    """A directory that loses a bucket, or names two for one slot, gives wrong verdicts."""
+    rows = _fixture()
+    docs = _docs(spark, rows)
+    right = exact_dedup.split_buckets
+    assert exact_dedup.exact_groups(docs, bucket_rows=4).count() == len(rows)
+    monkeypatch.setattr(exact_dedup, "split_buckets", lambda *a: right(*a)[:-1])
+    assert 0 < exact_dedup.exact_groups(docs, bucket_rows=4).count() < len(rows)
+    monkeypatch.setattr(exact_dedup, "split_buckets", lambda *a: right(*a) + [(0, 0, 0)])
+    assert exact_dedup.exact_groups(docs, bucket_rows=4).count() > len(rows)
+    index = exact_dedup.build_index(docs, bucket_rows=4)[2]
+    assert index.groupBy("bucket").count().count() > 3
+
+
 def _shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
     n = min(5, len(w))
