@@ -24,12 +24,20 @@ table: a candidate in a published key format, or assigned to a name such as
 ``password`` or ``token``, is a finding; prose in capitals, addresses, paths and
 bare numbers are not; the rest stays unlabelled and is judged by the forest, also
 short, numeric or plain-word values that are assigned to such a name.
-At most ``TRAIN_ROWS`` labelled candidates, drawn by hash, train it.
+At most ``TRAIN_ROWS`` labelled candidates, drawn by hash, train it; those of documents
+whose crc32(doc_id) mod 5 is 0 are held out.
+
+The label rule reads names, assignments, paths and addresses, and so could the
+forest. Every training row is therefore there twice, once with those EVIDENCE
+features withheld (set to 0): the forest has to find the same answer in length,
+transitions and dictionary alone, and a candidate without evidence is judged by
+them. :func:`quality` holds the forest against the held-out labels with the
+evidence withheld.
 
 Defined cases
     null or empty text: no candidate. one label only in training: the label rule decides, score 0 or 1.
     very long texts: whole. repeated rows: each gives its candidates. empty table: no rows.
-    ties at 0.5: a secret.
+    ties at 0.5: a secret. null id: not held out.
 """
 
 from __future__ import annotations
@@ -37,7 +45,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, shared_path
+from .common import crc_mod
 
 MIN_LENGTH = 16
 TRAIN_ROWS = 20_000
@@ -57,6 +66,8 @@ _PLAIN, _QUOTED = r"[\"'`(\[{]*([^\s\"'`=:]\S*?)[,;]*$", r"([\"'`])(\S+?)\3\S*$"
 _WHOLE_NAME = SECRET_NAMES + r"s?(?-i:(?![a-z]))[A-Za-z0-9_-]{0,64}+[\"'`)\]]*"       # password, token_2; not author
 FEATURES = ["length", "digits", "upper", "hex", "transitions", "distinct", "dictionary", "path", "url", "address",
             "named", "assigned", "quoted"]
+EVIDENCE = ["path", "url", "address", "named", "assigned", "quoted"]     # what the label rule reads beside the value's own letters
+HELD_OUT_MOD = 5
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,22 +166,63 @@ def weak_label(found: DataFrame) -> Column:
     return F.when(key | (assigned & (F.col("dictionary") < 0.5)), 1.0).when(prose | harmless, 0.0)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, word_no, value, score, secret: every candidate with the forest's probability of a real secret."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def withheld(found: DataFrame) -> DataFrame:
+    """The rows without the features that the label rule reads."""
+    return found.withColumns({c: F.lit(0.0) for c in EVIDENCE})
 
+
+def labelled_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every candidate with its features, its label (null: no evidence) and whether it is held out, written once."""
     cand = materialize(candidates(docs, id_col, text_col).withColumn("cid", F.monotonically_increasing_id()), "secret-candidates")
     found = with_features(cand, dictionary(docs, text_col))
-    found = materialize(found.withColumn("label", weak_label(found)), "secret-features")
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
-    train = (vectors.where("label is not null").orderBy(F.xxhash64("doc_id", "word_no", "value"), "doc_id", "word_no", "value")
-             .limit(train_rows))
-    train = materialize(train.select("label", "features"), "secret-train")
+    held = F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), HELD_OUT_MOD) == 0)
+    return materialize(found.withColumn("label", weak_label(found)).withColumn("held_out", held), "secret-features")
+
+
+def fit(found: DataFrame, train_rows: int = TRAIN_ROWS):
+    """The forest of the labelled rows that are not held out; None when they have one label only."""
+    from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+
+    train = (found.where("label is not null and not held_out")
+             .orderBy(F.xxhash64("doc_id", "word_no", "value"), "doc_id", "word_no", "value").limit(train_rows))
+    train = train.select("label", *FEATURES)
+    train = materialize(_vectors(train.unionByName(withheld(train))).select("label", "features"), "secret-train")
     if train.select("label").distinct().count() < 2:
-        return found.select("doc_id", "word_no", "value", F.coalesce("label", F.lit(0.0)).alias("score"),
-                            (F.coalesce("label", F.lit(0.0)) >= 0.5).alias("secret"))
+        return None
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=42, featureSubsetStrategy="sqrt").fit(train)
+    path = shared_path(found.sparkSession, "secret-forest")        # read back: without its training summary it can be sent to tasks
+    forest.write().save(path)
+    return RandomForestClassificationModel.load(path)
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+
+
+def judged(found: DataFrame, forest) -> DataFrame:
+    """``found`` with the forest's ``score`` and ``secret``; without a forest the label rule decides."""
+    from pyspark.ml.functions import vector_to_array
+    if forest is None:
+        score = F.coalesce("label", F.lit(0.0))
+        return found.withColumn("score", score).withColumn("secret", F.col("score") >= 0.5)
     p = vector_to_array(F.col("probability"))[1]
-    return forest.transform(vectors).select("doc_id", "word_no", "value", p.alias("score"), (p >= 0.5).alias("secret"))
+    out = forest.transform(_vectors(found))
+    return out.withColumn("score", p).withColumn("secret", F.col("score") >= 0.5).select(*found.columns, "score", "secret")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, word_no, value, score, secret: every candidate with the forest's probability of a real secret."""
+    found = labelled_candidates(docs, id_col, text_col)
+    return judged(found, fit(found, train_rows)).select("doc_id", "word_no", "value", "score", "secret")
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """n, n_secret, n_flagged, precision, recall of the forest on held-out labelled rows, their evidence withheld."""
+    found = labelled_candidates(docs, id_col, text_col)
+    rows = judged(withheld(found.where("label is not null and held_out")), fit(found, train_rows))
+    hit = F.sum(((F.col("label") == 1) & F.col("secret")).cast("bigint"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == 1).cast("bigint")).alias("n_secret"),
+                    F.sum(F.col("secret").cast("bigint")).alias("n_flagged"),
+                    (hit / F.sum(F.col("secret").cast("bigint"))).alias("precision"),
+                    (hit / F.sum((F.col("label") == 1).cast("bigint"))).alias("recall"))

@@ -174,6 +174,24 @@ def test_short_secrets_after_a_name_are_found(spark):
     assert {1_000, 1_002} <= got and {i for i in got if i < 1_000} == {i for i in range(300) if i % 3 == 0}
 
 
+def test_forest_finds_held_out_secrets_without_the_label_rules_evidence(spark):
+    rng = random.Random(5)
+    mixed = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    prose = "the administration understanding internationalisation of characterisation and responsibilities "
+    kinds = [lambda: f"password={mixed(24)}", lambda: "INTERNATIONALISATIONS", lambda: "4" + str(rng.randrange(10 ** 14, 10 ** 15)),
+             lambda: f"token: {mixed(30)}", lambda: "https://example.org/understanding/administration"]
+    rows = [(i, prose + kinds[i % 5]() + " " + prose) for i in range(600)]
+    bare = {1_000 + i: mixed(28) for i in range(20)}                            # no name, no format: nothing labels them
+    rows += [(i, f"{prose} {v} {prose}") for i, v in bare.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    q = secrets.quality(docs).first()
+    assert q.n >= 80 and q.n_secret >= 20 and q.precision >= 0.9 and q.recall >= 0.9, q
+    found = secrets.labelled_candidates(docs)
+    assert {r.label for r in found.where("doc_id >= 1000").collect()} == {None}
+    got = {r.doc_id: r.secret for r in secrets.scan(docs).collect() if r.value in bare.values()}
+    assert sum(got[i] for i in bare) >= 18
+
+
 def test_secret_dictionary_counts_every_text(spark):
     rng = random.Random(2)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
