@@ -23,6 +23,7 @@ DEFAULT_BITS = 16  # 65,536 buckets per group: ~5e5 rows/bucket at 3e10 rows
 # (4,095 doubles); ~7e6 narrow rows per range at 3e10 rows.
 ORDERED_BITS = 12
 ROWS_PER_RANGE = 100_000   # target rows per id range (one window task)
+SMALL_RANGE = 4_096        # a table too small for that is cut into ranges of this size, at most one per core
 
 
 def _join_offsets(df: DataFrame, offsets: DataFrame, keys: list[str],
@@ -123,6 +124,11 @@ def range_places(df: DataFrame, order: list, rows_per_range: int = ROWS_PER_RANG
     a sample of their own. Each range is sorted by its task and its rows are
     numbered as they are written; nothing is ordered in one task.
     """
+    return _placed(df, order, rows_per_range, name)[0]
+
+
+def _placed(df: DataFrame, order: list, rows_per_range: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`range_places`, and ``(_range, _n)``: one row per range."""
     rows = materialize(df, f"{name}-rows")      # counted, sampled and sorted from the written table
     n = rows.count()
 
@@ -131,23 +137,25 @@ def range_places(df: DataFrame, order: list, rows_per_range: int = ROWS_PER_RANG
                 .withColumn("_m", F.monotonically_increasing_id()))
         return materialize(done, f"{name}-{step}")
 
-    first = cut(rows, order, math.ceil(n / rows_per_range), "cut")
-    first = first.withColumn("_range", F.shiftright("_m", 33)).withColumn("_at", F.col("_m") % (1 << 33)).drop("_m")
-    sizes = first.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))          # one row per range
-    full = sizes.where(F.col("_n") > 2 * rows_per_range)
-    extra = full.agg(F.sum("_n")).first()[0]
+    spark = df.sparkSession
+    least = min(spark.sparkContext.defaultParallelism, math.ceil(n / SMALL_RANGE))       # small tables still use every core
     stretch = 1 << 20                                                           # room for the second cut's ranges
-    first = first.withColumn("_range", F.col("_range") * stretch)
+    first = cut(rows, order, max(math.ceil(n / rows_per_range), least), "cut")
+    first = (first.withColumn("_range", F.shiftright("_m", 33) * stretch).withColumn("_at", F.col("_m") % (1 << 33)).drop("_m"))
+    sizes = [tuple(r) for r in first.groupBy("_range").agg(F.count(F.lit(1))).collect()]      # one row per range
+    full = [(k, m) for k, m in sizes if m > 2 * rows_per_range]
+    extra = sum(m for _, m in full)
     if not extra:
-        return first
-    marked = full.select((F.col("_range") * stretch).alias("_range"))
+        return first, spark.createDataFrame(sizes, "_range bigint, _n bigint")
+    marked = spark.createDataFrame([(k,) for k, _ in full], "_range bigint")
     again = cut(first.join(F.broadcast(marked), "_range", "left_semi").drop("_at"), ["_range", *order],
                 math.ceil(extra / rows_per_range), "recut")
     part = F.shiftright("_m", 33)
     again = (again.withColumn("_range", F.col("_range") + part).withColumn("_m", F.col("_m") % (1 << 33)))
     start = again.groupBy("_range").agg(F.min("_m").alias("_s"))                # a task may hold the ends of two ranges
     again = again.join(F.broadcast(start), "_range").withColumn("_at", F.col("_m") - F.col("_s")).drop("_m", "_s")
-    return first.join(F.broadcast(marked), "_range", "left_anti").unionByName(again.select(first.columns))
+    placed = first.join(F.broadcast(marked), "_range", "left_anti").unionByName(again.select(first.columns))
+    return placed, placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
 
 
 def sorted_rank(df: DataFrame, order: list, rank_col: str = "rank", rows_per_range: int = ROWS_PER_RANGE,
@@ -156,8 +164,7 @@ def sorted_rank(df: DataFrame, order: list, rank_col: str = "rank", rows_per_ran
 
     The rows before a range are a running sum over one row per range.
     """
-    placed = range_places(df, order, rows_per_range, name)
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    placed, sizes = _placed(df, order, rows_per_range, name)
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     return (placed.join(F.broadcast(before), "_range")
             .withColumn(rank_col, (F.col("_before") + F.col("_at") + 1).cast("bigint")).drop("_range", "_at", "_before"))
