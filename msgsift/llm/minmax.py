@@ -18,9 +18,12 @@ share a band with probability 1 - (1 - 0.75^4)^32 = 0.999995.
    with all others of its family unless both already hang together.
 5. Connected components of the verified links; the smallest id names them.
 
-Buckets and families above a bound are cut into blocks, and every pair of
-blocks is a group of its own, so no task holds an unbounded group and no
-pair is left out.
+Buckets and families above a bound do not meet in one task. Their members are
+dealt to slices and every slice gets a copy of one representative: who is near
+it hangs together with it and needs no other comparison. The others, usually
+few, are dealt to blocks, and each pair of a block and a slice is a group of
+its own. So the work is linear in a group whose members resemble its
+representative, no task holds an unbounded group, and no pair is left out.
 
 Defined cases
     null text, no words: empty set, linked with nothing. fewer than five words: the whole sequence is one shingle.
@@ -44,8 +47,10 @@ SHINGLE = 5
 PERCENT = 75            # links: 100 * intersection >= PERCENT * union
 PERMUTATIONS = 64
 ROWS_PER_BAND = 4
-BUCKET_ROWS = 8_192     # classes of one bucket block
-FAMILY_SHINGLES = 1_000_000   # shingles of one family block
+BUCKET_ROWS = 8_192     # classes of a bucket (shingles of a family) that meets whole in one task
+FAMILY_SHINGLES = 32_768
+SLICES = 4              # a slice is the bound's SLICES-th part
+BLOCK_SLICES = 64       # slices of a block of members that are compared with all others
 _WORK = 1 << 15         # shingles hashed at a time
 
 
@@ -156,19 +161,23 @@ class _Forest:
                 self.links.append((i, int(j)))
 
 
-def link_group(n: int, order, neighbours) -> list[tuple[int, int]]:
-    """Forest of the graph on 0 .. n-1 given by ``neighbours(i)``, asking for as few i as needed.
+def link_group(n: int, queries, near, tied=()) -> list[tuple[int, int]]:
+    """Forest of the links that ``near(i)`` finds on 0 .. n-1, asking for as few of ``queries`` as needed.
 
-    The first of ``order`` gathers most of a family. Whoever is not tied to it
-    when visited is compared with all others, so every pair of the group has
-    been compared unless both ends hang together with the first.
+    ``tied`` hang together already; without them the first query gathers a
+    component. Whoever is not in that component when visited is compared with
+    all others, so every pair with a query has been compared unless both ends
+    are in the component.
     """
     f = _Forest(n)
-    first = order[0]
-    f.join(first, neighbours(first))
-    for i in order[1:]:
+    if len(tied):
+        f.root[tied] = first = min(tied)
+    else:
+        first = queries[0]
+        f.join(first, near(first))
+    for i in queries:
         if f.find(i) != f.find(first):
-            f.join(i, neighbours(i))
+            f.join(i, near(i))
     return f.links
 
 
@@ -192,27 +201,109 @@ def _sorted_groups(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINKS = pa.schema([("g", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _link_batches(groups, link):
-    a: list[int] = []
-    b: list[int] = []
-    for g in groups:
-        for x, y in link(g):
-            a.append(x)
-            b.append(y)
-        if len(a) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINKS)
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINKS)
-
-
-def _sketch_links(least: int):
-    def link(g: pa.Table):
-        node, at = np.unique(g.column("node").to_numpy(), return_index=True)
+def _whole(graph):
+    """Links of a group that is here whole."""
+    def link(t: pa.Table):
+        node, near, order = graph(t)
+        return [(node[i], node[j]) for i, j in link_group(len(node), order(), near)] if len(node) > 1 else []
+    return link
+
+
+def _star(graph):
+    """Links of a slice's members to the representative."""
+    def link(t: pa.Table):
+        node, near, _ = graph(t)
         if len(node) < 2:
             return []
+        rep = t.column("rep")[0].as_py()
+        return [(rep, node[j]) for j in near(int(np.searchsorted(node, rep)))]
+    return link
+
+
+def _rest(graph):
+    """Links between a block's members that the representative left over and all members of a slice."""
+    def link(t: pa.Table):
+        node, near, _ = graph(t)
+        at = np.searchsorted(node, t.column("node").to_numpy())
+        left, query = np.zeros(len(node), bool), np.zeros(len(node), bool)
+        left[at[t.column("left").to_numpy()]] = True
+        query[at[t.column("query").to_numpy()]] = True
+        if len(node) < 2 or not query.any():
+            return []
+        links = link_group(len(node), np.flatnonzero(query).tolist(), near, np.flatnonzero(~left))
+        return [(node[i], node[j]) for i, j in links]
+    return link
+
+
+def _link_batches(groups, link):
+    rows: list[tuple[int, int, int]] = []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))],
+                                          schema=_LINKS)
+    for t in groups:
+        g = t.column("g")[0].as_py()
+        rows += [(g, int(x), int(y)) for x, y in link(t)]
+        if len(rows) > 50_000:
+            yield batch()
+            rows = []
+    yield batch()
+
+
+def _linked(rows: DataFrame, keys: list[str], link) -> DataFrame:
+    """(g, a, b): what ``link`` finds in each group of ``keys``."""
+    n = len(keys)
+    rows = rows.select(*keys, *[c for c in rows.columns if c not in keys])
+    return (rows.repartition(*keys).sortWithinPartitions(*keys)
+            .mapInArrow(lambda it: _link_batches(_sorted_groups(it, n), link), "g bigint, a bigint, b bigint"))
+
+
+def group_links(rows: DataFrame, groups: DataFrame, bound: int, graph, name: str) -> DataFrame:
+    """(a, b): a forest of the links inside each group, every pair judged by ``graph``.
+
+    rows: g, node and what ``graph`` reads, one row per member. groups: g, rep
+    (a member), members, weight, a written table. Groups of more than ``bound``
+    weight go through their representative, see the module's notes.
+    """
+    is_big = F.col("weight") > bound
+    small = rows.join(groups.where(~is_big).select("g"), "g")
+    found = materialize(_linked(small, ["g"], _whole(graph)).select("a", "b").distinct(), f"minmax-{name}-links")
+    big = groups.where(is_big)
+    if big.isEmpty():
+        return found
+    per = max(bound // SLICES, 1)
+    slices = F.least(F.ceil(F.col("weight") / per), F.col("members"))
+    rows = materialize(rows.join(big.select("g", "rep", slices.alias("slices")), "g"), f"minmax-{name}-big")
+    mine = F.pmod(F.xxhash64("node"), F.col("slices"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)
+    dealt = rows.withColumn("sl", F.explode(F.when(F.col("node") == F.col("rep"), every).otherwise(F.array(mine))))
+    star = materialize(_linked(dealt.drop("slices"), ["g", "sl"], _star(graph)), f"minmax-{name}-star")
+    left = materialize(rows.where("node <> rep").select("g", "node").join(
+        star.select("g", F.col("b").alias("node")), ["g", "node"], "left_anti"), f"minmax-{name}-left")
+    # few members left: they go to every slice; many: to few, large slices, so that no more than a copy of the group moves
+    share = F.col("n_left") / F.col("members")
+    least = F.ceil(F.col("weight") / (per * BLOCK_SLICES))
+    blocks = left.groupBy("g").agg(F.count(F.lit(1)).alias("n_left")).join(big, "g").select(
+        "g", F.ceil(share * F.col("weight") / (per * BLOCK_SLICES)).alias("blocks"),
+        F.least(slices, F.greatest(least, F.floor(1 / share))).alias("slices"))
+    again = rows.drop("rep", "slices").join(blocks, "g").join(left.withColumn("left", F.lit(True)), ["g", "node"], "left").withColumn(
+        "left", F.coalesce("left", F.lit(False)))
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    members = again.withColumn("sl", mine).withColumn(
+        "bl", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumn("query", F.lit(False))
+    queries = again.where("left").withColumn("bl", block).withColumn("sl", F.explode(every)).withColumn("query", F.lit(True))
+    both = members.unionByName(queries).drop("slices", "blocks")
+    rest = materialize(_linked(both, ["g", "sl", "bl"], _rest(graph)), f"minmax-{name}-rest")
+    return found.unionByName(star.select("a", "b")).unionByName(rest.select("a", "b"))
+
+
+def _sketch_graph(least: int):
+    """Members of a bucket are near when their sketches agree in ``least`` bytes and their sizes allow a link."""
+    def graph(g: pa.Table):
+        node, at = np.unique(g.column("node").to_numpy(), return_index=True)
         raw = g.column("sketch").combine_chunks()
         sk = np.frombuffer(b"".join(raw.take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(len(node), -1)
         n = g.column("n").to_numpy()[at]
@@ -222,21 +313,20 @@ def _sketch_links(least: int):
             hit = np.flatnonzero(fit)
             hit = hit[(sk[hit] == sk[i]).sum(axis=1) >= least]
             return hit[hit != i]
-        # the class closest to the bucket's most common bytes goes first
-        if len(node) > 2:
+
+        def order():            # the class closest to the bucket's most common bytes goes first
+            if len(node) < 3:
+                return list(range(len(node)))
             common = np.array([np.bincount(sk[:, c], minlength=256).argmax() for c in range(sk.shape[1])], dtype=np.uint8)
-            order = np.argsort(-(sk == common).sum(axis=1), kind="stable").tolist()
-        else:
-            order = [0, 1]
-        return [(int(node[i]), int(node[j])) for i, j in link_group(len(node), order, near)]
-    return link
+            return np.argsort(-(sk == common).sum(axis=1), kind="stable").tolist()
+        return node, near, order
+    return graph
 
 
-def _set_links(shingle: int, percent: int):
-    def link(g: pa.Table):
+def _set_graph(shingle: int, percent: int):
+    """Members of a family are near when their full sets are similar enough."""
+    def graph(g: pa.Table):
         node, at = np.unique(g.column("node").to_numpy(), return_index=True)
-        if len(node) < 2:
-            return []
         text = g.column("text").combine_chunks().take(pa.array(at))
         parts, sizes = [], []
         for w in batch_words(text, SPACE_WORDS):
@@ -267,18 +357,12 @@ def _set_links(shingle: int, percent: int):
             both = np.bincount(holders[pick], minlength=len(n))
             hit = np.flatnonzero(100 * both >= percent * (n + n[i] - both))
             return hit[(hit != i) & (both[hit] > 0)]
-        weight = np.bincount(owner, weights=df[term], minlength=len(n)) / np.maximum(n, 1)
-        order = np.argsort(-weight, kind="stable").tolist()
-        return [(int(node[i]), int(node[j])) for i, j in link_group(len(node), order, near)]
-    return link
-
 
-def _in_blocks(df: DataFrame, blocks: str) -> DataFrame:
-    """One copy of each row per pair of blocks its block takes part in (one copy when ``blocks`` is 1)."""
-    mine = F.pmod(F.xxhash64("node"), F.col(blocks))
-    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1),
-                        lambda j: F.struct(F.least(mine, j).alias("bi"), F.greatest(mine, j).alias("bj")))
-    return df.withColumn("_p", F.explode(pairs)).withColumn("bi", F.col("_p.bi")).withColumn("bj", F.col("_p.bj")).drop("_p")
+        def order():            # the class whose shingles are the most common goes first
+            weight = np.bincount(owner, weights=df[term], minlength=len(n)) / np.maximum(n, 1)
+            return np.argsort(-weight, kind="stable").tolist()
+        return node, near, order
+    return graph
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", permutations: int = PERMUTATIONS,
@@ -297,31 +381,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         rep.alias("rep")), "minmax-classes")
 
     # buckets with at least two classes
-    at = cls.select(F.explode("rep.bands").alias("key"), "node")
-    size = at.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = at.join(size, "key").withColumn("blocks", F.ceil(F.col("m") / bucket_rows))
-    inside = (_in_blocks(met, "blocks").join(cls.select("node", "n", F.col("rep.sketch").alias("sketch")), "node")
-              .select("key", "bi", "bj", "node", "n", "sketch"))
+    at = cls.select(F.explode("rep.bands").alias("g"), "node")
+    buckets = materialize(at.groupBy("g").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("members"))
+                          .where("members > 1").withColumn("weight", F.col("members")), "minmax-buckets")
     least = permutations * 2 * percent * 2 // 300        # half of the bytes at 75 percent
-    family_links = (inside.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-                    .mapInArrow(lambda it: _link_batches(_sorted_groups(it, 3), _sketch_links(least)), "a bigint, b bigint"))
-    family = components(materialize(family_links.distinct(), "minmax-family-links"))
+    inside = at.join(buckets.select("g"), "g").join(
+        cls.select("node", "n", F.col("rep.sketch").alias("sketch")), "node").select("g", "node", "n", "sketch")
+    tied = materialize(group_links(inside, buckets, bucket_rows, _sketch_graph(least), "bucket").distinct(), "minmax-tied")
+    family = components(tied)
 
     # families verify full sets; texts are read again for their classes only
-    of = family.select(F.col("comp").alias("family"), "node").join(
-        cls.select("node", "n", F.col("rep.doc_id").alias("v_doc"), F.col("rep.th").alias("v_th")), "node")
-    of = materialize(of, "minmax-families")
-    big = of.groupBy("family").agg(F.sum("n").alias("total")).withColumn(
-        "blocks", F.ceil(F.col("total") / family_shingles)).drop("total")
+    degree = tied.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("ties"))
+    of = materialize(family.select(F.col("comp").alias("g"), "node").join(
+        cls.select("node", "n", F.col("rep.doc_id").alias("v_doc"), F.col("rep.th").alias("v_th")), "node").join(
+        degree, "node"), "minmax-families")
+    families = materialize(of.groupBy("g").agg(
+        F.max_by("node", F.struct("ties", "node")).alias("rep"), F.count(F.lit(1)).alias("members"),
+        F.sum("n").alias("weight")), "minmax-family-sizes")
     src = docs.select(docs[id_col].alias("t_doc"), F.xxhash64(docs[text_col]).alias("t_th"),
                       docs[text_col].cast("string").alias("text"))
     src = flag_keys(src, F.xxhash64("t_doc", "t_th"), of, F.xxhash64("v_doc", "v_th")).where("_in").drop("_in")
-    texts = src.join(of.join(big, "family"), F.col("t_doc").eqNullSafe(F.col("v_doc"))
-                     & (F.col("t_th") == F.col("v_th"))).select("family", "blocks", "node", "text")
-    links = (_in_blocks(texts, "blocks").select("family", "bi", "bj", "node", "text")
-             .repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj")
-             .mapInArrow(lambda it: _link_batches(_sorted_groups(it, 3), _set_links(shingle, percent)), "a bigint, b bigint"))
-    comp = components(materialize(links.distinct(), "minmax-links"))
+    texts = src.join(of, F.col("t_doc").eqNullSafe(F.col("v_doc"))
+                     & (F.col("t_th") == F.col("v_th"))).select("g", "node", "text")
+    links = group_links(texts, families, family_shingles, _set_graph(shingle, percent), "family")
+    comp = components(links.distinct())
     named = (cls.select("n", "lo", "hi", "members", "node", "min_id").join(comp, "node", "left")
              .withColumn("comp", F.coalesce("comp", "node")))
     smallest = named.groupBy("comp").agg(F.min("min_id").alias("component_id"))

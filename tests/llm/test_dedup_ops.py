@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,10 @@ def _shingles(t):
     return {tuple(w[k:k + n]) for k in range(len(w) - n + 1)} if n else set()
 
 
+def _nulls_last(row):
+    return [(v is None, v or 0) for v in row]
+
+
 def _near_brute(rows):
     sets = [(i, _shingles(t)) for i, t in rows]
     root = list(range(len(sets)))
@@ -112,7 +117,7 @@ def _near_brute(rows):
     for a, (i, _) in enumerate(sets):
         if i is not None:
             best[find(a)] = min(best.get(find(a), i), i)
-    return sorted((i, len(s), best.get(find(a))) for a, (i, s) in enumerate(sets))
+    return sorted(((i, len(s), best.get(find(a))) for a, (i, s) in enumerate(sets)), key=_nulls_last)
 
 
 @pytest.mark.parametrize("bucket_rows,family_shingles", [(8_192, 2_000_000), (3, 40)])
@@ -132,6 +137,47 @@ def test_near_chain_hub_and_large_family(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == _near_brute(rows)
 
 
+@pytest.mark.parametrize("bound", [200, 2_000])
+def test_near_family_whose_representative_leaves_many_over(spark, bound):
+    """Two centres, a chain away from each of them, and members near to neither: most pairs need the second pass."""
+    rng = random.Random(23)
+    rows = [(900, None), (901, None), (None, "x")]
+    for c in range(2):
+        text = _words(rng, 90).split()
+        rows += [(100 * c + i, " ".join(w + "x" if k % 30 == i % 30 else w for k, w in enumerate(text))) for i in range(25)]
+        for i in range(25, 70):                      # each step changes one more word: far ends are not near
+            text = [w + f"y{i}" if k == i else w for k, w in enumerate(text)]
+            rows.append((100 * c + i, " ".join(text)))
+    rows += [rows[5], rows[40], (None, rows[41][1])]     # repeated rows, a null id with a known text
+    docs = _docs(spark, rows)
+    got = minmax.near_groups(docs, bucket_rows=10, family_shingles=bound)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=_nulls_last) == _near_brute(rows)
+
+
+def test_large_group_is_dealt_to_slices(spark):
+    """Members near to the representative are compared once, in slices; every slice holds part of the group only."""
+    rows = spark.createDataFrame([(1, i, i % 5) for i in range(400)], "g bigint, node bigint, kind long")
+    groups = spark.createDataFrame([(1, 0, 400, 400)], "g bigint, rep bigint, members bigint, weight bigint")
+
+    def graph(t):
+        node = sorted(set(t.column("node").to_pylist()))
+        kind = dict(zip(t.column("node").to_pylist(), t.column("kind").to_pylist()))
+        assert len(node) < 400
+        near = lambda i: [j for j, x in enumerate(node) if j != i and (kind[x] != 4) == (kind[node[i]] != 4)]
+        return np.array(node), near, lambda: list(range(len(node)))
+    links = minmax.group_links(rows, groups, 200, graph, "test").collect()
+    root = list(range(400))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+    for r in links:
+        assert (r.a % 5 == 4) == (r.b % 5 == 4)
+        root[find(r.a)] = find(r.b)
+    assert len({find(i) for i in range(400)}) == 2
+
+
 def test_keep_one_keeps_columns_and_handles_empty(spark):
     rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "zzz"), (4, None)]
     docs = _docs(spark, rows)
