@@ -261,22 +261,25 @@ def _linked(rows: DataFrame, keys: list[str], link) -> DataFrame:
             .mapInArrow(lambda it: _link_batches(_sorted_groups(it, n), link), "g bigint, a bigint, b bigint"))
 
 
-def group_links(rows: DataFrame, groups: DataFrame, bound: int, graph, name: str) -> DataFrame:
+def group_links(who: DataFrame, groups: DataFrame, bound: int, rows_of, graph, name: str) -> DataFrame:
     """(a, b): a forest of the links inside each group, every pair judged by ``graph``.
 
-    rows: g, node and what ``graph`` reads, one row per member. groups: g, rep
-    (a member), members, weight, a written table. Groups of more than ``bound``
-    weight go through their representative, see the module's notes.
+    who: g, node and what ``rows_of`` needs, one narrow row per member.
+    groups: g, rep (a member), members, weight, a written table. ``rows_of``
+    adds to rows of ``who`` what ``graph`` reads and keeps all but its own
+    columns; it is called with the rows of small and of large groups apart, so
+    wide columns are fetched once. Groups of more than ``bound`` weight go
+    through their representative, see the module's notes.
     """
     is_big = F.col("weight") > bound
-    small = rows.join(groups.where(~is_big).select("g"), "g")
+    small = rows_of(who.join(groups.where(~is_big).select("g"), "g"))
     found = materialize(_linked(small, ["g"], _whole(graph)).select("a", "b").distinct(), f"minmax-{name}-links")
     big = groups.where(is_big)
     if big.isEmpty():
         return found
     per = max(bound // SLICES, 1)
     slices = F.least(F.ceil(F.col("weight") / per), F.col("members"))
-    rows = materialize(rows.join(big.select("g", "rep", slices.alias("slices")), "g"), f"minmax-{name}-big")
+    rows = materialize(rows_of(who.join(big.select("g", "rep", slices.alias("slices")), "g")), f"minmax-{name}-big")
     mine = F.pmod(F.xxhash64("node"), F.col("slices"))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)
     dealt = rows.withColumn("sl", F.explode(F.when(F.col("node") == F.col("rep"), every).otherwise(F.array(mine))))
@@ -385,9 +388,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     buckets = materialize(at.groupBy("g").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("members"))
                           .where("members > 1").withColumn("weight", F.col("members")), "minmax-buckets")
     least = permutations * 2 * percent * 2 // 300        # half of the bytes at 75 percent
-    inside = at.join(buckets.select("g"), "g").join(
-        cls.select("node", "n", F.col("rep.sketch").alias("sketch")), "node").select("g", "node", "n", "sketch")
-    tied = materialize(group_links(inside, buckets, bucket_rows, _sketch_graph(least), "bucket").distinct(), "minmax-tied")
+    sketches = cls.select("node", "n", F.col("rep.sketch").alias("sketch"))
+    tied = materialize(group_links(at, buckets, bucket_rows, lambda who: who.join(sketches, "node"),
+                                   _sketch_graph(least), "bucket").distinct(), "minmax-tied")
     family = components(tied)
 
     # families verify full sets; texts are read again for their classes only
@@ -400,10 +403,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         F.sum("n").alias("weight")), "minmax-family-sizes")
     src = docs.select(docs[id_col].alias("t_doc"), F.xxhash64(docs[text_col]).alias("t_th"),
                       docs[text_col].cast("string").alias("text"))
-    src = flag_keys(src, F.xxhash64("t_doc", "t_th"), of, F.xxhash64("v_doc", "v_th")).where("_in").drop("_in")
-    texts = src.join(of, F.col("t_doc").eqNullSafe(F.col("v_doc"))
-                     & (F.col("t_th") == F.col("v_th"))).select("g", "node", "text")
-    links = group_links(texts, families, family_shingles, _set_graph(shingle, percent), "family")
+
+    def with_texts(who: DataFrame) -> DataFrame:
+        here = flag_keys(src, F.xxhash64("t_doc", "t_th"), who, F.xxhash64("v_doc", "v_th")).where("_in").drop("_in")
+        return here.join(who, F.col("t_doc").eqNullSafe(F.col("v_doc")) & (F.col("t_th") == F.col("v_th"))).drop(
+            "t_doc", "t_th", "v_doc", "v_th")
+    links = group_links(of.drop("n", "ties"), families, family_shingles, with_texts, _set_graph(shingle, percent), "family")
     comp = components(links.distinct())
     named = (cls.select("n", "lo", "hi", "members", "node", "min_id").join(comp, "node", "left")
              .withColumn("comp", F.coalesce("comp", "node")))

@@ -165,7 +165,7 @@ def test_large_group_is_dealt_to_slices(spark):
         assert len(node) < 400
         near = lambda i: [j for j, x in enumerate(node) if j != i and (kind[x] != 4) == (kind[node[i]] != 4)]
         return np.array(node), near, lambda: list(range(len(node)))
-    links = minmax.group_links(rows, groups, 200, graph, "test").collect()
+    links = minmax.group_links(rows, groups, 200, lambda who: who, graph, "test").collect()
     root = list(range(400))
 
     def find(a):
