@@ -18,6 +18,11 @@ def hash_digest(salt, *parts) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(salt)), *[_col(p).cast("string") for p in parts]))
 
 
+def key_prefix(salt, *parts) -> Column:
+    """The text that :func:`hash_digest` digests, up to its last part: 'salt:part1:part2...:'."""
+    return F.concat_ws(":", F.lit(str(salt)), *[_col(p).cast("string") for p in parts], F.lit(""))
+
+
 def digest_key(digest: Column, segment: int = 0) -> Column:
     """Hex digits ``8*segment+1 .. 8*segment+8`` of a digest as a BIGINT in [0, 2^32).
 

@@ -28,6 +28,17 @@ PAGE_TOKENS = 1 << 18
 SALTS = 8
 
 
+def slices(sizes: np.ndarray, limit: int):
+    """``(lo, hi)`` stretches of rows that hold at most ``limit`` in all, or one row."""
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def _shape(schema: StructType) -> str:
     return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in schema.fields)
 

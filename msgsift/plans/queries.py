@@ -204,21 +204,17 @@ def _corpus_line_ids(spark, sf):
 def q_mlm_mask(spark, sf):
     lines, v = _corpus_line_ids(spark, sf)
     m = mask_arrays(lines, v, ["doc_id", "line_no"], MLM_SEED)
-    rows = m.select("doc_id", "line_no", F.posexplode(F.arrays_zip("ids", "cells")).alias("pos", "x"))
+    rows = m.select("doc_id", "line_no", F.posexplode(F.arrays_zip("ids", "input_ids", "target_ids")).alias("pos", "x"))
     return rows.select("doc_id", "line_no", F.col("pos").cast("bigint"), F.col("x.ids").cast("bigint").alias("token_id"),
-                       F.col("x.cells.input_id").cast("bigint").alias("input_id"),
-                       F.col("x.cells.target_id").cast("bigint").alias("target_id"))
+                       F.col("x.input_ids").cast("bigint").alias("input_id"),
+                       F.col("x.target_ids").cast("bigint").alias("target_id"))
 
 
 def q_mlm_epochs(spark, sf):
     lines, v = _corpus_line_ids(spark, sf)
     m = mask_line_epochs(lines, v, ["doc_id", "line_no"], CORPUS_EPOCHS, MLM_SEED)
-
-    def total(action):
-        return F.sum(F.size(F.filter("actions", lambda a: a == action))).cast("bigint")
-    sums = m.select("epoch", F.col("cells.action").alias("actions")).groupBy(F.col("epoch").cast("bigint").alias("epoch")).agg(
-        F.sum(F.size("actions")).cast("bigint").alias("n_positions"), total("mask").alias("n_masked"),
-        total("random").alias("n_random"), total("same").alias("n_same"))
+    sums = m.groupBy(F.col("epoch").cast("bigint").alias("epoch")).agg(
+        F.sum(F.size("actions")).cast("bigint").alias("n_positions"), *[F.sum(c).alias(c) for c in ("n_masked", "n_random", "n_same")])
     return sums.select("epoch", "n_positions", F.expr("n_masked + n_random + n_same").alias("n_selected"),
                        "n_masked", "n_random", "n_same")
 
@@ -231,15 +227,18 @@ def q_mlm_epoch_file(spark, sf):
     path = shared_path(spark, "mlm-epochs")
     write_masked_lines(mask_line_epochs(lines, v, ["doc_id", "line_no"], CORPUS_EPOCHS, MLM_SEED), path)
 
-    def place_sum(value):      # each id weighted by its place; value: (input, target) -> id
-        weighted = F.transform(F.arrays_zip("input_ids", "target_ids"), lambda x, i:
-                               F.coalesce(value(x["input_ids"], x["target_ids"]), F.lit(0)).cast("bigint") * (F.col("line_no") * 31 + i + 1))
-        return F.sum(F.aggregate(weighted, F.lit(0).cast("bigint"), lambda a, x: a + x)).cast("bigint")
-    return spark.read.parquet(path).groupBy(F.col("epoch").cast("bigint").alias("epoch"), "doc_id").agg(
-        F.sum(F.size("input_ids")).cast("bigint").alias("n_positions"),
-        F.sum(F.size(F.filter("target_ids", lambda t: t.isNotNull()))).cast("bigint").alias("n_targets"),
-        place_sum(lambda i, t: F.coalesce(t, i)).alias("token_sum"), place_sum(lambda i, t: i).alias("input_sum"),
-        place_sum(lambda i, t: t).alias("target_sum"))
+    # each id weighted by its place
+    cells = spark.read.parquet(path).select(
+        F.col("epoch").cast("bigint").alias("epoch"), "doc_id", "line_no", "target_ids", F.posexplode("input_ids").alias("pos", "input_id"))
+    target, place = F.get("target_ids", F.col("pos")), F.col("line_no") * 31 + F.col("pos") + 1
+    cells = cells.select("epoch", "doc_id", "input_id", target.alias("target_id"), place.cast("bigint").alias("place"))
+
+    def place_sum(value):
+        return F.coalesce(F.sum(value.cast("bigint") * F.col("place")), F.lit(0)).cast("bigint")
+    return cells.groupBy("epoch", "doc_id").agg(
+        F.count(F.lit(1)).alias("n_positions"), F.count("target_id").alias("n_targets"),
+        place_sum(F.coalesce("target_id", "input_id")).alias("token_sum"), place_sum(F.col("input_id")).alias("input_sum"),
+        place_sum(F.col("target_id")).alias("target_sum"))
 
 
 # --- Naive Bayes -------------------------------------------------------------

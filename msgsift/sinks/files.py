@@ -72,12 +72,11 @@ def write_masked(masked: DataFrame, path: str) -> None:
 
 
 def write_masked_lines(masked: DataFrame, path: str) -> None:
-    """The lines of :func:`operators.masking.mask_line_epochs`, one folder per epoch: arrays ``input_ids`` and ``target_ids``."""
-    spark = masked.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = masked.select("epoch", "doc_id", "line_no", F.col("cells.input_id").alias("input_ids"),
-                         F.col("cells.target_id").alias("target_ids"))
-    rows.repartition(n, "epoch", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(n))).write.mode("overwrite").partitionBy("epoch").parquet(path)
+    """The lines of :func:`operators.masking.mask_line_epochs`, one folder per epoch: arrays ``input_ids`` and ``target_ids``.
+
+    A task brings its own lines into epoch order and writes them: the copies of the lines, many times the corpus, are not shuffled.
+    """
+    masked.select("epoch", "doc_id", "line_no", "input_ids", "target_ids").write.mode("overwrite").partitionBy("epoch").parquet(path)
 
 
 def write_run(metrics: DataFrame, path: str) -> None:
