@@ -533,7 +533,7 @@ def q_stream_score(spark, sf):
     from ..streaming.score_stream import message_stream, read_answers, start_answering
     model, _, _ = _nb(spark, sf)
     out, ckpt = shared_path(spark, "answers"), shared_path(spark, "answers-ckpt")
-    q = start_answering(model, message_stream(spark, sf, glob="conversations.parquet"), out, ckpt)
+    q = start_answering(model, message_stream(spark, f"{sf.rstrip('/')}/conversations.parquet"), out, ckpt)
     q.awaitTermination()
     # the streamed JSON answers, read back in long form
     return ans.parse_json(read_answers(spark, out), "msg_id").select("msg_id", "intent", F.round("p", 6).alias("p"))

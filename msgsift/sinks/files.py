@@ -107,6 +107,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _fs(spark, path)
+    return fs.exists(jpath) and fs.getFileStatus(jpath).isFile()
+
+
 def _names(spark: SparkSession, path: str) -> list[str]:
     fs, jpath = _fs(spark, path)
     return [st.getPath().getName() for st in fs.listStatus(jpath)] if fs.exists(jpath) else []

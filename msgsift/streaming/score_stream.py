@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.answers import answer_json, answer_map
 from ..operators.naive_bayes import NBModel, batch_scorer, score
-from ..sinks.files import path_exists
+from ..sinks.files import is_file, path_exists
 from ..sources.tables import message_key
 
 MESSAGE_SCHEMA = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
@@ -26,8 +26,11 @@ MESSAGE_SCHEMA = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 
 def message_stream(spark: SparkSession, path: str, schema: str = MESSAGE_SCHEMA,
                    max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
-    """Parquet files arriving in the folder ``path`` (``glob`` filters file names)."""
+    """Parquet files arriving in the folder ``path`` (``glob`` filters file names), or the one file ``path``."""
     reader = spark.readStream.schema(schema)
+    path = path.rstrip("/")
+    if is_file(spark, path):        # a stream reads a folder
+        path, glob = path.rsplit("/", 1)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
@@ -59,4 +62,7 @@ def start_answering(model: NBModel, stream: DataFrame, out_path: str, checkpoint
 
 
 def read_answers(spark: SparkSession, out_path: str) -> DataFrame:
+    """The answers of all runs; none where no batch has come yet."""
+    if not path_exists(spark, out_path):
+        return spark.createDataFrame([], "msg_id STRING, json STRING, run STRING, batch_id INT")
     return spark.read.parquet(out_path)
