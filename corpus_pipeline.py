@@ -2,7 +2,7 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
-stage's ``docs``. All but the last return the columns of ``documents``.
+stage's ``docs``. All but the last return the columns of ``documents`` and ``lang_pred``.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from msgsift.session import materialize
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language, predicted where it is missing; null texts and texts without a letter go."""
-    return langid.drop_undetermined(docs)
+    """Documents whose text has a language, predicted where it is missing; null texts and texts without a letter go.
+
+    Every text is parsed: ``lang_pred`` is its predicted language, by which the last stage mixes.
+    """
+    return langid.drop_undetermined(docs, out_lang="lang_pred")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +41,12 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their place in a stream mixed to tempered source weights."""
-    return mixing.mix(docs)
+    """All documents with their place in a stream mixed to tempered source weights, within a source to tempered weights of
+    the predicted languages; ``mix_stream`` names a document's source and predicted language."""
+    streams = docs.withColumn("mix_stream", F.to_json(F.struct("source", "lang_pred")))
+    rows = streams.groupBy("mix_stream", "source", "lang_pred").agg(F.count(F.lit(1)).alias("n")).collect()    # one row per stream
+    weights = mixing.nested_weights({(r["source"], r["lang_pred"]): r["n"] for r in rows})
+    return mixing.mix(streams, {r["mix_stream"]: weights[r["source"], r["lang_pred"]] for r in rows}, source_col="mix_stream")
 
 
 STAGES = [

@@ -290,19 +290,27 @@ def _slices(sizes: list[int]):
         yield lo, len(sizes)
 
 
-def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                      out_lang: str | None = None) -> DataFrame:
     """Rows whose text has a letter, each with a language; all other columns unchanged.
 
-    A row that comes with a language keeps it and is only looked at for a
-    letter. A row without one gets the predicted language (none where no
-    language could be learned). Rows without a letter are undetermined and go.
+    A row that comes with a language keeps it. A row without one gets the
+    predicted language (none where no language could be learned). Rows without
+    a letter are undetermined and go. With ``out_lang`` every row's text is
+    parsed and the last column of this name has its predicted language
+    (``und`` where none could be learned); otherwise rows that come with a
+    language are only looked at for a letter.
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])       # no name can clash with the added columns
     text, lang = f"c{names.index(text_col)}", f"c{names.index(lang_col)}"
     said = plain.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     model = fit(docs, id_col, text_col, lang_col)
-    out = predict(plain.where(F.col(lang).isNull()), model, text, "_lang", "_score", out_letter="_letter")
     found = F.when(F.col("_lang") != UNDETERMINED, F.col("_lang")).cast(docs.schema[lang_col].dataType)
-    guessed = out.where("_letter").withColumn(lang, found).drop("_lang", "_score", "_letter")
-    return said.unionByName(guessed).toDF(*names)
+    parse = plain.where(F.col(lang).isNull()) if out_lang is None else plain.where(F.col(lang).isNull()).unionByName(said)
+    out = predict(parse, model, text, "_lang", "_score", out_letter="_letter").drop("_score")
+    out = out.where(F.col("_letter") | F.col(lang).isNotNull()).withColumn(lang, F.coalesce(F.col(lang), found)).drop("_letter")
+    if out_lang is None:
+        return said.unionByName(out.drop("_lang")).toDF(*names)
+    kept = [k for k, c in enumerate(names) if c != out_lang]
+    return out.select(*[F.col(f"c{k}").alias(names[k]) for k in kept], F.col("_lang").alias(out_lang))

@@ -93,6 +93,19 @@ def tempered_weights(counts: dict, temperature: float = 0.5) -> dict:
     return {k: n ** temperature for k, n in counts.items()}
 
 
+def nested_weights(counts: dict, temperature: float = 0.5) -> dict:
+    """Target weights of (source, group) pairs: a source has the weight that :func:`tempered_weights` gives it, shared among
+    its groups in proportion to group count ** temperature."""
+    of_source: dict = {}
+    for (source, _), n in counts.items():
+        of_source[source] = of_source.get(source, 0) + n
+    whole, part = tempered_weights(of_source, temperature), tempered_weights(counts, temperature)
+    total: dict = {}
+    for (source, _), w in part.items():
+        total[source] = total.get(source, 0.0) + w
+    return {k: whole[k[0]] * w / total[k[0]] for k, w in part.items()}
+
+
 def _schedule(spark, shares: list[Fraction], blocks: list[int], frame: int) -> DataFrame:
     """(si, j, slot, release, deadline) of every block of every source."""
     ends = [-(-n * s.denominator // s.numerator) for s, n in zip(shares, blocks) if n]
