@@ -27,13 +27,13 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..config import FIRST_TOKEN_ID
 from ..functions.text import argmax, softmax
-from ..session import materialize
+from ..session import materialize, small_batches
 from .labels import small
 from .naive_bayes import NBModel
 
-MAX_BYTES = 256 << 20
+MAX_BYTES = 32 << 20      # of a matrix that travels with the tasks: every Python worker holds it
 RANGE_ROWS = 1 << 16      # ids per range
-CELL_IDS = 4_000_000      # input ids that one task scores against a range
+CELL_IDS = 1_000_000      # input ids that one task scores against a range
 
 
 @dataclass
@@ -84,9 +84,12 @@ def additive_batch_model(model: AdditiveModel) -> Callable:
     return make_fn
 
 
-def _sums(rows: np.ndarray, contrib: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(rows, weights=contrib[:, k], minlength=n) for k in range(contrib.shape[1])], axis=1) \
-        if contrib.shape[1] else np.zeros((n, 0))
+def _sums(rows: np.ndarray, mat: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Per example the sum of ``mat[ids]``, class by class: no array of ids times classes."""
+    out = np.zeros((n, mat.shape[1]))
+    for k in range(mat.shape[1]):
+        out[:, k] = np.bincount(rows, weights=mat[ids, k], minlength=n)
+    return out
 
 
 def _score_arrays(x: np.ndarray) -> pa.ListArray:
@@ -119,7 +122,7 @@ def score_ranges(encoded: DataFrame, model: AdditiveModel, key_cols: tuple[str,
             use = (mask.flatten().to_numpy() > 0) & (flat >= first)
             row, flat = row[use], flat[use]
             near = flat < head_rows
-            part = _sums(row[near], head[flat[near]], b.num_rows)
+            part = _sums(row[near], head, flat[near], b.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:k + 1], pa.array(np.full(b.num_rows, -1), pa.int64()), pa.nulls(b.num_rows, pa.list_(pa.int32())),
                  _score_arrays(part)], names=names)
@@ -135,6 +138,7 @@ def score_ranges(encoded: DataFrame, model: AdditiveModel, key_cols: tuple[str,
                      pa.ListArray.from_arrays(pa.array(np.r_[at, len(row)], pa.int32()), pa.array(flat, pa.int32())),
                      pa.nulls(len(at), pa.list_(pa.float64()))], names=names)
 
+    small_batches(encoded.sparkSession)
     src = encoded.select(F.monotonically_increasing_id().alias("_row"), *key_cols, "input_ids", "attention_mask")
     keys = ", ".join(f"`{x}` {encoded.schema[x].dataType.simpleString()}" for x in key_cols)
     pieces = materialize(src.mapInArrow(cut, f"_row bigint, {keys}, _range bigint, _ids array<int>, _part array<double>"),
@@ -153,7 +157,7 @@ def score_ranges(encoded: DataFrame, model: AdditiveModel, key_cols: tuple[str,
         mat = _fill(theirs, lo, range_rows, c)
         ids = mine.column("_ids").combine_chunks()
         row = np.repeat(np.arange(mine.num_rows), np.diff(np.asarray(ids.offsets)))
-        part = _sums(row, mat[ids.flatten().to_numpy().astype(np.int64) - lo], mine.num_rows)
+        part = _sums(row, mat, ids.flatten().to_numpy().astype(np.int64) - lo, mine.num_rows)
         return pa.table({"_row": mine.column("_row"), "_part": _score_arrays(part)})
 
     parts = far.groupBy("_range", "_copy").cogroup(rows.select("_range", "_copy", "token_id", "w").groupBy("_range", "_copy")) \
@@ -177,6 +181,7 @@ def score_additive(encoded: DataFrame, model: AdditiveModel, width: int, batch_s
 def score_batches(encoded: DataFrame, make_fn, width: int, batch_size: int = 128,
                   key_cols: tuple[str, ...] = ("doc_id", "chunk")) -> DataFrame:
     """``(*keys, scores, pred_index)`` for every encoded example."""
+    small_batches(encoded.sparkSession)
     udf = predict_batch_udf(make_fn, return_type=ArrayType(DoubleType()), batch_size=batch_size,
                             input_tensor_shapes=[[width], [width]])
     out = encoded.withColumn("scores", udf(F.col("input_ids"), F.col("attention_mask")))

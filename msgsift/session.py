@@ -54,6 +54,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return fallback
 
 
+ARROW_ROWS = 1_000   # rows of an Arrow batch that carries token or id arrays
+
+
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows: arrays make big rows, and the Python worker of every running
+    task holds a batch and several arrays of its size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     root = ensure_checkpoint_dir(spark)
