@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import small_batches
+
 PAGE_TOKENS = 1 << 18
 SALTS = 8
 
@@ -85,6 +87,7 @@ def paged(df: DataFrame, cols: list[str], tokens_col: str, head: pa.Table | None
         if held:
             yield page(k, held)
 
+    small_batches(df.sparkSession)
     src = df.select(*cols, tokens_col)
     rows = _shape(df.select(*cols).schema)
     return src.mapInArrow(run, f"page bigint, rows array<struct<{rows}>>, sizes array<int>, codes array<int>, words array<string>")

@@ -23,6 +23,7 @@ from pyspark.sql.types import ArrayType, ByteType, IntegerType
 from ..config import FIRST_TOKEN_ID, MASK_RATE, MASK_SPLIT, SEED
 from ..functions.digest import place_draws
 from ..functions.keys import digest_key, hash_digest, key_prefix
+from ..session import small_batches
 from .batching import with_epochs
 from .lookup import slices
 
@@ -102,6 +103,7 @@ def mask_arrays(lines: DataFrame, vocab_size: int, key_cols: list[str], seed: in
     0) as the last key, made for all ids of a batch at once (:mod:`..functions.digest`).
     """
     kept = [c for c in lines.columns if c not in (*MASKED_COLS, "cells")]
+    small_batches(lines.sparkSession)
     src = lines.select(*[F.col(f"`{c}`") for c in kept], F.col(ids_col).cast("array<int>").alias("_mask_ids"),
                        key_prefix(seed, *([epoch_col] if epoch_col else []), *key_cols).alias("_mask_key"))
     names = [*kept, *MASKED_COLS]

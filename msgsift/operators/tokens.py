@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import BOS_ID, EOS_ID, FIRST_TOKEN_ID, MAX_TOKENS, PAD_ID, UNK_ID
 from ..functions.text import token_array
-from ..session import materialize
+from ..session import materialize, small_batches
 from .lookup import answered, paged
 from .ranking import sorted_rank
 
@@ -152,6 +152,7 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, id_col: str | list[str] = "doc_i
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, found)],
                                              names=[*cols, "ids"])
 
+    small_batches(df.sparkSession)
     arr = df.select(*cols, F.coalesce(token_array(text_col), F.array().cast("array<string>")).alias("_t"))
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
     return arr.mapInArrow(to_ids, f"{keys}, ids array<int>")
