@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_array
-from ..session import materialize
+from ..session import materialize, small_batches
+from .lookup import slices
 
 BITS = 16
 STEPS = 10
 RATE = 8.0
 REG = 1e-4
 MAX_BYTES = 64 << 20
+SLICE_TOKENS = 1 << 18     # tokens that a task counts at once; a text is never cut
 
 
 @dataclass
@@ -49,20 +51,24 @@ def _bucket(token: str, bits: int) -> int:
 def features(df: DataFrame, cols: list[str], text_col: str = "text", bits: int = BITS) -> DataFrame:
     """``(*cols, idx, val)``: bucket numbers (ascending) and values of each text; no shuffle."""
     def run(batches):
-        for b in batches:
-            lists = b.column(len(cols))
-            coded = pc.dictionary_encode(lists.flatten())
-            of_word = np.array([_bucket(t, bits) for t in coded.dictionary.to_pylist()], dtype=np.int64)
-            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
-            cell, n = np.unique((row << bits) + of_word[coded.indices.to_numpy(zero_copy_only=False)] if len(row)
-                                else np.zeros(0, dtype=np.int64), return_counts=True)
-            row, idx, val = cell >> bits, cell & ((1 << bits) - 1), np.log1p(n)
-            val = val / np.sqrt(np.bincount(row, weights=val * val, minlength=b.num_rows))[row]
-            at = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.ListArray.from_arrays(at, pa.array(idx, pa.int32())), pa.ListArray.from_arrays(at, pa.array(val))],
-                names=[*cols, "idx", "val"])
-
+        for whole in batches:
+            sizes = np.diff(np.asarray(whole.column(len(cols)).offsets))
+            for lo, hi in slices(sizes, SLICE_TOKENS):
+                b = whole.slice(lo, hi - lo)
+                lists = b.column(len(cols))
+                coded = pc.dictionary_encode(lists.flatten())
+                of_word = np.array([_bucket(t, bits) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+                row = np.repeat(np.arange(b.num_rows), sizes[lo:hi])
+                cell, n = np.unique((row << bits) + of_word[coded.indices.to_numpy(zero_copy_only=False)] if len(row)
+                                    else np.zeros(0, dtype=np.int64), return_counts=True)
+                row, idx, val = cell >> bits, cell & ((1 << bits) - 1), np.log1p(n)
+                val = val / np.sqrt(np.bincount(row, weights=val * val, minlength=b.num_rows))[row]
+                at = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[:-1], pa.ListArray.from_arrays(at, pa.array(idx, pa.int32())), pa.ListArray.from_arrays(at, pa.array(val))],
+                    names=[*cols, "idx", "val"])
+
+    small_batches(df.sparkSession)
     src = df.select(*cols, F.coalesce(token_array(text_col), F.array().cast("array<string>")).alias("_t"))
     keys = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in cols)
     return src.mapInArrow(run, f"{keys}idx array<int>, val array<double>")
